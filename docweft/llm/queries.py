@@ -18,8 +18,20 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.flac_digest(stored)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import quality
+
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import toxicity
+
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_flac_media,)}
+    return {f.__name__: f for f in (op4_toxicity, op8_flac_media, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

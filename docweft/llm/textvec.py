@@ -72,6 +72,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+#: Bytes that belong to a word's core: ASCII letters and digits, and all of non-ASCII characters.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def trimmed(found: Words, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans without up to ``most`` punctuation bytes at either end (one byte stays at least)."""
+    start, end = found.start.copy(), found.end.copy()
+    for _ in range(most):
+        start += ~ALNUM[found.data[start]] & (start < end - 1)
+        end -= ~ALNUM[found.data[end - 1]] & (start < end - 1)
+    return start, end
+
+
 @dataclass
 class Words:
     """Words of a batch: byte spans, names, and the index of each document's first word."""
@@ -107,18 +121,23 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     return Words(data, start, end, np.searchsorted(start, offs))
 
 
-def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit names of byte spans, equal for equal bytes."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * _pow(_P, len(data)), out=total[1:])
-    name = total[end] - total[start]
-    name *= _pow(_P_INV, len(data) + 1)[start]
-    name += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(name)
+class Spans:
+    """64-bit names of byte spans of one buffer, equal for equal bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_TABLE[data] * _pow(_P, len(data)), out=self.total[1:])
+        self.inverse = _pow(_P_INV, len(data) + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        name = self.total[end] - self.total[start]
+        name *= self.inverse[start]
+        name += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix64(name)
 
 
 def word_names(found: Words) -> np.ndarray:
-    return span_names(found.data, found.start, found.end)
+    return Spans(found.data)(found.start, found.end)
 
 
 def shingle_names(name: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
