@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import langid
+
+    return langid.languages_of(_table(spark, sf_dir, "documents"))
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import flac
 
@@ -31,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op8_flac_media, op10_quality)}
+    return {f.__name__: f for f in (op4_toxicity, op5_language, op8_flac_media, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
