@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweft.llm.bitfilter import bit_filter, packed_texts, unpacked
 from docweft.llm.graphs import components
 from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
@@ -51,8 +52,6 @@ FREQUENT = 24
 ROUND = 32
 #: Frequent values that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Bits of the filter that keeps uninvolved texts out of the shuffle.
-FILTER_BITS = 1 << 24
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,60 +175,25 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(estimate, schema)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size that has every id of a long column: made on executors, joined on the driver."""
-    schema = T.StructType([T.StructField("bits", T.BinaryType())])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flag = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            flag[_filter_slots(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flag).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in ids.coalesce(8).mapInArrow(fill, schema).toLocalIterator():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def _filter_slots(ids: np.ndarray) -> np.ndarray:
-    from docweft.llm.textvec import mix64
-
-    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of the pairs with 100 |A & B| >= percent |A | B| on full sets, stored.
 
     Only texts that a fixed-size filter of the involved ids lets through are shuffled, compressed.
     """
-    import zstandard
-
-    involved = _id_filter(pairs.select(F.col("a").cast("long")).union(pairs.select(F.col("b").cast("long"))))
-    source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("packed", T.BinaryType())])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            slot = _filter_slots(batch.column("doc_id").to_numpy())
-            part = batch.filter(pa.array((involved[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([press.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], schema.names)
-
-    texts = stored(source.mapInArrow(pack, schema), "texts")
+    involved = bit_filter(pairs.select(F.col("a").cast("long")).union(pairs.select(F.col("b").cast("long"))))
+    source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    texts = stored(packed_texts(source, ["doc_id"], "key", involved), "texts")
     joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b")
     out = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ok = np.zeros(part.num_rows, dtype=bool)
                 sets = []
                 for c in ("ta", "tb"):
-                    raw = pa.array([unpress.decompress(x) for x in part.column(c).to_pylist()], pa.binary())
-                    sets.append(shingle_sets(*flat(raw), width))
+                    sets.append(shingle_sets(*flat(unpacked(part.column(c))), width))
                 (va, fa), (vb, fb) = sets
                 na, nb = np.diff(fa), np.diff(fb)
                 row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])

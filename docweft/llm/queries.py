@@ -26,6 +26,12 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.flac_digest(stored)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import repeats
+
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), width=35)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import quality
 
@@ -45,8 +51,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op8_flac_media, op10_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op8_flac_media, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": oracles.OP1}
+    return {"op1_near_duplicates": oracles.OP1, "op9_repeats": oracles.OP9}

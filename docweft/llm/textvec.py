@@ -122,11 +122,12 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
 
 
 class Spans:
-    """64-bit names of byte spans of one buffer, equal for equal bytes."""
+    """64-bit names of spans of one sequence of bytes, or of 64-bit names; equal for equal content."""
 
     def __init__(self, data: np.ndarray):
+        values = _TABLE[data] if data.dtype == np.uint8 else data
         self.total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[data] * _pow(_P, len(data)), out=self.total[1:])
+        np.cumsum(values * _pow(_P, len(data)), out=self.total[1:])
         self.inverse = _pow(_P_INV, len(data) + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -170,3 +171,20 @@ def distinct_sorted(name: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
 def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from flat values and list starts."""
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, type=kind))
+
+
+def joined(found: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each document's words (those with ``keep``) joined by one blank, and byte offsets.
+
+    Every document's bytes end in a blank too many; offsets give its first byte, and
+    its text is ``out[offs[i] : offs[i + 1] - 1]`` (or empty when both are equal).
+    """
+    start, end = found.start, found.end
+    count = found.count if keep is None else np.diff(np.concatenate([[0], np.cumsum(keep)])[found.first])
+    if keep is not None:
+        start, end = start[keep], end[keep]
+    size = end - start + 1
+    stop = np.cumsum(size)
+    out = np.concatenate([found.data, np.zeros(1, np.uint8)])[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)]
+    out[stop - 1] = 32
+    return out, np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(count)])]
