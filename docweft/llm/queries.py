@@ -19,6 +19,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import decontaminate
+
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import flac
 
@@ -51,7 +57,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op8_flac_media, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op6_decontamination, op8_flac_media, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
