@@ -12,13 +12,15 @@
 3. Candidates are estimated by the bottom-k sketch of the union of both sets and
    dropped if the estimate lies over 4.5 standard errors below the threshold; what
    remains is verified exactly on the full sets of both texts.
-4. No list is expanded into all its pairs.  First every class meets the smallest
-   class of its lists, and the best estimated pair of each class is verified: big
-   groups of near copies become one component.  Then a list matters only if its
-   members lie in several components, and only pairs across components can change
-   anything: members outside the list's largest component meet all others, in rounds
-   of ``ROUND`` such members a list, until none is left.  Every pair that shares a
-   list is thus estimated, or lies within one component already.
+4. No list is expanded into all its pairs.  First every class meets the head of its
+   lists - the member with the fewest rarer values, as a near copy's origin has - and
+   the best estimated pair of each class is verified: big groups of near copies become
+   one component.  From then on only pairs across components can change anything.  In
+   lists with at most ``ROUND`` members outside their largest component these members
+   meet all others.  The members of other lists are listed anew, by their full sets:
+   what a set has of rarer values than the shared one is missing in the other, and this
+   exact bound leaves of a group of near copies only those that its origin links, which
+   meet it next.  What is still across components then meets in rounds of ``ROUND``.
 
 Links only serve the components, so a pair inside a component is never needed; no
 link between different components is lost but by the chance named above.
@@ -103,14 +105,14 @@ def _values(classes: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(value, rep, n): each class under the values of its prefix in the global order, stored."""
+    """(value, rep, n, at): each class under the values of its prefix in the global order, stored; ``at`` is the value's place there."""
     values = _values(classes)
     frequent = stored(values.groupBy("value").count().filter(F.col("count") > FREQUENT).select("value", F.col("count").alias("held_by")), "frequent")
     small = frequent.count() <= BROADCAST_ROWS
     common = values.join(F.broadcast(frequent) if small else frequent, "value")
     of_class = common.groupBy("rep").agg(F.collect_list("value").alias("values"), F.collect_list("held_by").alias("held_by"))  # K entries at most
     joined = classes.select("rep", "n", "sketch").join(of_class, "rep", "left")
-    schema = T.StructType([T.StructField("value", T.LongType()), classes.schema["rep"], classes.schema["n"]])
+    schema = T.StructType([T.StructField("value", T.LongType()), classes.schema["rep"], classes.schema["n"], T.StructField("at", T.LongType())])
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +133,9 @@ def postings(classes: DataFrame) -> DataFrame:
                 rank[order[hit] - len(known)] = held[at][order[hit - 1]]
             order = np.lexsort((value, rank, row))
             place = np.arange(len(value)) - np.repeat(first[:-1], size)
-            keep = order[place < np.repeat(size - np.maximum(size // 2, 1) + 1, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), batch.column("rep").take(pa.array(row[keep])), batch.column("n").take(pa.array(row[keep]))], schema.names)
+            early = place < np.repeat(size - np.maximum(size // 2, 1) + 1, size)
+            keep, own = order[early], pa.array(row[early])
+            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), batch.column("rep").take(own), batch.column("n").take(own), pa.array(place[early])], schema.names)
 
     return stored(joined.mapInArrow(prefix, schema), "postings")
 
@@ -215,16 +218,90 @@ def _with_component(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.drop("component").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _mixed_lists(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of lists that span several components: all of them, and those outside the list's largest one with their turn."""
+def _heads(lists: DataFrame) -> DataFrame:
+    """(value, a, na, at_a) of lists of two and more: the member that has the least before the value, the smallest among equals."""
+    heads = lists.groupBy("value").agg(F.min(F.struct("at", "rep", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
+    return heads.select("value", F.col("head.rep").alias("a"), F.col("head.n").alias("na"), F.col("head.at").alias("at_a"))
+
+
+def _mixed_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the lists that span several components, with the list's largest one and how many are outside of it; stored."""
     member = stored(_with_component(lists, label), "members")
     count = member.groupBy("value", "component").count()
     top = count.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("m"))
     mixed = top.select("value", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.count")).alias("others")).filter("others > 0")
-    everyone = stored(member.join(mixed, "value"), "mixed")
-    turn = F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("others") / ROUND)).alias("turn")
-    outside = everyone.filter("component != largest").select("value", "rep", "n", "component", turn)
-    return everyone.select("value", "rep", "n", "component"), stored(outside, "outside")
+    return stored(member.join(mixed, "value"), "mixed")
+
+
+class _Search:
+    """Links found so far, and the components they make."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+        self.links: DataFrame | None = None
+        self.label: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        found = verified(stored(pairs.select("a", "b"), "candidates"), self.docs, self.width, self.percent)
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.label = components(self.links)
+
+    def cross(self, mixed: DataFrame, placed: bool) -> None:
+        """Meet all members outside their list's largest component with all others, in rounds."""
+        turn = F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("others") / ROUND)).alias("turn")
+        outside = stored(mixed.filter("component != largest").select("value", "rep", "n", "at", "component", turn), "outside")
+        everyone = mixed.select("value", "rep", "n", "at", "component")
+        turns = outside.agg(F.max("turn")).first()[0]
+        for i in range(0 if turns is None else turns + 1):
+            mine = outside.filter(F.col("turn") == i)
+            if i:  # what the rounds before have linked needs no pair any more
+                mine, everyone = _with_component(mine, self.label), stored(_with_component(everyone, self.label), "mixed")
+            mine = mine.select("value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("component").alias("cx"))
+            others = everyone.select("value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"), F.col("component").alias("cy"))
+            fits = (F.col("cx") != F.col("cy")) & _similar_size("nx", "ny", self.percent)
+            if placed:  # of two full sets, nothing before the first shared value is shared
+                fits &= F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + self.percent) >= self.percent * (F.col("nx") + F.col("ny"))
+            pairs = mine.join(others, "value").filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            self.add(estimated(pairs, self.classes, self.percent))
+
+    def full_lists(self, members: DataFrame) -> DataFrame:
+        """(value, rep, n, at): exact inverted lists over the full sets of the given classes (rep).
+
+        All values are in one order by how many of these classes hold them.  A set can
+        only reach the threshold with another if they share a value among its first
+        n - ceil(percent n / 100) + 1; values that it alone holds come first and fill places.
+        """
+        source = self.docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+        texts = packed_texts(source, ["doc_id"], "key", bit_filter(members.select(F.col("rep").cast("long"))))
+        texts = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        schema = T.StructType([T.StructField("value", T.LongType()), T.StructField("rep", texts.schema["doc_id"].dataType), T.StructField("n", T.LongType())])
+        width = self.width
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    name, first = shingle_sets(*flat(unpacked(part.column("packed"))), width)
+                    n = np.diff(first)
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n))], schema.names)
+
+        value = stored(texts.mapInArrow(values, schema), "values")
+        common = value.groupBy("value").count().filter("count > 1")
+        own = value.join(common, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("l"))
+        placed = own.select("rep", "n", F.size("l").alias("m"), F.posexplode("l").alias("i", "v")).select(F.col("v.value").alias("value"), "rep", "n", (F.col("i") + F.col("n") - F.col("m")).alias("at"))
+        return stored(placed.filter(F.col("at") < F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1), "full")
+
+    def dense(self, members: DataFrame) -> None:
+        """Settle lists with many members outside the largest component on exact lists of the members' full sets."""
+        lists = self.full_lists(members)
+        least = lists.groupBy("value").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1")
+        smallest = F.greatest(F.col("least"), F.ceil(F.lit(self.percent) * F.col("n") / 100))
+        fits = (F.col("n") - F.col("at")) * (100 + self.percent) >= self.percent * (F.col("n") + smallest)
+        lists = stored(lists.join(least, "value").filter(fits).select("value", "rep", "n", "at"), "dense")
+        met = lists.join(_heads(lists), "value").filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", self.percent))
+        near = met.groupBy(F.col("rep").alias("b")).agg(F.min_by("a", F.struct("at_a", "a")).alias("a"))
+        self.add(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.cross(_mixed_lists(lists, self.label), placed=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -236,24 +313,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = rows.select(F.col("doc_id").alias("rep"), *keys, "sketch")
     classes = stored(own.join(named, ["rep", *keys], "left_semi").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep", "n"]), "reps")
     lists = postings(classes)
-    heads = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("value", F.col("head.rep").alias("a"), F.col("head.n").alias("na"))
+    search = _Search(docs, classes, width, percent)
+    heads = stored(_heads(lists), "heads")
     met = lists.join(heads, "value").filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
-    guess = estimated(met, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-    links = verified(stored(guess.select("a", "b"), "guesses"), docs, width, percent)
-    shared_lists = lists.join(heads.select("value"), "value", "left_semi")
-    label = components(links)
-    everyone, outside = _mixed_lists(lists.join(heads.select("value"), "value", "left_semi"), label)
-    turns = outside.agg(F.max("turn")).first()[0]
-    for turn in range(0 if turns is None else turns + 1):
-        mine = outside.filter(F.col("turn") == turn)
-        if turn:  # what the rounds before have linked needs no pair any more
-            mine, everyone = _with_component(mine, label), stored(_with_component(everyone, label), "mixed")
-        mine = mine.select("value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        others = everyone.select("value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        pairs = mine.join(others, "value").filter((F.col("cx") != F.col("cy")) & _similar_size("nx", "ny", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = stored(estimated(pairs, classes, percent).select("a", "b"), "candidates")
-        links = links.unionByName(verified(found, docs, width, percent))
-        label = components(links)
+    search.add(estimated(met, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")))
+    mixed = _mixed_lists(lists.join(heads.select("value"), "value", "left_semi"), search.label)
+    search.cross(mixed.filter(F.col("others") <= ROUND), placed=False)
+    many = stored(mixed.filter(F.col("others") > ROUND).select("rep").distinct(), "many")
+    if not many.isEmpty():
+        search.dense(many)
+    label = search.label
     final = named.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", *keys).join(final, keys, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
