@@ -25,6 +25,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import lmscore
+
+    targets = _table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return lmscore.lm_scores(_table(spark, sf_dir, "documents"), targets)
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import flac
 
@@ -57,7 +64,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op6_decontamination, op8_flac_media, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
