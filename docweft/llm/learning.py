@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.shared import stored
+from docweft.llm.shared import bounded_batches, stored
 from docweft.llm.textvec import flat, slices
 
 
@@ -47,6 +47,7 @@ def class_counts(labels: DataFrame, label: str, modulus: int, held: int) -> dict
 
 def map_texts(df: DataFrame, kept: list[str], fields: list[T.StructField], kernel: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     """Run ``kernel(bytes, offsets)`` over whole texts in bounded slices; ``kept`` columns stay in front."""
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,18 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def _domains(labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing query: toxic, else good or poor by quality."""
+    return labels.selectExpr("doc_id", "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality = 1 THEN 'good' END AS domain")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import mixing
+
+    labelled = _domains(_table(spark, sf_dir, "labels"))
+    return mixing.mixing_rates(_table(spark, sf_dir, "documents"), labelled, {"good": 0.9, "poor": 0.07, "toxic": 0.03})
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import toxicity
 
@@ -64,7 +76,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_mixing, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

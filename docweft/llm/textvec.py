@@ -9,15 +9,17 @@ task and no dictionary is exchanged.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass covers, so that scratch arrays stay near 100 MB.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that one numpy pass covers, so that scratch arrays stay near 60 MB.
+SLICE_BYTES = 1 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -70,6 +72,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that numpy and Arrow keep for reuse back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 #: Bytes that belong to a word's core: ASCII letters and digits, and all of non-ASCII characters.
