@@ -39,3 +39,43 @@ WITH w AS (
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+#: Kind, pattern with both cases spelled out, least length, and the group it holds for.
+SECRETS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"\']?\x20*[:=]\x20*[\"\']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
+    ("access", r"AKIA[A-Z0-9]+", 16, 0),
+    ("hex", r"[0-9a-f]+", 32, 0),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", 40, 0),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+", 24, 0),
+    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+)
+
+
+def _op3() -> str:
+    parts, spans = [], []
+    for rank, (kind, pattern, least, group) in enumerate(SECRETS):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""p{rank} AS (
+  SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+    SELECT doc_id, string_split(regexp_replace(t, '{quoted}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS ps FROM d)
+), s{rank} AS (
+  SELECT doc_id, i, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p{rank}
+)""")
+        measured = f"regexp_extract(p, '{quoted}', {group})" if group else "p"
+        spans.append(f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, e - length(p) AS s, e FROM s{rank} WHERE i % 2 = 0 AND length({measured}) >= {least}")
+    return f"""
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS t FROM documents), {", ".join(parts)},
+sp AS ({" UNION ALL ".join(spans)}),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+    string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS spans
+  FROM sp GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+OP3 = _op3()

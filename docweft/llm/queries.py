@@ -69,6 +69,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(_table(spark, sf_dir, "documents"), labelled, {"good": 0.9, "poor": 0.07, "toxic": 0.03})
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import secrets
+
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import toxicity
 
@@ -76,8 +82,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_mixing, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_mixing, op3_secrets, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": oracles.OP1, "op9_repeats": oracles.OP9}
+    return {"op1_near_duplicates": oracles.OP1, "op3_secrets": oracles.OP3, "op9_repeats": oracles.OP9}
