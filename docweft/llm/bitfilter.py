@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docweft.llm.textvec import mix64
+from docweft.llm.textvec import SLICE_BYTES, mix64, release
 
 BITS = 24
 
@@ -63,3 +63,16 @@ def unpacked(column: pa.Array) -> pa.Array:
     """The texts of a packed column, as bytes."""
     press = zstandard.ZstdDecompressor()
     return pa.array([press.decompress(x) for x in column.to_pylist()], pa.binary())
+
+
+def packed_slices(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows whose packed texts have at most ``SLICE_BYTES`` unpacked (one row at least)."""
+    total = np.zeros(batch.num_rows + 1, dtype=np.int64)
+    for c in columns:
+        total[1:] += np.cumsum([zstandard.frame_content_size(x) for x in batch.column(c).to_pylist()], dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+    release()

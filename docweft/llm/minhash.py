@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.bitfilter import bit_filter, packed_texts, unpacked
+from docweft.llm.bitfilter import bit_filter, packed_slices, packed_texts, unpacked
 from docweft.llm.graphs import components
 from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
@@ -191,9 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ok = np.zeros(part.num_rows, dtype=bool)
+            for part in packed_slices(batch, "ta", "tb"):
                 sets = []
                 for c in ("ta", "tb"):
                     sets.append(shingle_sets(*flat(unpacked(part.column(c))), width))
@@ -279,8 +277,7 @@ class _Search:
 
         def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for part in packed_slices(batch, "packed"):
                     name, first = shingle_sets(*flat(unpacked(part.column("packed"))), width)
                     n = np.diff(first)
                     yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n))], schema.names)

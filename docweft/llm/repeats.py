@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.bitfilter import bit_filter, maybe_in, packed_texts, unpacked
+from docweft.llm.bitfilter import bit_filter, maybe_in, packed_slices, packed_texts, unpacked
 from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
 from docweft.llm.textvec import Spans, flat, joined, lists, mix64, slices, word_names, words
@@ -231,8 +231,7 @@ def _windows_of(joined_texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in packed_slices(batch, "packed"):
                 found = words(*flat(unpacked(part.column("packed"))))
                 seq = Spans(word_names(found))
                 items = part.column("items")
@@ -294,8 +293,7 @@ def _applied(docs: DataFrame, width: int, texts: bool = False) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in packed_slices(batch, "packed"):
                 found = words(*flat(unpacked(part.column("packed"))))
                 items = part.column("ranges")
                 row = np.repeat(np.arange(part.num_rows), items.value_lengths().to_numpy().astype(np.int64))

@@ -37,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/docweft-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
