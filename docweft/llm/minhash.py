@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -303,7 +303,6 @@ class _Search:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
     rows = stored(sketches(docs, width), "sketches")
     keys = ["key_a", "key_b", "n_shingles"]
     named = stored(rows.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
@@ -324,3 +323,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = rows.select("doc_id", *keys).join(final, keys, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the one with the smallest id.
+
+    A row with a null id counts as one with a very large id made of its text's hash, so
+    it stays only where its group has no named document.  Of rows that share the kept id
+    one stays.
+    """
+    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    named = docs.withColumn("_docweft_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    found = near_duplicates(named.select(F.col("_docweft_id").alias("doc_id"), "text"), width, percent)
+    kept = found.filter("kept").select(F.col("doc_id").alias("_docweft_kept")).distinct()
+    one = Window.partitionBy("_docweft_id").orderBy(F.xxhash64("text"))
+    rows = named.join(kept, F.col("_docweft_id") == F.col("_docweft_kept")).withColumn("_docweft_row", F.row_number().over(one))
+    return rows.filter("_docweft_row = 1").select(*docs.columns)

@@ -247,9 +247,9 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with every secret in the text replaced by its kind in brackets."""
+    """All rows and columns, with every secret in the text replaced by its kind in brackets; null texts stay null."""
     columns = docs.columns
-    found = with_spans(docs)
+    found = with_spans(docs.withColumn("_docweft_null", F.col("text").isNull()))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -259,4 +259,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, rest).otherwise(F.col("text"))).select(*columns)
+    return found.withColumn("text", F.when(F.size("secret_spans") > 0, rest).when(~F.col("_docweft_null"), F.col("text"))).select(*columns)
