@@ -119,7 +119,7 @@ def format_bytes(c: Column | str) -> Column:
     n = _col(c).cast("double")
 
     def shown(value: Column, unit: str) -> Column:
-        return F.concat(F.when(value >= 10, F.floor(value + 0.5).cast("string")).otherwise(F.format_number(value, "0.0")), F.lit(f" {unit}"))
+        return F.concat(F.when(value >= 10, F.floor(value + 0.5).cast("string")).otherwise(F.format_string("%.1f", value)), F.lit(f" {unit}"))
 
     return F.when(n < 1024, F.concat(_col(c).cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, shown(n / 1024, "KB")).when(n < 1024**3, shown(n / 1024**2, "MB")).otherwise(shown(n / 1024**3, "GB"))
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 TERMINAL = ("done", "failed")
 
 
+def _micros(c: str = "ts"):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def latest_events(events: DataFrame, key: str = "doc_id") -> DataFrame:
     """The newest event of each document."""
     names = [c for c in events.columns if c != key]
@@ -22,7 +26,7 @@ def latest_events(events: DataFrame, key: str = "doc_id") -> DataFrame:
 def stage_durations(events: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each event with the milliseconds since the document's event before it."""
     w = Window.partitionBy(key).orderBy("event_id")
-    return events.withColumn("duration_ms", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1000.0)
+    return events.withColumn("duration_ms", (_micros() - F.lag(_micros()).over(w)) / 1000.0)
 
 
 def replay_after(events: DataFrame, document: int, cursor: int, key: str = "doc_id") -> DataFrame:
@@ -75,4 +79,4 @@ def rate_limited(requests: DataFrame, rpm: float, capacity: float | None = None,
         taken = [bucket.take(t) for t in rows["s"]]
         return pd.DataFrame({"event_id": rows["event_id"], key: rows[key], "allowed": [a for a, _ in taken], "retry_after": [r for _, r in taken]})
 
-    return requests.select("event_id", key, (F.unix_micros("ts") / 1e6).alias("s")).groupBy(key).applyInPandas(fold, schema)
+    return requests.select("event_id", key, (_micros() / 1e6).alias("s")).groupBy(key).applyInPandas(fold, schema)
