@@ -79,13 +79,10 @@ def live_events(replayed: DataFrame, stream: DataFrame, cursor: int) -> DataFram
 
 
 def rate_limited_stream(requests: DataFrame, rpm: float, capacity: float | None = None) -> DataFrame:
-    """(event_id, user_id, allowed, retry_after) of a stream of (event_id, user_id, ts); buckets are state and end after an hour without requests."""
+    """(event_id, user_id, allowed, retry_after) of a stream of (event_id, user_id, ts); a bucket's state is two numbers."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         kept = state.getOption
         bucket = TokenBucket(rpm, capacity, *(kept or (None, None)))
         for frame in frames:
@@ -93,10 +90,9 @@ def rate_limited_stream(requests: DataFrame, rpm: float, capacity: float | None
             taken = [bucket.take(t) for t in frame["s"]]
             yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "allowed": [a for a, _ in taken], "retry_after": [r for _, r in taken]})
         state.update((bucket.tokens, bucket.at))
-        state.setTimeoutDuration(3_600_000)
 
     keyed = requests.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s")).groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, "event_id bigint, user_id bigint, allowed boolean, retry_after double", "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(fold, "event_id bigint, user_id bigint, allowed boolean, retry_after double", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
 
 
 def recovered(documents: DataFrame, events: DataFrame) -> DataFrame:
