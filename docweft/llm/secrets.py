@@ -32,6 +32,8 @@ from docweft.llm.shared import stored
 BLOCK_ROWS = 4096
 #: Candidates that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Letters from common to rare (fixed values); other characters count as rarer.
+_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 #: Stands at both ends of a match while a text is cut; a text's own ones are read as MARK_READ.
 MARK, MARK_READ = "\ue000", "\ue001"
 
@@ -151,6 +153,15 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]]:
     return sorted(query, key=sorted)
 
 
+def asked(conjunction: frozenset[str], most: int = 3) -> frozenset[str]:
+    """The trigrams of a conjunction to look up: its rarest ones by their letters.
+
+    A conjunction implies each of its parts, so fewer lists leave more candidates to
+    verify and lose none.
+    """
+    return frozenset(sorted(conjunction, key=lambda t: (-sum(_COMMON.find(c) % 27 for c in t), t))[:most])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumn("text", text).withColumn("_docweft_hash", F.xxhash64("text"))
@@ -159,23 +170,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     """(block, trigram, ids): the inverted index of the given trigrams; ids are (doc_id, hash) pairs of one block."""
     blocks = max(1, -(-keyed.count() // BLOCK_ROWS))
-    low = F.lower("text")
-    present = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
-    row = keyed.select(F.struct(F.col("doc_id").alias("doc_id"), F.col("_docweft_hash").alias("hash")).alias("id"), F.pmod(F.xxhash64("doc_id", "_docweft_hash"), F.lit(blocks)).alias("block"), present.alias("trigrams"))
+    lowered = keyed.select("doc_id", "_docweft_hash", F.lower("text").alias("low"))  # a projection of its own: once a row, not once a trigram
+    present = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
+    row = lowered.select(F.struct(F.col("doc_id").alias("doc_id"), F.col("_docweft_hash").alias("hash")).alias("id"), F.pmod(F.xxhash64("doc_id", "_docweft_hash"), F.lit(blocks)).alias("block"), present.alias("trigrams"))
     return row.select("id", "block", F.explode("trigrams").alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
 
 
 def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame | None, set[str]]:
     """(doc_id, hash, kinds) that the trigram queries leave, and the kinds that have to scan every text."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    queries = {r.kind: sorted({asked(c) for c in trigram_query(r.pattern)}, key=sorted) for r in rules}
     whole = {k for k, q in queries.items() if frozenset() in q}
     clauses = [(k, i, t, len(c)) for k, q in queries.items() if k not in whole for i, c in enumerate(q) for t in sorted(c)]
     if not clauses:
         return None, whole
     index = postings(keyed, sorted({c[2] for c in clauses}))
     table = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("clause"), F.lit(t).alias("t"), F.lit(n).alias("n")) for k, i, t, n in clauses))
-    asked = index.select("block", "trigram", "ids", F.explode(F.filter(table, lambda c: c["t"] == F.col("trigram"))).alias("c"))
-    lists = asked.groupBy("block", "c.kind", "c.clause", "c.n").agg(F.collect_list("ids").alias("lists")).filter(F.size("lists") == F.col("n"))
+    wanted = index.select("block", "trigram", "ids", F.explode(F.filter(table, lambda c: c["t"] == F.col("trigram"))).alias("c"))
+    lists = wanted.groupBy("block", "c.kind", "c.clause", "c.n").agg(F.collect_list("ids").alias("lists")).filter(F.size("lists") == F.col("n"))
     common = F.aggregate(F.slice("lists", 2, 1000), F.element_at("lists", 1), lambda acc, x: F.array_intersect(acc, x))
     found = lists.select("kind", F.explode(common).alias("id")).groupBy("id").agg(F.collect_set("kind").alias("_docweft_kinds"))
     return found.select(F.col("id.doc_id").alias("_docweft_id"), F.col("id.hash").alias("_docweft_h"), "_docweft_kinds"), whole
