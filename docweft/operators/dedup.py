@@ -64,22 +64,22 @@ def near_duplicates_onepass(vectors: DataFrame, threshold: float) -> DataFrame:
     return vectors.select("id").join(later, "id", "left").withColumn("is_near_dup", F.coalesce("is_near_dup", F.lit(False)))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float, most: int = 1000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
     """(id, is_near_dup) of the sequential rule: a vector goes if an earlier *kept* one is above the threshold.
 
     A row is decided once all its earlier neighbours are: kept if all of them went, gone
     if one is kept.  Each round decides the first undecided row of every chain at least.
     """
     spark = vectors.sparkSession
-    edges = similar_pairs(vectors, threshold).select("a", "b").checkpoint() if spark.sparkContext.getCheckpointDir() else similar_pairs(vectors, threshold).select("a", "b").persist()
+    keep = DataFrame.checkpoint if spark.sparkContext.getCheckpointDir() else DataFrame.persist
+    edges = keep(similar_pairs(vectors, threshold).select("a", "b"))
     state = vectors.select("id", F.lit(None).cast("boolean").alias("gone"))
-    for _ in range(most):
+    while True:
         known = state.select(F.col("id").alias("a"), F.col("gone").alias("gone_a"))
         seen = edges.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.when(~F.col("gone_a"), 1).otherwise(0)).alias("kept_before"), F.max(F.col("gone_a").isNull().cast("int")).alias("open_before"))
         step = state.join(seen, "id", "left")
         decided = F.when(F.col("gone").isNotNull(), F.col("gone")).when(F.coalesce("kept_before", F.lit(0)) == 1, F.lit(True)).when(F.coalesce("open_before", F.lit(0)) == 0, F.lit(False))
-        state = step.select("id", decided.alias("gone"))
-        state = state.checkpoint() if spark.sparkContext.getCheckpointDir() else state.persist()
+        state = keep(step.select("id", decided.alias("gone")))
         if state.filter("gone IS NULL").isEmpty():
             break
     return state.select("id", F.col("gone").alias("is_near_dup"))

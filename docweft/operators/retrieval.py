@@ -25,14 +25,18 @@ from docweft.params import SearchParams
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def term_frequencies(corpus: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, len)."""
+def term_frequencies(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, len), of the terms of a small table ``only`` where it is given."""
     tokens = corpus.select("chunk_id", tokenize("text").alias("t"))
-    return tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
+    rows = tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if only is not None:
+        rows = rows.join(F.broadcast(only.select("term").distinct()), "term")
+    return rows.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(corpus: DataFrame) -> DataFrame:
+    """(term, df): each text's terms are made distinct in its row, so one partial count is all that is shuffled."""
+    return corpus.select(F.explode(F.array_distinct(tokenize("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -55,10 +59,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of every pair with a shared term and a positive score; a term counts as often as the query has it."""
-    tf, stats = term_frequencies(corpus), corpus_stats(corpus)
-    idf = bm25_idf(document_frequencies(tf), stats)
-    asked = query_terms(queries)
-    hit = tf.join(F.broadcast(asked), "term").join(idf.select("term", "idf"), "term").join(F.broadcast(stats))
+    stats, asked = corpus_stats(corpus), query_terms(queries)
+    idf = bm25_idf(document_frequencies(corpus), stats)
+    hit = term_frequencies(corpus, asked).join(F.broadcast(asked), "term").join(idf.select("term", "idf"), "term").join(F.broadcast(stats))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
 

@@ -151,7 +151,7 @@ def dedup_first_wins(spark, d):
     return dedup.exact_duplicates(hashed(spark, d), order="doc_id").select("doc_id", "is_duplicate")
 
 
-@query("join_exact_dup", f"WITH {HASHED} SELECT doc_id, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 OR content_hash IN (SELECT content_hash FROM h WHERE doc_id < 300) AS is_duplicate FROM h WHERE doc_id >= 300".replace("FROM h WHERE doc_id >= 300", "FROM h WHERE doc_id >= 300"))
+@query("join_exact_dup", f"WITH {HASHED} SELECT doc_id, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 OR content_hash IN (SELECT content_hash FROM h WHERE doc_id < 300) AS is_duplicate FROM h WHERE doc_id >= 300")
 def join_exact_dup(spark, d):
     h = hashed(spark, d)
     return dedup.exact_duplicates(h.filter("doc_id >= 300"), h.filter("doc_id < 300"), "doc_id").select("doc_id", "is_duplicate")

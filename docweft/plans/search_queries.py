@@ -60,8 +60,7 @@ def bm25_stats(spark, d):
 @query("bm25_idf", f"WITH {STATS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
     docs = corpus(spark, d)
-    df = retrieval.document_frequencies(retrieval.term_frequencies(docs))
-    return retrieval.bm25_idf(df, retrieval.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.bm25_idf(retrieval.document_frequencies(docs), retrieval.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _sparse(spark, d, queries=(QUERY,), n=30):
@@ -123,7 +122,7 @@ def rrf_fuse(spark, d):
     return _fused(spark, d, 0.5)
 
 
-@query("join_rrf", _rrf(0.8).replace("SELECT chunk_id, CAST(dense_rank", "SELECT chunk_id, CAST(dense_rank"))
+@query("join_rrf", _rrf(0.8))
 def join_rrf(spark, d):
     return _fused(spark, d, 0.8)
 
