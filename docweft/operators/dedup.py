@@ -71,7 +71,11 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
     if one is kept.  Each round decides the first undecided row of every chain at least.
     """
     spark = vectors.sparkSession
-    keep = DataFrame.checkpoint if spark.sparkContext.getCheckpointDir() else DataFrame.persist
+    shared = spark.sparkContext.getCheckpointDir()
+
+    def keep(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if shared else df.persist()
+
     edges = keep(similar_pairs(vectors, threshold).select("a", "b"))
     state = vectors.select("id", F.lit(None).cast("boolean").alias("gone"))
     while True:
