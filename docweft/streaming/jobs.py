@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.functions.segments import chunk, extract_text
+from docweft.functions.segments import chunk
 from docweft.operators.events import TokenBucket
 from docweft.sources.files import CHUNK, _as_rows, extract_document, validated_uploads
 
@@ -72,9 +72,8 @@ def ingest(spark: SparkSession, source: str, top: str) -> None:
     stream.awaitTermination()
 
 
-def live_events(replayed: DataFrame, stream: DataFrame, cursor: int) -> DataFrame:
-    """Events of a stream after the replay's cursor, each id once within the watermark; terminal clean-up is the reader's."""
-    del replayed  # the replay is read as a batch; its cursor is what the stream needs
+def live_events(stream: DataFrame, cursor: int) -> DataFrame:
+    """Events of a stream after the cursor of a replay, each id once within the watermark."""
     return stream.filter(F.col("event_id") > cursor).withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -100,5 +99,3 @@ def recovered(documents: DataFrame, events: DataFrame) -> DataFrame:
     last = events.groupBy("doc_id").agg(F.max_by("status", "event_id").alias("status"))
     return documents.join(last, "doc_id", "left").filter("status IS NULL OR status NOT IN ('done', 'failed')").orderBy("created_at", "doc_id")
 
-
-__all__ = ["STAGES", "chunk_files", "extract_text", "file_stream", "ingest", "live_events", "rate_limited_stream", "recovered", "write_batch"]

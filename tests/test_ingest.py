@@ -47,5 +47,5 @@ def test_rate_limit_as_state(spark, tmp_path):
     time.sleep(0.1)
     got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
     assert len(got) == 12 and got[0] and got[2] and all(got[i] for i in (1, 3))
-    live = jobs.live_events(rows, spark.readStream.schema(rows.schema).parquet(source), 5)
+    live = jobs.live_events(spark.readStream.schema(rows.schema).parquet(source), 5)
     assert live.isStreaming
