@@ -4,11 +4,14 @@ Two interpolated bigram models share one vocabulary: the background is counted o
 all texts, the target over all texts of a labelled table.  Moore and Lewis,
 "Intelligent selection of language model training data" (2010).
 
-* The vocabulary has the words that make up at least ``SHARE`` of all running words of
-  the corpus; there are at most 1 / SHARE of them.  All others are one unknown word,
-  and every text begins with a start symbol.
-* Bigrams are counted in 2**BITS hashed counters, the same for both models.  Counters
-  are summed in each task and then by a shuffle; every occurrence in every text counts.
+* The vocabulary has the words that make up at least ``share`` of all running words of
+  the corpus.  All others are one unknown word, and every text begins with a start symbol.
+* Words and bigrams are counted one by one, by 64-bit names.  A task reads its texts in
+  chunks of about 2**bits words; of each chunk the distinct words and bigrams go, with
+  their counts, to buckets of names, where the counts of all chunks meet.  A bucket
+  answers each chunk with the totals of that chunk's own names, in their order.  The
+  number of buckets grows with the corpus, so that a bucket's size does not, and a name
+  comes once from each chunk, however common it is.
 * P(w | v) = (c(v w) + ALPHA P(w)) / (c(v) + ALPHA), with P(w) add-half smoothed.
 
 A text's score is the mean over its words of (target loss - background loss), in nats:
@@ -20,35 +23,40 @@ may repeat or share an id; a target id stands for all rows that bear it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.bitfilter import bit_filter, packed_slices, packed_texts, unpacked
-from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
 from docweft.llm.textvec import flat, mix64, slices, word_names, words
 
 SHARE = 1e-6
-BITS = 20
+#: A chunk is closed at 2**BITS words; it bounds a task's memory and has no part in the scores.
+BITS = 21
 ALPHA = 2.0
 #: Distinct words that a task gathers before it hands their counts on.
 GATHER = 1 << 20
+#: Bytes of text for each bucket of names.
+BUCKET_BYTES = 16 << 20
+#: Names of the start symbol and of the unknown word.
+START, UNKNOWN = mix64(np.array([0x57A27, 0x04C0], dtype=np.uint64))
 
 _COUNTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     if "packed" in batch.schema.names:
         for part in packed_slices(batch, "packed"):
-            yield flat(unpacked(part.column("packed")))
+            yield part, *flat(unpacked(part.column("packed")))
     else:
         for part in slices(batch, "text"):
-            yield flat(part.column("text"))
+            yield part, *flat(part.column("text"))
 
 
 def word_counts(df: DataFrame) -> DataFrame:
@@ -61,7 +69,7 @@ def word_counts(df: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ns)], ["key", "n"])
 
         for batch in batches:
-            for data, offs in _texts(batch):
+            for _, data, offs in _texts(batch):
                 name, n = np.unique(word_names(words(data, offs, lower=True)), return_counts=True)
                 if len(keys):
                     both, at = np.unique(np.concatenate([keys, name]), return_inverse=True)
@@ -76,71 +84,129 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(count, _COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Vocabulary:
-    """Sorted names of the known words; their ids are 1.. in that order, 0 is unknown, and the start symbol comes last."""
-
-    names: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return len(self.names) + 2
-
-    def tokens(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, id before, text) of all words of a batch."""
-        found = words(data, offs, lower=True)
-        name = word_names(found)
-        if len(self.names):
-            at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
-            ids = np.where(self.names[at] == name, at + 1, 0)
-        else:
-            ids = np.zeros(len(name), dtype=np.int64)
-        before = np.concatenate([[self.size - 1], ids[:-1]]) if len(ids) else ids
-        starts = found.first[:-1][found.count > 0]
-        before[starts] = self.size - 1
-        return ids, before, found.doc
-
-    def counters(self, ids: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
-        key = before.astype(np.uint64) * np.uint64(1 << 32) + ids.astype(np.uint64)
-        return (mix64(key) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def ngram_counts(df: DataFrame, vocabulary: Vocabulary, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of words, of contexts, and of hashed bigrams over all rows: three arrays of fixed size."""
-    size, room = vocabulary.size, 1 << bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * size + room, dtype=np.int64)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as compressed bytes, byte by byte of significance."""
+    head = np.array([len(arrays), *map(len, arrays)], dtype=np.int64)
+    planes = [np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *planes]))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    many = int(data[:8].view(np.int64)[0])
+    out, at = [], 8 * (1 + many)
+    for n in data[8:at].view(np.int64).tolist():
+        out.append(np.ascontiguousarray(data[at : at + 8 * n].reshape(8, n).T).reshape(-1).view(np.uint64))
+        at += 8 * n
+    return out
+
+
+def _steps(names: np.ndarray) -> np.ndarray:
+    return np.diff(names, prepend=np.uint64(0))
+
+
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each name; it rises with the name."""
+    return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _before(own: np.ndarray, count: np.ndarray, start: int) -> np.ndarray:
+    """The word before each word of texts with ``count`` words each."""
+    before = np.concatenate([[start], own[:-1]]) if len(own) else own
+    before[(np.cumsum(count) - count)[count > 0]] = start
+    return before
+
+
+def _pairs(names: np.ndarray, own: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the distinct bigrams, ascending; the order that sorts them; and each word's bigram before that."""
+    code, pair = np.unique(before * len(names) + own, return_inverse=True)
+    name = mix64(names[code // len(names)] * np.uint64(0xA0761D6478BD642F) + names[code % len(names)])
+    order = np.argsort(name, kind="stable")
+    return name[order], order, pair
+
+
+def chunks(df: DataFrame, buckets: int, known: np.ndarray | None, bits: int, target: bool = False) -> DataFrame:
+    """(chunk, bucket, blob, docs): names and counts of a chunk for each bucket; in bucket -1 its texts as numbers of words.
+
+    Chunks of the ``target`` have a negative number, and no texts.
+    """
+    kind = T.LongType() if target else df.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("docs", T.ArrayType(kind))])
+
+    def closed(number: int, parts: list, ids: list) -> pa.RecordBatch:
+        names, own = np.unique(np.concatenate([np.array([START]), *(p[0] for p in parts)]), return_inverse=True)
+        start, own, count = int(own[0]), own[1:], np.concatenate([p[1] for p in parts])
+        before = _before(own, count, start)
+        n, context = (np.bincount(x, minlength=len(names)) for x in (own, before))
+        pair_names, order, pair = _pairs(names, own, before)
+        pair_n = np.bincount(pair, minlength=len(order))[order]
+        edges, pair_edges = (np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for x in (names, pair_names))
+        some = np.flatnonzero((np.diff(edges) > 0) | (np.diff(pair_edges) > 0)).tolist()
+        blobs = []
+        for b in some:
+            w, p = slice(edges[b], edges[b + 1]), slice(pair_edges[b], pair_edges[b + 1])
+            blobs.append(_pack(_steps(names[w]), n[w], context[w], _steps(pair_names[p]), pair_n[p]))
+        held, starts = pa.array([], pa.int64()), [0] * (len(some) + 1)
+        if not target:
+            some, blobs = [*some, -1], [*blobs, _pack(_steps(names), count, own)]
+            held = pa.chunked_array(ids).combine_chunks()
+            starts.append(len(held))
+        docs = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), held)
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), docs], schema.names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
+        sign = -1 if target else 1
         for batch in batches:
-            for data, offs in _texts(batch):
-                ids, before, _ = vocabulary.tokens(data, offs)
-                total[:size] += np.bincount(ids, minlength=size)
-                total[size : 2 * size] += np.bincount(before, minlength=size)
-                total[2 * size :] += np.bincount(vocabulary.counters(ids, before, bits), minlength=room)
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + (1 << 16)]), pa.array(total[some[at : at + (1 << 16)]])], ["key", "n"])
-
-    # as many rows as counters: bounded by the vocabulary and 2**bits
-    rows = df.mapInArrow(count, _COUNTS).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * size + room, dtype=np.int64)
-    out[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
-    return out[:size], out[size : 2 * size], out[2 * size :]
-
-
-@dataclass
-class Model:
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-
-    @classmethod
-    def of(cls, words_: np.ndarray, contexts: np.ndarray, pairs: np.ndarray) -> Model:
-        share = (words_ + 0.5) / (words_.sum() + 0.5 * len(words_))
-        return cls((ALPHA * share).astype(np.float64), np.log(contexts + ALPHA), pairs.astype(np.float32))
-
-    def loss(self, ids: np.ndarray, before: np.ndarray, counter: np.ndarray) -> np.ndarray:
-        return self.context[before] - np.log(self.pair[counter] + self.word[ids])
+            for part, data, offs in _texts(batch):
+                found = words(data, offs, lower=True)
+                name = word_names(found)
+                if known is not None:
+                    name[~np.isin(name, known)] = UNKNOWN
+                parts.append((name, found.count))
+                if not target:
+                    ids.append(part.column("doc_id"))
+                held += len(name)
+                if held >= 1 << bits:
+                    number += 1
+                    yield closed(sign * number, parts, ids)
+                    parts, ids, held = [], [], 0
+        if parts:
+            yield closed(sign * (number + 1), parts, ids)
+
+    return df.mapInArrow(gather, schema)
+
+
+_TOTALS = T.StructType([T.StructField(c, k) for c, k in (("chunk", T.LongType()), ("bucket", T.IntegerType()), ("blob", T.BinaryType()), ("known", T.LongType()), ("n", T.LongType()), ("t", T.LongType()))])
+
+
+def _summed(names: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct names, the place of each given name among them, and the sums of each kind of count."""
+    name, at = np.unique(np.concatenate(names), return_inverse=True)
+    return name, at, [np.bincount(at, weights=np.concatenate(c), minlength=len(name)).astype(np.int64) for c in counts]
+
+
+def totals(table: pa.Table) -> pa.Table:
+    """The totals of a bucket, for each chunk of the background in the order of its names; and the sums of the bucket (chunk 0)."""
+    chunk = table.column("chunk").to_numpy()
+    blobs = [_unpack(b) for b in table.column("blob").to_pylist()]
+    size, pair_size = [len(b[0]) for b in blobs], [len(b[3]) for b in blobs]
+    sides = [(c > 0, c < 0) for c in chunk.tolist()]
+    name, at, counts = _summed([np.cumsum(b[0], dtype=np.uint64) for b in blobs], [[b[i] * np.uint64(s[k]) for b, s in zip(blobs, sides)] for k in (0, 1) for i in (1, 2)])
+    _, pair_at, pair_counts = _summed([np.cumsum(b[3], dtype=np.uint64) for b in blobs], [[b[4] * np.uint64(s[k]) for b, s in zip(blobs, sides)] for k in (0, 1)])
+    edges, pair_edges = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(pair_size)])
+    bucket = table.column("bucket")[0].as_py()
+    rows = [(0, bucket, None, int(((counts[0] > 0) & (name != UNKNOWN)).sum()), int(counts[0].sum()), int(counts[2].sum()))]
+    for k in np.flatnonzero(chunk > 0).tolist():
+        w, p = at[edges[k] : edges[k + 1]], pair_at[pair_edges[k] : pair_edges[k + 1]]
+        rows.append((int(chunk[k]), bucket, _pack(*(c[w] for c in counts), *(c[p] for c in pair_counts)), None, None, None))
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_TOTALS.names)
+
+
+def _losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, own: np.ndarray, before: np.ndarray, at: np.ndarray, words_: int, size: int) -> np.ndarray:
+    share = (word + 0.5) / (words_ + 0.5 * size)
+    return np.log(context + ALPHA)[before] - np.log(pair[at] + (ALPHA * share)[own])
 
 
 def lm_scores(docs: DataFrame, targets: DataFrame, share: float = SHARE, bits: int = BITS) -> DataFrame:
@@ -151,20 +217,42 @@ def lm_scores(docs: DataFrame, targets: DataFrame, share: float = SHARE, bits: i
     members = bit_filter(ids.select(F.col("doc_id").cast("long")))
     keyed = source.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("doc_id").cast("long").alias("key"), "text")
     target = stored(packed_texts(keyed, ["doc_id"], "key", members).join(ids, "doc_id", "left_semi").select("packed"), "target")
-    counts = stored(word_counts(source.select("text")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / share rows: each has at least that share of all words
-    known = counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).select("key").toArrow().column("key").to_numpy()
-    vocabulary = Vocabulary(np.sort(known.view(np.uint64)))
-    background = Model.of(*ngram_counts(source.select("text"), vocabulary, bits))
-    wanted = Model.of(*ngram_counts(target, vocabulary, bits))
-
-    def kernel(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
-        own, before, doc = vocabulary.tokens(data, offs)
-        counter, n = vocabulary.counters(own, before, bits), len(offs) - 1
-        many = np.bincount(doc, minlength=n)
-        a, b = (np.bincount(doc, weights=m.loss(own, before, counter), minlength=n) / np.maximum(many, 1) for m in (wanted, background))
-        return [pa.array(many), pa.array(a), pa.array(b), pa.array(a - b)]
+    known = None
+    if share:
+        counts = stored(word_counts(source.select("text")), "words")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        # at most 1 / share rows: each has at least that share of all words
+        known = counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+    volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(volume) // BUCKET_BYTES + 1
+    gathered = stored(chunks(source, buckets, known, bits), "chunks")
+    names = ["chunk", "bucket", "blob"]
+    counted = gathered.filter("bucket >= 0").select(names).unionByName(chunks(target, buckets, known, bits, target=True).select(names))
+    answers = stored(counted.groupBy("bucket").applyInArrow(totals, _TOTALS), "totals")
+    size, n, t = (int(x or 0) for x in answers.filter("chunk = 0").agg(F.sum("known"), F.sum("n"), F.sum("t")).first())
+    size += 2  # the unknown word and the start symbol
 
     fields = [T.StructField("n_words", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")]
-    return map_texts(source, ["doc_id"], fields, kernel)
+    schema = T.StructType([source.schema["doc_id"], *fields])
+
+    def score(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket).tolist()
+        steps, many, own = _unpack(table.column("blob")[order[0]].as_py())
+        found = [_unpack(table.column("blob")[k].as_py()) for k in order[1:]]
+        word, context, t_word, t_context, pair, t_pair = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(6))
+        names, many, own = np.cumsum(steps, dtype=np.uint64), many.astype(np.int64), own.astype(np.int64)
+        before = _before(own, many, int(np.searchsorted(names, START)))
+        _, by, at = _pairs(names, own, before)
+        place = np.empty_like(by)
+        place[by] = np.arange(len(by))
+        at = place[at]
+        doc = np.repeat(np.arange(len(many)), many)
+        models = (t_word, t_context, t_pair, t), (word, context, pair, n)
+        a, b = (np.bincount(doc, weights=_losses(w, c, p, own, before, at, m, size), minlength=len(many)) / np.maximum(many, 1) for w, c, p, m in models)
+        ids_ = table.column("docs").combine_chunks().take(pa.array([order[0]])).flatten()
+        return pa.table([ids_, pa.array(many), pa.array(a), pa.array(b), pa.array(a - b)], names=schema.names)
+
+    texts = gathered.filter("bucket = -1")
+    back = answers.filter("chunk > 0").select(*names, F.lit(None).cast(gathered.schema["docs"].dataType).alias("docs"))
+    return texts.unionByName(back).groupBy("chunk").applyInArrow(score, schema)

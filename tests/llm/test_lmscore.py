@@ -57,3 +57,20 @@ def test_no_targets_and_no_rows(spark):
     none = docs.limit(0).select("doc_id")
     assert [r.n_words for r in lmscore.lm_scores(docs, none).collect()] == [3, 3]
     assert lmscore.lm_scores(docs.limit(0), docs.select("doc_id")).count() == 0
+
+
+def close(got, want):
+    got, want = sorted((r.doc_id, r.n_words, r.target_loss, r.background_loss, r.score) for r in got), sorted(want)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(x - y) < 1e-6 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
+
+
+def test_many_bigrams_are_counted_one_by_one(spark):
+    """With the parameters of the query, and some 400,000 distinct bigrams."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 2 * 3000)}" for _ in range(150))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(i,) for i in range(0, 3000, 3)], "doc_id long")
+    want = [(r[0], *w) for r, w in zip(rows, brute(rows, set(range(0, 3000, 3)), 0))]
+    close(lmscore.lm_scores(docs, targets).collect(), want)
+    close(lmscore.lm_scores(docs, targets, bits=14).collect(), want)
