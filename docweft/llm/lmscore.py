@@ -4,8 +4,9 @@ Two interpolated bigram models share one vocabulary: the background is counted o
 all texts, the target over all texts of a labelled table.  Moore and Lewis,
 "Intelligent selection of language model training data" (2010).
 
-* The vocabulary has the words that make up at least ``share`` of all running words of
-  the corpus.  All others are one unknown word, and every text begins with a start symbol.
+* The vocabulary has all words of the corpus and is never gathered in one place.  Only
+  where a caller asks for a ``share`` above 0, words that make up less of all running
+  words are one unknown word.  Every text begins with a start symbol.
 * Words and bigrams are counted one by one, by 64-bit names.  A task reads its texts in
   chunks of about 2**bits words; of each chunk the distinct words and bigrams go, with
   their counts, to buckets of names, where the counts of all chunks meet.  A bucket
@@ -34,16 +35,17 @@ from pyspark.sql import types as T
 
 from docweft.llm.bitfilter import bit_filter, packed_slices, packed_texts, unpacked
 from docweft.llm.shared import stored
-from docweft.llm.textvec import flat, mix64, slices, word_names, words
+from docweft.llm.textvec import flat, mix64, release, slices, word_names, words
 
-SHARE = 1e-6
+#: Every word that occurs is known, at any size of the corpus.
+SHARE = 0.0
 #: A chunk is closed at 2**BITS words; it bounds a task's memory and has no part in the scores.
-BITS = 21
+BITS = 20
 ALPHA = 2.0
 #: Distinct words that a task gathers before it hands their counts on.
 GATHER = 1 << 20
 #: Bytes of text for each bucket of names.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Names of the start symbol and of the unknown word.
 START, UNKNOWN = mix64(np.array([0x57A27, 0x04C0], dtype=np.uint64))
 
@@ -125,34 +127,17 @@ def _pairs(names: np.ndarray, own: np.ndarray, before: np.ndarray) -> tuple[np.n
     return name[order], order, pair
 
 
-def chunks(df: DataFrame, buckets: int, known: np.ndarray | None, bits: int, target: bool = False) -> DataFrame:
-    """(chunk, bucket, blob, docs): names and counts of a chunk for each bucket; in bucket -1 its texts as numbers of words.
-
-    Chunks of the ``target`` have a negative number, and no texts.
-    """
+def chunks(df: DataFrame, known: np.ndarray | None, bits: int, target: bool = False) -> DataFrame:
+    """(chunk, blob, docs): texts as numbers of the chunk's words.  Chunks of the ``target`` have a negative number, and no ids."""
     kind = T.LongType() if target else df.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("docs", T.ArrayType(kind))])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("docs", T.ArrayType(kind))])
 
     def closed(number: int, parts: list, ids: list) -> pa.RecordBatch:
         names, own = np.unique(np.concatenate([np.array([START]), *(p[0] for p in parts)]), return_inverse=True)
-        start, own, count = int(own[0]), own[1:], np.concatenate([p[1] for p in parts])
-        before = _before(own, count, start)
-        n, context = (np.bincount(x, minlength=len(names)) for x in (own, before))
-        pair_names, order, pair = _pairs(names, own, before)
-        pair_n = np.bincount(pair, minlength=len(order))[order]
-        edges, pair_edges = (np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for x in (names, pair_names))
-        some = np.flatnonzero((np.diff(edges) > 0) | (np.diff(pair_edges) > 0)).tolist()
-        blobs = []
-        for b in some:
-            w, p = slice(edges[b], edges[b + 1]), slice(pair_edges[b], pair_edges[b + 1])
-            blobs.append(_pack(_steps(names[w]), n[w], context[w], _steps(pair_names[p]), pair_n[p]))
-        held, starts = pa.array([], pa.int64()), [0] * (len(some) + 1)
-        if not target:
-            some, blobs = [*some, -1], [*blobs, _pack(_steps(names), count, own)]
-            held = pa.chunked_array(ids).combine_chunks()
-            starts.append(len(held))
-        docs = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), held)
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), docs], schema.names)
+        blob = _pack(_steps(names), np.concatenate([p[1] for p in parts]), own[1:])
+        held = pa.array([], pa.int64()) if target else pa.chunked_array(ids).combine_chunks()
+        docs = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), docs], schema.names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -171,12 +156,45 @@ def chunks(df: DataFrame, buckets: int, known: np.ndarray | None, bits: int, tar
                     number += 1
                     yield closed(sign * number, parts, ids)
                     parts, ids, held = [], [], 0
+                    release()
         if parts:
             yield closed(sign * (number + 1), parts, ids)
 
     return df.mapInArrow(gather, schema)
 
 
+def _texts_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of a chunk's words, words of each text, and the word and the word before of each place."""
+    steps, count, own = _unpack(blob)
+    names, count, own = np.cumsum(steps, dtype=np.uint64), count.astype(np.int64), own.astype(np.int64)
+    return names, count, own, _before(own, count, int(np.searchsorted(names, START)))
+
+
+_PARTS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+
+
+def counts_by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, blob): names of a chunk's words and bigrams and their counts, for each bucket that has any."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
+                names, _, own, before = _texts_of(blob.as_py())
+                n, context = (np.bincount(x, minlength=len(names)) for x in (own, before))
+                pair_names, order, pair = _pairs(names, own, before)
+                pair_n = np.bincount(pair, minlength=len(order))[order]
+                edges, pair_edges = (np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for x in (names, pair_names))
+                some = np.flatnonzero((np.diff(edges) > 0) | (np.diff(pair_edges) > 0)).tolist()
+                blobs = []
+                for b in some:
+                    w, p = slice(edges[b], edges[b + 1]), slice(pair_edges[b], pair_edges[b + 1])
+                    blobs.append(_pack(_steps(names[w]), n[w], context[w], _steps(pair_names[p]), pair_n[p]))
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], _PARTS.names)
+                release()
+
+    return df.select("chunk", "blob").mapInArrow(count, _PARTS)
+
+
 _TOTALS = T.StructType([T.StructField(c, k) for c, k in (("chunk", T.LongType()), ("bucket", T.IntegerType()), ("blob", T.BinaryType()), ("known", T.LongType()), ("n", T.LongType()), ("t", T.LongType()))])
 
 
@@ -200,6 +218,7 @@ def totals(table: pa.Table) -> pa.Table:
     for k in np.flatnonzero(chunk > 0).tolist():
         w, p = at[edges[k] : edges[k + 1]], pair_at[pair_edges[k] : pair_edges[k + 1]]
         rows.append((int(chunk[k]), bucket, _pack(*(c[w] for c in counts), *(c[p] for c in pair_counts)), None, None, None))
+    release()
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_TOTALS.names)
 
@@ -225,9 +244,8 @@ def lm_scores(docs: DataFrame, targets: DataFrame, share: float = SHARE, bits: i
         known = counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).select("key").toArrow().column("key").to_numpy().view(np.uint64)
     volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(volume) // BUCKET_BYTES + 1
-    gathered = stored(chunks(source, buckets, known, bits), "chunks")
-    names = ["chunk", "bucket", "blob"]
-    counted = gathered.filter("bucket >= 0").select(names).unionByName(chunks(target, buckets, known, bits, target=True).select(names))
+    gathered = stored(chunks(source, known, bits), "chunks")
+    counted = counts_by_bucket(gathered, buckets).unionByName(counts_by_bucket(chunks(target, known, bits, target=True), buckets))
     answers = stored(counted.groupBy("bucket").applyInArrow(totals, _TOTALS), "totals")
     size, n, t = (int(x or 0) for x in answers.filter("chunk = 0").agg(F.sum("known"), F.sum("n"), F.sum("t")).first())
     size += 2  # the unknown word and the start symbol
@@ -236,23 +254,23 @@ def lm_scores(docs: DataFrame, targets: DataFrame, share: float = SHARE, bits: i
     schema = T.StructType([source.schema["doc_id"], *fields])
 
     def score(table: pa.Table) -> pa.Table:
+        release()
         bucket = table.column("bucket").to_numpy()
         order = np.argsort(bucket).tolist()
-        steps, many, own = _unpack(table.column("blob")[order[0]].as_py())
+        names, many, own, before = _texts_of(table.column("blob")[order[0]].as_py())
         found = [_unpack(table.column("blob")[k].as_py()) for k in order[1:]]
         word, context, t_word, t_context, pair, t_pair = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(6))
-        names, many, own = np.cumsum(steps, dtype=np.uint64), many.astype(np.int64), own.astype(np.int64)
-        before = _before(own, many, int(np.searchsorted(names, START)))
         _, by, at = _pairs(names, own, before)
         place = np.empty_like(by)
         place[by] = np.arange(len(by))
         at = place[at]
+        del found, by, place
         doc = np.repeat(np.arange(len(many)), many)
         models = (t_word, t_context, t_pair, t), (word, context, pair, n)
         a, b = (np.bincount(doc, weights=_losses(w, c, p, own, before, at, m, size), minlength=len(many)) / np.maximum(many, 1) for w, c, p, m in models)
         ids_ = table.column("docs").combine_chunks().take(pa.array([order[0]])).flatten()
         return pa.table([ids_, pa.array(many), pa.array(a), pa.array(b), pa.array(a - b)], names=schema.names)
 
-    texts = gathered.filter("bucket = -1")
-    back = answers.filter("chunk > 0").select(*names, F.lit(None).cast(gathered.schema["docs"].dataType).alias("docs"))
+    texts = gathered.withColumn("bucket", F.lit(-1))
+    back = answers.filter("chunk > 0").select(*_PARTS.names, F.lit(None).cast(gathered.schema["docs"].dataType).alias("docs"))
     return texts.unionByName(back).groupBy("chunk").applyInArrow(score, schema)

@@ -74,3 +74,11 @@ def test_many_bigrams_are_counted_one_by_one(spark):
     want = [(r[0], *w) for r, w in zip(rows, brute(rows, set(range(0, 3000, 3)), 0))]
     close(lmscore.lm_scores(docs, targets).collect(), want)
     close(lmscore.lm_scores(docs, targets, bits=14).collect(), want)
+
+
+def test_rare_words_are_known_at_any_size(spark):
+    """Beyond a million running words a word that occurs once is still itself."""
+    rows = [(i, f"a{i} a{i} b{i} common") for i in range(50)] + [(50, "common filler " * 1_200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(i,) for i in range(0, 50, 2)], "doc_id long")
+    close(lmscore.lm_scores(docs, targets).collect(), [(r[0], *w) for r, w in zip(rows, brute(rows, set(range(0, 50, 2)), 0))])
