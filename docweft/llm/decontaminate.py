@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment of words.
 
-Words are compared lower-cased and without outer punctuation.  Every n-gram of a
-test item (``SEED`` words; all of a shorter item) whose words make it improbable
-under the corpus' word frequencies is a seed; an item keeps its ``LEAST`` least
-probable ones in any case.  The bound is on the n-gram's probability, not on how
-often it was seen, so an item that leaked into thousands of texts stays seeded, and
-the choice does not change with the size of the corpus.
+Words are compared lower-cased and without outer punctuation.  A text's words are
+aligned with an item's (match 2, mismatch -1, gap -1).  A pair is a leak if its score
+reaches ``similarity`` of the item's score against itself.
 
-Seeds found in a text join it to items.  Around each cluster of seeds of one item the
-text's words are aligned with the item's (match 2, mismatch -1, gap -1).  A pair is a
-leak if its score reaches ``similarity`` of the item's score against itself.
+Seeds lose no leak.  An alignment of that score matches at least ``similarity`` of the
+item's m words, so it leaves at most ``lost`` of them out; of any lost + k words of the
+item it matches k or more, at as many places of the text.  Each match gives 2 and each
+edit takes 1, so it covers at most m (3 - 2 similarity) words of the text.  The seeds of
+an item are its words that are rarest in the corpus, lost + ``MORE`` of them; only where
+enough seeds of an item lie that close together is the text looked at.  There the longest
+common subsequence must have ``similarity`` of the item's words, too, or nothing is aligned.
 
 Items are held by the tasks in blocks of at most ``block_bytes`` of text: a benchmark
 beyond it takes one pass over the texts for each block, and is never collected whole.
@@ -21,6 +22,7 @@ items with equal text are all reported; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.textvec import Spans, flat, shingle_names, slices, trimmed, words
+from docweft.llm.textvec import Spans, flat, slices, trimmed, words
 
-SEED = 4
-LEAST = 4
-#: Log probability (base e) at or below which an n-gram is rare.
-RARE = -18.0
+#: Seeds of an item beyond the words that a leak may leave out.
+MORE = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
-#: Bits of the table that drops most n-grams before the search.
+#: Bits of the table that drops most words before the search.
 TABLE_BITS = 22
+#: Items whose words a task keeps as bits at a time.
+HELD = 4096
 
 
 def cores(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,48 +71,77 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, to - back, to
 
 
+def common(places: dict[int, int], size: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of an item and a text; ``places`` has the item's places of a word as bits."""
+    full = rest = (1 << size) - 1
+    for word in text:
+        at = places.get(word)
+        if at:
+            own = rest & at
+            rest = ((rest + own) | (rest - own)) & full
+    return size - rest.bit_count()
+
+
+def least(size: int, similarity: float) -> int:
+    """Words of an item that an alignment of ``similarity`` matches at least."""
+    return max(1, math.ceil(similarity * size - 1e-9))
+
+
 @dataclass
 class Index:
-    """Seeds of a block of items: sorted names with their item and place, and all items' words."""
+    """Seeds of a block of items: sorted words with their items, the hits that each item needs, and all items' words."""
 
     ids: list
     names: np.ndarray
     first: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-    def hits(self, name: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place in it, item, place in it) of every seed in a batch."""
-        parts = []
-        for n, (table, seed, item, place) in self.seeds.items():
-            gram, gram_first = shingle_names(name, first, n)
-            at = np.flatnonzero(table[(gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(seed, gram[at], "left"), np.searchsorted(seed, gram[at], "right")
-            times = hi - lo
-            at = np.repeat(at, times)
-            which = np.arange(len(at)) + np.repeat(lo - (np.cumsum(times) - times), times)
-            doc = np.searchsorted(gram_first, at, "right") - 1
-            parts.append((doc, at - gram_first[doc], item[which], place[which]))
-        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+    seed: np.ndarray
+    item: np.ndarray
+    need: np.ndarray
+    table: np.ndarray
+
+    def hits(self, name: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in the batch, item) of every seed in a batch, in this order of text, item and place."""
+        at = np.flatnonzero(self.table[(name >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.seed, name[at], "left"), np.searchsorted(self.seed, name[at], "right")
+        times = hi - lo
+        at = np.repeat(at, times)
+        item = self.item[np.arange(len(at)) + np.repeat(lo - (np.cumsum(times) - times), times)]
+        doc = np.searchsorted(first, at, "right") - 1
+        order = np.lexsort((at, item, doc))
+        return doc[order], at[order], item[order]
+
+    def regions(self, name: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, from, to): the places of the batch that an alignment of ``similarity`` can cover."""
+        doc, at, item = self.hits(name, first)
+        span = np.floor(np.diff(self.first) * (3 - 2 * similarity) + 1e-9).astype(np.int64)[item]
+        last = np.arange(len(at)) + self.need[item] - 1
+        to = np.minimum(last, len(at) - 1)
+        keep = np.flatnonzero((last < len(at)) & (doc[to] == doc) & (item[to] == item) & (at[to] - at < span))
+        doc, item, to, at, span = doc[keep], item[keep], at[to[keep]], at[keep], span[keep]
+        lo, hi = np.maximum(first[doc], to - span + 1), np.minimum(first[doc + 1], at + span)
+        cut = np.ones(len(doc) + 1, dtype=bool)
+        cut[1:-1] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+        a, b = np.flatnonzero(cut)[:-1], np.flatnonzero(cut)[1:] - 1
+        yield from zip(doc[a].tolist(), item[a].tolist(), lo[a].tolist(), hi[b].tolist())
 
     def leaks(self, name: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple]:
         """(text, item id, score, similarity, from word, to word) of every text and item that match."""
-        doc, at, item, place = self.hits(name, first)
-        size = np.diff(self.first)
-        order = np.lexsort((at, item, doc))
-        doc, at, item, place = doc[order], at[order], item[order], place[order]
-        m = size[item]
-        cut = np.ones(len(doc), dtype=bool)
-        cut[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * m[1:])
-        edges = [*np.flatnonzero(cut).tolist(), len(doc)]
         best: dict[tuple[int, int], tuple] = {}
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            d, i, slack = int(doc[a]), int(item[a]), int(m[a]) // 2 + 1
-            lo = max(0, int((at[a:b] - place[a:b]).min()) - slack)
-            hi = min(int(first[d + 1] - first[d]), int((at[a:b] - place[a:b]).max()) + int(m[a]) + slack)
-            score, start, end = align(self.names[self.first[i] : self.first[i + 1]], name[first[d] + lo : first[d] + hi])
-            share = score / (MATCH * int(m[a]))
+        bits: dict[int, dict[int, int]] = {}
+        for d, i, lo, hi in self.regions(name, first, similarity):
+            own = self.names[self.first[i] : self.first[i + 1]]
+            if i not in bits:
+                if len(bits) >= HELD:
+                    bits.clear()
+                places = bits[i] = {}
+                for k, word in enumerate(own.tolist()):
+                    places[word] = places.get(word, 0) | 1 << k
+            if common(bits[i], len(own), name[lo:hi].tolist()) < least(len(own), similarity):
+                continue
+            score, start, end = align(own, name[lo:hi])
+            share = score / (MATCH * len(own))
             if share >= similarity and share > best.get((d, i), (0,))[0]:
-                best[d, i] = (share, score, lo + start, lo + end)
+                best[d, i] = (share, score, lo - int(first[d]) + start, lo - int(first[d]) + end)
         for (d, i), (share, score, start, end) in best.items():
             yield d, self.ids[i], score, share, start, end
 
@@ -137,8 +168,8 @@ def _word_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def build_index(items: list[tuple], docs: DataFrame) -> Index | None:
-    """Seeds of a block of (id, text) items, chosen by the word frequencies of all texts."""
+def build_index(items: list[tuple], docs: DataFrame, similarity: float) -> Index | None:
+    """Seeds of a block of (id, text) items, chosen by the word counts of all texts."""
     items = [(i, t) for i, t in items if t]
     if not items:
         return None
@@ -146,27 +177,22 @@ def build_index(items: list[tuple], docs: DataFrame) -> Index | None:
     if not len(name):
         return None
     known = np.unique(name)
-    count, total = _word_counts(docs, known)
-    logp = np.log((count + 0.5) / (total + len(known)))[np.searchsorted(known, name)]
-    running = np.concatenate([[0], np.cumsum(logp)])
+    count, _ = _word_counts(docs, known)
     size = np.diff(first)
-    found: dict[int, list] = {}
-    for i in np.flatnonzero(size):
-        n = int(min(SEED, size[i]))
-        at = np.arange(first[i], first[i + 1] - n + 1)
-        weight = running[at + n] - running[at]
-        keep = weight <= RARE
-        keep[np.argsort(weight, kind="stable")[:LEAST]] = True
-        gram, _ = shingle_names(name[first[i] : first[i + 1]], np.array([0, size[i]]), n)
-        found.setdefault(n, []).append((gram[keep], np.full(keep.sum(), i), np.flatnonzero(keep)))
-    seeds = {}
-    for n, parts in found.items():
-        seed, item, place = (np.concatenate([p[j] for p in parts]) for j in range(3))
-        order = np.argsort(seed, kind="stable")
-        table = np.zeros(1 << TABLE_BITS, dtype=bool)
-        table[(seed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        seeds[n] = (table, seed[order], item[order], place[order])
-    return Index([i for i, _ in items], name, first, seeds)
+    seeds, owners, need = [], [], np.ones(len(size), dtype=np.int64)
+    for i in np.flatnonzero(size).tolist():
+        word, times = np.unique(name[first[i] : first[i + 1]], return_counts=True)
+        order = np.argsort(count[np.searchsorted(known, word)], kind="stable")
+        lost, total = int(size[i]) - least(int(size[i]), similarity), np.cumsum(times[order])
+        many = min(int(np.searchsorted(total, lost + MORE)) + 1, len(word))
+        seeds.append(word[order[:many]])
+        owners.append(np.full(many, i))
+        need[i] = total[many - 1] - lost
+    seed, item = np.concatenate(seeds), np.concatenate(owners)
+    order = np.argsort(seed, kind="stable")
+    table = np.zeros(1 << TABLE_BITS, dtype=bool)
+    table[(seed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+    return Index([i for i, _ in items], name, first, seed[order], item[order], need, table)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
@@ -190,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.5, block_
     for block in range(blocks):
         # one block of at most about block_bytes, by a hash of its rows
         rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = build_index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), source)
+        index = build_index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), source, similarity)
         if index is None:
             continue
 

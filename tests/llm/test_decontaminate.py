@@ -84,3 +84,32 @@ def test_filter_and_empty_tables(tables):
     gone = {i for i, _ in want}
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - gone
     assert dc.leaks(docs, bench.limit(0)).count() == 0 and dc.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_copies_without_a_common_4_gram_are_found(spark):
+    """Every 4th word replaced, or a word put in after every 3rd: such copies reach the bound and are found as by alignment of whole texts."""
+    rng = random.Random(2)
+    common, vocabulary = ["the", "of", "and", "to"], [f"word{i}" for i in range(3000)]
+
+    def prose(n):
+        return [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]
+
+    items = [prose(m) for m in range(15, 60, 2)]
+    docs = []
+    for item in items:
+        docs.append([w if j % 4 != 3 else f"new{rng.randrange(99)}" for j, w in enumerate(item)])
+        docs.append([x for j, w in enumerate(item) for x in ([w, "extra"] if j % 3 == 2 else [w])])
+        for share in (0.2, 0.3, 0.4):
+            docs.append([w if rng.random() > share else rng.choice(vocabulary) for w in item])
+    docs = [prose(40) + d + prose(60) for d in docs]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in dc.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), bench).collect()}
+    want = {}
+    for i, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            names = {w: j for j, w in enumerate(dict.fromkeys([*doc, *item]))}
+            score, *_ = dc.align(np.array([names[w] for w in item]), np.array([names[w] for w in doc]))
+            if score >= 0.5 * 2 * len(item):
+                want[i, k] = score
+    assert found == want
+    assert all((5 * k + j, k) in found for k in range(len(items)) for j in (0, 1))
