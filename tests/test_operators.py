@@ -209,3 +209,14 @@ def test_store(spark, tmp_path):
         store.VectorStore.load(spark, f"{tmp_path}/v", 3)
     store.commit({"edges": v, "analysis": v}, f"file://{tmp_path}/g", "1", "analysis")
     assert store.committed(spark, f"file://{tmp_path}/g", "analysis") == ["1"]
+
+
+def test_postprocess_answer_keeps_long_answers(spark, tmp_path):
+    from docweft.plans import registry
+
+    registry.load_all()
+    words = "word " * 700
+    rows = [(1, 0, f'"{words}"'), (2, 0, "short\n\n\n\nanswer"), (3, 0, "x" * 3001), (4, 0, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.text for r in registry.QUERIES["postprocess_answer"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("word " * 599).strip() + "…", 2: "short\n\nanswer", 3: "x" * 3000 + "…", 4: None}
