@@ -18,6 +18,7 @@ labelled rows every text has the one domain that is left, or none.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,6 +172,11 @@ def posteriors(docs: DataFrame, model: Domains, kept: list[str]) -> DataFrame:
     return stored(map_texts(docs, kept, fields, kernel), "posteriors")
 
 
+#: Steps without a smaller miss after which the targets count as out of reach.
+STALL = 100
+_log = logging.getLogger(__name__)
+
+
 def replayed(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rates of texts with posteriors ``p`` after the given steps, and the point ahead of them at which the next step is taken."""
     r = ahead = np.ones(len(p))
@@ -198,8 +204,13 @@ def _sums(table: DataFrame, k: int, steps: list[np.ndarray], moments: bool = Fal
     return out
 
 
-def solve(table: DataFrame, names: list[str], weights: dict[str, float], budget: float = 1.0, tolerance: float = 1e-4, most: int = 60) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps of the projected gradient, reached totals and target totals; targets are shares of ``budget`` times all words."""
+def solve(table: DataFrame, names: list[str], weights: dict[str, float], budget: float = 1.0, tolerance: float = 1e-4, most: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps of the projected gradient, reached totals and target totals; targets are shares of ``budget`` times all words.
+
+    Steps go on until the totals are met, or until the largest miss has not fallen by a thousandth
+    for ``STALL`` steps, as where rates of at least 0 cannot meet the targets (or for ``most`` steps).
+    The totals are logged, a miss as a warning.
+    """
     k = len(names)
     both = _sums(table, k, [], moments=True)
     moment, mass = both[: k * k].reshape(k, k), both[k * k :]
@@ -212,11 +223,15 @@ def solve(table: DataFrame, names: list[str], weights: dict[str, float], budget:
     eta = 1 / max(float(np.linalg.eigvalsh(moment / total / np.sqrt(np.outer(m, m))).max()), 1e-9)
     steps: list[np.ndarray] = []
     reached = ahead = mass
-    for _ in range(most):
-        if np.abs(reached - goal).max() <= tolerance * budget * total:
+    best, since = np.inf, 0
+    while (miss := np.abs(reached - goal).max()) > tolerance * budget * total and len(steps) != most:
+        best, since = (miss, 0) if miss < 0.999 * best else (best, since + 1)
+        if since >= STALL:
             break
         steps.append(eta * (ahead - goal) / total / m)
         reached, ahead = np.split(_sums(table, k, steps), 2)
+    met = miss <= tolerance * budget * total
+    _log.log(logging.INFO if met else logging.WARNING, "mixing targets %s after %d steps: reached %s, wanted %s words of %s", "met" if met else "missed", len(steps), reached.round().tolist(), goal.round().tolist(), names)
     return steps, reached, goal
 
 
