@@ -173,7 +173,7 @@ def posteriors(docs: DataFrame, model: Domains, kept: list[str]) -> DataFrame:
 
 
 #: Steps without a smaller miss after which the targets count as out of reach.
-STALL = 100
+STALL = 50
 _log = logging.getLogger(__name__)
 
 
@@ -207,7 +207,7 @@ def _sums(table: DataFrame, k: int, steps: list[np.ndarray], moments: bool = Fal
 def solve(table: DataFrame, names: list[str], weights: dict[str, float], budget: float = 1.0, tolerance: float = 1e-4, most: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps of the projected gradient, reached totals and target totals; targets are shares of ``budget`` times all words.
 
-    Steps go on until the totals are met, or until the largest miss has not fallen by a thousandth
+    Steps go on until the totals are met, or until the largest miss has not fallen by a twentieth
     for ``STALL`` steps, as where rates of at least 0 cannot meet the targets (or for ``most`` steps).
     The totals are logged, a miss as a warning.
     """
@@ -225,7 +225,7 @@ def solve(table: DataFrame, names: list[str], weights: dict[str, float], budget:
     reached = ahead = mass
     best, since = np.inf, 0
     while (miss := np.abs(reached - goal).max()) > tolerance * budget * total and len(steps) != most:
-        best, since = (miss, 0) if miss < 0.999 * best else (best, since + 1)
+        best, since = (miss, 0) if miss < 0.95 * best else (best, since + 1)
         if since >= STALL:
             break
         steps.append(eta * (ahead - goal) / total / m)
