@@ -1,62 +1,100 @@
-"""A bit filter of fixed size that keeps rows without a partner out of a shuffle, and packed texts.
+"""A bit filter that keeps rows without a partner out of a shuffle, and packed texts.
 
 The filter has every member's bit, so it never drops a row that has a partner; the
-join that follows is what decides.  Its size is a constant: with ever more members
-it lets more rows through, and nothing else changes.
+join that follows is what decides.  It has about eight bits for each key, between
+2**``LEAST_BITS`` and 2**``MOST_BITS`` (128 MB) of them: with still more members it
+lets more rows through, and nothing else changes.  Keys are of any type; Spark hashes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.textvec import SLICE_BYTES, mix64, release
+from docweft.llm.textvec import SLICE_BYTES, release
 
-BITS = 24
+LEAST_BITS, MOST_BITS = 20, 30
+#: The filter is filled in so many ranges of slots, each by one task.
+RANGES = 64
+#: Distinct slots that a task gathers before it passes them on.
+GATHER = 1 << 20
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+@dataclass
+class BitFilter:
+    """``bits``: one bit for each slot; a key's slot is its hash modulo their number."""
 
+    bits: np.ndarray
 
-def bit_filter(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The filter of a long column: filled by eight tasks, merged on the driver (2**bits / 8 bytes each)."""
-    schema = T.StructType([T.StructField("bits", T.BinaryType())])
+    def slot(self, *key: Column | str) -> Column:
+        """The slot of a key, as a column that ``maybe_in`` takes."""
+        return F.pmod(F.xxhash64(*key), F.lit(8 * len(self.bits)))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flag = np.zeros(1 << bits, dtype=bool)
+    def maybe_in(self, slot: np.ndarray) -> np.ndarray:
+        """False only for slots without a member."""
+        return (self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_filter(keys: DataFrame, hashed: bool = False) -> BitFilter:
+    """The filter of a (stored) table of keys, over all its columns; every range of slots is filled by one task.
+
+    ``hashed`` keys are one long column that is a hash already: its lowest bits are the slot.
+    """
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
+    part = size // RANGES
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("found", T.BinaryType())])
+
+    def rows(found: dict[int, bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], schema.names)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            flag[_slots(batch.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flag).tobytes()], pa.binary())], ["bits"])
+            held = np.union1d(held, batch.column(0).to_numpy())
+            if len(held) >= GATHER:
+                yield rows(split(held))
+                held = held[:0]
+        yield rows(split(held))
 
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for row in keys.coalesce(8).mapInArrow(fill, schema).toLocalIterator():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return out
+    def split(slot: np.ndarray) -> dict[int, bytes]:
+        edges = np.searchsorted(slot, np.arange(RANGES + 1) * part)
+        return {i: (slot[edges[i] : edges[i + 1]] % part).astype(np.uint32).tobytes() for i in np.flatnonzero(np.diff(edges)).tolist()}
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for own, found in zip(batch.column("part").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                flags.setdefault(own, np.zeros(part, dtype=bool))[np.frombuffer(found, np.uint32)] = True
+        yield rows({own: np.packbits(flag).tobytes() for own, flag in flags.items()})
 
-def maybe_in(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False only for keys that are not members."""
-    slot = _slots(keys, len(found).bit_length() + 2)
-    return (found[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+    key = F.col(keys.columns[0]) if hashed else F.xxhash64(*keys.columns)
+    seen = keys.select(F.pmod(key, F.lit(size)).alias("slot")).mapInArrow(slots, schema)
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for row in seen.repartition(RANGES, "part").mapInArrow(fill, schema).collect():  # the filter itself: size / 8 bytes
+        out[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(row.found, np.uint8)
+    return BitFilter(out)
 
 
-def packed_texts(docs: DataFrame, kept: list[str], key: str, members: np.ndarray) -> DataFrame:
-    """``kept`` columns and the compressed text (``packed``) of rows whose long ``key`` may be a member; null texts are empty."""
+def packed_texts(docs: DataFrame, key: str | list[str], members: BitFilter) -> DataFrame:
+    """The columns of ``docs`` but ``text``, and the compressed text (``packed``), of rows whose key may be a member; null texts are empty."""
+    kept = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("packed", T.BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            part = batch.filter(pa.array(maybe_in(members, batch.column(key).to_numpy())))
+            part = batch.filter(pa.array(members.maybe_in(batch.column("_docweft_slot").to_numpy())))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([press.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], schema.names)
 
-    return docs.select(*dict.fromkeys([*kept, key, "text"])).mapInArrow(pack, schema)
+    slot = members.slot(*([key] if isinstance(key, str) else key)).alias("_docweft_slot")
+    return docs.select(*kept, slot, "text").mapInArrow(pack, schema)
 
 
 def unpacked(column: pa.Array) -> pa.Array:

@@ -4,6 +4,10 @@ Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  The edge
 table only ever moves between executors; each step keeps at most as many edges as
 came in.  A node with very many edges is met by a partial minimum before the
 shuffle and by a join, which adaptive execution can split.
+
+``Labels`` keeps the components of all edges seen so far.  New edges are mapped to the
+components that their ends have, and only those that join two components take steps, so
+a batch costs what it changes and not what was there before.
 """
 
 from __future__ import annotations
@@ -14,27 +18,50 @@ from pyspark.sql import functions as F
 from docweft.llm.shared import stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _star_steps(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """One large-star and one small-star step; ``least`` has each node's smallest neighbour (or itself)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
-    return joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    large = both.filter("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return small.distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node."""
-    stars = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    stars = stored(stars, "edges")
-    before = None
+    stars = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
     while True:
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        stars = stored(_small_star(_large_star(stars).distinct()).distinct(), "stars")
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        both = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        # done once a node is the smallest of its neighbours or has just one: all are stars then
+        if least.filter("m < u AND n > 1").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        stars = stored(_star_steps(stars, least), "stars")
+
+
+class Labels:
+    """Components of a growing edge table."""
+
+    def __init__(self) -> None:
+        self.table: DataFrame | None = None
+
+    def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        """``rows`` with the component of their ``node`` as ``name``: the node itself where it has no edge."""
+        if self.table is None:
+            return rows.withColumn(name, F.col(node))
+        known = self.table.select(F.col("node").alias("_docweft_node"), F.col("component").alias("_docweft_component"))
+        found = rows.drop(name).join(known, F.col(node) == F.col("_docweft_node"), "left")
+        return found.withColumn(name, F.coalesce("_docweft_component", node)).drop("_docweft_node", "_docweft_component")
+
+    def add(self, edges: DataFrame) -> bool:
+        """Take edges (a, b) in; False if they join nothing that was apart."""
+        across = self.of(self.of(edges.select("a", "b"), "a", "ca"), "b", "cb").filter("ca != cb")
+        joined = components(across, "ca", "cb")
+        if joined.isEmpty():
+            return False
+        if self.table is not None:
+            new = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+            moved = self.table.join(new, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+            joined = moved.unionByName(joined.join(self.table.select("node"), "node", "left_anti"))
+        self.table = stored(joined, "labels")
+        return True

@@ -233,9 +233,7 @@ def lm_scores(docs: DataFrame, targets: DataFrame, share: float = SHARE, bits: i
     text = F.col("text").cast("string").alias("text")
     source = docs.select("doc_id", text)
     ids = stored(targets.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), "targets")
-    members = bit_filter(ids.select(F.col("doc_id").cast("long")))
-    keyed = source.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("doc_id").cast("long").alias("key"), "text")
-    target = stored(packed_texts(keyed, ["doc_id"], "key", members).join(ids, "doc_id", "left_semi").select("packed"), "target")
+    target = stored(packed_texts(source.filter(F.col("doc_id").isNotNull()), "doc_id", bit_filter(ids)).join(ids, "doc_id", "left_semi").select("packed"), "target")
     known = None
     if share:
         counts = stored(word_counts(source.select("text")), "words")

@@ -20,14 +20,16 @@
    meet all others.  The members of other lists are listed anew, by their full sets:
    what a set has of rarer values than the shared one is missing in the other, and this
    exact bound leaves of a group of near copies only those that its origin links, which
-   meet it next.  What is still across components then meets in rounds of ``ROUND``.
+   meet it next.  What is still across components then meets in rounds, each four times
+   as large as the one before, dealt over blocks of the list's members.
 
 Links only serve the components, so a pair inside a component is never needed; no
 link between different components is lost but by the chance named above.
 
-Nulls, empty texts and texts without words have an empty set and no link.  Rows that
-share an id count as one document.  A row with a null id follows its class: it is
-never ``kept``, and its component is null if no named document is in it.
+Nulls, empty texts and texts without words have an empty set and no link.  Ids may be
+of any type that can be ordered; rows that share an id are judged each by its own text.
+A row with a null id follows its class: it is never ``kept``, and its component is null
+if no named document is in it.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.bitfilter import bit_filter, packed_slices, packed_texts, unpacked
-from docweft.llm.graphs import components
+from docweft.llm.graphs import Labels
 from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
 from docweft.llm.textvec import distinct_sorted, flat, shingle_names, word_names, words
@@ -52,6 +54,8 @@ K = 48
 FREQUENT = 24
 #: Members of a list, outside its largest component, that meet all others in one round.
 ROUND = 32
+#: Members of a list that one task meets with those whose turn it is.
+BLOCK = 1024
 #: Frequent values that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -98,8 +102,8 @@ def _values(classes: DataFrame) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value, first = _unpacked(batch.column("sketch"))
-            rep = np.repeat(batch.column("rep").to_numpy(), np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(rep)], schema.names)
+            rep = batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(first))))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), rep], schema.names)
 
     return classes.select("rep", "sketch").mapInArrow(explode, schema)
 
@@ -178,14 +182,15 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(estimate, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs with 100 |A & B| >= percent |A | B| on full sets, stored.
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the rows whose id a filter of ``ids`` lets through: no other text is shuffled, and those compressed."""
+    source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    return packed_texts(source, "doc_id", bit_filter(ids))
 
-    Only texts that a fixed-size filter of the involved ids lets through are shuffled, compressed.
-    """
-    involved = bit_filter(pairs.select(F.col("a").cast("long")).union(pairs.select(F.col("b").cast("long"))))
-    source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    texts = stored(packed_texts(source, ["doc_id"], "key", involved), "texts")
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of the (stored) pairs with 100 |A & B| >= percent |A | B| on full sets, stored."""
+    texts = stored(_texts_of(docs, pairs.select("a").union(pairs.select("b"))), "texts")
     joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b")
     out = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
@@ -211,56 +216,65 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return stored(joined.mapInArrow(verify, out), "links")
 
 
-def _with_component(members: DataFrame, label: DataFrame) -> DataFrame:
-    known = label.select(F.col("node").alias("rep"), "component")
-    return members.drop("component").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-
 def _heads(lists: DataFrame) -> DataFrame:
     """(value, a, na, at_a) of lists of two and more: the member that has the least before the value, the smallest among equals."""
     heads = lists.groupBy("value").agg(F.min(F.struct("at", "rep", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
     return heads.select("value", F.col("head.rep").alias("a"), F.col("head.n").alias("na"), F.col("head.at").alias("at_a"))
 
 
-def _mixed_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of the lists that span several components, with the list's largest one and how many are outside of it; stored."""
-    member = stored(_with_component(lists, label), "members")
-    count = member.groupBy("value", "component").count()
-    top = count.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("m"))
-    mixed = top.select("value", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.count")).alias("others")).filter("others > 0")
-    return stored(member.join(mixed, "value"), "mixed")
-
-
 class _Search:
-    """Links found so far, and the components they make."""
+    """Components of the links found so far."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.links: DataFrame | None = None
-        self.label: DataFrame | None = None
+        self.labels = Labels()
 
     def add(self, pairs: DataFrame) -> None:
-        found = verified(stored(pairs.select("a", "b"), "candidates"), self.docs, self.width, self.percent)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.label = components(self.links)
-
-    def cross(self, mixed: DataFrame, placed: bool) -> None:
-        """Meet all members outside their list's largest component with all others, in rounds."""
-        turn = F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("others") / ROUND)).alias("turn")
-        outside = stored(mixed.filter("component != largest").select("value", "rep", "n", "at", "component", turn), "outside")
-        everyone = mixed.select("value", "rep", "n", "at", "component")
-        turns = outside.agg(F.max("turn")).first()[0]
-        for i in range(0 if turns is None else turns + 1):
-            mine = outside.filter(F.col("turn") == i)
-            if i:  # what the rounds before have linked needs no pair any more
-                mine, everyone = _with_component(mine, self.label), stored(_with_component(everyone, self.label), "mixed")
-            mine = mine.select("value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("component").alias("cx"))
-            others = everyone.select("value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"), F.col("component").alias("cy"))
-            fits = (F.col("cx") != F.col("cy")) & _similar_size("nx", "ny", self.percent)
-            if placed:  # of two full sets, nothing before the first shared value is shared
-                fits &= F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + self.percent) >= self.percent * (F.col("nx") + F.col("ny"))
-            pairs = mine.join(others, "value").filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            self.add(estimated(pairs, self.classes, self.percent))
+        """Verify candidate pairs and take the links in."""
+        pairs = stored(pairs.select("a", "b"), "candidates")
+        if not pairs.isEmpty():
+            self.labels.add(verified(pairs, self.docs, self.width, self.percent))
+
+    def mixed(self, lists: DataFrame) -> DataFrame:
+        """Members of the lists that span several components, with the list's largest one, how many are outside of it, and its members; stored."""
+        member = stored(self.labels.of(lists.select("value", "rep", "n", "at"), "rep", "component"), "members")
+        count = member.groupBy("value", "component").count()
+        top = count.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("m"))
+        some = top.select("value", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.count")).alias("others"), "m").filter("others > 0")
+        return stored(member.join(some, "value"), "mixed")
+
+    def pairs(self, mixed: DataFrame, turns: tuple[int, int], placed: bool) -> DataFrame:
+        """(a, b): the members outside their list's largest component whose turn it is, with all members of other components.
+
+        A list's members are dealt into blocks, and those whose turn it is go to each block, so no task has a whole list.
+        """
+        turn = F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("others") / ROUND))
+        mine = mixed.filter("component != largest").filter((turn >= turns[0]) & (turn < turns[1]))
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        mine = mine.select("value", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("component").alias("cx"))
+        others = mixed.select("value", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"), F.col("component").alias("cy"))
+        fits = (F.col("cx") != F.col("cy")) & _similar_size("nx", "ny", self.percent)
+        if placed:  # of two full sets, nothing before the first shared value is shared
+            fits &= F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + self.percent) >= self.percent * (F.col("nx") + F.col("ny"))
+        return mine.join(others, ["value", "block"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def cross(self, lists: DataFrame, placed: bool) -> None:
+        """Meet all members outside their list's largest component with all others.
+
+        Each round takes four times as many of them, so their number grows with the logarithm
+        of the longest list; what a round has linked needs no pair in the next.
+        """
+        at, many = 0, 1
+        while True:
+            lists = self.mixed(lists)
+            turns = lists.agg(F.max(F.ceil(F.col("others") / ROUND))).first()[0] or 0
+            if not turns:
+                return
+            last = at + many >= turns
+            self.add(estimated(self.pairs(lists, (at, turns if last else at + many), placed), self.classes, self.percent))
+            if last:
+                return
+            at, many = at + many, 4 * many
 
     def full_lists(self, members: DataFrame) -> DataFrame:
         """(value, rep, n, at): exact inverted lists over the full sets of the given classes (rep).
@@ -269,9 +283,7 @@ class _Search:
         only reach the threshold with another if they share a value among its first
         n - ceil(percent n / 100) + 1; values that it alone holds come first and fill places.
         """
-        source = self.docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-        texts = packed_texts(source, ["doc_id"], "key", bit_filter(members.select(F.col("rep").cast("long"))))
-        texts = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        texts = _texts_of(self.docs, members.select("rep")).join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         schema = T.StructType([T.StructField("value", T.LongType()), T.StructField("rep", texts.schema["doc_id"].dataType), T.StructField("n", T.LongType())])
         width = self.width
 
@@ -288,8 +300,8 @@ class _Search:
         placed = own.select("rep", "n", F.size("l").alias("m"), F.posexplode("l").alias("i", "v")).select(F.col("v.value").alias("value"), "rep", "n", (F.col("i") + F.col("n") - F.col("m")).alias("at"))
         return stored(placed.filter(F.col("at") < F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1), "full")
 
-    def dense(self, members: DataFrame) -> None:
-        """Settle lists with many members outside the largest component on exact lists of the members' full sets."""
+    def dense(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Exact lists of the full sets of classes from lists with many members outside the largest component, and the pairs of classes with a head of theirs."""
         lists = self.full_lists(members)
         least = lists.groupBy("value").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1")
         smallest = F.greatest(F.col("least"), F.ceil(F.lit(self.percent) * F.col("n") / 100))
@@ -297,29 +309,33 @@ class _Search:
         lists = stored(lists.join(least, "value").filter(fits).select("value", "rep", "n", "at"), "dense")
         met = lists.join(_heads(lists), "value").filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", self.percent))
         near = met.groupBy(F.col("rep").alias("b")).agg(F.min_by("a", F.struct("at_a", "a")).alias("a"))
-        self.add(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        self.cross(_mixed_lists(lists, self.label), placed=True)
+        return lists, near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text); ids are of any type that can be ordered."""
+    docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs, width), "sketches")
     keys = ["key_a", "key_b", "n_shingles"]
-    named = stored(rows.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    own = rows.select(F.col("doc_id").alias("rep"), *keys, "sketch")
-    classes = stored(own.join(named, ["rep", *keys], "left_semi").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep", "n"]), "reps")
+    named = rows.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))  # equal sets, equal sketches
+    named = stored(named, "classes")
+    classes = named.filter("rep IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "sketch")
     lists = postings(classes)
     search = _Search(docs, classes, width, percent)
     heads = stored(_heads(lists), "heads")
     met = lists.join(heads, "value").filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
     search.add(estimated(met, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")))
-    mixed = _mixed_lists(lists.join(heads.select("value"), "value", "left_semi"), search.label)
-    search.cross(mixed.filter(F.col("others") <= ROUND), placed=False)
+    mixed = search.mixed(lists.join(heads.select("value"), "value", "left_semi"))
+    pairs = search.pairs(mixed.filter(F.col("others") <= ROUND), (0, 1), placed=False)
     many = stored(mixed.filter(F.col("others") > ROUND).select("rep").distinct(), "many")
+    exact = None
     if not many.isEmpty():
-        search.dense(many)
-    label = search.label
-    final = named.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
+        exact, near = search.dense(many)
+        pairs = pairs.unionByName(near).distinct()
+    search.add(estimated(pairs, classes, percent))
+    if exact is not None:
+        search.cross(exact, placed=True)
+    final = search.labels.of(named.select(*keys, "rep"), "rep", "component_id").select(*keys, "component_id")
     out = rows.select("doc_id", *keys).join(final, keys, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

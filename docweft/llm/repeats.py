@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.bitfilter import bit_filter, maybe_in, packed_slices, packed_texts, unpacked
+from docweft.llm.bitfilter import BitFilter, bit_filter, packed_slices, packed_texts, unpacked
 from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
 from docweft.llm.textvec import Spans, flat, joined, lists, mix64, slices, word_names, words
@@ -209,7 +209,7 @@ def _parsed(rows: DataFrame, width: int) -> DataFrame:
     return stored(map_texts(rows, ["doc_id", "tk"], fields, kernel), "parsed")
 
 
-def _flat_instances(parsed: DataFrame, columns: list[str], members: np.ndarray | None = None) -> DataFrame:
+def _flat_instances(parsed: DataFrame, columns: list[str], members: BitFilter | None = None) -> DataFrame:
     """One row for each instance; with ``members``, only those whose ``h`` may be one."""
     kept = [c for c in columns if c in ("doc_id", "tk")]
     schema = T.StructType([parsed.schema[c] if c in kept else T.StructField(c, parsed.schema[c].dataType.elementType) for c in columns])
@@ -218,7 +218,7 @@ def _flat_instances(parsed: DataFrame, columns: list[str], members: np.ndarray |
         for batch in batches:
             h = batch.column("h").flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), batch.column("h").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            pick = pa.array(np.arange(len(h)) if members is None else np.flatnonzero(maybe_in(members, h)))
+            pick = pa.array(np.arange(len(h)) if members is None else np.flatnonzero(members.maybe_in(h & (8 * len(members.bits) - 1))))
             row = pa.array(row).take(pick)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(row) if c in kept else batch.column(c).flatten().take(pick) for c in columns], columns)
 
@@ -248,8 +248,7 @@ def _windows_of(joined_texts: DataFrame, width: int) -> DataFrame:
 
 def _with_texts(lists_by_row: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of ``lists_by_row`` (doc_id, tk, ...) with their compressed texts."""
-    members = bit_filter(lists_by_row.select("tk"))
-    texts = packed_texts(rows, ["doc_id", "tk"], "tk", members)
+    texts = packed_texts(rows, "tk", bit_filter(lists_by_row.select("tk")))
     b = lists_by_row.withColumnsRenamed({"doc_id": "id_b", "tk": "tk_b"})
     return texts.join(b, (F.col("tk") == F.col("tk_b")) & F.col("doc_id").eqNullSafe(F.col("id_b"))).drop("id_b", "tk_b")
 
@@ -258,7 +257,7 @@ def repeated_ranges(rows: DataFrame, parsed: DataFrame, width: int) -> DataFrame
     """(doc_id, tk, ranges): for each row with a repeat, the word ranges under repeated windows."""
     groups = _flat_instances(parsed, ["h", "span"]).groupBy("h").agg(F.count("*").alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     groups = stored(groups.filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "groups")
-    members = bit_filter(groups.select("h"), 26)
+    members = bit_filter(groups.select("h"), hashed=True)
     shared = stored(_flat_instances(parsed, ["doc_id", "tk", "h", "span", "at", "n"], members).join(groups, "h"), "shared")
     mixed = shared.filter("mixed").select("doc_id", "tk", "h", "span", "at", "n")
     spans = mixed.groupBy("h", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "tk", "at", "n")).alias("rep"))
