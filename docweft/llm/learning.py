@@ -10,38 +10,50 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.shared import bounded_batches, stored
 from docweft.llm.textvec import flat, slices
 
+#: Sampled ids that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, classes: tuple = (0, 1)) -> DataFrame:
-    """Texts and labels of at most ``per_class`` training rows of each class, stored.
+#: Salts over which the rows of one class are ranked before the best of all are.
+SALTS = 64
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` training rows of each class, stored.
 
-    The rows are those with the smallest hash of their id, a fixed choice that does
-    not depend on partitioning.  Rows with a null id, label or unknown class, and
-    rows whose id falls into the held-out remainder, are never taken.
+    Only ids with a text in ``docs`` are eligible.  Of each class those with the smallest
+    hash of their id are taken, a fixed choice that does not depend on partitioning.  An id
+    that has several labels counts with the smallest, one that has several texts with the
+    first of them in order.  Rows with a null id or label, and ids of the held-out
+    remainder, are never taken.
     """
-    usable = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull() & (remainder(F.col("id"), modulus) != held)).distinct()
-    picked = None
-    for c in classes:
-        one = usable.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        picked = one if picked is None else picked.unionByName(one)
-    # at most per_class rows of each class: a proven bound for the broadcast
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
-    return stored(joined.select("doc_id", "text", "label"), "sample")
+    marked = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("id"), modulus) != held))
+    present = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"))
+    usable = marked.groupBy("id").agg(F.min("label").alias("label")).join(present, "id", "left_semi").withColumn("order", F.xxhash64("id"))
+    salted = Window.partitionBy("label", F.pmod("order", F.lit(SALTS))).orderBy("order", "id")
+    most = usable.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= per_class)
+    picked = most.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))).filter(F.col("rank") <= per_class)
+    picked = stored(picked.select("id", "label"), "picked")
+    small = picked.count() <= BROADCAST_ROWS
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(picked) if small else picked, F.col("doc_id") == F.col("id"))
+    return stored(joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
 
 
 def class_counts(labels: DataFrame, label: str, modulus: int, held: int) -> dict[int, int]:
-    """Rows of each class over all training rows of the labels (not of the sample)."""
-    rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held)).groupBy(label).count().collect()
+    """Training ids of each class over all of the labels (not the sample); an id with several labels counts with the smallest."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
+    rows = usable.groupBy("doc_id").agg(F.min(label).alias("label")).groupBy("label").count().collect()
     return {int(r[0]): int(r[1]) for r in rows}
 
 

@@ -10,10 +10,13 @@
    the largest eigenvalue of the scaled k x k moment matrix.  A step is one distributed sum of k numbers; as it is the same for
    equal posteriors, rates are replayed from the list of steps and never stored.
 
-The classifier is fitted on at most ``per_class`` labelled rows of each domain.  Rows
-without words have n = 0, the prior as posterior, and a rate like any other.  Domains
-without any mass cannot be matched; the fit then is the least-squares best.  Without
-labelled rows every text has the one domain that is left, or none.
+The classifier is fitted on at most ``per_class`` labelled rows of each domain, on the
+``keep`` hashed terms with the largest chi-square there.  Rows without words have n = 0,
+the prior as posterior, and a rate like any other.  Domains without any mass cannot be
+matched; the fit then is the least-squares best.  Without labelled rows every text has
+the one domain that is left, or none.  An id with several domains counts with the first
+of them in order; rows that share an id are judged each by its own text.  Other columns
+of ``docs``, whatever their names, are not read by ``mixing_rates`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from docweft.llm.learning import labelled_sample, map_texts
 from docweft.llm.shared import stored
-from docweft.llm.textvec import ALNUM, Spans, lists, trimmed, words
+from docweft.llm.textvec import ALNUM, Spans, flat, lists, slices, trimmed, words
 
 BITS = 18
 PREFIX = 6
@@ -130,7 +133,7 @@ def train(docs: DataFrame, labelled: DataFrame, per_class: int = 1500, keep: int
     flat_model = Domains(names or ["all"], none, np.zeros((1, k)), np.zeros((SURFACE, k)), np.log(np.array([counts[d] for d in names] or [1.0])), np.stack([np.zeros(SURFACE), np.ones(SURFACE)]))
     if k < 2:
         return flat_model
-    sample = labelled_sample(docs, labelled, "domain", 1, -1, per_class, tuple(names))
+    sample = labelled_sample(docs, labelled, "domain", 1, -1, per_class)
 
     def seen(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         doc, bucket, surface, _ = terms_and_surface(data, offs)
@@ -266,8 +269,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budge
     schema = T.StructType([*body.schema, T.StructField("rate", T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from docweft.llm.textvec import flat, slices
-
         for batch in batches:
             for part in slices(batch, "text"):
                 p, _ = model.posteriors(*flat(part.column("text")))

@@ -7,10 +7,12 @@ product of two buckets' vectors weighs their appearing together: an insult repea
 or aimed at somebody counts for more, and a word inside a harmless stock phrase for
 less, than any sum of single weights could say.
 
-Buckets are kept by their chi-square on the sample.  The machine is fitted on at
-most ``per_class`` labelled rows of each class and weighted back to the shares of
-all labelled rows; without rows of both classes every document scores their share.
-Null and empty texts get the score of a text without terms.
+The ``keep`` buckets with the largest chi-square on the sample are kept.  The machine
+is fitted on at most ``per_class`` labelled rows of each class and weighted back to the
+shares of all labelled rows; without rows of both classes every document scores their
+share.  Null and empty texts get the score of a text without terms.  An id with several
+labels counts once, with the smallest.  Repeated rows are scored one by one.  Columns
+of ``docs`` other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.learning import class_counts, labelled_sample, map_texts, scored, sigmoid
-from docweft.llm.textvec import Spans, lists, trimmed, words
+from docweft.llm.textvec import Spans, flat, lists, slices, trimmed, words
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7)
@@ -158,8 +160,6 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     body = docs.select(*names) if dict(docs.dtypes)["text"] == "string" else docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
-        from docweft.llm.textvec import flat, slices
-
         for batch in batches:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(model.score(*flat(part.column("text"))) < threshold))
