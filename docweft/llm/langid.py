@@ -2,16 +2,19 @@
 
 Two gated recurrent layers read the bytes of a text in either direction; a linear
 layer on both states labels every position, and a document's probabilities are the
-mean of those of its letter positions.  Texts are read whole, as spans of ``SPAN``
-bytes in which both directions start afresh (the last span of a text overlaps the
-one before instead of being padded; its first positions are not counted twice).
-Gates use a clipped line in place of the logistic curve and candidates a clipped
-line in place of tanh, which numpy computes several times faster.
-
-The network is trained here by backpropagation through time over a span, on spans
-of at most ``per_class`` documents of each language.  Text and language of training
-rows are all it learns from.  Texts that are null or without a letter are ``und``
-with score 0; so is every text when no language can be learned.
+mean of those of its letter positions.  Texts are read whole.  To run in many lanes at
+once they are cut into spans of ``SPAN`` bytes; each lane also reads up to ``CONTEXT``
+bytes on either side, which carry both states over the cuts and whose own labels are
+left to the neighbouring spans, so every position counts once.  Gates use a clipped
+line in place of the logistic curve and candidates a clipped line in place of tanh,
+which numpy computes several times faster.
+
+The network is trained here by backpropagation through time over pieces of ``PIECE``
+bytes, on every byte of at most ``per_class`` documents of each language.  Text and
+language of training rows are all it learns from; an id with several languages counts
+with the first of them in order, repeated rows are labelled one by one, and other
+columns, whatever their names, are not read.  Texts that are null or without a letter
+are ``und`` with score 0; so is every text when no language can be learned.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ from pyspark.sql import types as T
 from docweft.llm.learning import labelled_sample, map_texts, remainder
 from docweft.llm.textvec import flat, slices
 
-SPAN = 64
+#: Bytes that a lane labels, and bytes that it reads before and behind them.
+SPAN, CONTEXT = 256, 32
+#: Bytes over which training goes back through time.
+PIECE = 64
 HIDDEN = 10
-#: Spans that one numpy step covers.
-LANES = 4096
+#: Lanes that one numpy step covers.
+LANES = 1024
+#: Pieces that training sees in all, at least: short samples are gone through several times.
+SEEN = 60_000
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PADDING = 256
@@ -101,22 +109,22 @@ class Network:
 
 
 def spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes (span, lanes), document of each lane, positions not seen in an earlier lane) in groups of lanes."""
+    """(bytes (span with context, lanes), document of each lane, positions that the lane labels) in groups of lanes."""
     size = np.diff(offs)
-    many = np.maximum(-(-size // SPAN), (size > 0).astype(np.int64))
+    many = -(-size // SPAN)
     doc = np.repeat(np.arange(len(size)), many)
     rank = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
     begin = offs[doc] + rank * SPAN
-    start = np.maximum(np.minimum(begin, offs[doc + 1] - SPAN), offs[doc])
-    at = np.arange(SPAN)[:, None]
-    short = size[doc] < SPAN
-    for lanes in (np.flatnonzero(~short), np.flatnonzero(short)):
-        for i in range(0, len(lanes), LANES):
-            own = lanes[i : i + LANES]
-            place = start[own] + at
-            inside = place < offs[doc[own] + 1]
-            x = np.where(inside, data[np.minimum(place, len(data) - 1)].astype(np.int64), PADDING)
-            yield x, doc[own], place >= begin[own]
+    length = np.minimum(offs[doc + 1] - begin, SPAN)
+    order = np.argsort(length, kind="stable")  # lanes of one group are about as long
+    for i in range(0, len(order), LANES):
+        own = order[i : i + LANES]
+        lead = np.minimum(begin[own] - offs[doc[own]], CONTEXT)
+        at = np.arange(-int(lead.max()), int(length[own].max()) + CONTEXT)[:, None]
+        place = begin[own] + at
+        inside = (place >= offs[doc[own]]) & (place < offs[doc[own] + 1])
+        x = np.where(inside, data[np.clip(place, 0, len(data) - 1)].astype(np.int64), PADDING)
+        yield x, doc[own], inside & (at >= 0) & (at < SPAN)
 
 
 def _states(way, x: np.ndarray, steps: range) -> list[tuple]:
@@ -185,55 +193,60 @@ def loss_and_gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -
 
 
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], hidden: int = HIDDEN, epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
-    """Train on spans ``x`` (span, lanes) of languages ``y`` by Adam; deterministic."""
+    """Train on pieces ``x`` (bytes, lanes) of languages ``y`` by Adam, its rate falling to nothing; deterministic."""
     rng = np.random.default_rng(seed)
     params: list[np.ndarray] = []
     for _ in range(2):
         params += [rng.normal(0, 0.3, (3 * hidden, 257)), rng.normal(0, 0.25, (3 * hidden, hidden)), np.zeros((hidden, 1))]
     params += [rng.normal(0, 0.2, (len(languages), 2 * hidden)), np.zeros((len(languages), 1))]
     params = [p.astype(np.float32) for p in params]
+    total = epochs * -(-x.shape[1] // batch)
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(x.shape[1])
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            _, grads = loss_and_gradients(params, x[:, rows], y[rows])
+            _, grads = loss_and_gradients(params, x[:, rows].astype(np.int64), y[rows])
             t += 1
             scale = min(1.0, 1.0 / (float(np.sqrt(sum((g**2).sum() for g in grads))) + 1e-9))
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 g = g * scale
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p -= rate * (1 - epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+                p -= rate * (1 - (t - 1) / total) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Network(languages, [tuple(params[0:3]), tuple(params[3:6])], params[6], params[7])
 
 
-def train(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 500, per_document: int = 5) -> Network | None:
-    """Learn the languages of rows whose remainder is not ``held``."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
-    languages = sorted(r[0] for r in usable.select(F.col("lang").cast("string")).distinct().collect())
-    if not languages:
-        return None
-    sample = labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", modulus, held, per_class, tuple(languages))
-
-    def some(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
-        chosen: list[list[bytes]] = []
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-            n = max(1, min(per_document, (b - a) // SPAN))
-            chosen.append([data[s : min(s + SPAN, b)].tobytes() for s in np.linspace(a, max(a, b - SPAN), n).astype(int).tolist() if b > a])
-        return [pa.array(chosen, pa.list_(pa.binary()))]
-
-    rows = map_texts(sample, ["doc_id", "label"], [T.StructField("spans", T.ArrayType(T.BinaryType()))], some).orderBy("doc_id", "label").toPandas()
-    flat_spans = [(bytes(s), languages.index(lab)) for lab, own in zip(rows["label"], rows["spans"], strict=True) for s in own]
-    if not flat_spans:
+def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a batch as pieces (lanes, ``PIECE``), padded, and the document of each."""
+    size = np.diff(offs)
+    many = -(-size // PIECE)
+    doc = np.repeat(np.arange(len(size)), many)
+    place = (offs[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * PIECE)[:, None] + np.arange(PIECE)
+    if not len(place):
+        return np.zeros((0, PIECE), np.uint16), doc
+    return np.where(place < offs[doc + 1][:, None], data[np.minimum(place, len(data) - 1)].astype(np.uint16), np.uint16(PADDING)), doc
+
+
+def train(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 400) -> Network | None:
+    """Learn the languages of rows whose remainder is not ``held``; the sampled texts have to fit the driver."""
+    sample = labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", modulus, held, per_class)
+
+    def cut(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        x, doc = pieces(data, offs)
+        first = 2 * PIECE * np.searchsorted(doc, np.arange(len(offs)))
+        return [pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(first.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])]
+
+    rows = map_texts(sample, ["doc_id", "label"], [T.StructField("pieces", T.BinaryType())], cut).orderBy("doc_id", "label").toPandas()
+    languages = sorted(set(rows["label"]))
+    own = [np.frombuffer(p, np.uint16).reshape(-1, PIECE) for p in rows["pieces"]]
+    if not languages or not sum(map(len, own)):
         return None
-    x = np.full((SPAN, len(flat_spans)), PADDING, dtype=np.int64)
-    for i, (s, _) in enumerate(flat_spans):
-        x[: len(s), i] = np.frombuffer(s, np.uint8)
-    return fit(x, np.array([y for _, y in flat_spans]), languages)
+    y = np.repeat([languages.index(x) for x in rows["label"]], [len(p) for p in own])
+    return fit(np.concatenate(own).T, y, languages, epochs=max(1, -(-SEEN // len(y))))
 
 
-def languages_of(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 500) -> DataFrame:
+def languages_of(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 400) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     model = train(docs, modulus, held, per_class)
     text = F.col("text").cast("string")
