@@ -1,10 +1,11 @@
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from docweft.llm import quality, toxicity
-from docweft.llm.textvec import flat
+from docweft.llm import learning, quality, toxicity
+from docweft.llm.textvec import ALNUM, Spans, flat, mix64
 
 GOOD = ["A calm sentence, with several different words in it. Another follows here, number {i}.", "The river ran past old houses, and people {i} talked on the bridge."]
 BAD = ["BUY!! NOW!! BUY!! NOW!! {i}!!", "menu | menu | home | {i} | home | menu", "word word word word word word {i}"]
@@ -84,3 +85,90 @@ def test_toxicity_learns_an_interaction(spark):
 def test_terms_are_words_and_their_beginnings():
     doc, _, count = toxicity.terms(*flat(pa.array(["Abcdefgh, abcdefgh!", None, "ab"])))
     assert np.bincount(doc).tolist() == [5, 0, 1] and count[:5].tolist() == [2] * 5
+
+
+def test_sample_takes_ids_that_have_a_text(spark):
+    """Labels of ids without a text take no place in the sample; ids with several labels or texts count once."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(0, "another"), (1, None), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)] + [(0, 1), (3, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    rows = learning.labelled_sample(docs, labels, "quality", 5, 0, 20).collect()
+    want = {i for i in range(40) if not held(i, 5, 0)}
+    assert {r.doc_id for r in rows if r.label == 1} <= want and len(rows) == len({r.doc_id for r in rows})
+    assert {r.doc_id: r.label for r in rows} == {i: 0 if i == 3 else i % 2 for i in want}
+    assert {r.text for r in rows if r.doc_id == 0} <= {"another"}
+    few = learning.labelled_sample(docs, labels, "quality", 5, 0, 3).collect()
+    assert sorted(r.label for r in few) == [0, 0, 0, 1, 1, 1]
+
+
+TEXTS = ["You awful clot, you clot", "a b a b. C!", "", None, "word " * 50 + "clot 12", "É ü ß | || 9"]
+
+
+def plain_words(text):
+    out = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        w = bytes(c + 32 if 65 <= c < 91 else c for c in w)
+        for _ in range(4):
+            w = w[1:] if len(w) > 1 and not ALNUM[w[0]] else w
+            w = w[:-1] if len(w) > 1 and not ALNUM[w[-1]] else w
+        out.append(w)
+    return out
+
+
+def name(word):
+    return int(Spans(np.frombuffer(word, np.uint8))(np.array([0]), np.array([len(word)]))[0])
+
+
+def test_factorization_machine_against_the_double_sum():
+    rng = np.random.default_rng(3)
+    slot = np.where(rng.random(1 << toxicity.BITS) < 0.5, np.arange(1 << toxicity.BITS) % 50, -1).astype(np.int32)
+    machine = toxicity.Machine(slot, -0.4, rng.normal(size=50), rng.normal(size=(50, 3)))
+    got = machine.score(*flat(pa.array(TEXTS)))
+    for text, score in zip(TEXTS, got):
+        x = np.zeros(50)
+        for w in plain_words(text):
+            for n in (0, *toxicity.PREFIXES):
+                if not n or len(w) > n:
+                    bucket = (name(w[:n] if n else w) ^ (n * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> (64 - toxicity.BITS)
+                    if slot[bucket] >= 0:
+                        x[slot[bucket]] += 1
+        x = np.log2(1 + x)
+        z = machine.bias + machine.linear @ x + sum(machine.vectors[i] @ machine.vectors[j] * x[i] * x[j] for i in range(50) for j in range(i + 1, 50))
+        assert np.isclose(score, 1 / (1 + np.exp(-z)))
+
+
+def test_worth_against_a_plain_sum():
+    rng = np.random.default_rng(4)
+    k = len(quality.FEATURES)
+    slot = np.where(rng.random(1 << quality.BITS) < 0.7, np.arange(1 << quality.BITS) % 40, -1).astype(np.int32)
+    model = quality.Ranking(rng.normal(size=k), np.abs(rng.normal(size=k)) + 0.5, rng.normal(size=2 * k), slot, rng.normal(size=40), 0.2)
+    got = model.worth(*flat(pa.array(TEXTS)))
+    for text, worth in zip(TEXTS, got):
+        words = plain_words(text)
+        names = [name(w) for w in words]
+        names += [int(mix64(np.array([a * 0xA0761D6478BD642F + b & (2**64 - 1)], dtype=np.uint64))[0]) for a, b in zip(names, names[1:])]
+        count = {}
+        for n in names:
+            if slot[n >> (64 - quality.BITS)] >= 0:
+                count[slot[n >> (64 - quality.BITS)]] = count.get(slot[n >> (64 - quality.BITS)], 0) + 1
+        z = (quality.features(*flat(pa.array([text])))[0] - model.mean) / model.scale
+        want = quality.expanded(z[None])[0] @ model.weights + sum(model.term_weights[s] * np.log2(1 + 1000 * c / len(words)) / 4 for s, c in count.items())
+        assert np.isclose(worth, want)
+
+
+def test_ranking_learns_from_terms():
+    """Texts that only their words tell apart."""
+    rng = np.random.default_rng(5)
+    filler = [f"w{i:03d}" for i in range(200)]
+    label = rng.integers(0, 2, 400)
+    texts = pa.array([" ".join([*rng.choice(filler, 20), "alpha" if y else "omega", *rng.choice(filler, 20)]) for y in label])
+    doc, bucket, value = quality.terms(*flat(texts))
+    best, times = np.unique(bucket, return_counts=True)
+    best = best[times >= 3]  # as the operator's choice of buckets
+    slot = np.full(1 << quality.BITS, -1, dtype=np.int32)
+    slot[best] = np.arange(len(best))
+    own = slot[bucket] >= 0
+    doc, bucket, value = doc[own], bucket[own], value[own]
+    t = np.zeros((400, len(best)), dtype=np.float32)
+    t[doc, slot[bucket]] = value
+    model = quality.fit(quality.features(*flat(texts.slice(0, 300))), t[:300], label[:300], slot, float((label[:300] == 0).mean()), 5000)
+    assert np.mean((model.score(*flat(texts.slice(300))) >= 0.3) == label[300:]) > 0.95
