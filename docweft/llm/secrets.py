@@ -187,7 +187,7 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame | N
     table = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("clause"), F.lit(t).alias("t"), F.lit(n).alias("n")) for k, i, t, n in clauses))
     wanted = index.select("block", "trigram", "ids", F.explode(F.filter(table, lambda c: c["t"] == F.col("trigram"))).alias("c"))
     lists = wanted.groupBy("block", "c.kind", "c.clause", "c.n").agg(F.collect_list("ids").alias("lists")).filter(F.size("lists") == F.col("n"))
-    common = F.aggregate(F.slice("lists", 2, 1000), F.element_at("lists", 1), lambda acc, x: F.array_intersect(acc, x))
+    common = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.element_at("lists", 1), lambda acc, x: F.array_intersect(acc, x))
     found = lists.select("kind", F.explode(common).alias("id")).groupBy("id").agg(F.collect_set("kind").alias("_docweft_kinds"))
     return found.select(F.col("id.doc_id").alias("_docweft_id"), F.col("id.hash").alias("_docweft_h"), "_docweft_kinds"), whole
 
@@ -197,19 +197,41 @@ def _cut(text: Column, rule: Rule) -> Column:
     return F.split(F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _in_blocks(items: Column, start: Column, step, finish) -> Column:
+    """Fold an array by ``step(acc, block)`` over blocks of about the root of its size.
+
+    What grows by appending is copied once a block and once an item of a block, so long
+    arrays do not cost the square of their size.
+    """
+    side = F.ceil(F.sqrt(F.size(items))).cast("int")
+    many = F.when(F.size(items) > 0, F.ceil(F.size(items) / side)).otherwise(0).cast("int")
+    blocks = F.transform(F.array_repeat(F.lit(0), many), lambda _, i: F.slice(items, i * side + 1, side))
+    return F.aggregate(blocks, start, step, finish)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, kind, end>> of a rule's matches that are long enough."""
-    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+    kind = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+    empty = F.array().cast(kind)
 
-    def step(acc: Column, piece: Column) -> Column:
+    def one(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
         measured = F.length(F.regexp_extract(piece, rule.pattern, rule.group)) if rule.group else F.length(piece)
         span = F.struct(acc["at"].cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("bigint").alias("end"))
         out = F.when(acc["inside"] & (measured >= rule.least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.cast("bigint").alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
 
+    def block(acc: Column, pieces: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), acc["inside"].alias("inside"), empty.alias("out"))
+        return _let(F.aggregate(pieces, begin, one), lambda own: F.struct(own["at"].alias("at"), own["inside"].alias("inside"), F.concat(acc["out"], own["out"]).alias("out")))
+
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
-    found = F.aggregate(_cut(text, rule), start, step, lambda acc: acc["out"])
+    found = _let(_cut(text, rule), lambda pieces: _in_blocks(pieces, start, block, lambda acc: acc["out"]))
     return F.when(text.rlike(_quick(rule)), found).otherwise(empty)
 
 
@@ -261,13 +283,24 @@ def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns, with every secret in the text replaced by its kind in brackets; null texts stay null."""
     columns = docs.columns
     found = with_spans(docs.withColumn("_docweft_null", F.col("text").isNull()))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    none = F.array().cast("array<string>")
+
+    def part(text: Column, begin: Column, many: Column) -> Column:
+        return F.substring(text, begin.cast("int"), many.cast("int"))
+
+    def one(acc: Column, s: Column) -> Column:
+        piece = F.concat(part(acc["rest"], F.lit(1), s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
+        end = F.greatest(acc["at"], s["end"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+        return F.struct(part(acc["rest"], end - acc["at"] + 1, F.length(acc["rest"])).alias("rest"), end.alias("at"), out.alias("out"))
+
+    def block(acc: Column, spans: Column) -> Column:
+        """The stretch of text up to the end of a block's spans; the rest is cut once a block."""
+        stop = F.greatest(acc["at"], F.array_max(F.transform(spans, lambda s: s["end"])))
+        begin = F.struct(part(acc["rest"], F.lit(1), stop - acc["at"]).alias("rest"), acc["at"].alias("at"), none.alias("out"))
+        own = F.aggregate(spans, begin, one, lambda a: F.array_join(a["out"], ""))
+        return F.struct(part(acc["rest"], stop - acc["at"] + 1, F.length(acc["rest"])).alias("rest"), stop.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    start = F.struct(F.col("text").alias("rest"), F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    rest = _in_blocks(F.col("secret_spans"), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
     return found.withColumn("text", F.when(F.size("secret_spans") > 0, rest).when(~F.col("_docweft_null"), F.col("text"))).select(*columns)

@@ -81,3 +81,20 @@ def test_redaction(spark):
                 want += some[r.doc_id][at:a] + f"[{kind}]"
             at = max(at, b)
         assert r.text == want + some[r.doc_id][at:]
+
+
+def test_many_secrets_in_one_text_cost_no_square(spark):
+    """Twice the secrets in one text take about twice the time, in reports and when redacted."""
+    import time
+
+    def taken(n):
+        text = " ".join(f"token = abcdefgh{i}" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = secrets.secret_report(docs).first()
+        out = secrets.redacted(docs).first()
+        assert row.n_assign == n and out.text == " ".join(["[assign]"] * n)
+        return time.perf_counter() - began
+
+    taken(100)
+    assert taken(40_000) < 3 * taken(20_000) + 1
