@@ -8,16 +8,21 @@ Seeds lose no leak.  An alignment of that score matches at least ``similarity``
 item's m words, so it leaves at most ``lost`` of them out; of any lost + k words of the
 item it matches k or more, at as many places of the text.  Each match gives 2 and each
 edit takes 1, so it covers at most m (3 - 2 similarity) words of the text.  The seeds of
-an item are its words that are rarest in the corpus, lost + ``MORE`` of them; only where
-enough seeds of an item lie that close together is the text looked at.  There the longest
-common subsequence must have ``similarity`` of the item's words, too, or nothing is aligned.
-
-Items are held by the tasks in blocks of at most ``block_bytes`` of text: a benchmark
-beyond it takes one pass over the texts for each block, and is never collected whole.
-Texts are read whole and never shuffled.
+an item are its words that are rarest in the corpus, times the items that have them,
+lost + ``MORE`` of them; only where enough seeds of an item lie that close together is the
+text looked at.  There the longest common subsequence must have ``similarity`` of the
+item's words, too, or nothing is aligned.
+
+Seeds and texts are joined by broadcasting: half of all words of all texts are seeds of
+some item, so a join by shuffle would move the corpus several times over.  The broadcast
+side is checked: items go out in blocks of at most ``block_bytes`` of text, and a
+benchmark beyond it takes one pass over the texts for each block; it is never collected
+whole, only the 64-bit names and counts of its distinct words are.  Texts are read whole
+and never shuffled.
 
 Null and empty texts or items match nothing; repeated rows are judged one by one;
-items with equal text are all reported; further columns are ignored.
+items with equal text are all reported; ids are of any type and may be null or empty;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +96,7 @@ def least(size: int, similarity: float) -> int:
 class Index:
     """Seeds of a block of items: sorted words with their items, the hits that each item needs, and all items' words."""
 
-    ids: list
+    ids: pa.Array
     names: np.ndarray
     first: np.ndarray
     seed: np.ndarray
@@ -125,7 +130,7 @@ class Index:
         yield from zip(doc[a].tolist(), item[a].tolist(), lo[a].tolist(), hi[b].tolist())
 
     def leaks(self, name: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple]:
-        """(text, item id, score, similarity, from word, to word) of every text and item that match."""
+        """(text, item, score, similarity, from word, to word) of every text and item that match."""
         best: dict[tuple[int, int], tuple] = {}
         bits: dict[int, dict[int, int]] = {}
         for d, i, lo, hi in self.regions(name, first, similarity):
@@ -143,46 +148,55 @@ class Index:
             if share >= similarity and share > best.get((d, i), (0,))[0]:
                 best[d, i] = (share, score, lo - int(first[d]) + start, lo - int(first[d]) + end)
         for (d, i), (share, score, start, end) in best.items():
-            yield d, self.ids[i], score, share, start, end
+            yield d, i, score, share, start, end
+
+
+def _distinct_words(tests: DataFrame) -> np.ndarray:
+    """Sorted names of the words of all items."""
+    schema = T.StructType([T.StructField("word", T.LongType())])
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cores(*flat(part.column("text")))[0]).view(np.int64))], schema.names)
+
+    return np.sort(tests.select("text").mapInArrow(names, schema).distinct().toArrow().column("word").to_numpy().view(np.uint64))
 
 
-def _word_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each of the (sorted) known words occurs in all texts, and the number of all words."""
+def _word_counts(docs: DataFrame, known: np.ndarray) -> np.ndarray:
+    """How often each of the (sorted) known words occurs in all texts."""
     schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known) + 1, dtype=np.int64)
+        total = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 name, _ = cores(*flat(part.column("text")))
                 at = np.minimum(np.searchsorted(known, name), len(known) - 1)
-                total[:-1] += np.bincount(at[known[at] == name], minlength=len(known))
-                total[-1] += len(name)
+                total += np.bincount(at[known[at] == name], minlength=len(known))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], schema.names)
 
-    # as many rows as the block of items has words, and one
+    # as many rows as the items have distinct words
     rows = docs.select("text").mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(known) + 1, dtype=np.int64)
+    out = np.zeros(len(known), dtype=np.int64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-    return out[:-1], int(out[-1])
+    return out
 
 
-def build_index(items: list[tuple], docs: DataFrame, similarity: float) -> Index | None:
-    """Seeds of a block of (id, text) items, chosen by the word counts of all texts."""
-    items = [(i, t) for i, t in items if t]
-    if not items:
-        return None
-    name, first = cores(*flat(pa.array([t for _, t in items], pa.string())))
+def build_index(ids: pa.Array, texts: pa.Array, known: np.ndarray, count: np.ndarray, similarity: float) -> Index | None:
+    """Seeds of a block of items, chosen by the word counts of all texts."""
+    name, first = cores(*flat(texts))
     if not len(name):
         return None
-    known = np.unique(name)
-    count, _ = _word_counts(docs, known)
     size = np.diff(first)
+    distinct = [np.unique(name[first[i] : first[i + 1]], return_counts=True) for i in range(len(size))]
+    place = [np.searchsorted(known, word) for word, _ in distinct]
+    held_by = np.bincount(np.concatenate(place), minlength=len(known))
     seeds, owners, need = [], [], np.ones(len(size), dtype=np.int64)
     for i in np.flatnonzero(size).tolist():
-        word, times = np.unique(name[first[i] : first[i + 1]], return_counts=True)
-        order = np.argsort(count[np.searchsorted(known, word)], kind="stable")
+        word, times = distinct[i]
+        order = np.argsort(count[place[i]] * held_by[place[i]], kind="stable")
         lost, total = int(size[i]) - least(int(size[i]), similarity), np.cumsum(times[order])
         many = min(int(np.searchsorted(total, lost + MORE)) + 1, len(word))
         seeds.append(word[order[:many]])
@@ -192,48 +206,49 @@ def build_index(items: list[tuple], docs: DataFrame, similarity: float) -> Index
     order = np.argsort(seed, kind="stable")
     table = np.zeros(1 << TABLE_BITS, dtype=bool)
     table[(seed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Index([i for i, _ in items], name, first, seed[order], item[order], need, table)
+    return Index(ids, name, first, seed[order], item[order], need, table)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.5, block_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, score, similarity, from_word, to_word) of every text and test item that match."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    tests = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType(
-        [
-            source.schema["doc_id"],
-            tests.schema["item_id"],
-            T.StructField("score", T.LongType()),
-            T.StructField("similarity", T.DoubleType()),
-            T.StructField("from_word", T.LongType()),
-            T.StructField("to_word", T.LongType()),
-        ]
-    )
+    tests = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    found = [T.StructField(c, k) for c, k in (("score", T.LongType()), ("similarity", T.DoubleType()), ("from_word", T.LongType()), ("to_word", T.LongType()))]
+    schema = T.StructType([source.schema["doc_id"], tests.schema["item_id"], *found])
     spark = docs.sparkSession
-    volume = tests.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-int(volume) // block_bytes))
     out = spark.createDataFrame([], schema)
+    known = _distinct_words(tests)
+    if not len(known):
+        return out
+    count = _word_counts(source, known)
+    volume = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0]
+    blocks = -(-int(volume) // block_bytes)
     for block in range(blocks):
         # one block of at most about block_bytes, by a hash of its rows
-        rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = build_index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), source, similarity)
+        rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        index = build_index(rows.column("item_id").combine_chunks(), rows.column("text").combine_chunks(), known, count, similarity)
         if index is None:
             continue
+        held = spark.sparkContext.broadcast(index)
 
-        def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = held.value
             for batch in batches:
                 for part in slices(batch, "text"):
                     found = list(index.leaks(*cores(*flat(part.column("text"))), similarity))
-                    own = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
-                    rest = [pa.array([f[j] for f in found], pa.from_numpy_dtype(np.float64) if j == 3 else pa.int64()) for j in (2, 3, 4, 5)]
-                    ids = pa.array([f[1] for f in found], pa.int64() if schema["item_id"].dataType == T.LongType() else None if found else pa.int64())
-                    yield pa.RecordBatch.from_arrays([own, ids, *rest], schema.names)
+                    own, items = (pa.array([f[j] for f in found], pa.int64()) for j in (0, 1))
+                    rest = [pa.array([f[j] for f in found], pa.float64() if j == 3 else pa.int64()) for j in (2, 3, 4, 5)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), index.ids.take(items), *rest], schema.names)
 
         out = out.unionByName(source.mapInArrow(search, schema))
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
-    """The documents without a leak, with all their columns.  Rows with a null id that leak go, too."""
-    found = leaks(docs, benchmark, similarity, block_bytes).select("doc_id").distinct().withColumnRenamed("doc_id", "leaked")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.5, block_bytes: int = 32 << 20) -> DataFrame:
+    """The documents without a leak, with all their columns.
+
+    A document goes if its id is one of a row that leaks: rows that share the id go with it,
+    and so do rows with a null id if one of them leaks.
+    """
+    found = leaks(docs, benchmark, similarity, block_bytes).select(F.col("doc_id").alias("_docweft_leaked")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_docweft_leaked")), "left_anti")

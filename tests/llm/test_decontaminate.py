@@ -113,3 +113,14 @@ def test_copies_without_a_common_4_gram_are_found(spark):
                 want[i, k] = score
     assert found == want
     assert all((5 * k + j, k) in found for k in range(len(items)) for j in (0, 1))
+
+
+@pytest.mark.parametrize(("kind", "make"), [("int", int), ("string", lambda i: "" if i == 0 else f"id-{i}"), ("long", int)])
+def test_ids_of_any_type(spark, kind, make):
+    rng = random.Random(4)
+    items = [[f"word{rng.randrange(500)}" for _ in range(20)] for _ in range(6)]
+    bench = [(make(i), " ".join(w)) for i, w in enumerate(items)] + [(None, " ".join(items[2]))]
+    docs = [(make(i), " ".join(items[i]) + " and more text") for i in range(4)] + [(None, "x " + " ".join(items[5]))]
+    for block_bytes in (8 << 20, 300):
+        got = {(r.doc_id, r.item_id) for r in dc.leaks(spark.createDataFrame(docs, f"doc_id {kind}, text string"), spark.createDataFrame(bench, f"item_id {kind}, text string"), block_bytes=block_bytes).collect()}
+        assert got == {(make(i), make(i)) for i in range(4)} | {(make(2), None), (None, make(5))}
