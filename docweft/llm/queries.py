@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweft.llm import oracles
+from docweft.llm.shared import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,8 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import flac
 
-    stored = flac.flac_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return flac.flac_digest(stored)
+    media = stored(flac.flac_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    return flac.flac_digest(media)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

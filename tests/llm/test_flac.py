@@ -110,3 +110,12 @@ def test_every_fixed_and_partitioned_form_is_decoded():
             data = np.frombuffer(frame(order, po, wide, escape), np.uint8)
             got, number, end = flac.decode_frames(data, np.array([0]))
             assert (got[0] == x).all() and end[0] == len(data) and number[0] == 0
+
+
+def test_null_ids_and_very_long_texts(spark):
+    text = "a long text é " * 150_000
+    docs = spark.createDataFrame([(None, text, "x"), (None, None, "x"), (1, text, "x")], "doc_id long, text string, media string")
+    rows = flac.flac_digest(flac.flac_encode(docs)).collect()
+    payload = text.encode() + b"\xff" * (-len(text.encode()) % 576)
+    want = hashlib.sha256(payload).hexdigest()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.payload_sha256 == want) for r in rows) == [(0, 0, False), (0, len(text.encode()), True), (1, len(text.encode()), True)]
