@@ -56,6 +56,8 @@ FREQUENT = 24
 ROUND = 32
 #: Members of a list that one task meets with those whose turn it is.
 BLOCK = 1024
+#: Rows of one for each value that are broadcast at most (40 bytes each); more are joined by a shuffle.
+BROADCAST_VALUES = 250_000
 #: Frequent values that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -222,6 +224,12 @@ def _heads(lists: DataFrame) -> DataFrame:
     return heads.select("value", F.col("head.rep").alias("a"), F.col("head.n").alias("na"), F.col("head.at").alias("at_a"))
 
 
+def _with(lists: DataFrame, by_value: DataFrame) -> DataFrame:
+    """Lists joined with a (stored) table of one row a value: broadcast where that is small, so that a long list stays where it is."""
+    small = by_value.count() <= BROADCAST_VALUES
+    return lists.join(F.broadcast(by_value) if small else by_value, "value")
+
+
 class _Search:
     """Components of the links found so far."""
 
@@ -303,11 +311,11 @@ class _Search:
     def dense(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Exact lists of the full sets of classes from lists with many members outside the largest component, and the pairs of classes with a head of theirs."""
         lists = self.full_lists(members)
-        least = lists.groupBy("value").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1")
+        least = stored(lists.groupBy("value").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1"), "least")
         smallest = F.greatest(F.col("least"), F.ceil(F.lit(self.percent) * F.col("n") / 100))
         fits = (F.col("n") - F.col("at")) * (100 + self.percent) >= self.percent * (F.col("n") + smallest)
-        lists = stored(lists.join(least, "value").filter(fits).select("value", "rep", "n", "at"), "dense")
-        met = lists.join(_heads(lists), "value").filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", self.percent))
+        lists = stored(_with(lists, least).filter(fits).select("value", "rep", "n", "at"), "dense")
+        met = _with(lists, stored(_heads(lists), "heads")).filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", self.percent))
         near = met.groupBy(F.col("rep").alias("b")).agg(F.min_by("a", F.struct("at_a", "a")).alias("a"))
         return lists, near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -323,9 +331,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     lists = postings(classes)
     search = _Search(docs, classes, width, percent)
     heads = stored(_heads(lists), "heads")
-    met = lists.join(heads, "value").filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
+    met = _with(lists, heads).filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
     search.add(estimated(met, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")))
-    mixed = search.mixed(lists.join(heads.select("value"), "value", "left_semi"))
+    mixed = search.mixed(_with(lists, heads.select("value")))
     pairs = search.pairs(mixed.filter(F.col("others") <= ROUND), (0, 1), placed=False)
     many = stored(mixed.filter(F.col("others") > ROUND).select("rep").distinct(), "many")
     exact = None
@@ -346,10 +354,14 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
     A row with a null id counts as one with a very large id made of its text's hash, so
     it stays only where its group has no named document.  Of rows that share the kept id
-    one stays.
+    one stays.  Columns keep their names and order, whatever they are called.
     """
-    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    named = docs.withColumn("_docweft_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        own, made = F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    else:
+        own, made = F.col("doc_id").cast("string"), F.concat(F.lit("\U0010ffff"), F.hex(F.xxhash64("text")))
+    named = docs.withColumn("_docweft_id", F.coalesce(own, made))
     found = near_duplicates(named.select(F.col("_docweft_id").alias("doc_id"), "text"), width, percent)
     kept = found.filter("kept").select(F.col("doc_id").alias("_docweft_kept")).distinct()
     one = Window.partitionBy("_docweft_id").orderBy(F.xxhash64("text"))

@@ -103,3 +103,39 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 5), (7, 7), (200, 100)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got[160] == 100 and got[200] == 100 and got[9] == 5 and got[5] == 5 and 7 not in got
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    text = "one two three four five six seven"
+    rows = [("b", text, 1), ("a", text + " eight", 2), ("", "quite another text with words", 3), (None, text, 4), ("c", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, rep int").withColumnRenamed("rep", "component_id")
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs, width=4, percent=80).collect()}
+    assert got == {"b": ("a", False), "a": ("a", True), "": ("", True), None: ("a", False), "c": ("c", True)}
+    assert {r.doc_id for r in minhash.deduplicated(docs, width=4, percent=80).collect()} == {"a", "", "c"}
+    assert {r.doc_id for r in minhash.deduplicated(docs.filter("doc_id IS NULL"), width=4).collect()} == {None}
+
+
+def test_jobs_hardly_grow_with_the_group(spark):
+    """Four times the near copies in a group take at most one round more."""
+    from pyspark import SparkContext
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+
+    def copies(n):
+        out = []
+        for i in range(n):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(150)] = f"w{rng.randrange(5000)}"
+            out.append((i, " ".join(copy)))
+        return spark.createDataFrame(out, "doc_id long, text string")
+
+    jobs = []
+    for n in (300, 1200):
+        spark.sparkContext.setJobGroup(f"copies-{n}", "")
+        found = minhash.near_duplicates(copies(n), width=4).select("component_id").distinct().count()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"copies-{n}")))
+        assert found < n / 10
+    SparkContext._active_spark_context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= 1.4 * jobs[0]
