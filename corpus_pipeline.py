@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import decontaminate, minhash, mixing, secrets, toxicity
-from docweft.llm.shared import stored
+from docweft.llm.shared import scratch, stored
 
 #: Share of words that texts of each domain are to have, and words to train on for each word kept.
 WEIGHTS = {"good": 0.92, "poor": 0.08}
@@ -62,8 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again before the next."""
+    """Apply all stages to ``documents``; each result is written and read again before the next, and what led to it deleted."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            made.pop()
     return docs

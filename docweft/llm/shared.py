@@ -9,42 +9,69 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none (tests)."""
+    """The shared folder.  Where the session names none, a local session gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docweft-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand at most ``BATCH_ROWS`` rows at a time to Python, so that a task holds a few MB of texts beside its scratch arrays."""
+    """Hand at most ``BATCH_ROWS`` rows at a time to Python, so that a task holds a few MB of texts beside its scratch arrays.
+
+    The session keeps the setting: results are planned and run after their operator has returned.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Paths written inside each open ``scratch``.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/docweft-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete every table that ``stored`` wrote into the shared folder of this session."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end what ``stored`` writes inside; paths taken out of the list that it gives are left."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, pattern: str) -> None:
     jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, "docweft-*")) or []:
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or []:
         fs.delete(status.getPath(), True)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete every table that ``stored`` wrote into the shared folder of this session."""
+    _delete(spark, f"{shared_dir(spark)}/docweft-*")
