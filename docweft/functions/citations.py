@@ -1,51 +1,52 @@
-"""Citations in answers: only markers that point at a given passage stay."""
+"""Citations in answers and marked passages, as columns: a text is cut at its markers and put together again."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_MARKERS = re.compile(r"\[(\d+(?:\s*,\s*\d+)*)\]")
+#: One or more numbers in brackets (fixed pattern), and a single one.
+MARKERS, MARKER = r"\[\d+(?:\s*,\s*\d+)*\]", r"\[\d+\]"
+_CUT, _READ = "\ue000", "\ue001"
 
 
-def verify(answer: str, passages: int) -> tuple[str, list[int]]:
-    """The answer with one bracket a number and without unknown numbers, and the numbers in order of appearance."""
-    order: dict[int, None] = {}
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-    def known(m: re.Match) -> str:
-        numbers = [n for n in map(int, m[1].split(",")) if 0 < n <= passages]
-        order.update(dict.fromkeys(numbers))
-        return "".join(f"[{n}]" for n in numbers)
 
-    text = _MARKERS.sub(known, answer)
-    text = re.sub(r"[ \t]+(?=[.,;:!?])", "", text)
-    return re.sub(r"[ \t]{2,}", " ", text).strip(), list(order)
+def cut_at(c: Column | str, pattern: str) -> Column:
+    """The text cut at the matches of a pattern: elements at odd positions (from 0) are the matches."""
+    plain = F.translate(F.coalesce(_col(c), F.lit("")), _CUT, _READ)
+    return F.split(F.regexp_replace(plain, F.lit(pattern), F.lit(f"{_CUT}$0{_CUT}")), _CUT, -1)
 
 
-VERIFIED = T.StructType([T.StructField("answer", T.StringType()), T.StructField("markers", T.ArrayType(T.IntegerType()))])
+def verified(answer: Column | str, passages: Column | str) -> Column:
+    """struct<answer, markers>: one bracket a number, none of unknown passages; the numbers in order of appearance."""
 
+    def known(piece: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(piece, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int"))
+        return F.filter(numbers, lambda n: (n >= 1) & (n <= _col(passages)))
 
-@F.pandas_udf(VERIFIED)
-def verify_citations(answers: pd.Series, passages: pd.Series) -> pd.DataFrame:
-    rows = [verify(a or "", int(n)) for a, n in zip(answers, passages, strict=True)]
-    return pd.DataFrame({"answer": [r[0] for r in rows], "markers": [r[1] for r in rows]})
+    pieces = F.transform(cut_at(answer, MARKERS), lambda p, i: F.struct(F.when(i % 2 == 0, p).otherwise(F.lit("")).alias("text"), F.when(i % 2 == 1, known(p)).otherwise(F.array().cast("array<int>")).alias("numbers")))
+    shown = F.transform(pieces, lambda p: F.concat(p["text"], F.array_join(F.transform(p["numbers"], lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")))
+    joined = F.regexp_replace(F.array_join(shown, ""), r"[ \t]{2,}", " ")
+    tidy = F.regexp_replace(F.regexp_replace(joined, r"[ \t](?=[.,;:!?])", ""), r"(?U)^\s+|\s+$", "")
+    return F.struct(tidy.alias("answer"), F.array_distinct(F.flatten(F.transform(pieces, lambda p: p["numbers"]))).alias("markers"))
 
 
-def segments(answer: str) -> list[tuple[str, str, int | None]]:
-    """(kind, text, marker) pieces of an answer: text and citations in turn."""
-    out, at = [], 0
-    for m in re.finditer(r"\[(\d+)\]", answer):
-        if m.start() > at:
-            out.append(("text", answer[at : m.start()], None))
-        out.append(("cite", m[0], int(m[1])))
-        at = m.end()
-    return [*out, ("text", answer[at:], None)] if at < len(answer) else out
+def segments(answer: Column | str) -> Column:
+    """array<struct<kind, text, marker>>: the text and the citations of an answer in turn."""
+    pieces = F.transform(cut_at(answer, MARKER), lambda p, i: F.struct(F.when(i % 2 == 1, "cite").otherwise("text").alias("kind"), p.alias("text"), F.when(i % 2 == 1, F.regexp_extract(p, r"\d+", 0).try_cast("int")).alias("marker")))
+    return F.filter(pieces, lambda p: p["text"] != "")
 
 
-def marked(text: str, terms: list[str]) -> list[tuple[int, int]]:
-    """Spans of case-insensitive occurrences of the terms, longest term first."""
-    some = sorted((t.strip() for t in terms if len(t.strip()) > 1), key=len, reverse=True)
-    return [m.span() for m in re.finditer("|".join(map(re.escape, some)), text, re.I)] if some else []
+def marked(text: Column | str, terms: list[str]) -> Column:
+    """array<struct<text, marked>>: the text in turn outside and inside of the terms, in either case, longer terms first."""
+    some = sorted({t.strip() for t in terms if len(t.strip()) > 1}, key=lambda t: (-len(t), t))
+    if not some:
+        return F.array(F.struct(F.coalesce(_col(text), F.lit("")).alias("text"), F.lit(False).alias("marked")))
+    pattern = "(?i)" + "|".join(re.escape(t) for t in some)
+    pieces = F.transform(cut_at(text, pattern), lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("marked")))
+    return F.filter(pieces, lambda p: p["text"] != "")

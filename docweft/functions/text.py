@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweft.params import RETURN_N, RRF_K, SearchParams
+
 #: Names that one operating system reserves for devices (fixed values).
 DEVICE_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 
@@ -96,6 +98,30 @@ def postprocess_answer(c: Column | str) -> Column:
     return truncate_at_word(F.regexp_replace(one, r"\n{3,}", "\n\n"), 3000)
 
 
+def query_error(query: Column | str, top_k: Column | str, weight: Column | str, rrf_k: Column | str, p: SearchParams = SearchParams()) -> Column:
+    """The first rule that a search request breaks, or null: the rules of SearchParams and ``checked_query`` for a table of requests."""
+    size = F.length(F.regexp_replace(F.coalesce(_col(query), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return (
+        F.when(size == 0, "empty_query")
+        .when(size > p.max_query_chars, "query_too_long")
+        .when(~_col(top_k).between(*RETURN_N), "bad_top_k")
+        .when(~_col(weight).between(0, 1), "bad_weight")
+        .when(~_col(rrf_k).between(*RRF_K), "bad_rrf_k")
+    )
+
+
+def query_error(query: Column | str, top_k: Column | str, weight: Column | str, rrf_k: Column | str, p: SearchParams = SearchParams()) -> Column:
+    """The first rule that a search request breaks, or null: the rules of SearchParams and ``checked_query`` for a table of requests."""
+    size = F.length(F.regexp_replace(F.coalesce(_col(query), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return (
+        F.when(size == 0, "empty_query")
+        .when(size > p.max_query_chars, "query_too_long")
+        .when(~_col(top_k).between(*RETURN_N), "bad_top_k")
+        .when(~_col(weight).between(0, 1), "bad_weight")
+        .when(~_col(rrf_k).between(*RRF_K), "bad_rrf_k")
+    )
+
+
 def source_header(marker: Column | str, filename: Column | str, page_start: Column | str, page_end: Column | str, section: Column | str) -> Column:
     """[n] (file, p. a–b, section "s")."""
     a, b, s = _col(page_start), _col(page_end), _col(section)
@@ -124,6 +150,17 @@ def format_bytes(c: Column | str) -> Column:
     return F.when(n < 1024, F.concat(_col(c).cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, shown(n / 1024, "KB")).when(n < 1024**3, shown(n / 1024**2, "MB")).otherwise(shown(n / 1024**3, "GB"))
 
 
+def node_summary(size: Column | str, file_type: Column | str, chunks: Column | str, terms: Column | str, entities: Column | str) -> Column:
+    """A sentence on a document's size, type and chunks, one on up to five terms, one on up to three entities."""
+
+    def listed(lead: str, names: Column, most: int) -> Column:
+        return F.when(F.coalesce(F.size(names), F.lit(0)) > 0, F.concat(F.lit(lead), F.array_join(F.slice(names, 1, most), ", "), F.lit("."))).otherwise(F.lit(""))
+
+    n = _col(chunks)
+    first = F.concat(F.lit("A "), format_bytes(size), F.lit(" "), F.upper(_col(file_type)), F.lit(" split into "), n.cast("string"), F.when(n == 1, F.lit(" chunk.")).otherwise(F.lit(" chunks.")))
+    return F.concat(first, listed(" Mostly about ", _col(terms), 5), listed(" Mentions ", _col(entities), 3))
+
+
 def middle_ellipsis(c: Column | str, most: int) -> Column:
     c, end = _col(c), min(10, (most - 1) // 2)
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.left(c, F.lit(most - 1 - end)), F.lit("…"), F.right(c, F.lit(end))))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +15,17 @@ BLOCK_ROWS = 2048
 
 
 def exact_duplicates(chunks: DataFrame, known: DataFrame | None = None, order: str = "chunk_id") -> DataFrame:
-    """All rows with ``is_duplicate``: the hash is known already, or an earlier row has it."""
-    w = Window.partitionBy("content_hash").orderBy(order)
-    marked = chunks.withColumn("is_duplicate", F.row_number().over(w) > 1)
-    if known is None:
-        return marked
-    seen = known.select("content_hash").distinct().withColumn("_known", F.lit(True))
-    return marked.join(seen, "content_hash", "left").withColumn("is_duplicate", F.col("is_duplicate") | F.coalesce("_known", F.lit(False))).drop("_known")
+    """All rows with ``is_duplicate``: the hash is known already, or an earlier row has it.
+
+    The first row of each hash is found by a partial minimum, so a hash that very many rows
+    have costs no task more than its own rows; a null hash is nobody's duplicate.
+    """
+    first = chunks.groupBy("content_hash").agg(F.min(order).alias("_first"))
+    marked = chunks.join(first, "content_hash", "left").withColumn("is_duplicate", F.coalesce(F.col(order) > F.col("_first"), F.lit(False)))
+    if known is not None:
+        seen = known.select("content_hash").distinct().withColumn("_known", F.lit(True))
+        marked = marked.join(seen, "content_hash", "left").withColumn("is_duplicate", F.col("is_duplicate") | F.coalesce("_known", F.lit(False)))
+    return marked.select(*chunks.columns, "is_duplicate")
 
 
 def _blocks(vectors: DataFrame, key: str, rows: int) -> DataFrame:
@@ -30,6 +35,35 @@ def _blocks(vectors: DataFrame, key: str, rows: int) -> DataFrame:
     return placed.groupBy("block").agg(F.collect_list(F.struct(*vectors.columns)).alias("rows"))
 
 
+def _matrix(column: pa.ListArray, i: int) -> tuple[pa.Array, np.ndarray]:
+    rows = column[i].values
+    return rows.field("id"), rows.field("embedding").flatten().to_numpy().reshape(len(rows), -1).astype(np.float64)
+
+
+def _met(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> DataFrame:
+    """(a, b, sim) of the rows of two tables of blocks whose cosine is above the threshold; ``own``: of one table with itself."""
+    kind = left.schema["rows"].dataType.elementType["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
+    both = left.select(F.col("block").alias("bl"), F.col("rows").alias("rl")).join(right.select(F.col("block").alias("br"), F.col("rows").alias("rr")), F.col("bl") <= F.col("br") if own else F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ia, xa), (ib, xb) = _matrix(batch.column("rl"), i), _matrix(batch.column("rr"), i)
+                sim = xa @ xb.T
+                if own and batch.column("bl")[i] == batch.column("br")[i]:
+                    sim = np.triu(sim, 1)
+                    sim[np.tril_indices(len(sim))] = -np.inf
+                p, q = np.nonzero(sim > threshold)
+                a, b = ia.take(pa.array(p)), ib.take(pa.array(q))
+                if own:
+                    turn = pc.greater(a, b)
+                    a, b = pc.if_else(turn, b, a), pc.if_else(turn, a, b)
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(sim[p, q])], schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, sim) with a < b and cosine above (strictly) the threshold, of (id, embedding) unit vectors.
 
@@ -37,25 +71,13 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows: int = BLOCK_ROWS)
     the threshold leave it.
     """
     blocks = _blocks(vectors.select("id", "embedding"), "id", rows)
-    left, right = (blocks.select(F.col("block").alias(f"b{s}"), F.col("rows").alias(f"r{s}")) for s in "lr")
-    met = left.join(right, F.col("bl") <= F.col("br"))
-    schema = T.StructType([T.StructField("a", vectors.schema["id"].dataType), T.StructField("b", vectors.schema["id"].dataType), T.StructField("sim", T.DoubleType())])
-
-    def matrix(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
-        rows_ = column[i].values
-        return rows_.field("id").to_numpy(), rows_.field("embedding").flatten().to_numpy().reshape(len(rows_), -1)
+    return _met(blocks, blocks, threshold, own=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (ia, xa), (ib, xb) = matrix(batch.column("rl"), i), matrix(batch.column("rr"), i)
-                sim = xa.astype(np.float64) @ xb.astype(np.float64).T
-                p, q = np.nonzero(sim > threshold)
-                keep = (ia[p] != ib[q]) & ((batch.column("bl")[i] != batch.column("br")[i]) | (ia[p] < ib[q]))
-                p, q = p[keep], q[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[p], ib[q])), pa.array(np.maximum(ia[p], ib[q])), pa.array(sim[p, q])], schema.names)
 
-    return met.select("bl", "br", "rl", "rr").mapInArrow(run, schema)
+def near_known(vectors: DataFrame, known: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id) of the vectors with a cosine above the threshold to one of ``known`` (id, embedding)."""
+    left, right = (_blocks(v.select("id", "embedding"), "id", rows) for v in (vectors, known))
+    return _met(left, right, threshold, own=False).select(F.col("a").alias("id")).distinct()
 
 
 def near_duplicates_onepass(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -64,29 +86,33 @@ def near_duplicates_onepass(vectors: DataFrame, threshold: float) -> DataFrame:
     return vectors.select("id").join(later, "id", "left").withColumn("is_near_dup", F.coalesce("is_near_dup", F.lit(False)))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(id, is_near_dup) of the sequential rule: a vector goes if an earlier *kept* one is above the threshold.
+def near_duplicates(vectors: DataFrame, threshold: float, known: DataFrame | None = None) -> DataFrame:
+    """(id, is_near_dup) of the sequential rule: a vector goes if an earlier *kept* one, or one of ``known``, is above the threshold.
 
     A row is decided once all its earlier neighbours are: kept if all of them went, gone
-    if one is kept.  Each round decides the first undecided row of every chain at least.
+    if one is kept.  Each round decides the first undecided row of every chain at least,
+    and goes on with the links between undecided rows only.
     """
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.getCheckpointDir()
+    shared = vectors.sparkSession.sparkContext.getCheckpointDir()
 
     def keep(df: DataFrame) -> DataFrame:
         return df.checkpoint() if shared else df.persist()
 
-    edges = keep(similar_pairs(vectors, threshold).select("a", "b"))
-    state = vectors.select("id", F.lit(None).cast("boolean").alias("gone"))
-    while True:
-        known = state.select(F.col("id").alias("a"), F.col("gone").alias("gone_a"))
-        seen = edges.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.when(~F.col("gone_a"), 1).otherwise(0)).alias("kept_before"), F.max(F.col("gone_a").isNull().cast("int")).alias("open_before"))
-        step = state.join(seen, "id", "left")
-        decided = F.when(F.col("gone").isNotNull(), F.col("gone")).when(F.coalesce("kept_before", F.lit(0)) == 1, F.lit(True)).when(F.coalesce("open_before", F.lit(0)) == 0, F.lit(False))
-        state = keep(step.select("id", decided.alias("gone")))
-        if state.filter("gone IS NULL").isEmpty():
-            break
-    return state.select("id", F.col("gone").alias("is_near_dup"))
+    rows = vectors.select("id", "embedding")
+    gone = near_known(rows, known, threshold) if known is not None else rows.select("id").limit(0)
+    gone = keep(gone)
+    links = keep(similar_pairs(rows.join(gone, "id", "left_anti"), threshold).select("a", "b"))
+    while not links.isEmpty():
+        # rows without an earlier link are kept, and what they link goes, with its own links
+        free = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti")
+        out = keep(links.join(free, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        left = links.join(free, "a", "left_anti").join(out.select(F.col("id").alias("a")), "a", "left_anti").join(out.select(F.col("id").alias("b")), "b", "left_anti")
+        before, links, gone = (links, gone), keep(left.select("a", "b")), keep(gone.union(out))
+        if not shared:
+            links.count(), gone.count()
+            for done in before:
+                done.unpersist()
+    return rows.select("id").join(gone.withColumn("is_near_dup", F.lit(True)), "id", "left").select("id", F.coalesce("is_near_dup", F.lit(False)).alias("is_near_dup"))
 
 
 def vector_ids(kept: DataFrame, stored: DataFrame, order: str = "chunk_id") -> DataFrame:
@@ -100,7 +126,11 @@ def vector_ids(kept: DataFrame, stored: DataFrame, order: str = "chunk_id") -> D
     return out.withColumn("vector_id", F.col("base") + F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before", "base")
 
 
-def ingest_stats(chunks: DataFrame) -> DataFrame:
-    """Chunk, indexed and duplicate counts of each document."""
+def ingest_stats(chunks: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Chunk, indexed and duplicate counts of each document, and with ``events`` (doc_id, ts) the time from its first to its last one."""
     dup = F.sum(F.col("is_duplicate").cast("long"))
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), (F.count("*") - dup).alias("indexed_count"), dup.alias("duplicate_count"))
+    out = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), (F.count("*") - dup).alias("indexed_count"), dup.alias("duplicate_count"))
+    if events is None:
+        return out
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return out.join(events.groupBy("doc_id").agg(((F.max(at) - F.min(at)) / 1000.0).alias("total_ms")), "doc_id", "left")

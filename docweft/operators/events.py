@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: States after which a document sends nothing more (fixed values).
 TERMINAL = ("done", "failed")
@@ -44,39 +45,37 @@ def replay_then_live(replayed: DataFrame, live: DataFrame) -> DataFrame:
     return replayed.unionByName(live).dropDuplicates(["event_id"])
 
 
-@dataclass
-class TokenBucket:
-    """Starts full, refills at rpm / 60 a second up to its capacity."""
+def admitted(empty: float, now: float, rpm: float, capacity: float, cost: float = 1.0) -> tuple[float, bool, float]:
+    """A request at ``now`` to a bucket that fills at rpm / 60 a second: its new state, whether the request passes, and the seconds to wait.
 
-    rpm: float = 6
-    capacity: float | None = None
-    tokens: float | None = None
-    at: float | None = None
-
-    def __post_init__(self):
-        self.capacity = self.rpm if self.capacity is None else self.capacity
-        self.tokens = self.capacity if self.tokens is None else self.tokens
-
-    def take(self, now: float, cost: float = 1.0) -> tuple[bool, float]:
-        """Whether the request passes, and the seconds to wait if it does not."""
-        rate = self.rpm / 60
-        if self.at is not None:
-            self.tokens = min(self.capacity, self.tokens + max(0.0, now - self.at) * rate)
-        self.at = now
-        if self.tokens >= cost:
-            self.tokens -= cost
-            return True, 0.0
-        return False, (cost - self.tokens) / rate
+    The state is one number, the time at which the bucket was or would have been empty: it
+    holds min(capacity, rate (now - empty)) tokens.  A request that passes moves it on by
+    cost / rate.  A full bucket has the state -inf.
+    """
+    rate = rpm / 60
+    empty = max(empty, now - capacity / rate)
+    wait = empty + cost / rate - now
+    return (empty, False, wait) if wait > 1e-9 else (empty + cost / rate, True, 0.0)
 
 
 def rate_limited(requests: DataFrame, rpm: float, capacity: float | None = None, key: str = "doc_id") -> DataFrame:
-    """(event_id, key, allowed, retry_after): a bucket for each key over its requests in order."""
-    schema = f"event_id bigint, {key} {requests.schema[key].dataType.simpleString()}, allowed boolean, retry_after double"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = TokenBucket(rpm, capacity)
-        rows = rows.sort_values("event_id")
-        taken = [bucket.take(t) for t in rows["s"]]
-        return pd.DataFrame({"event_id": rows["event_id"], key: rows[key], "allowed": [a for a, _ in taken], "retry_after": [r for _, r in taken]})
-
-    return requests.select("event_id", key, (_micros() / 1e6).alias("s")).groupBy(key).applyInPandas(fold, schema)
+    """(event_id, key, allowed, retry_after): a bucket for each key over its requests in order.
+
+    Keys are dealt over tasks and come sorted, so a task holds one number, however long a key's history is.
+    """
+    rows = requests.select("event_id", key, (_micros() / 1e6).alias("s")).repartition(key).sortWithinPartitions(key, "event_id")
+    schema = T.StructType([rows.schema["event_id"], rows.schema[key], T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
+    size = float(rpm if capacity is None else capacity)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, empty = object(), 0.0
+        for batch in batches:
+            found = []
+            for k, now in zip(batch.column(key).to_pylist(), batch.column("s").to_pylist(), strict=True):
+                if k != owner:
+                    owner, empty = k, float("-inf")
+                empty, allowed, wait = admitted(empty, now, rpm, size)
+                found.append((allowed, wait))
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column(key), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())], schema.names)
+
+    return rows.mapInArrow(fold, schema)

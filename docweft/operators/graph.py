@@ -2,7 +2,8 @@
 
 Every signal is a table of unordered pairs (a < b).  Pairs of the entity signal come
 from an inverted index and so exist only where something is shared; the semantic signal
-multiplies blocks of vectors and keeps the k best chunk pairs of each document pair.
+multiplies blocks of vectors and keeps the k best chunk pairs of each document pair.  Both
+take the least score that matters, and then give only the pairs that reach it.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.functions.scoring import calibrate, combine, dominant_signal, dot
+from docweft.functions.scoring import calibrate, combine, dominant_signal
 from docweft.functions.text import entity_kept, normalize_entity
 from docweft.params import GraphParams
 
@@ -41,17 +43,38 @@ def with_idf(entities: DataFrame, n_docs: int | DataFrame) -> DataFrame:
     return entities.join(entity_idf(entities, n_docs).select("text", "label", "idf"), ["text", "label"])
 
 
-def entity_overlap(entities: DataFrame, n_docs: int | DataFrame, most: int = 25) -> DataFrame:
-    """(a, b, score, shared): idf-weighted Jaccard and the rarest shared entities of pairs that share one."""
+def _prefixes(e: DataFrame, least: float) -> DataFrame:
+    """Of each document the entities, rarest first, from which on the rest still weighs ``least`` of it all.
+
+    Two documents with an overlap of ``least`` share that much of the mass of each, so the
+    rarest entity that they share is among these of both.
+    """
+    order = Window.partitionBy("doc_id").orderBy(F.desc("idf"), "text", "label")
+    rest = F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing))
+    return e.withColumn("rest", rest).withColumn("mass", F.sum("idf").over(Window.partitionBy("doc_id"))).filter(F.col("rest") >= least * F.col("mass") - 1e-9).select("doc_id", "text", "label")
+
+
+def entity_overlap(entities: DataFrame, n_docs: int | DataFrame, most: int = 25, least: float = 0.0, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, shared): idf-weighted Jaccard and the rarest shared entities of pairs that share one.
+
+    With ``least``, only of pairs with that score: they meet on their rarest entities, never
+    on those that most documents have.  With ``pairs`` (a, b), only of those.
+    """
     e = with_idf(entities, n_docs)
     mass = e.groupBy("doc_id").agg(F.sum("idf").alias("mass"))
     left = e.select(F.col("doc_id").alias("a"), "text", "label", "idf", F.col("count").alias("count_a"))
     right = e.select(F.col("doc_id").alias("b"), "text", "label", F.col("count").alias("count_b"))
+    if pairs is None and least > 0:
+        some = _prefixes(e, least)
+        ends = some.withColumnRenamed("doc_id", "a").join(some.withColumnRenamed("doc_id", "b"), ["text", "label"])
+        pairs = ends.filter("a < b").select("a", "b").distinct()
+    met = left.join(right, ["text", "label"]).filter("a < b") if pairs is None else pairs.select("a", "b").join(left, "a").join(right, ["b", "text", "label"])
     one = F.struct((-F.round("idf", 4)).alias("k"), "text", "label", F.round("idf", 4).alias("idf"), "count_a", "count_b")
-    shared = left.join(right, ["text", "label"]).filter("a < b").groupBy("a", "b").agg(F.sum("idf").alias("both"), F.sort_array(F.collect_list(one)).alias("l"))
+    shared = met.groupBy("a", "b").agg(F.sum("idf").alias("both"), F.sort_array(F.collect_list(one)).alias("l"))  # as many as a document has entities
     listed = F.transform(F.slice("l", 1, most), lambda s: F.struct(s["text"].alias("text"), s["label"].alias("label"), s["idf"].alias("idf"), s["count_a"].alias("count_a"), s["count_b"].alias("count_b")))
     out = shared.join(mass.select(F.col("doc_id").alias("a"), F.col("mass").alias("ma")), "a").join(mass.select(F.col("doc_id").alias("b"), F.col("mass").alias("mb")), "b")
-    return out.select("a", "b", (F.col("both") / (F.col("ma") + F.col("mb") - F.col("both"))).alias("score"), listed.alias("shared"))
+    out = out.select("a", "b", (F.col("both") / (F.col("ma") + F.col("mb") - F.col("both"))).alias("score"), listed.alias("shared"))
+    return out.filter(F.col("score") >= least) if least > 0 else out
 
 
 def top_entities(entities: DataFrame, n_docs: int | DataFrame, most: int | None = None) -> DataFrame:
@@ -62,28 +85,36 @@ def top_entities(entities: DataFrame, n_docs: int | DataFrame, most: int | None
     return rows.select("doc_id", F.transform(picked, lambda s: F.struct(s["text"].alias("text"), s["label"].alias("label"), s["idf"].alias("idf"), s["count"].alias("count"))).alias("entities"))
 
 
-def semantic_overlap_sql(vectors: DataFrame, k: int, floor: float, ceil: float, digits: int | None = None) -> DataFrame:
-    """The signal by a join of all chunk pairs: for small corpora and as the plain statement of what is computed."""
-    left = vectors.select(F.col("doc_id").alias("a"), F.col("chunk_id").alias("ca"), F.col("embedding").alias("x"))
-    right = vectors.select(F.col("doc_id").alias("b"), F.col("chunk_id").alias("cb"), F.col("embedding").alias("y"))
-    sim = dot("x", "y")
-    pairs = left.join(right, F.col("a") < F.col("b")).select("a", "b", "ca", "cb", (F.round(sim, digits) if digits else sim).alias("sim"))
-    return _top_mean(pairs, k, floor, ceil)
+def _cells(da: np.ndarray, db: np.ndarray, sim: np.ndarray, own: bool, k: int, above: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cell) of the k largest entries of each pair of documents, by cell and then by value.
 
-
-def _top_mean(pairs: DataFrame, k: int, floor: float, ceil: float) -> DataFrame:
-    w = Window.partitionBy("a", "b").orderBy(F.desc("sim"), "ca", "cb")
-    best = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-    one = F.struct("r", F.struct(F.col("ca").alias("a"), F.col("cb").alias("b"), F.round("sim", 4).alias("sim")).alias("p"))
-    rows = best.groupBy("a", "b").agg(F.avg("sim").alias("raw"), F.sort_array(F.collect_list(one)).alias("l"))
-    return rows.select("a", "b", "raw", calibrate("raw", floor, ceil).alias("score"), F.transform("l", lambda x: x["p"]).alias("pairs"))
-
-
-def semantic_overlap(vectors: DataFrame, p: GraphParams = GraphParams(), rows: int = BLOCK_ROWS) -> DataFrame:
+    Rows and columns are sorted by document.  ``above`` drops cells without an entry above
+    it: the mean of the k largest is not above it, either.
+    """
+    ka, kb = (np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) for d in (da, db))
+    best = np.maximum.reduceat(np.maximum.reduceat(sim, ka, axis=0), kb, axis=1)
+    live = np.ones_like(best, dtype=bool) if above is None else best > above
+    live &= da[ka][:, None] < db[kb][None, :] if own else da[ka][:, None] != db[kb][None, :]
+    ia, ib = np.repeat(np.arange(len(ka)), np.diff([*ka, len(da)])), np.repeat(np.arange(len(kb)), np.diff([*kb, len(db)]))
+    row, col = np.nonzero(live[ia][:, ib])
+    cell = ia[row] * len(kb) + ib[col]
+    order = np.lexsort((-sim[row, col], cell))
+    row, col, cell = row[order], col[order], cell[order]
+    first = np.searchsorted(cell, cell, "left")
+    top = np.arange(len(cell)) - first < k
+    if above is None and len(cell):  # ties at the last place go by the ids of the chunks
+        last = np.minimum(first + k, np.searchsorted(cell, cell, "right")) - 1
+        top |= sim[row, col] == sim[row[last], col[last]]
+    return row[top], col[top], cell[top]
+
+
+def semantic_overlap(vectors: DataFrame, p: GraphParams = GraphParams(), rows: int = BLOCK_ROWS, least: float | None = None) -> DataFrame:
     """(a, b, raw, score, pairs): the calibrated mean of the k largest cosines of each document pair, by matrix products of blocks.
 
     All vectors of a document are in one block, so the k best pairs are final where they
     are found.  A document larger than ``rows`` vectors makes a block of its own size.
+    With ``least``, only pairs with a larger score leave a block: a product whose largest
+    entry does not reach its raw value is looked at no further.
     """
     n = max(1, -(-vectors.count() // rows))
     blocks = vectors.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "chunk_id", "embedding"))).alias("rows"))
@@ -91,40 +122,29 @@ def semantic_overlap(vectors: DataFrame, p: GraphParams = GraphParams(), rows: i
     met = left.join(right, F.col("bl") <= F.col("br"))
     doc, chunk = vectors.schema["doc_id"].dataType, vectors.schema["chunk_id"].dataType
     schema = T.StructType([T.StructField("a", doc), T.StructField("b", doc), T.StructField("ca", chunk), T.StructField("cb", chunk), T.StructField("sim", T.DoubleType())])
-    k = p.top_k_pairs
-
-    def side(column: pa.ListArray, i: int):
-        r = column[i].values
-        x = r.field("embedding").flatten().to_numpy().reshape(len(r), -1).astype(np.float64)
-        docs = r.field("doc_id").to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
-        return docs, r.field("chunk_id").to_numpy(zero_copy_only=False), x, cuts
+    above = None if least is None else p.semantic_floor + least * (p.semantic_ceil - p.semantic_floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (da, ca, xa, ka), (db, cb, xb, kb) = side(batch.column("rl"), i), side(batch.column("rr"), i)
-                sim = xa @ xb.T
-                out = []
-                for s, e in zip(ka[:-1], ka[1:], strict=True):
-                    for t, f in zip(kb[:-1], kb[1:], strict=True):
-                        if da[s] == db[t] or (batch.column("bl")[i] == batch.column("br")[i] and da[s] > db[t]):
-                            continue
-                        cell = sim[s:e, t:f]
-                        best = np.argsort(-cell.ravel(), kind="stable")[:k]
-                        for c in best:
-                            x, y = s + c // (f - t), t + c % (f - t)
-                            first = (da[s], db[t], ca[x], cb[y]) if da[s] < db[t] else (db[t], da[s], cb[y], ca[x])
-                            out.append((*first, float(sim[x, y])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], type=f.type) for j, f in enumerate(_arrow(schema))], schema.names)
-
-    return _top_mean(met.select("bl", "br", "rl", "rr").mapInArrow(run, schema), k, p.semantic_floor, p.semantic_ceil)
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
+                sides = [batch.column(c)[i].values for c in ("rl", "rr")]
+                x, y = (r.field("embedding").flatten().to_numpy().reshape(len(r), -1).astype(np.float64) for r in sides)
+                (da, db), (ca, cb) = ([r.field(c) for r in sides] for c in ("doc_id", "chunk_id"))
+                names = [d.to_numpy(zero_copy_only=False) for d in (da, db)]
+                sim = x @ y.T
+                row, col, _ = _cells(*names, sim, batch.column("bl")[i] == batch.column("br")[i], p.top_k_pairs, above)
+                flip = pa.array(names[0][row] > names[1][col], pa.bool_())
+                turned = [(left.take(pa.array(row)), right.take(pa.array(col))) for left, right in ((da, db), (ca, cb))]
+                out = [pc.if_else(flip, pair[1 - j], pair[j]) for pair in turned for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(sim[row, col])], schema.names)
+
+    pairs = met.select("bl", "br", "rl", "rr").mapInArrow(run, schema)
+    w = Window.partitionBy("a", "b").orderBy(F.desc("sim"), "ca", "cb")
+    best = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= p.top_k_pairs)
+    one = F.struct("r", F.struct(F.col("ca").alias("a"), F.col("cb").alias("b"), F.round("sim", 4).alias("sim")).alias("p"))
+    means = best.groupBy("a", "b").agg(F.avg("sim").alias("raw"), F.sort_array(F.collect_list(one)).alias("l"))
+    out = means.select("a", "b", "raw", calibrate("raw", p.semantic_floor, p.semantic_ceil).alias("score"), F.transform("l", lambda x: x["p"]).alias("pairs"))
+    return out if least is None else out.filter(F.col("score") > least)
 
 
 def edges(semantic: DataFrame, entity: DataFrame, topic: DataFrame, p: GraphParams = GraphParams()) -> DataFrame:

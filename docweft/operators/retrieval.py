@@ -1,8 +1,9 @@
 """Sparse, dense and hybrid retrieval.
 
 A corpus is (chunk_id, text); a ranking is (chunk_id, score) or (query_id, chunk_id,
-score), best first, ties by chunk_id.  Queries are few and bounded; the corpus is not:
-it is scanned once, never collected, and only rankings of a few rows are broadcast.
+score), best first, ties by chunk_id.  Queries are few and bounded; the corpus is not and
+is never collected.  A sparse index is tokenised and written once: postings in the order
+of their terms, so that a search reads the row groups of its own terms only.
 """
 
 from __future__ import annotations
@@ -19,24 +20,17 @@ from pyspark.sql import types as T
 from docweft.functions.scoring import dot
 from docweft.functions.segments import SPAN, sentence_spans
 from docweft.functions.text import tokenize
-from docweft.params import SearchParams
+from docweft.params import SearchParams, checked_query
+from docweft.sources.store import claimed, committed
 
 #: Okapi BM25 (fixed values): saturation, length share, and the floor of negative idf as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def term_frequencies(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, term, tf, len), of the terms of a small table ``only`` where it is given."""
+def term_frequencies(corpus: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, len)."""
     tokens = corpus.select("chunk_id", tokenize("text").alias("t"))
-    rows = tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    if only is not None:
-        rows = rows.join(F.broadcast(only.select("term").distinct()), "term")
-    return rows.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
-
-
-def document_frequencies(corpus: DataFrame) -> DataFrame:
-    """(term, df): each text's terms are made distinct in its row, so one partial count is all that is shuffled."""
-    return corpus.select(F.explode(F.array_distinct(tokenize("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -52,18 +46,52 @@ def bm25_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def asked_terms(queries: DataFrame) -> list[tuple[int, str, int]]:
     """(query_id, term, times) of a small table of queries."""
-    return queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-
-
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of every pair with a shared term and a positive score; a term counts as often as the query has it."""
-    stats, asked = corpus_stats(corpus), query_terms(queries)
-    idf = bm25_idf(document_frequencies(corpus), stats)
-    hit = term_frequencies(corpus, asked).join(F.broadcast(asked), "term").join(idf.select("term", "idf"), "term").join(F.broadcast(stats))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+    rows = queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return [tuple(r) for r in rows.collect()]
+
+
+class SparseIndex:
+    """A committed version of postings (term, chunk_id, tf, len), vocabulary (term, df, idf) and stats (n, avgdl)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.postings, self.vocabulary, self.stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats"))
+        self.avgdl = self.stats.first().avgdl
+
+    @classmethod
+    def build(cls, corpus: DataFrame, top: str) -> SparseIndex:
+        """Write the next version below a folder; readers see it once its stats are there."""
+        spark = corpus.sparkSession
+        version = claimed(spark, top)
+        path = f"{top}/version={version}"
+        # in ranges of terms, those of one term over several files if it has very many rows
+        term_frequencies(corpus).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").select("term", "chunk_id", "tf", "len").write.parquet(f"{path}/postings")
+        df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        stats = corpus_stats(corpus)
+        bm25_idf(df, stats).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+        stats.write.parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, top: str) -> SparseIndex:
+        """The newest version below a folder."""
+        return cls(spark, f"{top}/version={committed(spark, top, 'stats')[-1]}")
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of every pair with a shared term and a positive score; a term counts as often as the query has it."""
+        asked = asked_terms(queries)
+        terms = sorted({term for _, term, _ in asked})
+        idf = {r.term: r.idf for r in self.vocabulary.filter(F.col("term").isin(terms)).collect()} if terms else {}
+        weighted = self.spark.createDataFrame([(q, term, float(times * idf[term])) for q, term, times in asked if term in idf], T.StructType([queries.schema["query_id"], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
+        hit = self.postings.filter(F.col("term").isin(sorted(idf) or [""])).join(F.broadcast(weighted), "term")  # a row for each term of the queries
+        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (self.avgdl or 1.0)))
+        return hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+
+    def search(self, query: str, n: int = SearchParams.retrieve_n) -> DataFrame:
+        queries = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        return top(self.scores(queries).select("chunk_id", "score"), n)
 
 
 def top(scores: DataFrame, n: int, keys: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
@@ -77,11 +105,6 @@ def top(scores: DataFrame, n: int, keys: tuple[str, ...] = (), digits: int | Non
     return scores.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def bm25_search(corpus: DataFrame, query: str, n: int = SearchParams.retrieve_n) -> DataFrame:
-    queries = corpus.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    return top(bm25_scores(corpus, queries).select("chunk_id", "score"), n)
-
-
 def literal_vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
@@ -195,6 +218,16 @@ def best_sentence(query: str):
     return sentence
 
 
+def hit_segments(text: str, spans: str, sentence: str) -> Column:
+    """array<struct<text, shown>> of a hit: cut at the spans of query terms, else at the best sentence, else the plain text."""
+    chosen = F.when(F.size(spans) > 0, F.col(spans)).when(F.col(f"{sentence}.start").isNotNull(), F.array(F.col(sentence))).otherwise(F.array().cast(T.ArrayType(SPAN)))
+    kind = F.when(F.size(spans) > 0, F.lit("term")).otherwise(F.lit("sentence"))
+    ends = F.concat(F.array(F.lit(0)), F.flatten(F.transform(chosen, lambda s: F.array(s["start"], s["end"]))), F.array(F.length(text)))
+    # the stretches between neighbouring ends are in turn outside and inside of the chosen spans
+    pieces = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda a, i: F.struct(F.substring(F.col(text), a + 1, F.get(ends, i + 1) - a).alias("text"), F.when(i % 2 == 1, kind).otherwise(F.lit("plain")).alias("shown")))
+    return F.filter(pieces, lambda p: p["text"] != "")
+
+
 def hashed_embedding(text: str, dim: int = 64) -> np.ndarray:
     """A unit bag-of-words vector by signed feature hashing: the built-in embedder."""
     import re
@@ -236,10 +269,11 @@ def semantic_sentence(query_vector: np.ndarray, enabled: bool = True):
     return sentence
 
 
-def hybrid_search(spark: SparkSession, chunks: DataFrame, query: str, vector: list[float], p: SearchParams = SearchParams()) -> DataFrame:
+def hybrid_search(index: SparseIndex, chunks: DataFrame, query: str, vector: list[float], p: SearchParams = SearchParams()) -> DataFrame:
     """Dense and sparse top lists, fused, hydrated and reranked: (rank, chunk_id, text, scores)."""
+    query = checked_query(query, p.max_query_chars)
     dense = cosine_topk(chunks, vector, p.retrieve_n)
-    sparse = bm25_search(chunks, query, p.retrieve_n)
+    sparse = index.search(query, p.retrieve_n)
     fused = rrf(dense, sparse, p.rrf_k, p.dense_weight, p.retrieve_n)
     hits = rerank(hydrate(fused, chunks.drop("embedding")), query, p.return_n)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank_score"), "chunk_id")))

@@ -23,6 +23,14 @@ class ChunkParams:
             raise ValueError("target_tokens must be positive and overlap_ratio in [0, 0.5)")
 
 
+#: Least and largest allowed.
+RRF_K, RETURN_N = (1, 1000), (1, 50)
+
+
+#: Least and largest allowed.
+RRF_K, RETURN_N = (1, 1000), (1, 50)
+
+
 @dataclass(frozen=True)
 class SearchParams:
     rrf_k: int = 60
@@ -32,9 +40,9 @@ class SearchParams:
     max_query_chars: int = 1000
 
     def __post_init__(self):
-        _within("rrf_k", self.rrf_k, 1, 1000)
+        _within("rrf_k", self.rrf_k, *RRF_K)
         _within("dense_weight", self.dense_weight, 0, 1)
-        _within("return_n", self.return_n, 1, 50)
+        _within("return_n", self.return_n, *RETURN_N)
 
 
 @dataclass(frozen=True)

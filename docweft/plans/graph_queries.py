@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweft.functions.scoring import calibrate, combine, topic_similarity
-from docweft.operators import answers, graph, topics
+from docweft.operators import answers, dedup, graph, recompute, retrieval, topics
+from docweft.operators.recompute import topic_vectors
 from docweft.params import GraphParams, params_hash
 from docweft.plans.registry import query, table
 from docweft.plans.search_queries import chunk_vectors, query_vector
+from docweft.sources.store import work_dir
 
 #: The test vectors are nearly orthogonal: they need a lower line than the default.
 P = GraphParams(semantic_floor=0.0, semantic_ceil=0.5, top_k_pairs=5)
@@ -19,8 +23,8 @@ ENT = r"""ent AS (SELECT doc_id, text, 'ORG' AS label, count(*) AS count FROM (
   WHERE length(text) >= 3 AND NOT regexp_matches(text, '^[^A-Za-z]+$') GROUP BY 1, 2),
 idf AS (SELECT text, label, count(*) AS df, ln(1 + (SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE)) AS idf FROM ent GROUP BY 1, 2)"""
 #: Suppliers as documents and the parts they sell as entities.
-SP = """ent AS (SELECT l_suppkey AS doc_id, CAST(l_partkey % 500 AS VARCHAR) AS text, 'PART' AS label, count(*) AS count FROM lineitem WHERE l_suppkey <= 60 GROUP BY 1, 2),
-idf AS (SELECT text, label, count(*) AS df, ln(1 + 60 / CAST(count(*) AS DOUBLE)) AS idf FROM ent GROUP BY 1, 2)"""
+SP = """ent AS (SELECT l_suppkey AS doc_id, CAST(l_partkey AS VARCHAR) AS text, 'PART' AS label, count(*) AS count FROM lineitem GROUP BY 1, 2),
+idf AS (SELECT text, label, count(*) AS df, ln(1 + (SELECT count(*) FROM supplier) / CAST(count(*) AS DOUBLE)) AS idf FROM ent GROUP BY 1, 2)"""
 
 
 def entities(spark, d):
@@ -28,8 +32,8 @@ def entities(spark, d):
 
 
 def parts(spark, d):
-    items = table(spark, d, "lineitem").filter("l_suppkey <= 60")
-    return items.groupBy(F.col("l_suppkey").alias("doc_id"), (F.col("l_partkey") % 500).cast("string").alias("text"), F.lit("PART").alias("label")).agg(F.count("*").alias("count"))
+    items = table(spark, d, "lineitem")
+    return items.groupBy(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").cast("string").alias("text"), F.lit("PART").alias("label")).agg(F.count("*").alias("count"))
 
 
 @query("ner_extract", f"WITH {ENT} SELECT doc_id, text, label, CAST(count AS BIGINT) AS count FROM ent")
@@ -59,7 +63,13 @@ SELECT a, b, round(both_ / (ma.mass + mb.mass - both_), 6) AS score, CAST(n AS B
 
 @query("agg_wjaccard", "WITH " + _JACCARD.format(ent=SP))
 def agg_wjaccard(spark, d):
-    return graph.entity_overlap(parts(spark, d), 60, most=100_000).select("a", "b", F.round("score", 6).alias("score"), F.size("shared").cast("long").alias("n"))
+    return graph.entity_overlap(parts(spark, d), table(spark, d, "supplier"), most=100_000).select("a", "b", F.round("score", 6).alias("score"), F.size("shared").cast("long").alias("n"))
+
+
+@query("entity_overlap_least", "WITH x AS (" + "WITH " + _JACCARD.format(ent=ENT) + ") SELECT * FROM x WHERE score >= CAST(0.3 AS DOUBLE)")
+def entity_overlap_least(spark, d):
+    found = graph.entity_overlap(entities(spark, d), table(spark, d, "documents"), most=100_000, least=0.3 - 5e-7)
+    return found.select("a", "b", F.round("score", 6).alias("score"), F.size("shared").cast("long").alias("n"))
 
 
 SHARED = """{ent}, l AS (SELECT x.doc_id AS a, y.doc_id AS b, text, label, round(idf, 4) AS idf, x.count AS count_a, y.count AS count_b,
@@ -73,13 +83,12 @@ def _listed(table_):
 
 @query("entity_overlap", "WITH " + SHARED.format(ent=SP))
 def entity_overlap(spark, d):
-    return _listed(graph.entity_overlap(parts(spark, d), 60))
+    return _listed(graph.entity_overlap(parts(spark, d), table(spark, d, "supplier")))
 
 
-@query("join_entities", "WITH " + SHARED.format(ent=ENT.replace("FROM documents)", "FROM documents WHERE doc_id < 150)")))
+@query("join_entities", "WITH " + SHARED.format(ent=ENT))
 def join_entities(spark, d):
-    some = entities(spark, d).filter("doc_id < 150")
-    return _listed(graph.entity_overlap(some, table(spark, d, "documents")))
+    return _listed(graph.entity_overlap(entities(spark, d), table(spark, d, "documents")))
 
 
 @query("top_entities", f"""WITH {ENT}, l AS (SELECT doc_id, text, round(idf, 4) AS idf, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 4) DESC, text, label) AS r FROM ent JOIN idf USING (text, label))
@@ -100,10 +109,14 @@ def semantic_overlap(spark, d):
     return graph.semantic_overlap(chunk_vectors(spark, d), P).select("a", "b", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
 
 
-@query("agg_topk_mean", f"WITH {SEM} SELECT a, b, round(raw, 6) AS raw FROM sem WHERE a < 10")
+@query("agg_topk_mean", f"WITH {SEM} SELECT a, b, round(raw, 6) AS raw FROM sem")
 def agg_topk_mean(spark, d):
-    found = graph.semantic_overlap_sql(chunk_vectors(spark, d).filter("doc_id < 50"), 5, 0.0, 0.5)
-    return found.filter("a < 10").select("a", "b", F.round("raw", 6).alias("raw"))
+    return graph.semantic_overlap(chunk_vectors(spark, d), P).select("a", "b", F.round("raw", 6).alias("raw"))
+
+
+@query("semantic_overlap_least", f"WITH {SEM} SELECT a, b, round(raw, 6) AS raw FROM sem WHERE raw > CAST(0.2 AS DOUBLE)")
+def semantic_overlap_least(spark, d):
+    return graph.semantic_overlap(chunk_vectors(spark, d), P, least=0.4).select("a", "b", F.round("raw", 6).alias("raw"))
 
 
 @query("join_chunkpairs", f"WITH {SEM} SELECT ca, cb, round(sim, 6) AS sim FROM p WHERE sim > CAST(0.3 AS DOUBLE)")
@@ -122,22 +135,21 @@ def topk_partition(spark, d):
     return rows.select("a", "b", F.col("p.a").alias("ca"), F.col("p.b").alias("cb"), (F.col("r") + 1).cast("long").alias("r"))
 
 
-@query("join_docpairs", "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey AND x.s_nationkey = y.s_nationkey")
+@query("join_docpairs", "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey")
 def join_docpairs(spark, d):
-    s = table(spark, d, "supplier")
-    a, b = (s.select(F.col("s_suppkey").alias(n), "s_nationkey") for n in "ab")
-    return a.join(b, "s_nationkey").filter("a < b").select("a", "b")
+    a, b = (table(spark, d, "supplier").select(F.col("s_suppkey").alias(n)) for n in "ab")
+    return a.join(b, F.col("a") < F.col("b"))
+
 
 
-TYPES = ["click", "purchase", "view", "signup", "logout"]
-DIST = """n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id < 120 GROUP BY 1, 2), kinds AS (SELECT DISTINCT event_type FROM events), users AS (SELECT DISTINCT user_id FROM n),
+DIST = """n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), kinds AS (SELECT DISTINCT event_type FROM events), users AS (SELECT DISTINCT user_id FROM n),
 g AS (SELECT user_id, event_type, coalesce(n, 0) AS n FROM users CROSS JOIN kinds LEFT JOIN n USING (user_id, event_type)),
 dist AS (SELECT user_id, event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS topic, n / CAST(sum(n) OVER (PARTITION BY user_id) AS DOUBLE) AS weight FROM g)"""
 
 
 def distribution(spark, d):
     """Each user's share of the event types, as a document's distribution over topics."""
-    e = table(spark, d, "events").filter("user_id < 120")
+    e = table(spark, d, "events")
     kinds = table(spark, d, "events").select("event_type").distinct().withColumn("topic", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("long"))
     n = e.groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("loading"))
     grid = e.select("user_id").distinct().join(F.broadcast(kinds))  # a handful of event types
@@ -155,21 +167,20 @@ def agg_dominant_topic(spark, d):
     return graph.dominant_topics(distribution(spark, d))
 
 
-def _vectors_of_topics(spark, d):
-    rows = distribution(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("topic", "weight"))).alias("l"))
-    return rows.select("doc_id", F.transform("l", lambda x: x["weight"]).alias("p"))
+TOPIC = """t AS (SELECT x.user_id AS a, y.user_id AS b, x.weight AS p, y.weight AS q FROM dist x JOIN dist y ON x.topic = y.topic AND x.user_id < y.user_id),
+j AS (SELECT a, b, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js FROM t GROUP BY 1, 2),
+top AS (SELECT a, b, 1 - sqrt(greatest(js, CAST(0 AS DOUBLE))) AS score FROM j)"""
 
 
-@query(
-    "topic_similarity",
-    f"""WITH {DIST}, t AS (SELECT x.user_id AS a, y.user_id AS b, x.weight AS p, y.weight AS q FROM dist x JOIN dist y ON x.topic = y.topic AND x.user_id < y.user_id),
-j AS (SELECT a, b, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js FROM t GROUP BY 1, 2)
-SELECT a, b, round(1 - sqrt(greatest(js, CAST(0 AS DOUBLE))), 5) AS score FROM j""",
-)
+def topic_scores(spark, d):
+    v = topic_vectors(distribution(spark, d))
+    a, b = v.select(F.col("doc_id").alias("a"), "p"), v.select(F.col("doc_id").alias("b"), F.col("p").alias("q"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", topic_similarity("p", "q").alias("score"))
+
+
+@query("topic_similarity", f"WITH {DIST}, {TOPIC} SELECT a, b, round(score, 5) AS score FROM top")
 def topic_pairs(spark, d):
-    v = _vectors_of_topics(spark, d)
-    a, b = v.select(F.col("doc_id").alias("a"), F.col("p")), v.select(F.col("doc_id").alias("b"), F.col("p").alias("q"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(topic_similarity("p", "q"), 5).alias("score"))
+    return topic_scores(spark, d).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query("fit_topics")
@@ -233,21 +244,70 @@ def edge_detail(spark, d):
     return graph.edge_between(table_, last.target, last.source).select("source", "target", "combined_score")
 
 
-@query("edge_view", f"WITH {EDGES} SELECT source, target, CAST(row_number() OVER (ORDER BY combined_score DESC, source, target) AS BIGINT) AS position FROM edges ORDER BY position LIMIT 200")
-def edge_view(spark, d):
-    best = edge_table(spark, d).orderBy(F.desc("combined_score"), "source", "target").limit(200)
-    return best.select("source", "target", F.row_number().over(Window.orderBy(F.desc("combined_score"), "source", "target")).cast("long").alias("position"))
+#: A whole graph: vectors, parts and event types as what the documents 0, 1, ... say, all three signals of all pairs.
+Q = GraphParams(semantic_floor=0.0, semantic_ceil=0.5, top_k_pairs=5, edge_threshold=0.3)
+_WHOLE = f"""{SEM}, {SP}, m AS (SELECT doc_id, sum(idf) AS mass FROM ent JOIN idf USING (text, label) GROUP BY 1),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b, text, idf, x.count AS ca, y.count AS cb, row_number() OVER (PARTITION BY x.doc_id, y.doc_id ORDER BY round(idf, 4) DESC, text) AS r FROM ent x JOIN ent y USING (text, label) JOIN idf USING (text, label) WHERE x.doc_id < y.doc_id),
+both_ AS (SELECT a, b, sum(idf) AS both_ FROM l GROUP BY 1, 2),
+es AS (SELECT a, b, both_ / (ma.mass + mb.mass - both_) AS score FROM both_ JOIN m ma ON ma.doc_id = a JOIN m mb ON mb.doc_id = b),
+{DIST}, {TOPIC},
+sig AS (SELECT a, b, coalesce(sem.score, 0) AS s, coalesce(es.score, 0) AS e, coalesce(top.score, 0) AS t FROM sem FULL JOIN es USING (a, b) FULL JOIN top USING (a, b)),
+whole AS (SELECT a AS source, b AS target, s, e, t, CAST(0.5 AS DOUBLE) * s + CAST(0.3 AS DOUBLE) * e + CAST(0.2 AS DOUBLE) * t AS c FROM sig WHERE CAST(0.5 AS DOUBLE) * s + CAST(0.3 AS DOUBLE) * e + CAST(0.2 AS DOUBLE) * t >= CAST(0.3 AS DOUBLE))"""
+
+
+def whole_graph(spark, d):
+    semantic = graph.semantic_overlap(chunk_vectors(spark, d), Q)
+    return graph.edges(semantic, graph.entity_overlap(parts(spark, d), table(spark, d, "supplier")), topic_scores(spark, d), Q)
 
 
-@query("node_view", f"""WITH {DIST}, r AS (SELECT user_id, topic, round(weight, 4) AS weight, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, topic DESC) AS rank FROM dist WHERE weight > 0)
-SELECT user_id AS doc_id, CAST(topic AS BIGINT) AS topic, weight, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 3""")
+@query("edges_whole", f"WITH {_WHOLE} SELECT source, target, round(s, 6) AS s, round(e, 6) AS e, round(t, 6) AS t, round(c, 6) AS c FROM whole")
+def edges_whole(spark, d):
+    short = zip(("semantic_score", "entity_score", "topic_score", "combined_score"), "setc", strict=True)
+    return whole_graph(spark, d).select("source", "target", *(F.col(c).alias(n) for c, n in short))
+
+
+@query("edge_view", f"""WITH {_WHOLE} SELECT source, target, CAST(row_number() OVER (ORDER BY round(c, 6) DESC, source, target) AS BIGINT) AS position,
+  (SELECT string_agg(text || ':' || ca || ':' || cb, ',' ORDER BY r) FROM l WHERE l.a = source AND l.b = target AND r <= 3) AS shared FROM whole""")
+def edge_view(spark, d):
+    listed = recompute.edge_list(whole_graph(spark, d)).withColumn("order", F.struct((-F.col("combined_score")).alias("c"), "source", "target"))
+    ranked = dedup.vector_ids(listed, spark.createDataFrame([], "vector_id bigint"), "order")
+    shared = F.array_join(F.transform("shared_entities", lambda s: F.concat_ws(":", s["text"], s["count_a"].cast("string"), s["count_b"].cast("string"))), ",")
+    return ranked.select("source", "target", (F.col("vector_id") + 1).cast("long").alias("position"), shared.alias("shared"))
+
+
+@query("node_view", f"""WITH {SP}, {DIST}, docs AS (SELECT DISTINCT user_id AS doc_id FROM events),
+r AS (SELECT user_id, topic, round(weight, 4) AS weight, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, topic DESC) AS rank FROM dist WHERE weight > 0),
+tops AS (SELECT user_id, string_agg(topic || ':' || CAST(weight AS DECIMAL(9, 4)), ',' ORDER BY rank) AS topics FROM r WHERE rank <= 3 GROUP BY 1),
+dom AS (SELECT user_id, arg_min(topic, (-weight, topic)) AS dominant_topic FROM dist GROUP BY 1),
+e AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 4) DESC, text) AS r FROM ent JOIN idf USING (text, label)),
+en AS (SELECT doc_id, string_agg(text, ',' ORDER BY r) AS entities FROM e WHERE r <= 10 GROUP BY 1)
+SELECT docs.doc_id, CAST(dominant_topic AS BIGINT) AS dominant_topic, topics, entities FROM docs LEFT JOIN tops ON tops.user_id = docs.doc_id LEFT JOIN dom ON dom.user_id = docs.doc_id LEFT JOIN en ON en.doc_id = docs.doc_id""")
 def node_view(spark, d):
-    return graph.top_topics(distribution(spark, d), 3).withColumn("rank", F.col("rank").cast("long"))
+    docs = table(spark, d, "events").select(F.col("user_id").alias("doc_id"))
+    found = recompute.analyses(docs, parts(spark, d), table(spark, d, "supplier"), distribution(spark, d), [[k] for k in "abcdefgh"], Q)
+    shown = F.array_join(F.transform("topics", lambda x: F.concat_ws(":", x["topic"].cast("string"), x["weight"].cast("decimal(9,4)").cast("string"))), ",")
+    return recompute.node_list(docs.distinct(), found).select("doc_id", F.col("dominant_topic").cast("long").alias("dominant_topic"), shown.alias("topics"), F.array_join(F.transform("entities", lambda e: e["text"]), ",").alias("entities"))
 
 
-@query("agg_graph_meta", f"WITH {EDGES} SELECT CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT source) AS BIGINT) AS sources, max(combined_score) AS best, round(avg(combined_score), 6) AS mean, '{params_hash(GraphParams())}' AS params_hash FROM edges")
+@query("agg_graph_meta", f"WITH {EDGES}, a AS (SELECT o_custkey AS doc_id, max(o_orderdate) AS last_at FROM orders GROUP BY 1) SELECT (SELECT count(*) FROM customer) AS documents, (SELECT max(last_at) FROM a) AS updated_at, (SELECT count(*) FROM customer) <> (SELECT count(*) FROM a) AS stale, CAST(count(*) AS BIGINT) AS edges, CAST(0.5 AS DOUBLE) AS semantic_weight, CAST(0.3 AS DOUBLE) AS entity_weight, CAST(0.2 AS DOUBLE) AS topic_weight, CAST(0.35 AS DOUBLE) AS edge_threshold FROM edges")
 def graph_meta(spark, d):
-    return edge_table(spark, d).agg(F.count("*").alias("edges"), F.countDistinct("source").alias("sources"), F.max("combined_score").alias("best"), F.round(F.avg("combined_score"), 6).alias("mean")).withColumn("params_hash", F.lit(params_hash(GraphParams())))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    analysis = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.max("o_orderdate").alias("updated_at")).withColumn("params_hash", F.lit(params_hash(GraphParams())))
+    return recompute.graph_meta(edge_table(spark, d), analysis, docs, GraphParams())
+
+
+def _recomputed(spark, d) -> recompute.Graph:
+    """The job over the documents' lines as chunks, with vectors of the built-in embedder."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).filter("text <> ''").select("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("chunk_id"), "text")
+    top = f"{work_dir(spark)}/docweft-graph-{uuid.uuid4().hex}"
+    recompute.recompute(spark, chunks, retrieval.embed(chunks).drop("text"), top, GraphParams(semantic_floor=0.8, semantic_ceil=1.0, n_topics=4, edge_threshold=0.5), triggered_by="all")
+    return recompute.Graph(spark, top)
+
+
+@query("graph_recompute")
+def graph_recompute(spark, d):
+    return _recomputed(spark, d).listed_edges().select("source", "target", "combined_score", "dominant_signal", F.size("top_pairs").alias("pairs"), F.size("shared_entities").alias("shared"))
 
 
 HITS = """h AS (SELECT vec_id // 10 AS doc_id, list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50),
@@ -318,14 +378,6 @@ def join_node_attrs(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name").join(n, "doc_id", "left")
 
 
-def _evidence(spark, d):
-    """Edges of the test vectors with top pairs, and entity evidence of their numbers."""
-    sem = graph.semantic_overlap(chunk_vectors(spark, d).filter("doc_id < 30"), P)
-    ent = graph.entity_overlap(parts(spark, d).filter("doc_id < 30"), 60, 6)
-    topic = sem.select("a", "b", F.lit(0.4).alias("score"))
-    return graph.edges(sem, ent, topic, GraphParams(edge_threshold=0.2))
-
-
 @query("join_edge_evidence", f"""WITH {SEM}, e AS (SELECT a, b FROM sem ORDER BY a, b LIMIT 1) SELECT CAST(r - 1 AS BIGINT) AS position, round(sim, 4) AS similarity, 'doc ' || ca AS text_a, 'doc ' || cb AS text_b FROM k JOIN e USING (a, b) WHERE r <= 5 AND ca % 4 <> 3 AND cb % 4 <> 3""")
 def join_edge_evidence(spark, d):
     v = chunk_vectors(spark, d)
@@ -336,23 +388,25 @@ def join_edge_evidence(spark, d):
 
 @query("template_render")
 def template_render(spark, d):
-    e = _evidence(spark, d).withColumn("doc_a", F.concat(F.lit("d"), F.col("source"))).withColumn("doc_b", F.concat(F.lit("d"), F.col("target")))
+    e = whole_graph(spark, d).withColumns({"doc_a": F.concat(F.lit("d"), F.col("source")), "doc_b": F.concat(F.lit("d"), F.col("target"))})
     return e.select("source", "target", answers.template_explanation().alias("explanation"))
 
 
 @query("build_edge_prompt")
 def build_edge_prompt(spark, d):
-    pairs = [("text of a " * 100, "text of b " * 100, s / 10) for s in range(6)]
-    return spark.createDataFrame(answers.explanation_prompt("A", "B", "semantic", pairs, [("zephyrium", "ORG")]), "role string, content string")
+    pairs = [("words of the first " * 100, "words of the second " * 100, s / 10) for s in range(6)]
+    return spark.createDataFrame(answers.explanation_prompt("first.md", "second.md", "semantic", pairs, [("brontide", "ORG")]), "role string, content string")
 
 
 @query("cache_key")
 def cache_key(spark, d):
-    return _evidence(spark, d).select("source", "target", answers.cache_key("template").alias("cache_key"))
+    return whole_graph(spark, d).select("source", "target", answers.cache_key("template").alias("cache_key"))
 
 
-@query("explanation_ladder", f"WITH {EDGES} SELECT source, target FROM edges WHERE NOT (source % 3 = 0 AND target % 2 = 0)")
+@query("explanation_ladder", f"""WITH {EDGES}, s AS (SELECT source, target, source % 3 = 0 AND target % 2 = 0 AS hit FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY source, target) AS r FROM s)
+SELECT source, target, CASE WHEN hit THEN 'cache' WHEN r <= 50 AND target % 5 <> 0 THEN 'llm' ELSE 'template' END AS origin, NOT hit AND r <= 50 AS charged FROM r""")
 def explanation_ladder(spark, d):
-    keyed = edge_table(spark, d).withColumn("cache_key", answers.cache_key("template"))
-    cached = keyed.filter("source % 3 = 0 AND target % 2 = 0").select("cache_key")
-    return answers.cache_misses(keyed, cached).select("source", "target")
+    named = edge_table(spark, d).withColumns({"doc_a": F.col("source").cast("string"), "doc_b": F.col("target").cast("string")})
+    cached = named.filter("source % 3 = 0 AND target % 2 = 0").select(answers.cache_key("small").alias("cache_key"), F.lit("kept").alias("explanation"))
+    said = F.when(F.col("target") % 5 != 0, F.lit("A model's two sentences. On both."))
+    return answers.explained(named, cached, "small", lambda edges: edges.withColumn("generated", said), tokens=50).select("source", "target", "origin", "charged")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import Window
@@ -14,14 +15,14 @@ from docweft.plans.registry import query, table
 from docweft.plans.search_queries import chunk_vectors
 from docweft.sources import files, store
 
-PARAS = ["Para one line.\n\nPara two line.\n\n\n\nPara three.", "single", "", " \n\n a \n \nb"]
-MARKDOWN = "# Alpha\n\nbody of alpha. More of it.\n\n## Beta\nbody right after\n\n# Gamma\n\n#### Deep\n\nlast words."
+TEXT = "A first paragraph.\nOf two lines.\n\n  A second one.\n \t\n\n# no heading in plain text"
+MARKDOWN = "# Tides\n\nTides rise and fall. Twice a day they do.\n\n## Causes\nThe moon pulls.\n\n# Uses\n\n##### Mills\n\nMills turn."
 
 
 def small_docx() -> bytes:
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     para = lambda style, text: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
-    body = para("Title", "A Title") + para("Heading1", "One") + "<w:p><w:r><w:t>Some body text.</w:t></w:r></w:p>" + para("Heading2", "Two") + "<w:p><w:r><w:t>More text.</w:t></w:r></w:p>"
+    body = para("Title", "Of Bees") + para("Heading1", "Hives") + "<w:p><w:r><w:t>Bees live there.</w:t></w:r></w:p>" + para("Heading2", "Frames") + "<w:p><w:r><w:t>They hold combs.</w:t></w:r></w:p>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("[Content_Types].xml", "<Types/>")
@@ -30,7 +31,7 @@ def small_docx() -> bytes:
 
 
 def small_pdf() -> bytes:
-    stream = b"BT /F1 24 Tf 72 700 Td (A Big Heading) Tj ET BT /F1 11 Tf 72 650 Td (Body text of the page that goes on for a while.) Tj 0 -14 Td (A second line of it.) Tj ET"
+    stream = b"BT /F1 24 Tf 72 700 Td (On Lamps) Tj ET BT /F1 11 Tf 72 650 Td (Lamps give light in the evening and the night.) Tj 0 -14 Td (Oil burns in them.) Tj ET"
     objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream)]
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"%%EOF"
 
@@ -40,18 +41,37 @@ def uploads(spark):
     with zipfile.ZipFile(bomb, "w") as z:
         for i in range(202):
             z.writestr(f"f{i}", "x")
-    rows = [("up/a.txt", PARAS[0].encode()), ("up/b.md", MARKDOWN.encode()), ("up/c.docx", small_docx()), ("up/d.pdf", small_pdf()), ("up/e.docx", bomb.getvalue()), ("up/f.txt", b""), ("up/g.pdf", b"plain"), ("up/h.docx", b"PK\x03\x04broken")]
+    rows = [("up/a.txt", TEXT.encode()), ("up/b.md", MARKDOWN.encode()), ("up/c.docx", small_docx()), ("up/d.pdf", small_pdf()), ("up/e.docx", bomb.getvalue()), ("up/f.txt", b""), ("up/g.pdf", b"plain"), ("up/h.docx", b"PK\x03\x04broken")]
     return spark.createDataFrame(rows, "path string, content binary")
 
 
-def _values(rows) -> str:
-    return ", ".join(f"({i}, '{r}')" for i, r in enumerate(r.replace("\n", "\\n") for r in rows))
+#: The documents' lines as paragraphs, and the same with every fourth line as a heading.
+LINES = r"l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, p FROM (SELECT doc_id, regexp_replace(unnest(ls), '^\s+|\s+$', '', 'g') AS p, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE p <> '')"
+HEADED = LINES + r", h AS (SELECT doc_id, i, i % 4 = 1 AS heading, CASE WHEN i % 4 = 1 THEN regexp_replace(left(p, 20), '\s+$', '') ELSE p END AS p FROM l)"
+_PLACED = "CAST(coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start"
 
 
-@query("src_text", f"""SELECT CAST(i AS BIGINT) AS i, trim(p, chr(10) || ' ') AS paragraph FROM (SELECT i, unnest(regexp_split_to_array(replace(s, '\\n', chr(10)), '\\n\\s*\\n')) AS p FROM (VALUES {_values(PARAS)}) v(i, s)) WHERE trim(p, chr(10) || ' ') <> ''""")
+def lines(spark, d):
+    """(doc_id, lines): the trimmed lines of each document that are not empty."""
+    trimmed = F.transform(F.split("text", "\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    return table(spark, d, "documents").select("doc_id", F.filter(trimmed, lambda p: p != "").alias("lines"))
+
+
+def as_files(spark, d, markdown: bool):
+    """A file of each document, with a blank line between its lines."""
+    heading = lambda p, i: F.when(i % 4 == 0, F.concat(F.lit("## "), F.left(p, F.lit(20)))).otherwise(p)
+    body = F.array_join(F.transform("lines", heading) if markdown else F.col("lines"), "\n\n")
+    return lines(spark, d).select("doc_id", body.cast("binary").alias("content"), F.lit("md" if markdown else "txt").alias("file_type"))
+
+
+def _blocks(spark, d, markdown: bool):
+    found = files.extracted(as_files(spark, d, markdown), "doc_id")
+    return found.select("doc_id", F.posexplode("blocks").alias("i", "b")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "b.*")
+
+
+@query("src_text", f"WITH {LINES} SELECT doc_id, i, p AS text, {_PLACED} FROM l")
 def src_text(spark, d):
-    rows = spark.createDataFrame(list(enumerate(PARAS)), "i bigint, s string")
-    return rows.select("i", F.explode(F.split("s", r"\n\s*\n")).alias("p")).select("i", F.btrim("p", F.lit("\n ")).alias("paragraph")).filter("paragraph <> ''")
+    return _blocks(spark, d, False).select("doc_id", "i", "text", "start")
 
 
 def _extracted(spark, name: str):
@@ -89,37 +109,32 @@ def verify_docx_zip(spark, d):
     return uploads(spark).filter("path LIKE '%.docx'").select("path", files.verify_zip("content").alias("error"))
 
 
-@query("section_path", "SELECT * FROM (VALUES (0, 'Alpha'), (1, 'Alpha'), (2, 'Alpha > Beta'), (3, 'Alpha > Beta'), (4, 'Gamma'), (5, 'Gamma > Deep'), (6, 'Gamma > Deep')) v(pos, section)")
+@query("section_path", "SELECT * FROM (VALUES (0, 'Tides'), (1, 'Tides'), (2, 'Tides > Causes'), (3, 'Tides > Causes'), (4, 'Uses'), (5, 'Uses > Mills'), (6, 'Uses > Mills')) v(pos, section)")
 def section_path(spark, d):
     md = spark.createDataFrame([("m", MARKDOWN.encode(), "md")], "path string, content binary, file_type string")
     return files.extracted(md).select(F.posexplode("blocks").alias("pos", "b")).select("pos", "b.section")
 
 
-LINES = "l AS (SELECT doc_id, i, p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE p <> '')"
-
-
-def lines(spark, d):
-    split = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p"))
-    return split.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "p").filter("p <> ''")
+_SECTIONS = "g AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h), s AS (SELECT *, first_value(p) OVER (PARTITION BY doc_id, n ORDER BY i) AS section FROM g)"
 
 
-@query("doc_builder", f"WITH {LINES} SELECT doc_id, i, CAST(coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(p) AS BIGINT) AS size FROM l")
+@query("doc_builder", f"WITH {HEADED}, {_SECTIONS} SELECT doc_id, i, {_PLACED}, CAST(length(p) AS INTEGER) AS size, section, CASE WHEN heading THEN 2 END AS heading FROM s")
 def doc_builder(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return lines(spark, d).select("doc_id", "i", F.coalesce(F.sum(F.length("p") + 2).over(w), F.lit(0)).alias("start"), F.length("p").cast("long").alias("size"))
+    return _blocks(spark, d, True).select("doc_id", "i", "start", (F.col("end") - F.col("start")).alias("size"), "section", "heading")
 
 
-@query("chunk_sections", f"WITH {LINES} SELECT doc_id, i, CAST(sum(CASE WHEN length(p) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS section FROM l")
+@query("chunk_sections", rf"WITH {HEADED}, {_SECTIONS} SELECT doc_id, CAST(n - 1 AS INTEGER) AS chunk_index, any_value(section) AS section, CAST(sum(len(regexp_extract_all(p, '[^ \t\n\r\f\v]+'))) AS INTEGER) AS token_count FROM s GROUP BY doc_id, n")
 def chunk_sections(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return lines(spark, d).select("doc_id", "i", F.sum((F.length("p") < 60).cast("long")).over(w).alias("section"))
+    """With room for any section, each is one chunk."""
+    md = as_files(spark, d, True).select("doc_id", F.col("content").cast("string").alias("text"))
+    return files.chunked(md, "doc_id", markdown=True, target=1 << 30, ratio=0.0).select("doc_id", "chunk_index", "section", "token_count")
 
 
 @query("chunk_units")
 def chunk_units(spark, d):
     from docweft.functions.segments import split_sentences
 
-    return lines(spark, d).select("doc_id", "i", F.explode(split_sentences("p")).alias("s")).select("doc_id", "i", "s.start", "s.end")
+    return lines(spark, d).select("doc_id", F.posexplode("lines").alias("i", "p")).select("doc_id", "i", F.explode(split_sentences("p")).alias("s")).select("doc_id", "i", "s.start", "s.end")
 
 
 @query("chunk_pack")
@@ -127,6 +142,16 @@ def chunk_pack(spark, d):
     return files.chunked(table(spark, d, "documents"), "doc_id", target=200).drop("text")
 
 
+#: Every document as its words, in runs of eight: without full stops each document is one unit that does not fit.
+_RUNS = r"w AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[.!?]', ' ', 'g'), '[^ \t\n\r\f\v]+') AS ws FROM documents), n AS (SELECT doc_id, ws, unnest(range(0, (len(ws) + 7) // 8)) AS i FROM w)"
+
+
+@query("chunk_oversized_words", f"WITH {_RUNS} SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(ws[8 * i + 1 : 8 * i + 8]) AS INTEGER) AS token_count, sha256(lower(array_to_string(ws[8 * i + 1 : 8 * i + 8], ' '))) AS content_hash FROM n")
+def chunk_oversized_words(spark, d):
+    plain = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[.!?]", " "), r"\s+", " ").alias("text"))
+    return files.chunked(plain, "doc_id", target=8, ratio=0.0).select("doc_id", "chunk_index", "token_count", "content_hash")
+
+
 @query("chunk_oversized")
 def chunk_oversized(spark, d):
     return files.chunked(table(spark, d, "documents"), "doc_id", target=8, ratio=0.0).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("token_count").alias("most"))
@@ -179,11 +204,23 @@ def near_dup_onepass(spark, d):
     return dedup.near_duplicates_onepass(vectors(spark, d), 0.35)
 
 
-@query("near_dup_sequential")
+@query("near_dup_sequential", """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+p AS (SELECT x.n AS a, y.n AS b FROM v x JOIN v y ON x.n < y.n AND list_inner_product(x.e, y.e) > CAST(0.3 AS DOUBLE)),
+e AS (SELECT b, list(a) AS near FROM p GROUP BY 1),
+k AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, false AS gone UNION ALL
+  SELECT k.n + 1, CASE WHEN list_has_any(coalesce(e.near, []), k.kept) THEN k.kept ELSE list_append(k.kept, k.n + 1) END, list_has_any(coalesce(e.near, []), k.kept) FROM k LEFT JOIN e ON e.b = k.n + 1 WHERE k.n < (SELECT count(*) FROM v))
+SELECT v.vec_id AS id, k.gone AS is_near_dup FROM k JOIN v USING (n)""")
 def near_dup_sequential(spark, d):
     return dedup.near_duplicates(vectors(spark, d), 0.3)
 
 
+@query("near_dup_known", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT DISTINCT x.vec_id AS id FROM v x JOIN v y ON x.vec_id % 2 = 1 AND y.vec_id % 2 = 0 AND list_inner_product(x.e, y.e) > CAST(0.35 AS DOUBLE)""")
+def near_dup_known(spark, d):
+    """Candidates against what is indexed: the odd vectors against the even ones."""
+    v = vectors(spark, d)
+    return dedup.near_known(v.filter("id % 2 = 1"), v.filter("id % 2 = 0"), 0.35)
+
+
 @query("vector_id_alloc", "SELECT c_custkey, CAST((SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS vector_id FROM customer WHERE c_acctbal > 0")
 def vector_id_alloc(spark, d):
     kept = table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey")
@@ -191,16 +228,23 @@ def vector_id_alloc(spark, d):
     return dedup.vector_ids(kept, stored, "c_custkey").select("c_custkey", F.col("vector_id").cast("long").alias("vector_id"))
 
 
-@query("agg_ingest_stats", f"WITH {LINES}, m AS (SELECT doc_id, row_number() OVER (PARTITION BY sha256(lower(p)) ORDER BY doc_id, i) > 1 AS dup FROM l) SELECT doc_id, CAST(count(*) AS BIGINT) AS chunk_count, CAST(count(*) FILTER (NOT dup) AS BIGINT) AS indexed_count, CAST(count(*) FILTER (dup) AS BIGINT) AS duplicate_count FROM m GROUP BY 1")
+@query("agg_ingest_stats", f"WITH {LINES}, m AS (SELECT doc_id, row_number() OVER (PARTITION BY sha256(lower(p)) ORDER BY doc_id, i) > 1 AS dup FROM l), t AS (SELECT user_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000 AS total_ms FROM events GROUP BY 1) SELECT doc_id, CAST(count(*) AS BIGINT) AS chunk_count, CAST(count(*) FILTER (NOT dup) AS BIGINT) AS indexed_count, CAST(count(*) FILTER (dup) AS BIGINT) AS duplicate_count, round(any_value(total_ms), 3) AS total_ms FROM m LEFT JOIN t ON user_id = doc_id GROUP BY 1")
 def agg_ingest_stats(spark, d):
-    w = Window.partitionBy(F.sha2(F.lower("p"), 256)).orderBy("doc_id", "i")
-    return dedup.ingest_stats(lines(spark, d).withColumn("is_duplicate", F.row_number().over(w) > 1))
+    rows = lines(spark, d).select("doc_id", F.posexplode("lines").alias("i", "p")).select("doc_id", F.struct("doc_id", "i").alias("chunk_id"), F.sha2(F.lower("p"), 256).alias("content_hash"))
+    return dedup.ingest_stats(dedup.exact_duplicates(rows), log(spark, d)).withColumn("total_ms", F.round("total_ms", 3))
+
+
+def brand_files(spark, d):
+    """A PDF of each brand that names its parts, each in the font size of the part."""
+    shown = F.concat(F.lit("BT /F1 "), F.col("p_size").cast("string"), F.lit(" Tf ("), "p_name", F.lit(") Tj ET"))
+    stream = table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(shown)), "\n").alias("s"))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Page /Contents 2 0 R >> endobj\n2 0 obj << >>\nstream\n"), "s", F.lit("\nendstream\nendobj\n%%EOF"))
+    return stream.select(F.col("p_brand").alias("path"), body.cast("binary").alias("content"))
 
 
-@query("agg_font_census", "SELECT p_size, CAST(sum(length(p_name)) AS BIGINT) AS mass FROM part GROUP BY 1 ORDER BY mass DESC, p_size LIMIT 1")
+@query("agg_font_census", "SELECT p_brand AS path, CAST(p_size AS DOUBLE) AS size, CAST(sum(length(p_name)) AS BIGINT) AS mass FROM part GROUP BY 1, 2")
 def agg_font_census(spark, d):
-    mass = table(spark, d, "part").groupBy("p_size").agg(F.sum(F.length("p_name")).alias("mass"))
-    return mass.orderBy(F.desc("mass"), "p_size").limit(1)
+    return files.font_masses(brand_files(spark, d))
 
 
 @query("agg_max_vector_id", "SELECT coalesce(max(vec_id), -1) AS a, coalesce(max(vec_id) FILTER (vec_id < 0), -1) AS b FROM embeddings")
@@ -303,10 +347,11 @@ def sse_replay_live(spark, d):
     return events.replay_then_live(one.filter("event_id < 5000"), one.filter("event_id > 3000"))
 
 
-@query("graph_events", "SELECT user_id AS doc_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type = 'purchase') WHERE r <= 5")
+@query("graph_events", "SELECT * FROM (VALUES (0, 'graph_start'), (1, 'graph_progress'), (2, 'graph_progress'), (3, 'graph_progress'), (4, 'graph_done')) v(position, status)")
 def graph_events(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("event_id")
-    return log(spark, d).filter("event_type = 'purchase'").withColumn("r", F.row_number().over(w)).filter("r <= 5").select("doc_id", "event_id")
+    from docweft.plans.graph_queries import _recomputed
+
+    return _recomputed(spark, d).events.select("position", "status")
 
 
 @query("restart_recovery", "SELECT user_id AS doc_id FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) NOT IN ('purchase', 'click')")
@@ -318,13 +363,92 @@ def restart_recovery(spark, d):
     return recovered(e.groupBy("doc_id").agg(F.min("ts").alias("created_at")), e.select("doc_id", "event_id", status.alias("status"))).select("doc_id")
 
 
-@query("token_bucket")
+@query("restart_wipe", "WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM last WHERE t NOT IN ('purchase', 'click'))")
+def restart_wipe(spark, d):
+    """Rows of documents that start again go first."""
+    from docweft.streaming.jobs import wiped
+
+    return wiped(table(spark, d, "orders").withColumnRenamed("o_custkey", "doc_id"), restart_recovery(spark, d)).select("o_orderkey")
+
+
+@query("restart_mismatch", "SELECT s_suppkey AS doc_id FROM supplier WHERE s_acctbal > 0 AND (SELECT count(*) FROM part) <> (SELECT count(*) FROM customer)")
+def restart_mismatch(spark, d):
+    """Chunks with a vector id and vectors that are not as many: all done documents are reset."""
+    from docweft.streaming.jobs import to_reset
+
+    chunks, stored = table(spark, d, "part").select(F.col("p_partkey").alias("vector_id")), table(spark, d, "customer")
+    docs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(F.col("s_acctbal") > 0, "done").otherwise("failed").alias("status"))
+    return to_reset(chunks, stored, docs).select("doc_id")
+
+
+@query("token_bucket", """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, n, event_id, s, CAST(6 AS DOUBLE) - 1 AS left_, true AS allowed, CAST(0 AS DOUBLE) AS retry_after FROM r WHERE n = 1 UNION ALL
+  SELECT user_id, n, event_id, s, CASE WHEN have >= 1 - 1e-10 THEN have - 1 ELSE have END, have >= 1 - 1e-10, CASE WHEN have >= 1 - 1e-10 THEN 0 ELSE (1 - have) * 10 END
+  FROM (SELECT r.user_id, r.n, r.event_id, r.s, least(6, f.left_ + greatest(0, r.s - f.s) / 10) AS have FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))
+SELECT user_id AS doc_id, event_id, allowed, round(retry_after, 3) AS retry_after FROM f""")
 def token_bucket(spark, d):
-    return events.rate_limited(log(spark, d), 6)
+    return events.rate_limited(log(spark, d), 6).withColumn("retry_after", F.round("retry_after", 3))
+
+
+@query("repo_create", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT DISTINCT o_custkey + 1000000, 'new' FROM orders WHERE o_orderstatus = 'F'")
+def repo_create(spark, d):
+    old = table(spark, d, "customer").select("c_custkey", "c_name")
+    new = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 1000000)).alias("c_custkey"), F.lit("new").alias("c_name"))
+    made, refused = store.Keyed(old, "c_custkey").created(new.join(old.select("c_custkey"), "c_custkey", "left_semi").union(new.filter("c_custkey >= 1000000")))
+    return made.rows
+
+
+@query("repo_conflicts", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey")
+def repo_conflicts(spark, d):
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    old = table(spark, d, "customer").select("c_custkey", F.lit(0).cast("bigint").alias("o_orderkey"))
+    return store.Keyed(old, "c_custkey").created(new)[1].select("o_orderkey")
+
 
+@query("repo_update_status", "SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'done' ELSE c_mktsegment END AS status FROM customer")
+def repo_update_status(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("status"))
+    changes = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.lit("done").alias("status")).distinct()
+    return store.Keyed(rows, "c_custkey").updated(changes).rows
 
-@query("ingest_pipeline")
+
+@query("repo_delete_by", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def repo_delete_by(spark, d):
+    gone = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return store.Keyed(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey", "l_linenumber").deleted(gone, "l_suppkey").rows.drop("l_suppkey")
+
+
+@query("events_append", "SELECT event_id, event_type FROM events UNION ALL SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY o_orderkey), 'queued' FROM orders")
+def events_append(spark, d):
+    log_ = table(spark, d, "events").select("event_id", "event_type")
+    new = table(spark, d, "orders").select("o_orderkey", F.lit("queued").alias("event_type"))
+    return store.appended(log_, new, "o_orderkey")
+
+
+@query("repo_existing_hashes", "SELECT DISTINCT sha256(p_name) AS content_hash FROM part WHERE p_partkey % 3 = 0 AND sha256(p_name) IN (SELECT sha256(p_name) FROM part WHERE p_partkey % 3 = 1)")
+def repo_existing_hashes(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("content_hash"))
+    return rows.filter("p_partkey % 3 = 0").join(rows.filter("p_partkey % 3 = 1"), "content_hash", "left_semi").select("content_hash").distinct()
+
+
+@query("ingest_pipeline", r"""WITH c AS (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'))) AS content_hash, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS token_count FROM documents WHERE regexp_matches(text, '\S')),
+d AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 AS is_duplicate FROM c)
+SELECT doc_id, CAST(token_count AS INTEGER) AS token_count, content_hash, is_duplicate, CASE WHEN NOT is_duplicate THEN CAST(row_number() OVER (PARTITION BY is_duplicate ORDER BY doc_id) - 1 AS BIGINT) END AS vector_id FROM d""")
 def ingest_pipeline(spark, d):
-    from docweft.streaming.jobs import chunk_files
+    """Chunking, exact duplicates, embedding and ids; near ones, which the embedder decides, are left in here and tested on their own."""
+    from docweft.params import ChunkParams
+    from docweft.streaming.jobs import default_embedder, indexed
+
+    chunks = files.chunked(table(spark, d, "documents"), "doc_id", target=1 << 30, ratio=0.0).withColumn("chunk_id", F.col("doc_id"))
+    return indexed(chunks, default_embedder, ChunkParams(near_dup_cosine=1.0)).select("doc_id", "token_count", "content_hash", "is_duplicate", "vector_id")
+
+
+@query("ingest_job")
+def ingest_job(spark, d):
+    """The files below a folder through all stages of the job, as its tables show them."""
+    from docweft.streaming.jobs import Tables, process
 
-    return chunk_files(files.validated_uploads(uploads(spark))).select("path", "error", "chunk_index", "section", "token_count")
+    top = f"{store.work_dir(spark)}/docweft-ingest-{uuid.uuid4().hex}"
+    rows = uploads(spark).withColumns({"modificationTime": F.timestamp_seconds(F.lit(0)), "length": F.length("content").cast("long")})
+    process(spark, rows, top, 0)
+    return Tables(spark, top).documents().select("path", "status", "error", "chunk_count", "indexed_count", "duplicate_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from docweft.functions.scoring import dot
 from docweft.operators import answers, retrieval
 from docweft.params import SearchParams
 from docweft.plans.registry import query, table
+from docweft.sources.store import fingerprint, work_dir
 
 QUERY = "licensed under the worthless terms of trash, trash and scum"
 MANY = ["apache license version", "all rights reserved", "idiot clown", "token password secret", "der die das und"]
@@ -26,6 +29,17 @@ def chunk_vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 10).cast("bigint").alias("doc_id"), "embedding")
 
 
+_indexes: dict[tuple, retrieval.SparseIndex] = {}
+
+
+def sparse_index(spark, d) -> retrieval.SparseIndex:
+    """The index of the documents: built once in a session for the files as they are, and read by every search."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{d}/documents.parquet"))
+    if key not in _indexes:
+        _indexes[key] = retrieval.SparseIndex.build(corpus(spark, d), f"{work_dir(spark)}/docweft-index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def query_vector(spark, d) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings").filter("vec_id = 0").first().embedding]
 
@@ -59,13 +73,12 @@ def bm25_stats(spark, d):
 
 @query("bm25_idf", f"WITH {STATS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
-    docs = corpus(spark, d)
-    return retrieval.bm25_idf(retrieval.document_frequencies(docs), retrieval.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse_index(spark, d).vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _sparse(spark, d, queries=(QUERY,), n=30):
     q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-    return retrieval.top(retrieval.bm25_scores(corpus(spark, d), q), n, ("query_id",), digits=6)
+    return retrieval.top(sparse_index(spark, d).scores(q), n, ("query_id",), digits=6)
 
 
 @query("bm25_search", f"WITH {BM25} SELECT chunk_id, score, rank FROM sparse WHERE rank <= 30")
@@ -78,6 +91,17 @@ def bm25_many(spark, d):
     return _sparse(spark, d, MANY, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("index_snapshot_swap", f"WITH {STATS} SELECT term, CAST(df AS BIGINT) AS df FROM df")
+def index_snapshot_swap(spark, d):
+    """A second version takes the place of the first, of half of the documents, once it is whole."""
+    top, docs = f"{work_dir(spark)}/docweft-index-{uuid.uuid4().hex}", corpus(spark, d)
+    half = retrieval.SparseIndex.build(docs.filter("chunk_id % 2 = 0"), top)
+    before = half.vocabulary.count()
+    retrieval.SparseIndex.build(docs, top)
+    assert half.vocabulary.count() == before  # a reader keeps the version that it opened
+    return retrieval.SparseIndex.open(spark, top).vocabulary.select("term", "df")
+
+
 def _dense(spark, d, n=30):
     score = F.round(dot("embedding", retrieval.literal_vector(query_vector(spark, d))), 6)
     return retrieval.top(chunk_vectors(spark, d).select("chunk_id", score.alias("score")), n)
@@ -98,10 +122,17 @@ def cosine_filtered(spark, d):
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("cosine_topk_many")
+@query(
+    "cosine_topk_many",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS chunk_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 5) AS score FROM r WHERE rank <= 10""",
+)
 def cosine_many(spark, d):
-    block = np.array([[float(x) for x in r.embedding] for r in table(spark, d, "embeddings").filter("vec_id < 20").orderBy("vec_id").collect()])
-    return retrieval.cosine_topk_many(chunk_vectors(spark, d), block, 10)
+    asked = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select("vec_id", "embedding").orderBy("vec_id").toArrow()  # the stated query set
+    block = np.array([x.as_py() for x in asked.column("embedding")], dtype=np.float64)
+    ids = spark.createDataFrame([(i, v.as_py()) for i, v in enumerate(asked.column("vec_id"))], "query_id int, query bigint")
+    found = retrieval.cosine_topk_many(chunk_vectors(spark, d), block, 10)
+    return found.join(F.broadcast(ids), "query_id").select("query", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 def _rrf(weight: float) -> str:
@@ -247,13 +278,25 @@ def running_budget(spark, d):
     return _context(spark, d).agg(F.count("*").alias("included"), F.max("running").alias("used"))
 
 
-@query("answer_ladder", """SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'no_evidence' WHEN turn % 2 = 0 OR trim(text) = '' THEN 'unavailable' ELSE 'llm' END AS status FROM conversations""")
+#: Questions of which the last has no hit at all; the third gets no answer from the model, and the fourth an empty one.
+ASKED = [*MANY[:4], "zzqqzz xxyyxx"]
+
+
+@query(
+    "answer_ladder",
+    f"""WITH {_scores(ASKED)}, n AS (SELECT query_id, count(*) AS n FROM sparse WHERE rank <= 6 GROUP BY 1), q0 AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) v(query_id))
+SELECT CAST(query_id AS INTEGER) AS query_id, CAST(coalesce(n, 0) AS BIGINT) AS hits, CASE WHEN n IS NULL THEN 'no_evidence' WHEN query_id IN (2, 3) THEN 'unavailable' ELSE 'llm' END AS status FROM q0 LEFT JOIN n USING (query_id)""",
+)
 def answer_ladder(spark, d):
-    generated = F.when(F.col("turn") % 2 != 0, F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", answers.answer_status(F.col("conv_id") % 5, generated).alias("status"))
+    questions = spark.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")
+    hits = _sparse(spark, d, ASKED, 6).groupBy("query_id").agg(F.count("*").alias("hits"))
+    said = F.when(F.col("query_id") == 2, F.lit(None)).when(F.col("query_id") == 3, F.lit("  ")).otherwise(F.concat(F.lit("It is so [1]: "), "query"))
+    both = questions.join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return both.select("query_id", "hits", answers.answer_status(F.col("hits"), said).alias("status"))
 
 
-@query("llm_complete")
+@query("llm_complete", "SELECT 'llm' AS status, 'It is [1] and, from 2 messages.' AS answer, CAST(1 AS INTEGER) AS citations")
 def llm_complete(spark, d):
-    found = answers.answer("What is licensed?", _context(spark, d).drop("marker", "block", "running"), lambda messages: f"It is [1] and [99], from {len(messages)} messages.")
+    model = answers.Model(lambda messages: f"It is [1] and [99], from {len(messages)} messages.")
+    found = answers.answer("What is licensed?", _context(spark, d).drop("marker", "block", "running"), model)
     return spark.createDataFrame([(found["status"], found["answer"], len(found["citations"]))], "status string, answer string, citations int")

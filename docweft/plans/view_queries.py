@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweft.functions import scoring as s
 from docweft.functions import text as t
 from docweft.functions.citations import marked
-from docweft.operators import graph
-from docweft.plans.graph_queries import EDGES, RAW, distribution, edge_table, entities, raw_edges
+from docweft.operators import graph, retrieval
+from docweft.plans.graph_queries import DIST, EDGES, ENT, RAW, distribution, edge_table, entities, raw_edges
+from docweft.plans.search_queries import QUERY, corpus
 from docweft.plans.registry import query, table
 
 
@@ -67,52 +67,51 @@ def canonical_pair(spark, d):
     return raw_edges(spark, d).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def djb2(ids) -> str:
-    """A short order-free key of a set of ids."""
-    h = 5381
-    for c in "|".join(sorted(ids)):
-        h = (h * 33 + ord(c)) & 0xFFFFFFFF
-    digits = ""
-    while True:
-        h, r = divmod(h, 36)
-        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + digits
-        if not h:
-            return digits
+def corpus_key_of(ids):
+    """A short order-free key of an array of ids: a running hash times 33 over their sorted text, modulo 2**32, in base 36."""
+    text = F.array_join(F.array_sort(ids), "|")
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    hashed = F.aggregate(codes, F.lit(5381).cast("bigint"), lambda h, c: F.pmod(h * 33 + c, F.lit(1 << 32)))
+    return F.lower(F.conv(hashed.cast("string"), 10, 36))
 
 
-@query("corpus_key")
+@query("corpus_key", """WITH RECURSIVE t AS (SELECT string_agg(CAST(n_nationkey AS VARCHAR), '|' ORDER BY CAST(n_nationkey AS VARCHAR)) AS s FROM nation),
+h AS (SELECT 0 AS i, CAST(5381 AS HUGEINT) AS h UNION ALL SELECT i + 1, (h * 33 + ord(s[i + 1])) % 4294967296 FROM h, t WHERE i < length(s)),
+b AS (SELECT h AS n, '' AS k FROM h WHERE i = (SELECT length(s) FROM t) UNION ALL SELECT n // 36, '0123456789abcdefghijklmnopqrstuvwxyz'[CAST(n % 36 AS BIGINT) + 1] || k FROM b WHERE n > 0) SELECT k AS key FROM b WHERE n = 0""")
 def corpus_key(spark, d):
-    key = F.udf(djb2, "string")
-    return table(spark, d, "nation").agg(F.collect_list(F.col("n_nationkey").cast("string")).alias("ids")).select(key("ids").alias("key"))
+    # a key of the nodes that one screen shows: a bounded set
+    return table(spark, d, "nation").agg(F.collect_list(F.col("n_nationkey").cast("string")).alias("ids")).select(corpus_key_of(F.col("ids")).alias("key"))
 
 
-@query("node_summary", """SELECT d.doc_id, 'A ' || CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars / 1024.0 >= 10 THEN CAST(floor(n_chars / 1024.0 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f', floor(CAST(n_chars AS DOUBLE) / 1024 * 10 + 0.5) / 10) || ' KB' END
-  || ' TXT split into ' || n || ' chunk' || CASE WHEN n = 1 THEN '' ELSE 's' END || '.' AS summary FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM documents) d""")
-def node_summary(spark, d):
-    n = F.size(F.split("text", "\n"))
-    parts = [F.lit("A "), t.format_bytes("n_chars"), F.lit(" TXT split into "), n.cast("string"), F.lit(" chunk"), F.when(n == 1, "").otherwise("s"), F.lit(".")]
-    return table(spark, d, "documents").select("doc_id", F.concat(*parts).alias("summary"))
+_NAMED = f"""{ENT}, r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 4) DESC, text) AS r FROM ent JOIN idf USING (text, label)),
+named AS (SELECT doc_id, string_agg(text, ', ' ORDER BY r) AS names FROM r WHERE r <= 3 GROUP BY 1)"""
 
 
-@query("node_summary_full")
-def node_summary_full(spark, d):
+@query("node_summary", f"""WITH {_NAMED} SELECT d.doc_id, 'A ' || CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars / 1024.0 >= 10 THEN CAST(floor(n_chars / 1024.0 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f', floor(CAST(n_chars AS DOUBLE) / 1024 * 10 + 0.5) / 10) || ' KB' END
+  || ' TXT split into ' || n || ' chunk' || CASE WHEN n = 1 THEN '' ELSE 's' END || '. Mostly about ' || lang || ', ' || source || '.' || coalesce(' Mentions ' || names || '.', '') AS summary
+FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM documents) d LEFT JOIN named ON named.doc_id = d.doc_id""")
+def node_summary(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size_bytes"), F.lit("txt").alias("file_type"), F.size(F.split("text", "\n")).alias("chunk_count"), F.array("lang", "source").alias("terms"))
     named = graph.top_entities(entities(spark, d), table(spark, d, "documents"), 3)
-    return named.select("doc_id", F.concat(F.lit("Most mentioned: "), F.array_join(F.transform("entities", lambda e: e["text"]), ", "), F.lit(".")).alias("summary"))
+    return docs.join(named, "doc_id", "left").select("doc_id", t.node_summary("size_bytes", "file_type", "chunk_count", "terms", F.transform("entities", lambda e: e["text"])).alias("summary"))
+
+
+MARKED = ["apache", "license", "apache license", "trash"]
 
 
-@query("evidence_marks")
+@query("evidence_marks", r"""WITH p AS (SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '(?i)apache license|apache|license|trash', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS ps FROM documents) WHERE len(ps) > 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS position, text, i % 2 = 0 AS marked FROM p WHERE text <> ''""")
 def evidence_marks(spark, d):
-    find = F.udf(lambda text: [{"start": a, "end": b} for a, b in marked(text or "", ["apache", "license", "apache license", "trash"])], "array<struct<start:int,end:int>>")
-    return table(spark, d, "documents").select("doc_id", find("text").alias("marks")).filter(F.size("marks") > 0)
+    found = table(spark, d, "documents").select("doc_id", marked("text", MARKED).alias("marks")).filter(F.exists("marks", lambda m: m["marked"]))
+    return found.select("doc_id", F.posexplode("marks").alias("position", "m")).select("doc_id", "position", "m.*")
 
 
-@query("hit_segments", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'terms' WHEN doc_id % 3 = 1 THEN 'sentence' ELSE 'plain' END AS shown FROM documents")
+@query("hit_segments")
 def hit_segments(spark, d):
-    terms, sentence = F.when(F.col("doc_id") % 3 == 0, F.lit(1)), F.when(F.col("doc_id") % 3 != 2, F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.when(terms.isNotNull(), "terms").when(sentence.isNotNull(), "sentence").otherwise("plain").alias("shown"))
+    docs = corpus(spark, d).select("chunk_id", "text", retrieval.term_highlights(QUERY)("text").alias("spans"), retrieval.best_sentence(QUERY.split()[0])("text").alias("sentence"))
+    return docs.select("chunk_id", F.posexplode(retrieval.hit_segments("text", "spans", "sentence")).alias("position", "s")).select("chunk_id", "position", "s.*")
 
 
-@query("topic_rank", "SELECT doc_id, CAST(r AS BIGINT) AS r FROM (SELECT user_id AS doc_id, row_number() OVER (ORDER BY user_id) AS r FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 120))")
+@query("topic_rank", "SELECT user_id AS doc_id, CAST(topic AS BIGINT) AS topic, CAST(row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, topic DESC) AS BIGINT) AS r FROM (WITH " + DIST + " SELECT * FROM dist) WHERE weight > 0 QUALIFY r <= 3")
 def topic_rank(spark, d):
-    ids = distribution(spark, d).select("doc_id").distinct()
-    return ids.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("r"))
+    return graph.top_topics(distribution(spark, d), 3).select("doc_id", "topic", F.col("rank").cast("long").alias("r"))

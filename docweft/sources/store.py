@@ -68,3 +68,72 @@ def committed(spark: SparkSession, top: str, marker: str) -> list[str]:
     path = jvm.org.apache.hadoop.fs.Path(f"{top}/version=*/{marker}/_SUCCESS")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
     return sorted(s.getPath().getParent().getParent().getName().removeprefix("version=") for s in found)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches a glob pattern of the session's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: that of checkpoints, else the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return found.rstrip("/")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Length and time of change of a table's folder: differs once its files do."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{path}:{fs.getContentSummary(folder).getLength()}:{fs.getFileStatus(folder).getModificationTime()}"
+
+
+def claimed(spark: SparkSession, top: str) -> str:
+    """The next free version below a folder, claimed by creating its file: two writers never get the same."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{top}/claims")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    number = max([0, *(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())])
+    while True:
+        number += 1
+        if fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}")):
+            return f"{number:012d}"
+
+
+class Keyed:
+    """A table with a key, and what its writers may do: create, update, upsert, delete; every call gives a new table."""
+
+    def __init__(self, rows: DataFrame, *keys: str):
+        self.rows, self.keys = rows, list(keys)
+
+    def created(self, new: DataFrame) -> tuple[Keyed, DataFrame]:
+        """With the new rows, and the rows refused because their key exists (or came before among the new ones)."""
+        old = self.rows.select(*self.keys)
+        fresh = new.join(old, self.keys, "left_anti").dropDuplicates(self.keys)
+        return Keyed(self.rows.unionByName(fresh), *self.keys), new.join(old, self.keys, "left_semi")
+
+    def updated(self, changes: DataFrame) -> Keyed:
+        """Columns of ``changes`` replace those of the rows with its keys; other keys are ignored."""
+        fresh = [c for c in changes.columns if c not in self.keys]
+        marked = changes.select(*self.keys, F.struct(*fresh).alias("_new"))
+        both = self.rows.join(marked, self.keys, "left")
+        return Keyed(both.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in self.rows.columns)), *self.keys)
+
+    def upserted(self, new: DataFrame) -> Keyed:
+        return Keyed(upserted(self.rows, new, self.keys), *self.keys)
+
+    def deleted(self, gone: DataFrame, *by: str) -> Keyed:
+        """Without the rows whose columns ``by`` (the key, if not given) are among ``gone``."""
+        on = list(by) or self.keys
+        return Keyed(self.rows.join(gone.select(*on).distinct(), on, "left_anti"), *self.keys)
+
+
+def appended(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """A log with new rows after its last: event ids go up by one in the given order."""
+    from docweft.operators.dedup import vector_ids
+
+    numbered = vector_ids(new, log.select(F.col("event_id").alias("vector_id")), order)
+    return log.unionByName(numbered.withColumn("event_id", F.col("vector_id").cast("bigint")).select(*log.columns))

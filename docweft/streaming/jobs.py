@@ -1,12 +1,16 @@
 """Structured Streaming jobs: ingestion of files, live events after a replay, rate limits as state.
 
-A queue of documents is a file stream: the checkpoint remembers what is done, a restart
-goes on from there, and every micro-batch replaces the rows of its documents, so that a
-batch that runs twice leaves the same tables.
+A queue of documents is a file stream: its checkpoint remembers what has been taken, a
+restart goes on from there.  A micro-batch of files becomes one batch of rows in each table
+below a folder - chunks, vectors, events, documents -, written under its number, so that a
+batch that runs twice leaves the same tables.  ``documents`` is written last: only batches
+that have it count, and of each path only the newest one does.  A file that is rewritten in
+place is a new document of the old path; ``changed_files`` finds it.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,11 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.functions.segments import chunk
-from docweft.operators.events import TokenBucket
-from docweft.sources.files import CHUNK, _as_rows, extract_document, validated_uploads
+from docweft.operators import dedup, retrieval
+from docweft.operators.events import TERMINAL, admitted
+from docweft.params import ChunkParams
+from docweft.sources.files import CHUNK, chunk_rows, extract_document, validated_uploads
+from docweft.sources.store import exists
 
 #: States of a document in order (fixed values).
 STAGES = ("queued", "parsing", "chunking", "embedding", "indexing", "done")
+Embedder = Callable[[DataFrame], DataFrame]
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -27,49 +35,186 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).load(path)
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """(path, sha256, error, chunk fields) of validated uploads; a file that cannot be read gives one row with its error."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType()), T.StructField("error", T.StringType()), *CHUNK.fields])
+def chunk_files(files: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
+    """(path, sha256, error, page_count, chunk fields) of validated uploads; a file that cannot be read, or has no chunk, gives one row."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType()), T.StructField("error", T.StringType()), T.StructField("page_count", T.IntegerType()), *CHUNK.fields])
+    blank = (None,) * len(CHUNK)
+
+    def rows_of(r) -> list[tuple]:
+        if r.error:
+            return [(r.path, r.sha256, r.error, None, *blank)]
+        try:
+            doc = extract_document(bytes(r.content), r.file_type)
+            return [(r.path, r.sha256, None, doc.pages or 0, *c) for c in chunk_rows(chunk(doc, p.target_tokens, p.overlap_ratio))] or [(r.path, r.sha256, None, doc.pages or 0, *blank)]
+        except Exception as error:  # noqa: BLE001 - one poisoned document must not end the stream
+            return [(r.path, r.sha256, f"{type(error).__name__}: {error}"[:500], None, *blank)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [f.name for f in schema if f.dataType == T.IntegerType()]
         for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                head = dict.fromkeys(schema.names) | {"path": r.path, "sha256": r.sha256}
-                if r.error:
-                    rows.append(head | {"error": r.error})
-                    continue
-                try:
-                    rows += [head | c for c in _as_rows(chunk(extract_document(bytes(r.content), r.file_type)))]
-                except Exception as error:  # noqa: BLE001 - one poisoned document must not end the stream
-                    rows.append(head | {"error": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=schema.names).astype({f.name: "Int32" for f in schema if f.dataType == T.IntegerType()})
+            yield pd.DataFrame([row for r in frame.itertuples() for row in rows_of(r)], columns=schema.names).astype(dict.fromkeys(whole, "Int32"))
 
     return files.select("path", "sha256", "error", "content", "file_type").mapInPandas(run, schema)
 
 
-def write_batch(top: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: chunks, failures and events of a batch, each under its batch number."""
+def indexed(chunks: DataFrame, embed: Embedder, p: ChunkParams = ChunkParams(), known: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """``chunks`` (chunk_id, content_hash, text, ...) with ``is_duplicate``, ``embedding`` and ``vector_id``.
+
+    Chunks count in the order of their ids.  A hash that ``known`` (content_hash) or an
+    earlier chunk has is an exact duplicate; of the others, one nearer than the threshold
+    to one of ``vectors`` (vector_id, embedding) or to an earlier kept chunk is a near one.
+    What is kept gets the ids after the largest of ``vectors``; the rest has none.
+    """
+    spark = chunks.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    marked = keep(dedup.exact_duplicates(chunks, known, "chunk_id"))
+    fresh = keep(embed(marked.filter("NOT is_duplicate").select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), "embedding"))
+    if p.near_dup_cosine < 1:
+        old = None if vectors is None else vectors.select(F.col("vector_id").alias("id"), "embedding")
+        kept = dedup.near_duplicates(fresh, p.near_dup_cosine, old).filter("NOT is_near_dup").select("id")
+        fresh = keep(fresh.join(kept, "id", "left_semi"))
+    none = spark.createDataFrame([], "vector_id bigint")
+    ids = dedup.vector_ids(fresh.withColumnRenamed("id", "chunk_id"), none if vectors is None else vectors.select("vector_id"), "chunk_id")
+    out = marked.join(ids.select("chunk_id", "embedding", F.col("vector_id").cast("bigint").alias("vector_id")), "chunk_id", "left")
+    return out.withColumn("is_duplicate", F.col("vector_id").isNull())
+
+
+class Tables:
+    """What has been ingested below a folder: of each path the rows of its newest committed batch."""
+
+    def __init__(self, spark: SparkSession, top: str):
+        self.spark, self.top = spark, top.rstrip("/")
+
+    def read(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.top}/{name}") if exists(self.spark, f"{self.top}/{name}/batch=*/{{_SUCCESS,stage=*/_SUCCESS}}") else None
+
+    def documents(self) -> DataFrame | None:
+        """The newest row of each path."""
+        rows = self.read("documents")
+        return None if rows is None else rows.groupBy("path").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "path")), "batch").alias("d")).select("path", "d.*")
+
+    def rows(self, name: str) -> DataFrame | None:
+        """Rows of ``chunks`` or ``vectors`` that belong to a document that is done."""
+        found, documents = self.read(name), self.documents()
+        if found is None or documents is None:
+            return None
+        return found.join(documents.filter("status = 'done'").select("path", "batch"), ["path", "batch"], "left_semi")
+
+    def events(self) -> DataFrame | None:
+        return self.read("events")
+
+    def write(self, rows: DataFrame, name: str, batch: int, *below: str) -> DataFrame:
+        path = "/".join([f"{self.top}/{name}/batch={batch}", *below])
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).withColumn("batch", F.lit(batch))
+
+
+def default_embedder(chunks: DataFrame) -> DataFrame:
+    return retrieval.embed(chunks)
+
+
+def process(spark: SparkSession, files: DataFrame, top: str, number: int, embed: Embedder = default_embedder, p: ChunkParams = ChunkParams()) -> None:
+    """Take one batch of files through all stages; each stage's events are written when its rows are.
+
+    A file whose bytes another document has already, or an earlier file of the batch, is
+    refused as a ``duplicate_document``.  A file that fails leaves no chunk.
+    """
+    tables, began = Tables(spark, top), time.time()
+    older = tables.documents()
+    older = None if older is None else older.filter(F.col("batch") != number)
+    uploads = tables.write(validated_uploads(files).select("path", "modificationTime", "sha256", "error", "content", "file_type"), "uploads", number)
+    valid = uploads.select("path", "modificationTime", "sha256", "error")
+    first = valid.filter("error IS NULL").groupBy("sha256").agg(F.min(F.struct("modificationTime", "path")).alias("first"))
+    seen = valid.join(first, "sha256", "left").withColumn("twice", F.col("error").isNull() & (F.struct("modificationTime", "path") > F.col("first")))
+    if older is not None:
+        had = older.filter("status = 'done'").groupBy("sha256").agg(F.min("path").alias("had"))
+        seen = seen.join(had, "sha256", "left").withColumn("twice", F.col("twice") | (F.col("error").isNull() & F.col("had").isNotNull() & (F.col("had") != F.col("path"))))
+    queue = tables.write(seen.withColumn("error", F.when(F.col("twice"), F.lit("duplicate_document")).otherwise(F.col("error"))).select(*valid.columns), "queue", number)
+    marks: list[tuple[str, float]] = []
+
+    def enter(status: str, rows: DataFrame, detail: dict[str, str]) -> None:
+        """Events of (path, ...) rows: the state, and how long the batch was in the one before."""
+        nonlocal began
+        now = time.time()
+        shown = F.to_json(F.struct(*(F.expr(e).alias(k) for k, e in detail.items()))) if detail else F.lit(None).cast("string")
+        position = STAGES.index(status) if status in STAGES else len(STAGES)
+        event = rows.select("path", F.lit(position).alias("position"), F.lit(status).alias("status"), shown.alias("detail"), F.lit(round(1000 * (now - began), 3) if marks else None).cast("double").alias("duration_ms"), F.timestamp_seconds(F.lit(now)).alias("ts"))
+        tables.write(event, "events", number, f"stage={position}")
+        marks.append((status, now))
+        began = now
+
+    enter("queued", queue, {})
+    good = queue.filter("error IS NULL").select("path")
+    enter("parsing", good, {})
+    parsed = tables.write(chunk_files(uploads.join(good, "path", "left_semi"), p), "parsed", number)
+    failed = parsed.filter("error IS NOT NULL").select("path", "error").unionByName(queue.filter("error IS NOT NULL").select("path", "error"))
+    good = good.join(failed.select("path"), "path", "left_anti")
+    enter("chunking", good, {})
+    order = queue.select("path", "modificationTime").withColumn("document", F.struct(F.unix_micros("modificationTime").alias("at"), "path"))
+    drafts = parsed.filter("error IS NULL AND chunk_index IS NOT NULL").join(order.select("path", "document"), "path")
+    drafts = drafts.withColumn("chunk_id", F.concat(F.format_string("%020d", F.lit(number)), F.lit("/"), F.format_string("%020d", "document.at"), F.lit("/"), "path", F.lit("#"), F.format_string("%09d", "chunk_index"))).drop("document", "error", "batch", "page_count")
+    enter("embedding", good, {})
+    again = queue.select("path")
+    known, vectors = (None if rows is None else rows.filter(F.col("batch") != number).join(again, "path", "left_anti") for rows in (tables.rows("chunks"), tables.rows("vectors")))
+    known = None if known is None else known.filter("NOT is_duplicate").select("content_hash")
+    rows = indexed(drafts, embed, p, known, vectors)
+    kept = tables.write(rows, "indexed", number)
+    enter("indexing", good, {})
+    tables.write(kept.drop("embedding", "batch"), "chunks", number)
+    tables.write(kept.filter("NOT is_duplicate").select("vector_id", "chunk_id", "path", "embedding"), "vectors", number)
+    counts = kept.groupBy("path").agg(F.count("*").alias("chunk_count"), F.count_if(~F.col("is_duplicate")).alias("indexed_count"))
+    total = 1000 * (time.time() - marks[0][1])
+    state = queue.select("path", "modificationTime", "sha256").join(failed.groupBy("path").agg(F.max("error").alias("error")), "path", "left").join(counts, "path", "left").join(parsed.groupBy("path").agg(F.max("page_count").alias("page_count")), "path", "left")
+    state = state.fillna(0, ["chunk_count", "indexed_count"]).withColumn("duplicate_count", F.col("chunk_count") - F.col("indexed_count")).withColumn("total_ms", F.lit(round(total, 3))).withColumn("status", F.when(F.col("error").isNull(), "done").otherwise("failed"))
+    done = {"chunk_count": "chunk_count", "indexed_count": "indexed_count", "duplicate_count": "duplicate_count", "total_ms": "total_ms", "warning": "CASE WHEN chunk_count = 0 THEN 'empty_document' END"}
+    enter("done", state.filter("status = 'done'"), done)
+    enter("failed", state.filter("status = 'failed'"), {"error": "error"})
+    tables.write(state, "documents", number)
+
+
+def ingest(spark: SparkSession, source: str, top: str, embed: Embedder = default_embedder, p: ChunkParams = ChunkParams()) -> None:
+    """Process all new files of a folder, then those that changed in place; to be run again for more."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = chunk_files(validated_uploads(batch)).persist()
-        try:
-            rows.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{top}/chunks/batch={number}")
-            rows.filter("error IS NOT NULL").select("path", "error").write.mode("overwrite").parquet(f"{top}/failed/batch={number}")
-            state = rows.groupBy("path").agg(F.max("error").alias("error"), F.count("chunk_index").alias("chunk_count"))
-            steps = F.when(F.col("error").isNull(), F.array(*map(F.lit, STAGES))).otherwise(F.array(F.lit("queued"), F.lit("parsing"), F.lit("failed")))
-            events = state.select("path", "chunk_count", "error", F.posexplode(steps).alias("position", "status"))
-            events.write.mode("overwrite").parquet(f"{top}/events/batch={number}")
-        finally:
-            rows.unpersist()
+        process(batch.sparkSession, batch, top, number, embed, p)
 
-    return write
+    stream = file_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    changed = changed_files(spark, source, top)
+    if not changed.isEmpty():
+        last = Tables(spark, top).read("documents").agg(F.max("batch")).first()[0]
+        process(spark, changed, top, max(CHANGED, last + 1), embed, p)
 
 
-def ingest(spark: SparkSession, source: str, top: str) -> None:
-    """Process all new files of a folder, then stop; to be run again for more."""
-    stream = file_stream(spark, source).writeStream.foreachBatch(write_batch(top)).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
-    stream.awaitTermination()
+#: Batches of changed files are numbered from here, those of the stream below.
+CHANGED = 1 << 32
+
+
+def changed_files(spark: SparkSession, source: str, top: str) -> DataFrame:
+    """Files of a folder that are newer than what was ingested of them."""
+    found = spark.read.format("binaryFile").load(source)
+    documents = Tables(spark, top).documents()
+    if documents is None:
+        return found.limit(0)
+    had = documents.select(F.col("path").alias("had"), F.col("modificationTime").alias("then"))
+    return found.join(had, (F.col("path") == F.col("had")) & (F.col("modificationTime") > F.col("then")), "left_semi")
+
+
+def recovered(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """Documents whose last state is not terminal, oldest first: they start again."""
+    last = events.groupBy("doc_id").agg(F.max_by("status", "event_id").alias("status"))
+    return documents.join(last, "doc_id", "left").filter(F.col("status").isNull() | ~F.col("status").isin(*TERMINAL)).orderBy("created_at", "doc_id")
+
+
+def wiped(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of a table without those of documents that start again: partial rows go before a document does."""
+    return rows.join(again.select("doc_id"), "doc_id", "left_anti")
+
+
+def to_reset(chunks: DataFrame, vectors: DataFrame, documents: DataFrame) -> DataFrame:
+    """All done documents if the chunks that have a vector id and the stored vectors are not as many, else none."""
+    counts = chunks.agg(F.count("vector_id").alias("c")).join(F.broadcast(vectors.agg(F.count("*").alias("v"))))
+    return documents.filter("status = 'done'").join(F.broadcast(counts.filter("c != v")))
 
 
 def live_events(stream: DataFrame, cursor: int) -> DataFrame:
@@ -78,24 +223,21 @@ def live_events(stream: DataFrame, cursor: int) -> DataFrame:
 
 
 def rate_limited_stream(requests: DataFrame, rpm: float, capacity: float | None = None) -> DataFrame:
-    """(event_id, user_id, allowed, retry_after) of a stream of (event_id, user_id, ts); a bucket's state is two numbers."""
+    """(event_id, user_id, allowed, retry_after) of a stream of (event_id, user_id, ts); a bucket's state is one number."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    size = float(rpm if capacity is None else capacity)
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.getOption
-        bucket = TokenBucket(rpm, capacity, *(kept or (None, None)))
+        (empty,) = state.getOption or (float("-inf"),)
         for frame in frames:
             frame = frame.sort_values("event_id")
-            taken = [bucket.take(t) for t in frame["s"]]
-            yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "allowed": [a for a, _ in taken], "retry_after": [r for _, r in taken]})
-        state.update((bucket.tokens, bucket.at))
+            found = []
+            for now in frame["s"]:
+                empty, allowed, wait = admitted(empty, now, rpm, size)
+                found.append((allowed, wait))
+            yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "allowed": [f[0] for f in found], "retry_after": [f[1] for f in found]})
+        state.update((empty,))
 
     keyed = requests.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s")).groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, "event_id bigint, user_id bigint, allowed boolean, retry_after double", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
-
-
-def recovered(documents: DataFrame, events: DataFrame) -> DataFrame:
-    """Documents whose last state is not terminal, oldest first: they start again."""
-    last = events.groupBy("doc_id").agg(F.max_by("status", "event_id").alias("status"))
-    return documents.join(last, "doc_id", "left").filter("status IS NULL OR status NOT IN ('done', 'failed')").orderBy("created_at", "doc_id")
-
+    return keyed.applyInPandasWithState(fold, "event_id bigint, user_id bigint, allowed boolean, retry_after double", "empty double", "append", GroupStateTimeout.NoTimeout)

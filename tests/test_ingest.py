@@ -1,5 +1,11 @@
+import os
 import time
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from docweft.operators import events
+from docweft.params import ChunkParams
 from docweft.plans.ingest_queries import MARKDOWN, small_docx, small_pdf, uploads
 from docweft.sources import files
 from docweft.streaming import jobs
@@ -7,10 +13,30 @@ from docweft.streaming import jobs
 
 def test_extraction():
     docx = files.extract_docx(small_docx())
-    assert docx.title == "A Title" and [b.section for b in docx.blocks] == ["A Title", "One", "One", "One > Two", "One > Two"]
+    assert docx.title == "Of Bees" and [b.section for b in docx.blocks] == ["Of Bees", "Hives", "Hives", "Hives > Frames", "Hives > Frames"]
     pdf = files.extract_pdf(small_pdf())
-    assert pdf.title == "A Big Heading" and pdf.pages == 1 and pdf.blocks[1].page == 1
-    assert pdf.blocks[1].text == "Body text of the page that goes on for a while. A second line of it."
+    assert pdf.title == "On Lamps" and pdf.pages == 1 and pdf.blocks[1].page == 1
+    assert pdf.blocks[1].text == "Lamps give light in the evening and the night. Oil burns in them."
+    assert not files.extract_pdf(b"%PDF-1.4 1 0 obj << /Type /Page >> endobj").blocks
+
+
+def test_headings_of_a_pdf():
+    span = files.Span
+    body = [[span(10.0, False, "The body of the text is long enough to be its mass, with a stop at the end of it.")]]
+    pages = [[[[span(20.0, False, "Top")]], body, [[span(10.0, True, "Bold line")]], [[span(15.0, False, "Second")], [span(15.0, False, "level")]], [[span(20.0, False, "Ends like a sentence.")]], [[span(10.0, True, "half"), span(10.0, False, " bold")]]], [[[span(9.0, True, "small bold")]]]]
+    doc = files.classify(pages)
+    assert [(b.text, b.heading, b.page) for b in doc.blocks if b.heading] == [("Top", 1, 1), ("Bold line", 3, 1), ("Second level", 2, 1)]
+    assert doc.blocks[-1].page == 2 and doc.title == "Top" and doc.pages == 2
+
+
+def test_objects_packed_into_a_stream():
+    import zlib
+
+    inner = b"<< /Type /Page /Contents 9 0 R >>"
+    packed = zlib.compress(b"7 0 " + inner)
+    text = b"BT /F1 12 Tf (Packed page) Tj ET"
+    content = b"%PDF-1.5\n5 0 obj << /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj\n9 0 obj << /Length 1 >>\nstream\n" + text + b"\nendstream\nendobj\n"
+    assert files.extract_pdf(content).text == "Packed page"
 
 
 def test_uploads(spark):
@@ -19,22 +45,76 @@ def test_uploads(spark):
     assert files.validated_uploads(uploads(spark), limit=10).filter("error = 'too_large'").count() > 2
 
 
-def test_stream_of_files(spark, tmp_path):
+def newest(tables, path):
+    return {r.path.rpartition("/")[2]: r for r in tables.documents().collect()}[path]
+
+
+def test_job(spark, tmp_path):
+    """A folder through all stages: duplicates, ids, events, refused and broken files, changes in place."""
     source, top = tmp_path / "in", f"file://{tmp_path}/out"
     source.mkdir()
     (source / "a.md").write_text(MARKDOWN)
     (source / "bad.pdf").write_bytes(b"%PDF-1.4 nothing inside")
+    (source / "blank.txt").write_text(" \n ")
     jobs.ingest(spark, str(source), top)
-    chunks = spark.read.parquet(f"{top}/chunks")
+    tables = jobs.Tables(spark, top)
+    assert newest(tables, "a.md").status == "done" and newest(tables, "bad.pdf").status == "failed" and "no PDF objects" in newest(tables, "bad.pdf").error
+    assert newest(tables, "blank.txt").status == "done" and newest(tables, "blank.txt").chunk_count == 0
+    chunks = tables.rows("chunks")
     n = chunks.count()
-    assert n > 2 and spark.read.parquet(f"{top}/failed").count() == 1
-    last = {r.path.rpartition("/")[2]: r.status for r in spark.read.parquet(f"{top}/events").orderBy("position").collect()}
-    assert last == {"a.md": "done", "bad.pdf": "failed"}
+    assert n == newest(tables, "a.md").chunk_count > 2 and chunks.filter("is_duplicate").count() == 0
+    assert sorted(r.vector_id for r in tables.rows("vectors").collect()) == list(range(n))
+    trail = [(r.status, r.detail) for r in tables.events().filter(F.col("path").endswith("a.md")).orderBy("position").collect()]
+    assert [s for s, _ in trail] == list(jobs.STAGES) and '"indexed_count"' in trail[-1][1]
+    assert [r.status for r in tables.events().filter(F.col("path").endswith("bad.pdf")).orderBy("position").collect()] == ["queued", "parsing", "failed"]
+    assert "empty_document" in tables.events().filter(F.col("path").endswith("blank.txt") & (F.col("status") == "done")).first().detail
+
+    jobs.ingest(spark, str(source), top)  # nothing new
+    assert tables.rows("chunks").count() == n
+
+    (source / "twin.md").write_text(MARKDOWN)  # the same bytes under another name
+    (source / "c.md").write_text("# Other\n\nMills turn.\n\n# Own\n\nSomething of its own stands here.")
     jobs.ingest(spark, str(source), top)
-    assert spark.read.parquet(f"{top}/chunks").count() == n
-    (source / "c.txt").write_text("A new file. With two sentences.")
+    assert newest(tables, "twin.md").error == "duplicate_document" and newest(tables, "twin.md").status == "failed"
+    own = {r.section: r for r in tables.rows("chunks").filter(F.col("path").endswith("c.md")).collect()}
+    ids = [r.vector_id for r in tables.rows("vectors").collect()]
+    assert own["Own"].vector_id >= n and len(set(ids)) == len(ids)
+
+    (source / "c.md").write_text("# Other\n\nAll of it is new now.")
+    os.utime(source / "c.md", (time.time() + 60,) * 2)
     jobs.ingest(spark, str(source), top)
-    assert spark.read.parquet(f"{top}/chunks").count() == n + 1
+    assert [r.text for r in tables.rows("chunks").filter(F.col("path").endswith("c.md")).collect()] == ["# Other\n\nAll of it is new now."[2:]]
+    assert tables.rows("vectors").filter(F.col("path").endswith("c.md")).count() == 1
+
+
+def test_indexed_against_a_fold(spark):
+    """Exact and near duplicates against what is known and within the batch, one chunk after the other."""
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=(40, 5)) * 0.3, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hashes = [f"h{i % 31}" for i in range(40)]
+    old, known = {100: x[3].tolist(), 101: [1.0, 0.0, 0.0, 0.0, 0.0]}, {"h7"}
+    want, seen, kept = {}, set(known), [np.array(v) for v in old.values()]
+    for i in range(40):
+        near = any(k @ x[i] > 0.95 for k in kept)
+        fresh = hashes[i] not in seen
+        seen.add(hashes[i])
+        want[i] = fresh and not near
+        if want[i]:
+            kept.append(x[i])
+    vectors = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "chunk_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(i, h, f"t{i}") for i, h in enumerate(hashes)], "chunk_id long, content_hash string, text string")
+    got = jobs.indexed(chunks, lambda df: df.join(vectors, "chunk_id"), ChunkParams(near_dup_cosine=0.95), spark.createDataFrame([(h,) for h in known], "content_hash string"), spark.createDataFrame(list(old.items()), "vector_id long, embedding array<double>")).collect()
+    assert {r.chunk_id: not r.is_duplicate for r in got} == want
+    assert [r.vector_id for r in sorted(got) if not r.is_duplicate] == list(range(102, 102 + sum(want.values())))
+
+
+def test_admitted():
+    state, got = float("-inf"), []
+    for now in (0.0, 0.0, 0.0, 0.25, 1000.0, 1000.0, 1000.0):
+        state, passed, wait = events.admitted(state, now, 60, 2)
+        got.append((passed, round(wait, 6)))
+    assert got == [(True, 0.0), (True, 0.0), (False, 1.0), (False, 0.75), (True, 0.0), (True, 0.0), (False, 1.0)]
 
 
 def test_rate_limit_as_state(spark, tmp_path):
@@ -46,6 +126,7 @@ def test_rate_limit_as_state(spark, tmp_path):
     q.awaitTermination()
     time.sleep(0.1)
     got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
-    assert len(got) == 12 and got[0] and got[2] and all(got[i] for i in (1, 3))
+    batch = {r.event_id: r.allowed for r in events.rate_limited(rows, 60, 2, "user_id").collect()}
+    assert got == batch and len(got) == 12 and got[0] and got[2] and not all(got.values())
     live = jobs.live_events(spark.readStream.schema(rows.schema).parquet(source), 5)
     assert live.isStreaming

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.functions import scoring, text
-from docweft.operators import answers, dedup, events, graph, retrieval, topics
+from docweft.operators import answers, dedup, graph, recompute, retrieval, topics
 from docweft.params import AskParams, ChunkParams, GraphParams, SearchParams, checked_query, params_hash
 from docweft.sources import store
 
@@ -32,9 +32,9 @@ def test_rrf(spark, dense, sparse, k, w, want):
     assert all(math.isclose(r.fused_score, s) for r, (_, s) in zip(got, want))
 
 
-def test_bm25_against_plain_python(spark):
-    corpus = {1: "the cat sat", 2: "the dog sat down here", 3: "a bird", 4: "the cat and the cat"}
-    query = "cat cat bird zebra"
+def test_bm25_against_plain_python(spark, tmp_path):
+    corpus = {1: "the owl slept", 2: "the fox sat in snow", 3: "a heron", 4: "the owl and the owl"}
+    query = "owl owl heron zebra"
     docs = {i: t.split() for i, t in corpus.items()}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
     vocabulary = {t for d in docs.values() for t in d}
@@ -44,11 +44,15 @@ def test_bm25_against_plain_python(spark):
     idf = {t: 0.25 * mean if v < 0 else v for t, v in raw.items()}
     want = {i: sum(idf.get(t, 0) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in query.split()) for i, d in docs.items()}
     table = spark.createDataFrame(list(corpus.items()), "chunk_id long, text string")
-    got = {r.chunk_id: r.score for r in retrieval.bm25_search(table, query).collect()}
+    top = f"file://{tmp_path}/index"
+    retrieval.SparseIndex.build(table.limit(1), top)
+    index = retrieval.SparseIndex.build(table, top)
+    got = {r.chunk_id: r.score for r in retrieval.SparseIndex.open(spark, top).search(query).collect()}
+    assert index.search("zebra").count() == 0 == index.search("...").count()
     assert got.keys() == {i for i, s in want.items() if s > 0} and all(math.isclose(got[i], want[i]) for i in got)
 
 
-def test_dense_and_filters(spark):
+def test_dense_and_filters(spark, tmp_path):
     v = spark.createDataFrame([(i, i // 2, [float(i == j) for j in range(4)]) for i in range(4)], "chunk_id long, doc_id long, embedding array<float>")
     q = [0.1, 0.9, 0.3, 0.0]
     assert [r.chunk_id for r in retrieval.cosine_topk(v, q, 2).collect()] == [1, 2]
@@ -56,15 +60,34 @@ def test_dense_and_filters(spark):
     assert [r.chunk_id for r in retrieval.cosine_topk_overfetch(v, q, 1, F.col("doc_id") == 1, 2).collect()] == [2]
     many = retrieval.cosine_topk_many(v, np.array([q, [0, 0, 0, 1.0]]), 1).collect()
     assert {(r.query_id, r.chunk_id) for r in many} == {(0, 1), (1, 3)}
-    hits = retrieval.hybrid_search(spark, v.withColumn("text", F.lit("some words")), "words", q, SearchParams(return_n=3)).collect()
-    assert len(hits) == 3
+    chunks = v.withColumn("text", F.lit("some words"))
+    index = retrieval.SparseIndex.build(chunks, f"file://{tmp_path}/index")
+    assert len(retrieval.hybrid_search(index, chunks, "words", q, SearchParams(return_n=3)).collect()) == 3
 
 
 def test_highlights(spark):
-    df = spark.createDataFrame([("A powerhouse of the cell. The Cell wall, cells.",), (None,), ("nothing here",)], "text string")
-    rows = df.select(retrieval.term_highlights("powerhouse cell a")("text").alias("h"), retrieval.best_sentence("cell wall")("text").alias("s")).collect()
-    assert [(s.start, s.end) for s in rows[0].h] == [(2, 12), (20, 24), (30, 34)] and rows[1].h == [] == rows[2].h
-    assert (rows[0].s.start, rows[0].s.end) == (26, 47) and rows[2].s.start is None
+    df = spark.createDataFrame([("The lighthouse by the bay. The Bay road, bays.",), (None,), ("nothing here",), ("ok. But a bay",)], "text string")
+    both = df.select("text", retrieval.term_highlights("lighthouse bay a")("text").alias("h"), retrieval.best_sentence("bay road")("text").alias("s"))
+    rows = both.collect()
+    assert [(s.start, s.end) for s in rows[0].h] == [(4, 14), (22, 25), (31, 34)] and rows[1].h == [] == rows[2].h
+    assert (rows[0].s.start, rows[0].s.end) == (27, 46) and rows[2].s.start is None
+    shown = [[tuple(x) for x in r.g] for r in both.select(retrieval.hit_segments("text", "h", "s").alias("g")).collect() if r.g is not None]
+    assert shown[0] == [("The ", "plain"), ("lighthouse", "term"), (" by the ", "plain"), ("bay", "term"), (". The ", "plain"), ("Bay", "term"), (" road, bays.", "plain")]
+    assert [("nothing here", "plain")] in shown
+    one = both.withColumn("h", F.slice("h", 1, 0)).filter("text LIKE 'The%'").select(retrieval.hit_segments("text", "h", "s").alias("g")).first().g
+    assert [tuple(x) for x in one] == [("The lighthouse by the bay. ", "plain"), ("The Bay road, bays.", "sentence")]
+
+
+def plain_overlap(rows, k, floor, ceil):
+    """(a, b) -> (raw, score, pairs) by every pair of vectors."""
+    out = {}
+    for i, (da, ca, x) in enumerate(rows):
+        for db, cb, y in rows:
+            if da < db:
+                out.setdefault((da, db), []).append((-float(np.dot(x, y)), ca, cb))
+    best = {key: sorted(found)[:k] for key, found in out.items()}
+    raw = {key: -sum(s for s, *_ in found) / len(found) for key, found in best.items()}
+    return {key: (raw[key], min(1, max(0, (raw[key] - floor) / (ceil - floor))), [(a, b) for _, a, b in best[key]]) for key in best}
 
 
 CASES = [(2, 0, 1, [[1, 0, 0, 0], [0, 1, 0, 0]], [[1, 0, 0, 0]], 0.5, 0.5), (10, 0, 1, [[1, 0, 0, 0]], [[1, 0, 0, 0]], 1, 1), (1, 0.5, 0.95, [[1, 0, 0, 0]], [[0, 1, 0, 0]], 0, 0), (1, 0.5, 0.95, [[1, 0, 0, 0]], [[0.5**0.5, 0.5**0.5, 0, 0]], 0.5**0.5, (0.5**0.5 - 0.5) / 0.45)]
@@ -74,21 +97,39 @@ CASES = [(2, 0, 1, [[1, 0, 0, 0], [0, 1, 0, 0]], [[1, 0, 0, 0]], 0.5, 0.5), (10,
 def test_semantic_overlap(spark, k, floor, ceil, a, b, raw, score):
     rows = [(1, i, x) for i, x in enumerate(a)] + [(2, 10 + i, x) for i, x in enumerate(b)]
     v = spark.createDataFrame([(d, c, [float(y) for y in x]) for d, c, x in rows], "doc_id long, chunk_id long, embedding array<double>")
-    for found in (graph.semantic_overlap(v, GraphParams(top_k_pairs=k, semantic_floor=floor, semantic_ceil=ceil)), graph.semantic_overlap_sql(v, k, floor, ceil)):
-        r = found.collect()[0]
-        assert math.isclose(r.raw, raw, abs_tol=1e-9) and math.isclose(r.score, score, abs_tol=1e-9) and r.pairs[0].a == 0
+    r = graph.semantic_overlap(v, GraphParams(top_k_pairs=k, semantic_floor=floor, semantic_ceil=ceil)).collect()[0]
+    assert math.isclose(r.raw, raw, abs_tol=1e-9) and math.isclose(r.score, score, abs_tol=1e-9) and r.pairs[0].a == 0
 
 
-def test_blocks_give_what_the_plain_join_gives(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_give_what_all_pairs_give(spark, kind):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    v = spark.createDataFrame([(i // 3, i, y.tolist()) for i, y in enumerate(x)], "doc_id long, chunk_id long, embedding array<double>")
+    name = int if kind == "long" else "{:03d}".format
+    rows = [(name(i // 3), name(i), y) for i, y in enumerate(x)]
+    v = spark.createDataFrame([(d, c, y.tolist()) for d, c, y in rows], f"doc_id {kind}, chunk_id {kind}, embedding array<double>")
     p = GraphParams(top_k_pairs=4, semantic_floor=0.0)
-    key = lambda df: {(r.a, r.b): (round(r.raw, 9), [(q.a, q.b) for q in r.pairs]) for r in df.collect()}
-    assert key(graph.semantic_overlap(v, p, rows=10)) == key(graph.semantic_overlap_sql(v, 4, 0.0, 0.95))
+    want = plain_overlap(rows, 4, 0.0, 0.95)
+    got = {(r.a, r.b): r for r in graph.semantic_overlap(v, p, rows=10).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(r.raw, want[key][0], abs_tol=1e-9) and [(q.a, q.b) for q in r.pairs] == want[key][2] for key, r in got.items())
+    some = {(r.a, r.b): round(r.raw, 9) for r in graph.semantic_overlap(v, p, rows=10, least=0.4).collect()}
+    assert some == {key: round(raw, 9) for key, (raw, score, _) in want.items() if score > 0.4} and some
     pairs = {(r.a, r.b) for r in dedup.similar_pairs(v.select(F.col("chunk_id").alias("id"), "embedding"), 0.5, rows=10).collect()}
-    assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] > 0.5}
+    assert pairs == {(name(i), name(j)) for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] > 0.5}
+
+
+def test_entities_that_reach_a_score_or_are_asked_for(spark):
+    rng = np.random.default_rng(2)
+    docs = {d: {f"e{int(k)}": int(rng.integers(1, 4)) for k in rng.zipf(1.3, 12) % 40} for d in range(30)}
+    e = entities(spark, docs)
+    key = lambda df: {(r.a, r.b): (round(r.score, 9), [s.text for s in r.shared]) for r in df.collect()}
+    whole = key(graph.entity_overlap(e, 30))
+    for least in (0.2, 0.5):
+        assert key(graph.entity_overlap(e, 30, least=least)) == {k: v for k, v in whole.items() if v[0] >= least}
+    asked = [(a, b) for a, b in whole if (a + b) % 3 == 0] + [(0, 1)]
+    assert key(graph.entity_overlap(e, 30, pairs=spark.createDataFrame(sorted(set(asked)), "a long, b long"))) == {k: v for k, v in whole.items() if k in set(asked)}
 
 
 def test_sequential_near_duplicates(spark):
@@ -110,9 +151,9 @@ def entities(spark, docs):
 
 
 def test_entities(spark):
-    e = entities(spark, {1: {"dinov3": 1, "aws": 1}, 2: {"dinov3": 1, "azure": 1}, 3: {"google": 1, "gcp": 1}, 4: {"google": 1, "oracle": 1}, 5: {"google": 1, "ibm": 1}})
+    e = entities(spark, {1: {"gneiss": 1, "shale": 1}, 2: {"gneiss": 1, "chert": 1}, 3: {"basalt": 1, "pumice": 1}, 4: {"basalt": 1, "marl": 1}, 5: {"basalt": 1, "loess": 1}})
     idf = {r.text: r.idf for r in graph.entity_idf(e, 5).collect()}
-    assert math.isclose(idf["dinov3"], math.log(3.5)) and math.isclose(idf["google"], math.log(1 + 5 / 3)) and math.isclose(idf["aws"], math.log(6))
+    assert math.isclose(idf["gneiss"], math.log(3.5)) and math.isclose(idf["basalt"], math.log(1 + 5 / 3)) and math.isclose(idf["shale"], math.log(6))
     score = {(r.a, r.b): r.score for r in graph.entity_overlap(e, 5).collect()}
     assert math.isclose(score[1, 2], math.log(3.5) / (math.log(3.5) + 2 * math.log(6))) and score[1, 2] > score[3, 4]
     r = graph.entity_overlap(entities(spark, {1: {"rare": 7, "common": 2}, 2: {"rare": 3, "common": 5}, 3: {"common": 1}}), 3).filter("a = 1 AND b = 2").first()
@@ -142,7 +183,7 @@ def test_params():
 
 def test_edges_and_views(spark):
     sem = spark.createDataFrame([(1, 2, 0.7), (1, 3, 0.1)], "a long, b long, score double").withColumn("pairs", F.array(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"), F.lit(0.71).alias("sim"))))
-    ent = graph.entity_overlap(entities(spark, {2: {"zephyrium": 1}, 3: {"zephyrium": 1}}), 3)
+    ent = graph.entity_overlap(entities(spark, {2: {"brontide": 1}, 3: {"brontide": 1}}), 3)
     topic = spark.createDataFrame([(1, 2, 0.0)], "a long, b long, score double")
     e = graph.edges(sem, ent, topic)
     assert [(r.source, r.target, r.combined_score) for r in e.collect()] == [(1, 2, 0.35)]
@@ -150,7 +191,7 @@ def test_edges_and_views(spark):
     text_ = e.withColumns({"doc_a": F.lit("A"), "doc_b": F.lit("B")}).select(answers.template_explanation().alias("t")).first().t
     assert text_ == '"A" and "B" are linked mainly by closely related passages (top pair similarity 0.71). Their closest passages overlap with similarity 0.71. Signal scores: semantic 0.70, entity 0.00, topic 0.00 (combined 0.35).'
     both = graph.edges(sem, ent, topic, GraphParams(edge_threshold=0.2)).filter("source = 2").withColumns({"doc_a": F.lit("A"), "doc_b": F.lit("B")})
-    assert "shared references to zephyrium" in both.select(answers.template_explanation().alias("t")).first().t
+    assert "shared references to brontide" in both.select(answers.template_explanation().alias("t")).first().t
     lit = spark.createDataFrame([(1,), (2,)], "doc_id long")
     assert graph.lit_edges(e, lit).count() == 1 and graph.lit_edges(e, lit.limit(1)).count() == 0
 
@@ -182,14 +223,8 @@ def test_answers(spark):
     assert len(prompt[1][1]) <= 2000
 
 
-def test_token_bucket():
-    b = events.TokenBucket(60, 2)
-    assert [b.take(0.0), b.take(0.0), b.take(0.0)] == [(True, 0.0), (True, 0.0), (False, 1.0)]
-    assert b.take(0.25) == (False, 0.75) and b.take(1000.0)[0] and b.take(1000.0)[0] and not b.take(1000.0)[0]
-
-
 def test_names_and_types(spark):
-    names = {r"..\..\evil.txt": "evil.txt", "/etc/passwd": "passwd", r"C:\x\CON.pdf": "_CON.pdf", "nul.txt": "_nul.txt", "trailing...": "trailing", "": "unnamed"}
+    names = {r"..\..\up\report.txt": "report.txt", "/var/tmp/shadow": "shadow", r"D:\y\PRN.pdf": "_PRN.pdf", "aux.txt": "_aux.txt", "dots at the end...": "dots at the end", "": "unnamed"}
     got = {r.n: r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", text.sanitize_filename("n").alias("s")).collect()}
     assert got == names
     long = spark.createDataFrame([("a" * 400 + ".pdf",)], "n string").select(text.sanitize_filename("n").alias("s")).first().s
@@ -211,12 +246,84 @@ def test_store(spark, tmp_path):
     assert store.committed(spark, f"file://{tmp_path}/g", "analysis") == ["1"]
 
 
-def test_postprocess_answer_keeps_long_answers(spark, tmp_path):
-    from docweft.plans import registry
-
-    registry.load_all()
+def test_long_answers_are_cut(spark):
     words = "word " * 700
-    rows = [(1, 0, f'"{words}"'), (2, 0, "short\n\n\n\nanswer"), (3, 0, "x" * 3001), (4, 0, None)]
-    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.conv_id: r.text for r in registry.QUERIES["postprocess_answer"](spark, str(tmp_path)).collect()}
+    df = spark.createDataFrame([(1, f'"{words}"'), (2, "short\n\n\n\nanswer"), (3, "x" * 3001), (4, None)], "i int, t string")
+    got = {r.i: r.t for r in df.select("i", text.postprocess_answer("t").alias("t")).collect()}
     assert got == {1: ("word " * 599).strip() + "…", 2: "short\n\nanswer", 3: "x" * 3000 + "…", 4: None}
+
+
+def test_models_fail_once_and_for_all():
+    calls = []
+
+    def broken(messages):
+        calls.append(1)
+        raise RuntimeError("no weights")
+
+    model = answers.Model(broken)
+    with pytest.raises(RuntimeError):
+        model([("user", "x")])
+    assert model([("user", "x")]) == "" and len(calls) == 1
+    counted = answers.Model(lambda m: "three words here")
+    assert counted([("system", "a b"), ("user", "c")]) == "three words here" and (counted.tokens_in, counted.tokens_out) == (3, 3)
+
+
+def test_explanation_ladder(spark):
+    none = "CAST(array() AS array<struct<a:bigint,b:bigint,sim:double>>) AS top_pairs", "CAST(array() AS array<struct<text:string,label:string,idf:double,count_a:bigint,count_b:bigint>>) AS shared_entities"
+    edges = spark.range(6).selectExpr("id AS source", "id + 10 AS target", "CAST(id AS STRING) AS doc_a", "'z' AS doc_b", "0.5D AS semantic_score", "0.0D AS entity_score", "0.0D AS topic_score", "0.25D AS combined_score", "'topic' AS dominant_signal", *none)
+    cache = edges.filter("source = 1").select(answers.cache_key("m").alias("cache_key"), F.lit("known").alias("explanation"))
+    out = {r.source: r for r in answers.explained(edges, cache, "m", lambda e: e.withColumn("generated", F.when(F.col("source") != 2, F.lit(' "Said."'))), tokens=3).collect()}
+    assert [(out[i].origin, out[i].charged) for i in range(6)] == [("llm", True), ("cache", False), ("template", True), ("llm", True), ("template", False), ("template", False)]
+    assert out[1].explanation == "known" and out[0].explanation == "Said." and out[4].explanation.startswith('"4" and "z" are linked')
+    assert out[4].cache_key == edges.filter("source = 4").select(answers.cache_key("template").alias("k")).first().k
+    assert {r.origin for r in answers.explained(edges, cache, "m").collect()} == {"cache", "template"}
+
+
+def test_keyed_tables(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id long, s string, n int")
+    made, refused = store.Keyed(rows, "id").created(spark.createDataFrame([(2, "x", 0), (3, "c", 7), (3, "c", 7)], rows.schema))
+    assert made.rows.count() == 3 and [r.id for r in refused.collect()] == [2]
+    changed = made.updated(spark.createDataFrame([(3, None), (9, "z")], "id long, s string"))
+    assert sorted((r.id, r.s, r.n) for r in changed.rows.collect() if r.s) == [(1, "a", 5), (2, "b", 6)] and changed.rows.count() == 3
+    assert changed.deleted(spark.createDataFrame([(6,)], "n int"), "n").rows.count() == 2
+    log = store.appended(spark.createDataFrame([(4, "q")], "event_id long, s string"), spark.createDataFrame([("y", 2), ("x", 1)], "s string, o int"), "o")
+    assert sorted((r.event_id, r.s) for r in log.collect()) == [(4, "q"), (5, "x"), (6, "y")]
+
+
+def test_recompute(spark, tmp_path):
+    """Edges, analyses and events as one version; a graph is stale once documents or parameters change."""
+    words = {1: "Brontide rumbles over the plain of Karst", 2: "Brontide was heard near Karst and the plain", 3: "Owls sleep by day in Lindens"}
+    chunks = spark.createDataFrame([(d, f"{d}-{i}", t) for d, t in words.items() for i in range(2)], "doc_id long, chunk_id string, text string")
+    vectors = retrieval.embed(chunks).drop("text")
+    top, p = f"file://{tmp_path}/graph", GraphParams(n_topics=2, edge_threshold=0.3, semantic_floor=0.0, semantic_ceil=1.0)
+    assert recompute.recompute(spark, chunks, vectors, top, p, triggered_by="d1") == "000000000001"
+    g = recompute.Graph(spark, top)
+    assert [(r.source, r.target) for r in g.listed_edges().collect()] == [(1, 2)]
+    edge = g.edges.first()
+    assert {e.text for e in edge.shared_entities} == {"brontide", "karst"} and edge.top_pairs
+    assert [r.status for r in g.events.orderBy("position").collect()] == ["graph_start"] + ["graph_progress"] * 3 + ["graph_done"]
+    nodes = {r.doc_id: r for r in g.nodes(chunks.select("doc_id").distinct()).collect()}
+    assert len(nodes) == 3 and nodes[3].topics and {e.text for e in nodes[3].entities} == {"owls", "lindens"}
+    meta = g.meta(chunks, p).first()
+    assert (meta.documents, meta.edges, meta.stale) == (3, 1, False) and meta.updated_at
+    assert g.meta(chunks.filter("doc_id > 1"), p).first().stale and g.meta(chunks, GraphParams(n_topics=3)).first().stale
+    store.claimed(spark, top)  # a run that has begun and written nothing
+    assert recompute.recompute(spark, chunks.limit(0), vectors.limit(0), top, p) == "000000000003"
+    empty = recompute.Graph(spark, top)
+    assert empty.version == "000000000003" and empty.edges.count() == 0 == empty.analysis.count() == empty.events.count()
+
+
+def test_pairs_that_the_recompute_leaves_out_cannot_be_edges(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i // 2, i, y.tolist()) for i, y in enumerate(x)], "doc_id long, chunk_id long, embedding array<double>")
+    e = entities(spark, {d: {f"e{int(k)}": 1 for k in rng.integers(0, 9, 4)} for d in range(20)})
+    weights = rng.dirichlet([0.3] * 4, 20)
+    dist = spark.createDataFrame([(d, t, float(weights[d, t])) for d in range(20) for t in range(4)], "doc_id long, topic int, weight double")
+    p = GraphParams(semantic_floor=0.4, semantic_ceil=1.0, top_k_pairs=2, edge_threshold=0.4)
+    key = lambda edges: {(r.source, r.target): r.combined_score for r in edges.collect()}
+    side = recompute.topic_vectors(dist)
+    all_topics = side.withColumnsRenamed({"doc_id": "a"}).join(side.withColumnsRenamed({"doc_id": "b", "p": "q"}), F.col("a") < F.col("b")).select("a", "b", scoring.topic_similarity("p", "q").alias("score"))
+    whole = key(graph.edges(graph.semantic_overlap(v, p), graph.entity_overlap(e, 20), all_topics, p))
+    assert key(graph.edges(*recompute.scored_pairs(v, e, 20, dist, p), p)) == whole and whole
