@@ -6,11 +6,12 @@ held-out rows are the same everywhere.  A null id counts as the empty text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +26,6 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-#: Salts over which the rows of one class are ranked before the best of all are.
-SALTS = 64
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` training rows of each class, stored.
 
@@ -40,10 +37,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """
     marked = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("id"), modulus) != held))
     present = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"))
-    usable = marked.groupBy("id").agg(F.min("label").alias("label")).join(present, "id", "left_semi").withColumn("order", F.xxhash64("id"))
-    salted = Window.partitionBy("label", F.pmod("order", F.lit(SALTS))).orderBy("order", "id")
-    most = usable.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= per_class)
-    picked = most.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))).filter(F.col("rank") <= per_class)
+    usable = marked.groupBy("id").agg(F.min("label").alias("label")).join(present, "id", "left_semi").withColumn("order", F.pmod(F.xxhash64("id"), F.lit(1 << 62)))
+    # of each class a little more than per_class rows, by their hash alone, so that no task meets all rows of a class
+    counts = usable.groupBy("label").agg(F.count("*").alias("n"))  # a row for each class that the model can name: the driver holds them all
+    enough = per_class + 6 * math.sqrt(per_class) + 20
+    some = usable.join(F.broadcast(counts), "label").filter(F.col("order") / float(1 << 62) * F.col("n") < enough)
+    best = some.groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct("order", "id"))), 1, per_class).alias("best"))
+    picked = best.select("label", F.explode("best").alias("b")).select(F.col("b.id").alias("id"), "label")
     picked = stored(picked.select("id", "label"), "picked")
     small = picked.count() <= BROADCAST_ROWS
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(picked) if small else picked, F.col("doc_id") == F.col("id"))
