@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from docweft.llm import decontaminate, minhash, mixing, secrets, toxicity
 from docweft.llm.shared import scratch, stored
 
-#: Share of words that texts of each domain are to have, and words to train on for each word kept.
+#: Share of words that texts of each domain are to have, and words to train on for each word that the stages before keep.
 WEIGHTS = {"good": 0.92, "poor": 0.08}
-BUDGET = 1.25
+BUDGET = 1.0
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
