@@ -17,11 +17,11 @@ about ten windows long.
 
 1. Instances are counted by representative and its needed words (``h``).  Those met
    once are done: all their windows are unique.
-2. Instances with equal words over all their windows (``h`` and ``span``) are equal
-   windows: all are repeated.
+2. Instances with equal words over all their windows are equal windows: all are
+   repeated.  Symbols only bring them together; that their words are equal is told by a
+   64-bit cryptographic digest of the words themselves (``span``), beside ``h``.
 3. Where a representative occurs with different spans, one instance of each span is
-   expanded into its windows, whose hashes are counted: exact to 64-bit names of the
-   window beside the 64-bit name of the representative.
+   expanded into its windows, which are counted by the same digest of their own words.
 
 Words under a repeated window go; windows are judged on the input.  Counts are
 aggregated before they are shuffled and joins are split where one key is hot, so a
@@ -34,7 +34,7 @@ Repeated rows are occurrences of their own; rows may share an id or have none.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +45,12 @@ from pyspark.sql import types as T
 from docweft.llm.bitfilter import BitFilter, bit_filter, packed_slices, packed_texts, unpacked
 from docweft.llm.learning import map_texts
 from docweft.llm.shared import stored
-from docweft.llm.textvec import Spans, flat, joined, lists, mix64, slices, word_names, words
+from docweft.llm.textvec import Spans, Words, flat, joined, lists, mix64, word_names, words
 
 #: Rounds of recompression; the need of a symbol of the third round is about 13 words.
 LEVELS = 3
+#: Repeated windows that are broadcast at most (40 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _SALTS = [np.uint64(0x589965CC75374CC3 * (2 * i + 1) & (2**64 - 1)) for i in range(8)]
 
@@ -140,8 +142,20 @@ def _top_instances(s: Symbols, first: np.ndarray, width: int) -> tuple[np.ndarra
     return at, begin[at], end[at]
 
 
-def instances(name: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(h, span, first window, windows) of all instances of a batch, by document and position."""
+class WordDigests:
+    """64 bits of a cryptographic digest of the words of a span, joined by blanks."""
+
+    def __init__(self, found: Words):
+        self.raw = joined(found)[0].tobytes()
+        self.stop = np.concatenate([[0], np.cumsum(found.end - found.start + 1)])
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        edges = zip(self.stop[begin].tolist(), (self.stop[end] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join(hashlib.blake2b(self.raw[a:b], digest_size=8).digest() for a, b in edges), np.uint64)
+
+
+def instances(name: np.ndarray, first: np.ndarray, width: int, digest: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, span, first window, windows) of all instances of a batch, by document and position; ``digest`` names the words of a span."""
     levels = recompressed(name, first)
     seq = Spans(name)
     count = np.maximum(np.diff(first) - width + 1, 0)
@@ -177,7 +191,7 @@ def instances(name: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     parts = []
     for s, i, at, begin, end in found:
         h = mix64(seq(s.lo[at], s.hi[at]) * _A + ((s.start[at] - s.lo[at]).astype(np.uint64) * np.uint64(8) + np.uint64(i)))
-        span = mix64(seq(begin, end + width) * _B + (s.start[at] - begin).astype(np.uint64))
+        span = mix64(digest(begin, end + width) * _B + (s.start[at] - begin).astype(np.uint64))
         parts.append((h, span, begin, end - begin + 1))
     h, span, begin, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
     order = np.argsort(begin, kind="stable")
@@ -199,7 +213,7 @@ def _parsed(rows: DataFrame, width: int) -> DataFrame:
 
     def kernel(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         found = words(data, offs)
-        h, span, begin, n = instances(word_names(found), found.first, width)
+        h, span, begin, n = instances(word_names(found), found.first, width, WordDigests(found))
         doc = np.searchsorted(found.first, begin, "right") - 1
         cut = np.searchsorted(begin, found.first)
         return [pa.array(found.count), pa.array(_digests(found), pa.string()), lists(_signed(h), cut, pa.int64()), lists(_signed(span), cut, pa.int64()), lists((begin - found.first[doc]).astype(np.int32), cut, pa.int32()), lists(n.astype(np.int32), cut, pa.int32())]
@@ -233,7 +247,7 @@ def _windows_of(joined_texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in packed_slices(batch, "packed"):
                 found = words(*flat(unpacked(part.column("packed"))))
-                seq = Spans(word_names(found))
+                digest = WordDigests(found)
                 items = part.column("items")
                 row = np.repeat(np.arange(part.num_rows), items.value_lengths().to_numpy().astype(np.int64))
                 at, n, h, alone = (items.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "h", "alone"))
@@ -241,7 +255,7 @@ def _windows_of(joined_texts: DataFrame, width: int) -> DataFrame:
                 pos = at[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
                 own = pa.array(row[rep])
                 begin = found.first[row[rep]] + pos
-                yield pa.RecordBatch.from_arrays([pa.array(h[rep]), pa.array(_signed(seq(begin, begin + width))), part.column("doc_id").take(own), part.column("tk").take(own), pa.array(pos.astype(np.int32)), pa.array(alone[rep])], out.names)
+                yield pa.RecordBatch.from_arrays([pa.array(h[rep]), pa.array(_signed(digest(begin, begin + width))), part.column("doc_id").take(own), part.column("tk").take(own), pa.array(pos.astype(np.int32)), pa.array(alone[rep])], out.names)
 
     return joined_texts.mapInArrow(run, out)
 
@@ -267,8 +281,9 @@ def repeated_ranges(rows: DataFrame, parsed: DataFrame, width: int) -> DataFrame
     items = F.collect_list(F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "h", (F.col("c") == 1).alias("alone"))).alias("items")
     chosen = stored(spans.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tk").alias("tk")).agg(items), "expanded")
     windows = stored(_windows_of(_with_texts(chosen, rows), width), "windows")
-    often = windows.groupBy("h", "window").count().filter("count > 1").select("h", "window")
-    single = windows.filter("alone").join(often, ["h", "window"], "left_semi").select("doc_id", "tk", "at", F.lit(1).alias("n"))
+    often = stored(windows.groupBy("h", "window").count().filter("count > 1").select("h", "window"), "often")
+    small = often.count() <= BROADCAST_ROWS
+    single = windows.filter("alone").join(F.broadcast(often) if small else often, ["h", "window"], "left_semi").select("doc_id", "tk", "at", F.lit(1).alias("n"))
     ranges = whole.unionByName(single).select("doc_id", "tk", F.struct("at", (F.col("at") + F.col("n") + (width - 1)).alias("to")).alias("r"))
     return stored(ranges.groupBy("doc_id", "tk").agg(F.collect_list("r").alias("ranges")), "ranges")
 

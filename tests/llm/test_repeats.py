@@ -77,7 +77,7 @@ def test_many_random_batches_in_the_kernel():
         width = rng.choice([3, 5, 12, 20])
         found = words(*flat(pa.array(texts)))
         name = word_names(found)
-        h, span, begin, n = repeats.instances(name, found.first, width)
+        h, span, begin, n = repeats.instances(name, found.first, width, repeats.WordDigests(found))
         windows = [i for a, b in zip(found.first[:-1], found.first[1:]) for i in range(a, b - width + 1)]
         assert [i + k for i, m in zip(begin.tolist(), n.tolist()) for k in range(m)] == windows
         by_content, by_span = {}, {}
