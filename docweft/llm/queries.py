@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How tables of streams are written: seek tables and frame headers of a stream are much alike.
+STREAMS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import langid
 
@@ -36,7 +40,7 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.llm import flac
 
-    media = stored(flac.flac_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    media = stored(flac.flac_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media", **STREAMS)
     return flac.flac_digest(media)
 
 

@@ -42,14 +42,14 @@ def bounded_batches(spark: SparkSession) -> None:
 _open: list[list[str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, with the writer's ``options``, and read it back: the lineage ends there."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/docweft-{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
