@@ -42,18 +42,25 @@ def entity_kept(text: Column | str, label: Column | str, labels: tuple[str, ...]
     return label.isin(*labels) & (F.length(text) >= least) & ~text.rlike(r"^[\W\d_]+$")
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def sanitize_filename(c: Column | str) -> Column:
     """A name that is safe to show: last path part, no control characters, no device name, at most 255 characters."""
     base = F.regexp_extract(_col(c), r"([^/\\]*)$", 1)
     clean = F.trim(F.regexp_replace(F.regexp_replace(base, r"[\x00-\x1f\x7f]", ""), " +", " "))
-    clean = F.regexp_replace(clean, r"[. ]+$", "")
-    stem = F.upper(F.substring_index(clean, ".", 1))
-    named = F.when(stem.isin(*DEVICE_NAMES), F.concat(F.lit("_"), clean)).otherwise(clean)
-    ext = F.substring_index(named, ".", -1)
-    keeps = F.contains(named, F.lit(".")) & (F.length(ext) < 16)
-    short = F.when(keeps, F.concat(F.left(named, 254 - F.length(ext)), F.lit("."), ext)).otherwise(F.left(named, F.lit(255)))
-    capped = F.when(F.length(named) > 255, short).otherwise(named)
-    return F.when(capped == "", F.lit("unnamed")).otherwise(capped)
+
+    def named(clean: Column) -> Column:
+        return F.when(F.upper(F.substring_index(clean, ".", 1)).isin(*DEVICE_NAMES), F.concat(F.lit("_"), clean)).otherwise(clean)
+
+    def capped(name: Column) -> Column:
+        ext = F.substring_index(name, ".", -1)
+        short = F.when(F.contains(name, F.lit(".")) & (F.length(ext) < 16), F.concat(F.left(name, 254 - F.length(ext)), F.lit("."), ext)).otherwise(F.left(name, F.lit(255)))
+        return F.when(name == "", F.lit("unnamed")).when(F.length(name) > 255, short).otherwise(name)
+
+    return _let(_let(F.regexp_replace(clean, r"[. ]+$", ""), named), capped)
 
 
 def detect_type(content: Column | str, claimed: Column | str) -> Column:

@@ -39,7 +39,7 @@ def scored_pairs(vectors: DataFrame, entities: DataFrame, n_docs: int, distribut
     least = max(0.0, (p.edge_threshold - p.topic_weight) / p.entity_weight) if p.entity_weight else 2.0
     pairs = semantic.select("a", "b")
     if least <= 1:
-        pairs = pairs.union(graph.entity_overlap(entities, n_docs, least=least).select("a", "b")).distinct()
+        pairs = pairs.union(graph.entity_scores(entities, n_docs, least=least).select("a", "b")).distinct()
     entity = graph.entity_overlap(entities, n_docs, pairs=pairs)
     if distribution is None:
         return semantic, entity, pairs.withColumn("score", F.lit(0.0))

@@ -63,13 +63,12 @@ SELECT a, b, round(both_ / (ma.mass + mb.mass - both_), 6) AS score, CAST(n AS B
 
 @query("agg_wjaccard", "WITH " + _JACCARD.format(ent=SP))
 def agg_wjaccard(spark, d):
-    return graph.entity_overlap(parts(spark, d), table(spark, d, "supplier"), most=100_000).select("a", "b", F.round("score", 6).alias("score"), F.size("shared").cast("long").alias("n"))
+    return graph.entity_scores(parts(spark, d), table(spark, d, "supplier")).withColumn("score", F.round("score", 6))
 
 
 @query("entity_overlap_least", "WITH x AS (" + "WITH " + _JACCARD.format(ent=ENT) + ") SELECT * FROM x WHERE score >= CAST(0.3 AS DOUBLE)")
 def entity_overlap_least(spark, d):
-    found = graph.entity_overlap(entities(spark, d), table(spark, d, "documents"), most=100_000, least=0.3 - 5e-7)
-    return found.select("a", "b", F.round("score", 6).alias("score"), F.size("shared").cast("long").alias("n"))
+    return graph.entity_scores(entities(spark, d), table(spark, d, "documents"), least=0.3 - 5e-7).withColumn("score", F.round("score", 6))
 
 
 SHARED = """{ent}, l AS (SELECT x.doc_id AS a, y.doc_id AS b, text, label, round(idf, 4) AS idf, x.count AS count_a, y.count AS count_b,

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as t
+from docweft.functions.segments import split_sentences
 from docweft.operators import dedup, events
 from docweft.plans.registry import query, table
 from docweft.plans.search_queries import chunk_vectors
@@ -79,22 +80,27 @@ def _extracted(spark, name: str):
     return files.extracted(found).select("path", "title", F.explode("blocks").alias("b")).select("path", "title", "b.*")
 
 
-@query("src_markdown")
+_ROWS = "SELECT path, title, text, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", section, CAST(page AS INTEGER) AS page, CAST(heading AS INTEGER) AS heading FROM (VALUES {}) v(path, title, text, start, \"end\", section, page, heading)"
+
+
+@query("src_markdown", _ROWS.format("""('up/b.md', 'Tides', 'Tides', 0, 5, 'Tides', NULL, 1), ('up/b.md', 'Tides', 'Tides rise and fall. Twice a day they do.', 7, 48, 'Tides', NULL, NULL), ('up/b.md', 'Tides', 'Causes', 50, 56, 'Tides > Causes', NULL, 2),
+('up/b.md', 'Tides', 'The moon pulls.', 58, 73, 'Tides > Causes', NULL, NULL), ('up/b.md', 'Tides', 'Uses', 75, 79, 'Uses', NULL, 1), ('up/b.md', 'Tides', 'Mills', 81, 86, 'Uses > Mills', NULL, 3), ('up/b.md', 'Tides', 'Mills turn.', 88, 99, 'Uses > Mills', NULL, NULL)"""))
 def src_markdown(spark, d):
     return _extracted(spark, "md")
 
 
-@query("src_docx")
+@query("src_docx", _ROWS.format("""('up/c.docx', 'Of Bees', 'Of Bees', 0, 7, 'Of Bees', NULL, 1), ('up/c.docx', 'Of Bees', 'Hives', 9, 14, 'Hives', NULL, 1), ('up/c.docx', 'Of Bees', 'Bees live there.', 16, 32, 'Hives', NULL, NULL),
+('up/c.docx', 'Of Bees', 'Frames', 34, 40, 'Hives > Frames', NULL, 2), ('up/c.docx', 'Of Bees', 'They hold combs.', 42, 58, 'Hives > Frames', NULL, NULL)"""))
 def src_docx(spark, d):
     return _extracted(spark, "docx")
 
 
-@query("src_pdf")
+@query("src_pdf", _ROWS.format("""('up/d.pdf', 'On Lamps', 'On Lamps', 0, 8, 'On Lamps', 1, 1), ('up/d.pdf', 'On Lamps', 'Lamps give light in the evening and the night. Oil burns in them.', 10, 75, 'On Lamps', 1, NULL)"""))
 def src_pdf(spark, d):
     return _extracted(spark, "pdf")
 
 
-@query("src_dispatch")
+@query("src_dispatch", "SELECT path, title, CAST(pages AS INTEGER) AS page_count, CAST(n AS INTEGER) AS n_blocks, NULL AS error FROM (VALUES ('up/a.txt', NULL, 0, 3), ('up/b.md', 'Tides', 0, 7), ('up/c.docx', 'Of Bees', 0, 5), ('up/d.pdf', 'On Lamps', 1, 2)) v(path, title, pages, n)")
 def src_dispatch(spark, d):
     return files.extracted(files.validated_uploads(uploads(spark)).filter("error IS NULL")).select("path", "title", "page_count", F.size("blocks").alias("n_blocks"), "error")
 
@@ -130,11 +136,26 @@ def chunk_sections(spark, d):
     return files.chunked(md, "doc_id", markdown=True, target=1 << 30, ratio=0.0).select("doc_id", "chunk_index", "section", "token_count")
 
 
-@query("chunk_units")
+def sentences_sql(source: str, keys: str) -> str:
+    """SQL of ``s``: each word of ``source`` (keys, p) with its place and the number of its sentence."""
+    return rf"""x AS (SELECT {keys}, unnest(regexp_extract_all(p, '\S+\s*')) AS x, generate_subscripts(regexp_extract_all(p, '\S+\s*'), 1) AS k FROM {source}),
+y AS (SELECT *, regexp_replace(x, '\s+$', '') AS word, coalesce(sum(length(x)) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM x),
+z AS (SELECT *, regexp_extract(word, '[.!?]+$') AS stop, left(lead(word) OVER w, 1) AS next_, lag(word) OVER w AS before FROM y WINDOW w AS (PARTITION BY {keys} ORDER BY k)),
+b AS (SELECT *, CASE WHEN length(stop) < length(word) THEN left(word, length(word) - length(stop)) ELSE coalesce(before, '') END AS stem FROM z),
+e AS (SELECT *, stop <> '' AND next_ IS NOT NULL AND NOT (next_ = lower(next_) AND next_ <> upper(next_)) AND trim(lower(stem), '.') NOT IN ('e.g', 'i.e', 'etc', 'vs', 'cf', 'fig', 'eq', 'al', 'dr', 'mr', 'mrs', 'ms', 'prof', 'no')
+  AND NOT (stop = '.' AND length(stem) = 1 AND stem = upper(stem) AND stem <> lower(stem)) AS ends FROM b),
+s AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM e)"""
+
+
+@query("chunk_units", f"WITH {LINES}, {sentences_sql('l', 'doc_id, i')} SELECT doc_id, CAST(i AS BIGINT) AS i, CAST(min(start) AS INTEGER) AS start, CAST(max(start + length(word)) AS INTEGER) AS \"end\" FROM s GROUP BY doc_id, i, n")
 def chunk_units(spark, d):
-    from docweft.functions.segments import split_sentences
+    spread = lines(spark, d).select("doc_id", F.posexplode("lines").alias("i", "p"))
+    return spread.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.explode(split_sentences("p")).alias("s")).select("doc_id", "i", "s.start", "s.end")
+
 
-    return lines(spark, d).select("doc_id", F.posexplode("lines").alias("i", "p")).select("doc_id", "i", F.explode(split_sentences("p")).alias("s")).select("doc_id", "i", "s.start", "s.end")
+@query("split_sentences", f"WITH {sentences_sql('(SELECT doc_id, text AS p FROM documents)', 'doc_id')}, c AS (SELECT doc_id, CAST(max(n) + 1 AS INTEGER) AS n FROM s GROUP BY 1) SELECT doc_id, coalesce(c.n, 0) AS n_sentences FROM documents LEFT JOIN c USING (doc_id)")
+def sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(split_sentences("text")).alias("n_sentences"))
 
 
 @query("chunk_pack")
