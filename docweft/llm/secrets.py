@@ -13,7 +13,8 @@ Spans are in code points, end exclusive, of leftmost non-overlapping matches per
 of which those that are too short are dropped afterwards.
 
 Null texts are empty.  Rows are known by id and a hash of their text, so rows may
-repeat, share an id or have none.  Further columns are left alone.
+repeat, share an id or have none.  Further columns are left alone, whatever their names;
+a column secret_spans is replaced where spans are given, and kept where texts are redacted.
 """
 
 from __future__ import annotations
@@ -282,7 +283,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns, with every secret in the text replaced by its kind in brackets; null texts stay null."""
     columns = docs.columns
-    found = with_spans(docs.withColumn("_docweft_null", F.col("text").isNull()))
+    own = docs.withColumnRenamed("secret_spans", "_docweft_own")  # a column that only happens to have this name stays
+    found = with_spans(own.withColumn("_docweft_null", F.col("text").isNull()))
     none = F.array().cast("array<string>")
 
     def part(text: Column, begin: Column, many: Column) -> Column:
@@ -303,4 +305,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.col("text").alias("rest"), F.lit(0).cast("bigint").alias("at"), none.alias("out"))
     rest = _in_blocks(F.col("secret_spans"), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, rest).when(~F.col("_docweft_null"), F.col("text"))).select(*columns)
+    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, rest).when(~F.col("_docweft_null"), F.col("text")))
+    return out.drop("secret_spans").withColumnRenamed("_docweft_own", "secret_spans").select(*columns)

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 SECRET = re.compile(r"(?:token|password) = \"[a-z0-9]{12,}")
@@ -33,8 +34,9 @@ def tables(spark, tmp_path_factory):
         docs.append((i, text, "en", f"src{i % 3}", len(text)))
         labels.append((i, int(what != "poor"), int(what == "toxic")))
         kind[i] = what
-    docs += [(500, None, None, None, None), (501, "", "en", "src0", 0), (0, docs[0][1], "en", "src0", 1), (None, "a row without any id at all, but clean", "en", None, 30)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{top}/documents.parquet")
+    docs += [(502, prose(4000), "en", "src1", 9), (503, prose(5), "en", None, 9), (500, None, None, None, None), (501, "", "en", "src0", 0), (0, docs[0][1], "en", "src0", 1), (None, "a row without any id at all, but clean", "en", None, 30)]
+    extra = {"secret_spans": F.col("lang"), "component_id": F.lit(3), "leaked": F.lit(True), "label": F.lit(None).cast("int"), "score": F.lit("x")}
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra).repartition(3).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     return top, {d[0]: d for d in docs}, dict(items), kind
@@ -57,7 +59,7 @@ def test_each_stage_on_its_own_input(spark, tables):
             assert now.columns == columns
         gone = before.keys() - after.keys()
         if name == "toxicity":
-            assert {i for i in gone} == {i for i, k in kind.items() if k == "toxic"}
+            assert {i for i in gone} == {i for i, k in kind.items() if k == "toxic"} and {502, 503} <= after.keys()
         elif name == "near_duplicates":
             s = {i: shingles(r.text) for i, r in before.items() if r.text}
             want = {i for i in s for j in s if j is not None and (i is None or j < i) and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
@@ -68,6 +70,7 @@ def test_each_stage_on_its_own_input(spark, tables):
         elif name == "secrets":
             assert not gone
             for i, r in after.items():
+                assert (r.secret_spans, r.component_id, r.leaked, r.score) == (r.lang, 3, True, "x")
                 assert not SECRET.search(r.text or "") and (r.text == before[i].text or "[assign]" in r.text)
                 assert (r.text != before[i].text) == (kind.get(i) == "secret") and (r.text is None or r.n_chars == len(r.text))
         else:
