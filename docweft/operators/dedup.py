@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweft.sources.store import kept
+
 BLOCK_ROWS = 2048
 
 
@@ -93,32 +95,23 @@ def near_duplicates(vectors: DataFrame, threshold: float, known: DataFrame | Non
     if one is kept.  Each round decides the first undecided row of every chain at least,
     and goes on with the links between undecided rows only.
     """
-    shared = vectors.sparkSession.sparkContext.getCheckpointDir()
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if shared else df.persist()
-
     rows = vectors.select("id", "embedding")
     gone = near_known(rows, known, threshold) if known is not None else rows.select("id").limit(0)
-    gone = keep(gone)
-    links = keep(similar_pairs(rows.join(gone, "id", "left_anti"), threshold).select("a", "b"))
+    gone = kept(gone, "gone")
+    links = kept(similar_pairs(rows.join(gone, "id", "left_anti"), threshold).select("a", "b"), "links")
     while not links.isEmpty():
         # rows without an earlier link are kept, and what they link goes, with its own links
         free = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti")
-        out = keep(links.join(free, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        out = kept(links.join(free, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "out")
         left = links.join(free, "a", "left_anti").join(out.select(F.col("id").alias("a")), "a", "left_anti").join(out.select(F.col("id").alias("b")), "b", "left_anti")
-        before, links, gone = (links, gone), keep(left.select("a", "b")), keep(gone.union(out))
-        if not shared:
-            links.count(), gone.count()
-            for done in before:
-                done.unpersist()
+        links, gone = kept(left.select("a", "b"), "links"), gone.union(out)
     return rows.select("id").join(gone.withColumn("is_near_dup", F.lit(True)), "id", "left").select("id", F.coalesce("is_near_dup", F.lit(False)).alias("is_near_dup"))
 
 
-def vector_ids(kept: DataFrame, stored: DataFrame, order: str = "chunk_id") -> DataFrame:
+def vector_ids(rows: DataFrame, stored: DataFrame, order: str = "chunk_id") -> DataFrame:
     """Contiguous ids after the largest stored one, in order: ranks inside range partitions plus the rows of those before."""
     base = stored.agg(F.coalesce(F.max("vector_id"), F.lit(-1)).alias("base"))
-    placed = kept.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    placed = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = ranked.groupBy("_part").agg(F.max("_rank").alias("_n"))  # one row a partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

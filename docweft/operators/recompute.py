@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docweft.functions.scoring import topic_similarity
 from docweft.operators import graph, topics
 from docweft.params import GraphParams, params_hash
-from docweft.sources.store import claimed, commit, committed
+from docweft.sources.store import claimed, commit, committed, kept
 
 TOPICS_SHOWN, ENTITIES_SHOWN, SHARED_SHOWN = 3, 10, 3
 
@@ -35,7 +35,7 @@ def topic_vectors(distribution: DataFrame) -> DataFrame:
 def scored_pairs(vectors: DataFrame, entities: DataFrame, n_docs: int, distribution: DataFrame | None, p: GraphParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three signals of every pair of documents that can reach the threshold."""
     semantic = graph.semantic_overlap(vectors, p, least=0.0)
-    semantic = semantic.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else semantic.persist()
+    semantic = kept(semantic, "semantic")
     least = max(0.0, (p.edge_threshold - p.topic_weight) / p.entity_weight) if p.entity_weight else 2.0
     pairs = semantic.select("a", "b")
     if least <= 1:
@@ -78,16 +78,15 @@ def recompute(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: s
         events.append((len(events), triggered_by, status, str({"reason": reason, **detail}), round(1000 * (now - last), 3), now))
         last = now
 
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    documents = keep(chunks.select("doc_id").distinct())
+    documents = kept(chunks.select("doc_id").distinct(), "documents")
     n = documents.count()
     emit("graph_start", documents=n)
-    entities = keep(graph.mentions(chunks.select("doc_id", "text"), p))
+    entities = kept(graph.mentions(chunks.select("doc_id", "text"), p), "entities")
     emit("graph_progress", step="entities")
     model, loadings = topics.fit(chunks.select("doc_id", "chunk_id", "text"), p)
-    distribution = None if model is None else keep(graph.topic_distribution(loadings))
+    distribution = None if model is None else kept(graph.topic_distribution(loadings), "topics")
     emit("graph_progress", step="topics")
-    edges = keep(graph.edges(*scored_pairs(vectors, entities, n, distribution, p), p).withColumns({"params_hash": F.lit(params_hash(p)), "updated_at": F.current_timestamp()}))
+    edges = kept(graph.edges(*scored_pairs(vectors, entities, n, distribution, p), p).withColumns({"params_hash": F.lit(params_hash(p)), "updated_at": F.current_timestamp()}), "edges")
     emit("graph_progress", step="scoring")
     found = analyses(documents, entities, n, distribution, model.terms() if model else [], p)
     emit("graph_done", edges=edges.count(), duration_ms=round(1000 * (time.time() - began), 3))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +81,27 @@ def exists(spark: SparkSession, pattern: str) -> bool:
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
 
 
+_local: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: that of checkpoints, else the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
+    """A folder that the driver and all executors share: that of checkpoints, else the warehouse; of a local session a temporary one, deleted with it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if spark.sparkContext.applicationId not in _local:
+        _local[spark.sparkContext.applicationId] = top = tempfile.mkdtemp(prefix="docweft-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return "file://" + _local[spark.sparkContext.applicationId]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: its lineage ends, and a lost executor costs a read."""
+    path = f"{work_dir(df.sparkSession)}/docweft-kept-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:

@@ -23,7 +23,7 @@ from docweft.operators import dedup, retrieval
 from docweft.operators.events import TERMINAL, admitted
 from docweft.params import ChunkParams
 from docweft.sources.files import CHUNK, chunk_rows, extract_document, validated_uploads
-from docweft.sources.store import exists
+from docweft.sources.store import exists, kept
 
 #: States of a document in order (fixed values).
 STAGES = ("queued", "parsing", "chunking", "embedding", "indexing", "done")
@@ -66,13 +66,12 @@ def indexed(chunks: DataFrame, embed: Embedder, p: ChunkParams = ChunkParams(),
     What is kept gets the ids after the largest of ``vectors``; the rest has none.
     """
     spark = chunks.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    marked = keep(dedup.exact_duplicates(chunks, known, "chunk_id"))
-    fresh = keep(embed(marked.filter("NOT is_duplicate").select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), "embedding"))
+    marked = kept(dedup.exact_duplicates(chunks, known, "chunk_id"), "marked")
+    fresh = kept(embed(marked.filter("NOT is_duplicate").select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), "embedding"), "embedded")
     if p.near_dup_cosine < 1:
         old = None if vectors is None else vectors.select(F.col("vector_id").alias("id"), "embedding")
-        kept = dedup.near_duplicates(fresh, p.near_dup_cosine, old).filter("NOT is_near_dup").select("id")
-        fresh = keep(fresh.join(kept, "id", "left_semi"))
+        own = dedup.near_duplicates(fresh, p.near_dup_cosine, old).filter("NOT is_near_dup").select("id")
+        fresh = kept(fresh.join(own, "id", "left_semi"), "fresh")
     none = spark.createDataFrame([], "vector_id bigint")
     ids = dedup.vector_ids(fresh.withColumnRenamed("id", "chunk_id"), none if vectors is None else vectors.select("vector_id"), "chunk_id")
     out = marked.join(ids.select("chunk_id", "embedding", F.col("vector_id").cast("bigint").alias("vector_id")), "chunk_id", "left")
@@ -158,11 +157,11 @@ def process(spark: SparkSession, files: DataFrame, top: str, number: int, embed:
     known, vectors = (None if rows is None else rows.filter(F.col("batch") != number).join(again, "path", "left_anti") for rows in (tables.rows("chunks"), tables.rows("vectors")))
     known = None if known is None else known.filter("NOT is_duplicate").select("content_hash")
     rows = indexed(drafts, embed, p, known, vectors)
-    kept = tables.write(rows, "indexed", number)
+    final = tables.write(rows, "indexed", number)
     enter("indexing", good, {})
-    tables.write(kept.drop("embedding", "batch"), "chunks", number)
-    tables.write(kept.filter("NOT is_duplicate").select("vector_id", "chunk_id", "path", "embedding"), "vectors", number)
-    counts = kept.groupBy("path").agg(F.count("*").alias("chunk_count"), F.count_if(~F.col("is_duplicate")).alias("indexed_count"))
+    tables.write(final.drop("embedding", "batch"), "chunks", number)
+    tables.write(final.filter("NOT is_duplicate").select("vector_id", "chunk_id", "path", "embedding"), "vectors", number)
+    counts = final.groupBy("path").agg(F.count("*").alias("chunk_count"), F.count_if(~F.col("is_duplicate")).alias("indexed_count"))
     total = 1000 * (time.time() - marks[0][1])
     state = queue.select("path", "modificationTime", "sha256").join(failed.groupBy("path").agg(F.max("error").alias("error")), "path", "left").join(counts, "path", "left").join(parsed.groupBy("path").agg(F.max("page_count").alias("page_count")), "path", "left")
     state = state.fillna(0, ["chunk_count", "indexed_count"]).withColumn("duplicate_count", F.col("chunk_count") - F.col("indexed_count")).withColumn("total_ms", F.lit(round(total, 3))).withColumn("status", F.when(F.col("error").isNull(), "done").otherwise("failed"))
