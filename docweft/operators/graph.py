@@ -196,6 +196,12 @@ def edge_evidence(edge: DataFrame, chunks: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("position", "text_a", "text_b", "similarity")
 
 
+def without_documents(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges of which neither end is among ``gone`` (doc_id)."""
+    one = table.join(gone.select(F.col("doc_id").alias("source")), "source", "left_anti")
+    return one.join(gone.select(F.col("doc_id").alias("target")), "target", "left_anti").select(*table.columns)
+
+
 def incident(table: DataFrame, node: int) -> DataFrame:
     """A node's edges with the opposite node, best first."""
     own = table.filter((F.col("source") == node) | (F.col("target") == node))

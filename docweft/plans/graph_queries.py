@@ -13,7 +13,7 @@ from docweft.operators.recompute import topic_vectors
 from docweft.params import GraphParams, params_hash
 from docweft.plans.registry import query, table
 from docweft.plans.search_queries import chunk_vectors, query_vector
-from docweft.sources.store import work_dir
+from docweft.sources.store import Keyed, claimed, commit, committed, work_dir
 
 #: The test vectors are nearly orthogonal: they need a lower line than the default.
 P = GraphParams(semantic_floor=0.0, semantic_ceil=0.5, top_k_pairs=5)
@@ -358,6 +358,30 @@ def incident_edges(spark, d):
     return graph.incident(edge_table(spark, d), 7).select("opposite", "combined_score")
 
 
+@query("edges_delete_for_document", f"WITH {EDGES} SELECT source, target FROM edges WHERE source NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND target NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def edges_delete_for_document(spark, d):
+    gone = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("doc_id"))
+    return graph.without_documents(edge_table(spark, d), gone).select("source", "target")
+
+
+@query("analysis_replace_all", f"WITH {DIST} SELECT user_id AS doc_id, CAST(arg_min(topic, (-weight, topic)) AS BIGINT) AS dominant_topic FROM dist GROUP BY 1")
+def analysis_replace_all(spark, d):
+    """A new version takes the place of all rows, those of documents that are gone with them."""
+    top = f"{work_dir(spark)}/docweft-analysis-{uuid.uuid4().hex}"
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).cast("bigint").alias("dominant_topic"))
+    for rows in (old, graph.dominant_topics(distribution(spark, d))):
+        commit({"analysis": rows}, top, claimed(spark, top), "analysis")
+    return spark.read.parquet(f"{top}/version={committed(spark, top, 'analysis')[-1]}/analysis").select("doc_id", F.col("dominant_topic").cast("bigint").alias("dominant_topic"))
+
+
+@query("explanations_upsert", f"WITH {EDGES} SELECT source, target, CASE WHEN target % 3 = 0 THEN 'new' ELSE 'old' END AS explanation FROM edges WHERE source % 5 <> 0")
+def explanations_upsert(spark, d):
+    """Explanations by key: written twice for some edges, then deleted for those of some documents."""
+    rows = edge_table(spark, d).select("source", "target", answers.cache_key("small").alias("cache_key"), F.lit("old").alias("explanation"))
+    now = Keyed(rows, "cache_key").upserted(rows.filter("target % 3 = 0").withColumn("explanation", F.lit("new")))
+    return now.deleted(rows.filter("source % 5 = 0"), "source", "target").rows.select("source", "target", "explanation")
+
+
 @query("join_stale", "SELECT c_custkey AS doc_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def join_stale(spark, d):
     docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))

@@ -452,6 +452,30 @@ def repo_existing_hashes(spark, d):
     return rows.filter("p_partkey % 3 = 0").join(rows.filter("p_partkey % 3 = 1"), "content_hash", "left_semi").select("content_hash").distinct()
 
 
+@query("sink_sql", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def sink_sql(spark, d):
+    """Insert, update and delete, each written as a version and read again; the newest one counts."""
+    top = f"{store.work_dir(spark)}/docweft-sink-{uuid.uuid4().hex}"
+
+    def write(rows) -> store.Keyed:
+        store.commit({"customers": rows, "done": spark.range(1)}, top, store.claimed(spark, top), "done")
+        return store.Keyed(spark.read.parquet(f"{top}/version={store.committed(spark, top, 'done')[-1]}/customers"), "c_custkey")
+
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    now = write(rows.filter("c_custkey % 2 = 0"))
+    now = write(now.created(rows)[0].rows)
+    now = write(now.updated(rows.filter("c_custkey % 2 = 1").withColumn("c_acctbal", F.lit(0.0))).rows)
+    return write(now.deleted(table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))).rows).rows
+
+
+@query("chunks_assign_vector_ids", "SELECT p_partkey, CASE WHEN p_size > 25 THEN row_number() OVER (PARTITION BY p_size > 25 ORDER BY p_partkey) + (SELECT max(vec_id) FROM embeddings) END AS vector_id FROM part")
+def assign_vector_ids(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_size", F.lit(None).cast("bigint").alias("vector_id"))
+    stored = table(spark, d, "embeddings").select(F.col("vec_id").alias("vector_id"))
+    ids = dedup.vector_ids(rows.filter("p_size > 25").select("p_partkey"), stored, "p_partkey").select("p_partkey", F.col("vector_id").cast("bigint").alias("vector_id"))
+    return store.Keyed(rows, "p_partkey").updated(ids).rows.select("p_partkey", "vector_id")
+
+
 @query("ingest_pipeline", r"""WITH c AS (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'))) AS content_hash, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS token_count FROM documents WHERE regexp_matches(text, '\S')),
 d AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 AS is_duplicate FROM c)
 SELECT doc_id, CAST(token_count AS INTEGER) AS token_count, content_hash, is_duplicate, CASE WHEN NOT is_duplicate THEN CAST(row_number() OVER (PARTITION BY is_duplicate ORDER BY doc_id) - 1 AS BIGINT) END AS vector_id FROM d""")
