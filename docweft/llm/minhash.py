@@ -244,21 +244,27 @@ class _Search:
             self.labels.add(verified(pairs, self.docs, self.width, self.percent))
 
     def mixed(self, lists: DataFrame) -> DataFrame:
-        """Members of the lists that span several components, with the list's largest one, how many are outside of it, and its members; stored."""
+        """Members of the lists that span several components, with how many are outside of the list's largest one, its members, and a turn for each outside; stored."""
         member = stored(self.labels.of(lists.select("value", "rep", "n", "at"), "rep", "component"), "members")
         count = member.groupBy("value", "component").count()
         top = count.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("m"))
-        some = top.select("value", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.count")).alias("others"), "m").filter("others > 0")
-        return stored(member.join(some, "value"), "mixed")
+        some = stored(top.select("value", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.count")).alias("others"), "m").filter("others > 0"), "spanning")
+        turn = F.when(F.col("component") != F.col("largest"), F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("others") / ROUND)))
+        return stored(_with(member, some).withColumn("turn", turn).drop("largest"), "mixed")
+
+    def still_mixed(self, mixed: DataFrame) -> DataFrame:
+        """The same rows by the components of now, without lists that have become one."""
+        member = stored(self.labels.of(mixed.drop("component"), "rep", "component"), "members")
+        apart = member.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("value")
+        return stored(_with(member, stored(apart, "apart")), "mixed")
 
     def pairs(self, mixed: DataFrame, turns: tuple[int, int], placed: bool) -> DataFrame:
         """(a, b): the members outside their list's largest component whose turn it is, with all members of other components.
 
         A list's members are dealt into blocks, and those whose turn it is go to each block, so no task has a whole list.
         """
-        turn = F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("others") / ROUND))
-        mine = mixed.filter("component != largest").filter((turn >= turns[0]) & (turn < turns[1]))
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        mine = mixed.filter((F.col("turn") >= turns[0]) & (F.col("turn") < turns[1]))
         mine = mine.select("value", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("component").alias("cx"))
         others = mixed.select("value", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"), F.col("component").alias("cy"))
         fits = (F.col("cx") != F.col("cy")) & _similar_size("nx", "ny", self.percent)
@@ -269,20 +275,20 @@ class _Search:
     def cross(self, lists: DataFrame, placed: bool) -> None:
         """Meet all members outside their list's largest component with all others.
 
-        Each round takes four times as many of them, so their number grows with the logarithm
-        of the longest list; what a round has linked needs no pair in the next.
+        Each has its turn from the start, and each round takes four times as many turns, so the
+        number of rounds grows with the logarithm of the longest list; what a round has linked
+        needs no pair in the next.
         """
+        lists = self.mixed(lists)
+        turns = lists.agg(F.max("turn")).first()[0]
         at, many = 0, 1
-        while True:
-            lists = self.mixed(lists)
-            turns = lists.agg(F.max(F.ceil(F.col("others") / ROUND))).first()[0] or 0
-            if not turns:
-                return
-            last = at + many >= turns
-            self.add(estimated(self.pairs(lists, (at, turns if last else at + many), placed), self.classes, self.percent))
-            if last:
-                return
+        while turns is not None and at <= turns:
+            self.add(estimated(self.pairs(lists, (at, at + many), placed), self.classes, self.percent))
             at, many = at + many, 4 * many
+            if at <= turns:
+                lists = self.still_mixed(lists)
+                if lists.isEmpty():
+                    return
 
     def full_lists(self, members: DataFrame) -> DataFrame:
         """(value, rep, n, at): exact inverted lists over the full sets of the given classes (rep).

@@ -139,3 +139,16 @@ def test_jobs_hardly_grow_with_the_group(spark):
         assert found < n / 10
     SparkContext._active_spark_context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[1] <= 1.4 * jobs[0]
+
+
+def test_texts_made_of_common_passages_only(spark, monkeypatch):
+    """Links that only long lists tell: every member outside has its turn, whatever is linked before."""
+    monkeypatch.setattr(minhash, "ROUND", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(12)
+    passages = [[f"p{i}w{j}" for j in range(14)] for i in range(16)]
+    rows = [(i, " ".join(w for p in sorted(rng.sample(range(16), 12)) for w in passages[p])) for i in range(90)]
+    want, _ = brute([(i, t) for i, t in rows], 4)
+    assert 5 < len(set(want.values())) < 85
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
