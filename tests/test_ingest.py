@@ -130,3 +130,14 @@ def test_rate_limit_as_state(spark, tmp_path):
     assert got == batch and len(got) == 12 and got[0] and got[2] and not all(got.values())
     live = jobs.live_events(spark.readStream.schema(rows.schema).parquet(source), 5)
     assert live.isStreaming
+
+
+def test_a_batch_that_runs_twice_leaves_the_same_tables(spark, tmp_path):
+    top = f"file://{tmp_path}/out"
+    rows = uploads(spark).withColumns({"modificationTime": F.timestamp_seconds(F.lit(0)), "length": F.length("content").cast("long")})
+    seen = []
+    for _ in range(2):
+        jobs.process(spark, rows, top, 7)
+        tables = jobs.Tables(spark, top)
+        seen.append([sorted(map(str, tables.rows(name).drop("embedding").collect())) for name in ("chunks", "vectors")] + [sorted((r.path, r.status, r.chunk_count) for r in tables.documents().collect())])
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(seen[0][1]) > 5

@@ -327,3 +327,36 @@ def test_pairs_that_the_recompute_leaves_out_cannot_be_edges(spark):
     all_topics = side.withColumnsRenamed({"doc_id": "a"}).join(side.withColumnsRenamed({"doc_id": "b", "p": "q"}), F.col("a") < F.col("b")).select("a", "b", scoring.topic_similarity("p", "q").alias("score"))
     whole = key(graph.edges(graph.semantic_overlap(v, p), graph.entity_overlap(e, 20), all_topics, p))
     assert key(graph.edges(*recompute.scored_pairs(v, e, 20, dist, p), p)) == whole and whole
+
+
+def test_embeddings_and_the_nearest_sentence(spark):
+    import zlib
+
+    def plain(words):
+        out = np.zeros(64)
+        for w in words:
+            h = zlib.crc32(w.encode())
+            out[h % 64] += 1 if h >= 1 << 31 else -1
+        return out / (np.linalg.norm(out) or 1)
+
+    df = spark.createDataFrame([(1, "Owls hunt at night"), (2, None), (3, "... !")], "i int, text string")
+    got = {r.i: np.array(r.embedding) for r in retrieval.embed(df).collect()}
+    assert np.allclose(got[1], plain(["owls", "hunt", "at", "night"]), atol=1e-6) and not got[2].any() and not got[3].any()
+    asked = retrieval.embed(df.filter("i = 1"), prefix="query: ").first().embedding
+    assert np.allclose(asked, plain(["query", "owls", "hunt", "at", "night"]), atol=1e-6)
+    text_ = "Rivers are long. Owls hunt at night. Owls sleep."
+    near = spark.createDataFrame([(text_,), (None,)], "t string")
+    rows = near.select(retrieval.semantic_sentence(plain(["owls", "hunt"]))("t").alias("s"), retrieval.semantic_sentence(plain(["owls"]), enabled=False)("t").alias("f")).collect()
+    assert text_[rows[0].s.start : rows[0].s.end] == "Owls hunt at night." and (rows[0].f.start, rows[0].f.end) == (0, 16) and rows[1].s.start is None
+
+
+def test_cache_keys_follow_the_evidence(spark):
+    def key(sim=0.5, entity="owl", score=0.4, target=2, model="m"):
+        row = spark.createDataFrame([(1, target, score, 0.1, 0.2)], "source long, target long, semantic_score double, entity_score double, topic_score double")
+        pairs = F.array(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"), F.lit(sim).alias("sim")))
+        shared = F.array(F.struct(F.lit(entity).alias("text"), F.lit("ORG").alias("label")))
+        return row.withColumns({"top_pairs": pairs, "shared_entities": shared}).select(answers.cache_key(model).alias("k")).first().k
+
+    base = key()
+    assert base == key() == key(sim=0.50001) and len(base) == 64
+    assert len({base, key(sim=0.6), key(entity="bat"), key(score=0.5), key(target=3), key(model="n")}) == 6
