@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docweft.functions.scoring import topic_similarity
 from docweft.operators import graph, topics
 from docweft.params import GraphParams, params_hash
-from docweft.sources.store import claimed, commit, committed, kept
+from docweft.sources.store import claimed, commit, committed, kept, scratch
 
 TOPICS_SHOWN, ENTITIES_SHOWN, SHARED_SHOWN = 3, 10, 3
 
@@ -69,6 +69,11 @@ def recompute(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: s
     vector and so no part in its semantic signal.  With a document that triggered the run,
     at most five events (start, three steps, done) are written for it.
     """
+    with scratch(spark):
+        return _recomputed(spark, chunks, vectors, top, p, triggered_by, reason)
+
+
+def _recomputed(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: str, p: GraphParams, triggered_by: str | None, reason: str) -> str:
     version, events = claimed(spark, top), []
     began = last = time.time()
 

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,13 +99,31 @@ def work_dir(spark: SparkSession) -> str:
     return "file://" + _local[spark.sparkContext.applicationId]
 
 
+#: Paths written by ``kept`` inside each open ``scratch``.
+_open: list[list[str]] = []
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends, and a lost executor costs a read."""
     path = f"{work_dir(df.sparkSession)}/docweft-kept-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``kept`` writes inside: for jobs whose results are written elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, _open.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Length and time of change of a table's folder: differs once its files do."""
     jvm = spark.sparkContext._jvm

@@ -23,7 +23,7 @@ from docweft.operators import dedup, retrieval
 from docweft.operators.events import TERMINAL, admitted
 from docweft.params import ChunkParams
 from docweft.sources.files import CHUNK, chunk_rows, extract_document, validated_uploads
-from docweft.sources.store import exists, kept
+from docweft.sources.store import exists, kept, scratch
 
 #: States of a document in order (fixed values).
 STAGES = ("queued", "parsing", "chunking", "embedding", "indexing", "done")
@@ -118,6 +118,11 @@ def process(spark: SparkSession, files: DataFrame, top: str, number: int, embed:
     A file whose bytes another document has already, or an earlier file of the batch, is
     refused as a ``duplicate_document``.  A file that fails leaves no chunk.
     """
+    with scratch(spark):
+        _processed(spark, files, top, number, embed, p)
+
+
+def _processed(spark: SparkSession, files: DataFrame, top: str, number: int, embed: Embedder, p: ChunkParams) -> None:
     tables, began = Tables(spark, top), time.time()
     older = tables.documents()
     older = None if older is None else older.filter(F.col("batch") != number)
