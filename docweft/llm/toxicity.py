@@ -10,7 +10,8 @@ less, than any sum of single weights could say.
 The ``keep`` buckets with the largest chi-square on the sample are kept.  The machine
 is fitted on at most ``per_class`` labelled rows of each class and weighted back to the
 shares of all labelled rows; without rows of both classes every document scores their
-share.  Null and empty texts get the score of a text without terms.  An id with several
+share.  A text longer than any in training is scored in stretches of that length, and
+has the largest of their scores.  Null and empty texts get the score of a text without terms.  An id with several
 labels counts once, with the smallest.  Repeated rows are scored one by one.  Columns
 of ``docs`` other than doc_id and text are not read, whatever their names.
 """
@@ -54,16 +55,36 @@ def terms(data: np.ndarray, offs: np.ndarray, slot: np.ndarray | None = None) ->
     return key // max(most, 1), key % max(most, 1), count
 
 
+def stretches(data: np.ndarray, offs: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets that also cut texts of more than ``longest`` words at every such number of words, and each text's first stretch."""
+    n = len(offs) - 1
+    found = words(data, offs)
+    if not n or found.count.max() <= longest:
+        return offs, np.arange(n)
+    many = np.maximum(-(-found.count // longest), 1)
+    first = np.cumsum(many) - many
+    doc = np.repeat(np.arange(n), many)
+    rank = np.arange(len(doc)) - first[doc]
+    word = np.where(rank > 0, found.first[doc] + rank * longest, 0)
+    return np.concatenate([np.where(rank > 0, found.start[word], offs[doc]), offs[-1:]]), first
+
+
 @dataclass
 class Machine:
-    """slot: bucket -> index or -1; linear weights and vectors by index."""
+    """slot: bucket -> index or -1; linear weights and vectors by index; words of the longest text in training."""
 
     slot: np.ndarray
     bias: float
     linear: np.ndarray
     vectors: np.ndarray
+    longest: int = 1 << 62
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Each text's score: of one longer than any in training the largest score of its stretches of that length."""
+        cuts, first = stretches(data, offs, self.longest)
+        return np.maximum.reduceat(self._scored(data, cuts), first) if len(first) else np.zeros(0)
+
+    def _scored(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         doc, index, count = terms(data, offs, self.slot)
         value, n = np.log2(1.0 + count), len(offs) - 1
         out = np.full(n, self.bias) + np.bincount(doc, weights=self.linear[index] * value, minlength=n)
@@ -131,9 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, p
     def kept(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         doc, index, count = terms(data, offs, slot)
         first = np.searchsorted(doc, np.arange(len(offs)))
-        return [lists(index, first, pa.int64()), lists(count, first, pa.int64())]
+        return [lists(index, first, pa.int64()), lists(count, first, pa.int64()), pa.array(words(data, offs).count)]
 
-    fields = [T.StructField("index", T.ArrayType(T.LongType())), T.StructField("count", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("index", T.ArrayType(T.LongType())), T.StructField("count", T.ArrayType(T.LongType())), T.StructField("words", T.LongType())]
     rows = map_texts(sample, ["doc_id", "label"], fields, kept).orderBy("doc_id").toPandas()
     x = np.zeros((len(rows), len(best)), dtype=np.float32)
     for i, (index, count) in enumerate(zip(rows["index"], rows["count"], strict=True)):
@@ -141,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, p
     y = rows["label"].to_numpy(float)
     true, own = counts[1] / total, y.mean()
     weight = np.where(y == 1, true / own, (1 - true) / (1 - own))
-    return Machine(slot, *fit(x, y, weight))
+    return Machine(slot, *fit(x, y, weight), max(1, int(rows["words"].max())))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, per_class: int = 3000) -> DataFrame:

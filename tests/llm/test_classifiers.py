@@ -136,6 +136,22 @@ def test_factorization_machine_against_the_double_sum():
         assert np.isclose(score, 1 / (1 + np.exp(-z)))
 
 
+def test_long_texts_are_scored_in_stretches():
+    texts = ["a b c d e f g", "", None, "one two", " x  y z w ", "q " * 9]
+    data, offs = flat(pa.array(texts))
+    cuts, first = toxicity.stretches(data, offs, 3)
+    parts = [bytes(data[a:b]).decode().split() for a, b in zip(cuts, cuts[1:])]
+    assert parts == [["a", "b", "c"], ["d", "e", "f"], ["g"], [], [], ["one", "two"], ["x", "y", "z"], ["w"], ["q"] * 3, ["q"] * 3, ["q"] * 3]
+    assert first.tolist() == [0, 3, 4, 5, 6, 8]
+    rng = np.random.default_rng(6)
+    slot = (np.arange(1 << toxicity.BITS) % 40).astype(np.int32)
+    whole = toxicity.Machine(slot, -0.2, rng.normal(size=40), rng.normal(size=(40, 2)))
+    cut = toxicity.Machine(whole.slot, whole.bias, whole.linear, whole.vectors, 3)
+    single = whole.score(*flat(pa.array([" ".join(p) for p in parts])))
+    assert np.allclose(cut.score(data, offs), [single[a:b].max() for a, b in zip(first, [*first[1:], len(parts)])])
+    assert len(cut.score(*flat(pa.array([], pa.string())))) == 0
+
+
 def test_worth_against_a_plain_sum():
     rng = np.random.default_rng(4)
     k = len(quality.FEATURES)
