@@ -40,6 +40,21 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kep
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c != 0)) > 0
+), e AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), sym AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (SELECT vec_id AS node, vec_id AS comp FROM embeddings UNION SELECT sym.y, reach.comp FROM reach JOIN sym ON sym.x = reach.node
+), c AS (SELECT node AS vec_id, min(comp) AS component_id FROM reach GROUP BY node
+), n AS (SELECT x AS vec_id, count(*) AS n FROM sym GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)
+"""
+
 #: Kind, pattern with both cases spelled out, least length, and the group it holds for.
 SECRETS = (
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"\']?\x20*[:=]\x20*[\"\']?([A-Za-z0-9+/_.=-]+)""", 8, 2),

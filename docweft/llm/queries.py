@@ -86,9 +86,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import whitening
+
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweft.llm import vectorpairs
+
+    return vectorpairs.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_mixing, op3_secrets, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_mixing, op3_secrets, op4_toxicity, op5_language, op6_decontamination, op7_lm_scores, op8_flac_media, op9_repeats, op10_quality, op11_whitening, op12_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": oracles.OP1, "op3_secrets": oracles.OP3, "op9_repeats": oracles.OP9}
+    return {"op1_near_duplicates": oracles.OP1, "op3_secrets": oracles.OP3, "op9_repeats": oracles.OP9, "op12_near_vectors": oracles.OP12}
