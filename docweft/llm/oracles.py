@@ -43,7 +43,7 @@ FROM w LEFT JOIN kept USING (doc_id)
 OP12 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c != 0)) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c != 0)) > 0
 ), e AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
