@@ -14,20 +14,36 @@ from pyspark.sql import types as T
 from docweft.sources.store import kept
 
 BLOCK_ROWS = 2048
+#: Hashes that more than this part of the repeated rows have are joined by broadcast; there are at most as many.
+FREQUENT = 1000
 
 
 def exact_duplicates(chunks: DataFrame, known: DataFrame | None = None, order: str = "chunk_id") -> DataFrame:
     """All rows with ``is_duplicate``: the hash is known already, or an earlier row has it.
 
-    The first row of each hash is found by a partial minimum, so a hash that very many rows
-    have costs no task more than its own rows; a null hash is nobody's duplicate.
+    One row for each hash is found by partial aggregates: its first row, its number of rows
+    and whether it is known.  Hashes of which nothing follows are left out, and those that
+    more than a ``FREQUENT``-th part of all rows have - at most ``FREQUENT`` - are sent to all
+    tasks, so that no task meets the rows of a hot hash.  A null hash is nobody's duplicate.
     """
-    first = chunks.groupBy("content_hash").agg(F.min(order).alias("_first"))
-    marked = chunks.join(first, "content_hash", "left").withColumn("is_duplicate", F.coalesce(F.col(order) > F.col("_first"), F.lit(False)))
+    groups = chunks.filter("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
     if known is not None:
-        seen = known.select("content_hash").distinct().withColumn("_known", F.lit(True))
-        marked = marked.join(seen, "content_hash", "left").withColumn("is_duplicate", F.col("is_duplicate") | F.coalesce("_known", F.lit(False)))
-    return marked.select(*chunks.columns, "is_duplicate")
+        seen = known.filter("content_hash IS NOT NULL").select("content_hash").distinct().withColumn("_known", F.lit(True))
+        groups = groups.join(seen, "content_hash", "left")
+    else:
+        groups = groups.withColumn("_known", F.lit(None).cast("boolean"))
+    groups = groups.filter("_n > 1 OR _known").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    total = groups.agg(F.sum("_n").alias("_total"))
+    hot = F.col("_n") * FREQUENT > F.col("_total")
+    sized = groups.join(F.broadcast(total))
+    frequent = sized.filter(hot).select("content_hash", F.struct("_first", "_known").alias("_hot"))
+    rest = sized.filter(~hot).select(F.col("content_hash").alias("_key"), F.struct("_first", "_known").alias("_cold"))
+    placed = chunks.join(F.broadcast(frequent), "content_hash", "left")
+    # rows that are settled get keys of their own, spread over all tasks
+    settled = F.concat(F.lit("~"), F.xxhash64(order).cast("string"))
+    placed = placed.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col("content_hash").isNull(), settled).otherwise(F.col("content_hash")))
+    marked = placed.join(rest, "_key", "left").withColumn("_group", F.coalesce("_hot", "_cold"))
+    return marked.withColumn("is_duplicate", F.coalesce(F.col("_group._known") | (F.col(order) > F.col("_group._first")), F.lit(False))).select(*chunks.columns, "is_duplicate")
 
 
 def _blocks(vectors: DataFrame, key: str, rows: int) -> DataFrame:

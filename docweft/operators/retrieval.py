@@ -53,12 +53,20 @@ def asked_terms(queries: DataFrame) -> list[tuple[int, str, int]]:
 
 
 class SparseIndex:
-    """A committed version of postings (term, chunk_id, tf, len), vocabulary (term, df, idf) and stats (n, avgdl)."""
+    """Postings (term, chunk_id, tf, len), vocabulary (term, df, idf) and stats (n, avgdl).
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.postings, self.vocabulary, self.stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats"))
-        self.avgdl = self.stats.first().avgdl
+    Postings that are partitioned by the first ``letter`` of their terms are read for the letters of a query only.
+    """
+
+    def __init__(self, postings: DataFrame, vocabulary: DataFrame, stats: DataFrame):
+        self.spark = postings.sparkSession
+        self.postings, self.vocabulary, self.stats = postings, vocabulary, stats
+        self.avgdl = stats.first().avgdl
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> SparseIndex:
+        """A committed version."""
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats")))
 
     @classmethod
     def build(cls, corpus: DataFrame, top: str) -> SparseIndex:
@@ -72,12 +80,12 @@ class SparseIndex:
         stats = corpus_stats(corpus)
         bm25_idf(df, stats).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
         stats.write.parquet(f"{path}/stats")
-        return cls(spark, path)
+        return cls.at(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, top: str) -> SparseIndex:
         """The newest version below a folder."""
-        return cls(spark, f"{top}/version={committed(spark, top, 'stats')[-1]}")
+        return cls.at(spark, f"{top}/version={committed(spark, top, 'stats')[-1]}")
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) of every pair with a shared term and a positive score; a term counts as often as the query has it."""
@@ -85,7 +93,10 @@ class SparseIndex:
         terms = sorted({term for _, term, _ in asked})
         idf = {r.term: r.idf for r in self.vocabulary.filter(F.col("term").isin(terms)).collect()} if terms else {}
         weighted = self.spark.createDataFrame([(q, term, float(times * idf[term])) for q, term, times in asked if term in idf], T.StructType([queries.schema["query_id"], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
-        hit = self.postings.filter(F.col("term").isin(sorted(idf) or [""])).join(F.broadcast(weighted), "term")  # a row for each term of the queries
+        postings = self.postings.filter(F.col("term").isin(sorted(idf) or [""]))
+        if "letter" in postings.columns:
+            postings = postings.filter(F.col("letter").isin(sorted({term[0] for term in idf}) or [""]))
+        hit = postings.join(F.broadcast(weighted), "term")  # a row for each term of the queries
         part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (self.avgdl or 1.0)))
         return hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
 

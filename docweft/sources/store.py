@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -99,15 +100,21 @@ def work_dir(spark: SparkSession) -> str:
     return "file://" + _local[spark.sparkContext.applicationId]
 
 
-#: Paths written by ``kept`` inside each open ``scratch``.
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """Paths written by ``kept`` inside each open ``scratch`` of a thread: streams run in threads of their own."""
+
+    def __init__(self):
+        self.lists: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends, and a lost executor costs a read."""
     path = f"{work_dir(df.sparkSession)}/docweft-kept-{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if _open.lists:
+        _open.lists[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -115,12 +122,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what ``kept`` writes inside: for jobs whose results are written elsewhere."""
-    _open.append([])
+    _open.lists.append([])
     try:
         yield
     finally:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for path in map(hadoop, _open.pop()):
+        for path in map(hadoop, _open.lists.pop()):
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
