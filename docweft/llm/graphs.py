@@ -3,7 +3,7 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  The edge
 table only ever moves between executors; each step keeps at most as many edges as
 came in.  A node with very many edges is met by a partial minimum before the
-shuffle and by a join, which adaptive execution can split.
+shuffle, and by a join that deals the edges of hot nodes over all tasks.
 
 ``Labels`` keeps the components of all edges seen so far.  New edges are mapped to the
 components that their ends have, and only those that join two components take steps, so
@@ -15,15 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import stored
+from docweft.llm.shared import hot_keys, spread_join, stored
 
 
 def _star_steps(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; ``least`` has each node's smallest neighbour (or itself)."""
+    """One large-star and one small-star step; ``least`` has each node's smallest neighbour (or itself) and its number of edges."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.filter("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    large = spread_join(both.filter("v > u"), least.select("u", "m"), "u", hot_keys(least, "u", "n"))
+    large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    small = spread_join(large, least.select("u", "m"), "u", hot_keys(least, "u", "n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return small.distinct()
 
 
@@ -45,17 +46,29 @@ class Labels:
     def __init__(self) -> None:
         self.table: DataFrame | None = None
 
-    def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
-        """``rows`` with the component of their ``node`` as ``name``: the node itself where it has no edge."""
+    def of(self, rows: DataFrame, node: str, name: str, hot: DataFrame | None = None) -> DataFrame:
+        """``rows`` with the component of their ``node`` as ``name``: the node itself where it has no edge.
+
+        ``hot`` (node, component), a bounded table, has nodes that very many of the rows have.
+        """
         if self.table is None:
             return rows.withColumn(name, F.col(node))
+        if hot is not None:
+            known = hot.select(F.col("node").alias("_docweft_node"), F.col("component").alias("_docweft_component"))
+            sent = rows.drop(name).join(F.broadcast(known), F.col(node) == F.col("_docweft_node"), "left")
+            rest = self.of(sent.filter("_docweft_node IS NULL").drop("_docweft_node", "_docweft_component"), node, name)
+            return rest.unionByName(sent.filter("_docweft_node IS NOT NULL").withColumn(name, F.col("_docweft_component")).drop("_docweft_node", "_docweft_component"))
         known = self.table.select(F.col("node").alias("_docweft_node"), F.col("component").alias("_docweft_component"))
         found = rows.drop(name).join(known, F.col(node) == F.col("_docweft_node"), "left")
         return found.withColumn(name, F.coalesce("_docweft_component", node)).drop("_docweft_node", "_docweft_component")
 
     def add(self, edges: DataFrame) -> bool:
         """Take edges (a, b) in; False if they join nothing that was apart."""
-        across = self.of(self.of(edges.select("a", "b"), "a", "ca"), "b", "cb").filter("ca != cb")
+        hot = None
+        if self.table is not None:
+            ends = stored(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n")), "ends")
+            hot = self.of(hot_keys(ends, "node", "n").select("node"), "node", "component")
+        across = self.of(self.of(edges.select("a", "b"), "a", "ca", hot), "b", "cb", hot).filter("ca != cb")
         joined = components(across, "ca", "cb")
         if joined.isEmpty():
             return False

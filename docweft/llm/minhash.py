@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from docweft.llm.bitfilter import bit_filter, packed_slices, packed_texts, unpacked
 from docweft.llm.graphs import Labels
 from docweft.llm.learning import map_texts
-from docweft.llm.shared import stored
+from docweft.llm.shared import hot_keys, spread_join, stored
 from docweft.llm.textvec import distinct_sorted, flat, shingle_names, word_names, words
 
 #: Retained values of a sketch.
@@ -56,10 +56,8 @@ FREQUENT = 24
 ROUND = 32
 #: Members of a list that one task meets with those whose turn it is.
 BLOCK = 1024
-#: Rows of one for each value that are broadcast at most (40 bytes each); more are joined by a shuffle.
-BROADCAST_VALUES = 250_000
-#: Frequent values that are broadcast at most (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Pairs of one class that meet its sketch or text in one task: a hub's is sent to several.
+PART = 512
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +112,7 @@ def postings(classes: DataFrame) -> DataFrame:
     """(value, rep, n, at): each class under the values of its prefix in the global order, stored; ``at`` is the value's place there."""
     values = _values(classes)
     frequent = stored(values.groupBy("value").count().filter(F.col("count") > FREQUENT).select("value", F.col("count").alias("held_by")), "frequent")
-    small = frequent.count() <= BROADCAST_ROWS
-    common = values.join(F.broadcast(frequent) if small else frequent, "value")
+    common = spread_join(values, frequent, "value", hot_keys(frequent, "value", "held_by"))
     of_class = common.groupBy("rep").agg(F.collect_list("value").alias("values"), F.collect_list("held_by").alias("held_by"))  # K entries at most
     joined = classes.select("rep", "n", "sketch").join(of_class, "rep", "left")
     schema = T.StructType([T.StructField("value", T.LongType()), classes.schema["rep"], classes.schema["n"], T.StructField("at", T.LongType())])
@@ -150,17 +147,34 @@ def _similar_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _met(pairs: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(a, b, va, vb) of (stored) pairs: what ``rows`` has for both ends.
+
+    An end of more than ``PART`` pairs that is hot has its row sent to as many tasks as its
+    pairs need, so that no task has all pairs of a hub; there are at most a thousand such ends.
+    """
+    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).groupBy("end").agg(F.count("*").alias("m"))
+    hot = stored(hot_keys(stored(ends, "ends"), "end", "m").filter(F.col("m") > PART).select("end", F.ceil(F.col("m") / PART).alias("parts")), "hubs")
+
+    def parts(frame: DataFrame, end: str, name: str) -> DataFrame:
+        found = frame.join(F.broadcast(hot.select(F.col("end").alias("_end"), F.col("parts").alias(name))), F.col(end) == F.col("_end"), "left")
+        return found.drop("_end").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    dealt = parts(parts(pairs.select("a", "b"), "a", "pa"), "b", "pb").withColumns({"pa": F.pmod(F.xxhash64("b"), "pa"), "pb": F.pmod(F.xxhash64("a"), "pb")})
+    copies = parts(rows.select(key, value), key, "parts").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left, right = (copies.select(F.col(key).alias(end), F.col("part").alias(f"p{end}"), F.col(value).alias(f"v{end}")) for end in ("a", "b"))
+    return dealt.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("a", "b", "va", "vb")
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, estimate) of the pairs whose union sketch does not rule the threshold out."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    joined = _met(stored(pairs.select("a", "b"), "met"), classes, "rep", "sketch")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("estimate", T.DoubleType())])
     j = percent / 100
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (va, fa), (vb, fb) = _unpacked(batch.column("sa")), _unpacked(batch.column("sb"))
+            (va, fa), (vb, fb) = _unpacked(batch.column("va")), _unpacked(batch.column("vb"))
             na, nb = np.diff(fa), np.diff(fb)
             pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
             value = np.concatenate([va, vb])
@@ -193,14 +207,14 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of the (stored) pairs with 100 |A & B| >= percent |A | B| on full sets, stored."""
     texts = stored(_texts_of(docs, pairs.select("a").union(pairs.select("b"))), "texts")
-    joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b")
+    joined = _met(pairs, texts, "doc_id", "packed")
     out = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in packed_slices(batch, "ta", "tb"):
+            for part in packed_slices(batch, "va", "vb"):
                 sets = []
-                for c in ("ta", "tb"):
+                for c in ("va", "vb"):
                     sets.append(shingle_sets(*flat(unpacked(part.column(c))), width))
                 (va, fa), (vb, fb) = sets
                 na, nb = np.diff(fa), np.diff(fb)
@@ -219,15 +233,14 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 
 def _heads(lists: DataFrame) -> DataFrame:
-    """(value, a, na, at_a) of lists of two and more: the member that has the least before the value, the smallest among equals."""
+    """(value, a, na, at_a, m) of lists of two and more members (m): the member that has the least before the value, the smallest among equals."""
     heads = lists.groupBy("value").agg(F.min(F.struct("at", "rep", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
-    return heads.select("value", F.col("head.rep").alias("a"), F.col("head.n").alias("na"), F.col("head.at").alias("at_a"))
+    return heads.select("value", F.col("head.rep").alias("a"), F.col("head.n").alias("na"), F.col("head.at").alias("at_a"), "m")
 
 
-def _with(lists: DataFrame, by_value: DataFrame) -> DataFrame:
-    """Lists joined with a (stored) table of one row a value: broadcast where that is small, so that a long list stays where it is."""
-    small = by_value.count() <= BROADCAST_VALUES
-    return lists.join(F.broadcast(by_value) if small else by_value, "value")
+def _with(lists: DataFrame, by_value: DataFrame, count: str = "m") -> DataFrame:
+    """Lists joined with a (stored) table of one row a value, of which ``count`` has the members: a long list is dealt over all tasks."""
+    return spread_join(lists, by_value, "value", hot_keys(by_value, "value", count))
 
 
 class _Search:
@@ -255,8 +268,8 @@ class _Search:
     def still_mixed(self, mixed: DataFrame) -> DataFrame:
         """The same rows by the components of now, without lists that have become one."""
         member = stored(self.labels.of(mixed.drop("component"), "rep", "component"), "members")
-        apart = member.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("value")
-        return stored(_with(member, stored(apart, "apart")), "mixed")
+        apart = member.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("here")).filter("lo != hi").select("value", "here")
+        return stored(_with(member, stored(apart, "apart"), "here").drop("here"), "mixed")
 
     def pairs(self, mixed: DataFrame, turns: tuple[int, int], placed: bool) -> DataFrame:
         """(a, b): the members outside their list's largest component whose turn it is, with all members of other components.
@@ -309,8 +322,8 @@ class _Search:
                     yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n))], schema.names)
 
         value = stored(texts.mapInArrow(values, schema), "values")
-        common = value.groupBy("value").count().filter("count > 1")
-        own = value.join(common, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("l"))
+        common = stored(value.groupBy("value").count().filter("count > 1"), "common")
+        own = _with(value, common, "count").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("l"))
         placed = own.select("rep", "n", F.size("l").alias("m"), F.posexplode("l").alias("i", "v")).select(F.col("v.value").alias("value"), "rep", "n", (F.col("i") + F.col("n") - F.col("m")).alias("at"))
         return stored(placed.filter(F.col("at") < F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1), "full")
 
@@ -339,7 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = stored(_heads(lists), "heads")
     met = _with(lists, heads).filter(F.col("rep") != F.col("a")).filter(_similar_size("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
     search.add(estimated(met, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")))
-    mixed = search.mixed(_with(lists, heads.select("value")))
+    mixed = search.mixed(_with(lists, heads.select("value", "m")))
     pairs = search.pairs(mixed.filter(F.col("others") <= ROUND), (0, 1), placed=False)
     many = stored(mixed.filter(F.col("others") > ROUND).select("rep").distinct(), "many")
     exact = None

@@ -82,7 +82,6 @@ def test_components_against_brute_force(spark):
 def test_small_rounds_still_find_everything(spark, monkeypatch):
     monkeypatch.setattr(minhash, "ROUND", 4)
     monkeypatch.setattr(minhash, "FREQUENT", 2)
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     rows = rows_with_groups(random.Random(3))[::2]
     want, _ = brute(rows, 4)
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=4).collect()
