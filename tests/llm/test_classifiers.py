@@ -100,7 +100,7 @@ def test_sample_takes_ids_that_have_a_text(spark):
     assert sorted(r.label for r in few) == [0, 0, 0, 1, 1, 1]
 
 
-TEXTS = ["You awful clot, you clot", "a b a b. C!", "", None, "word " * 50 + "clot 12", "É ü ß | || 9"]
+TEXTS = ["You awful clot, you clot", "a b a b. C!", "", None, "word " * 50 + "clot 12", "É ü ß | || 9"]  # of up to one window
 
 
 def plain_words(text):
@@ -136,20 +136,40 @@ def test_factorization_machine_against_the_double_sum():
         assert np.isclose(score, 1 / (1 + np.exp(-z)))
 
 
-def test_long_texts_are_scored_in_stretches():
-    texts = ["a b c d e f g", "", None, "one two", " x  y z w ", "q " * 9]
-    data, offs = flat(pa.array(texts))
-    cuts, first = toxicity.stretches(data, offs, 3)
-    parts = [bytes(data[a:b]).decode().split() for a, b in zip(cuts, cuts[1:])]
-    assert parts == [["a", "b", "c"], ["d", "e", "f"], ["g"], [], [], ["one", "two"], ["x", "y", "z"], ["w"], ["q"] * 3, ["q"] * 3, ["q"] * 3]
-    assert first.tolist() == [0, 3, 4, 5, 6, 8]
+def test_texts_have_the_largest_score_of_their_windows(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP", 2)
+    texts = ["a b c d e f g", "", None, "one two", " x  y z w ", "q " * 9, "a b c d e"]
+    windows = [["a b c d", "c d e f", "e f g"], [""], [""], ["one two"], ["x y z w"], ["q q q q"] * 3 + ["q q q"], ["a b c d", "c d e"]]
     rng = np.random.default_rng(6)
     slot = (np.arange(1 << toxicity.BITS) % 40).astype(np.int32)
-    whole = toxicity.Machine(slot, -0.2, rng.normal(size=40), rng.normal(size=(40, 2)))
-    cut = toxicity.Machine(whole.slot, whole.bias, whole.linear, whole.vectors, 3)
-    single = whole.score(*flat(pa.array([" ".join(p) for p in parts])))
-    assert np.allclose(cut.score(data, offs), [single[a:b].max() for a, b in zip(first, [*first[1:], len(parts)])])
-    assert len(cut.score(*flat(pa.array([], pa.string())))) == 0
+    model = toxicity.Machine(slot, -0.2, rng.normal(size=40), rng.normal(size=(40, 2)))
+    first = toxicity.window_terms(*flat(pa.array(texts)), slot)[0]
+    assert np.diff(first).tolist() == [len(w) for w in windows]
+    single = [model.score(*flat(pa.array(w))) for w in windows]
+    assert all(len(x) == len(w) for x, w in zip(single, windows))
+    assert np.allclose(model.score(*flat(pa.array(texts))), [x.max() for x in single])
+    assert len(model.score(*flat(pa.array([], pa.string())))) == 0
+
+
+def test_the_length_of_a_text_does_not_decide(spark):
+    """Clean texts of up to 16 times the longest in the sample are left alone, and caught once a toxic text is added at any place."""
+    rng = np.random.default_rng(9)
+    filler = [f"word{j}" for j in range(400)]
+
+    def make(i, clean):
+        some = list(rng.choice(filler, rng.integers(5, 400)))
+        for at in range(0, 0 if clean else len(some), 25):
+            some[at] = ["clot", "oaf", "wretch"][rng.integers(3)]
+        return " ".join(some)
+
+    docs, labels = corpus(spark, make, 900)
+    model = toxicity.train(docs, labels)
+    toxic = make(0, False)
+    for size in (400, 1600, 6400):
+        plain = [list(rng.choice(filler, size)) for _ in range(30)]
+        assert (model.score(*flat(pa.array([" ".join(p) for p in plain]))) < 0.3).mean() >= 0.9
+        spoilt = [" ".join([*p[: (at := rng.integers(size))], toxic, *p[at:]]) for p in plain]
+        assert (model.score(*flat(pa.array(spoilt))) >= 0.3).mean() >= 0.9
 
 
 def test_worth_against_a_plain_sum():
