@@ -114,7 +114,7 @@ def near_duplicates(vectors: DataFrame, threshold: float, known: DataFrame | Non
     rows = vectors.select("id", "embedding")
     gone = near_known(rows, known, threshold) if known is not None else rows.select("id").limit(0)
     gone = kept(gone, "gone")
-    links = kept(similar_pairs(rows.join(gone, "id", "left_anti"), threshold).select("a", "b"), "links")
+    links = kept(similar_pairs(rows.join(gone, "id", "left_anti"), threshold).select("a", "b").filter("a <> b"), "links")  # a repeated row is no link
     while not links.isEmpty():
         # rows without an earlier link are kept, and what they link goes, with its own links
         free = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti")

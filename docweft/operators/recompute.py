@@ -3,7 +3,8 @@
 A run claims the next version number, reads what is there, writes ``edges`` and
 ``events`` and, last, ``analysis``: readers take the newest version that has it, so they
 see a whole graph or the one before.  Of runs that overlap the one that started last
-wins, as it has the higher number and saw at least as much.
+wins, as it has the higher number and saw at least as much.  ``recompute_serialised`` has
+runs follow each other under a lease: triggers that come during a run make one more run.
 
 Signals are only computed where an edge can come from.  With the weights w_s, w_e, w_t an
 edge without a semantic score needs w_e entity + w_t topic >= threshold, so an entity
@@ -14,6 +15,7 @@ candidates, and the other signals are joined to them.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from docweft.functions.scoring import topic_similarity
 from docweft.operators import graph, topics
 from docweft.params import GraphParams, params_hash
+from docweft.sources.lease import serialised
 from docweft.sources.store import claimed, commit, committed, kept, scratch
 
 TOPICS_SHOWN, ENTITIES_SHOWN, SHARED_SHOWN = 3, 10, 3
@@ -62,7 +65,7 @@ def analyses(documents: DataFrame, entities: DataFrame, n_docs: int | DataFrame,
     return out.select("doc_id", "dominant_topic", "topics", "entities", F.lit(params_hash(p)).alias("params_hash"), F.current_timestamp().alias("updated_at"))
 
 
-def recompute(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: str, p: GraphParams = GraphParams(), triggered_by: str | None = None, reason: str = "ingestion") -> str:
+def recompute(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: str, p: GraphParams = GraphParams(), triggered_by: str | None = None, reason: str = "ingestion", check: Callable[[], None] | None = None) -> str:
     """Compute and commit the next version from ``chunks`` (doc_id, chunk_id, text) and ``vectors`` (doc_id, chunk_id, embedding).
 
     Chunks that are duplicates still count for a document's entities and topics; they have no
@@ -70,10 +73,10 @@ def recompute(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: s
     at most five events (start, three steps, done) are written for it.
     """
     with scratch(spark):
-        return _recomputed(spark, chunks, vectors, top, p, triggered_by, reason)
+        return _recomputed(spark, chunks, vectors, top, p, triggered_by, reason, check)
 
 
-def _recomputed(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: str, p: GraphParams, triggered_by: str | None, reason: str) -> str:
+def _recomputed(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top: str, p: GraphParams, triggered_by: str | None, reason: str, check: Callable[[], None] | None) -> str:
     version, events = claimed(spark, top), []
     began = last = time.time()
 
@@ -96,10 +99,15 @@ def _recomputed(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, top:
     found = analyses(documents, entities, n, distribution, model.terms() if model else [], p)
     emit("graph_done", edges=edges.count(), duration_ms=round(1000 * (time.time() - began), 3))
     log = spark.createDataFrame(events if triggered_by is not None else [], "position int, doc_id string, status string, detail string, duration_ms double, at double")
-    commit({"edges": edges, "events": log, "analysis": found}, top, version, "analysis")
+    commit({"edges": edges, "events": log, "analysis": found}, top, version, "analysis", check)
     return version
 
 
+def recompute_serialised(spark: SparkSession, load: Callable[[], tuple[DataFrame, DataFrame]], top: str, p: GraphParams = GraphParams(), triggered_by: str | None = None, reason: str = "ingestion", ttl: float = 60.0) -> list[str]:
+    """Versions computed here of what ``load()`` gives (chunks, vectors) when a run begins; none if the run under way will be followed by one that sees this trigger."""
+    return serialised(spark, top, lambda check: recompute(spark, *load(), top, p, triggered_by, reason, check), ttl)
+
+
 class Graph:
     """The newest committed version."""
 

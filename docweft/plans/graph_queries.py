@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from docweft.operators.recompute import topic_vectors
 from docweft.params import GraphParams, params_hash
 from docweft.plans.registry import query, table
 from docweft.plans.search_queries import chunk_vectors, query_vector
+from docweft.sources.lease import serialised
 from docweft.sources.store import Keyed, claimed, commit, committed, work_dir
 
 #: The test vectors are nearly orthogonal: they need a lower line than the default.
@@ -304,6 +306,23 @@ def _recomputed(spark, d) -> recompute.Graph:
     return recompute.Graph(spark, top)
 
 
+@query("recompute_serialised", "WITH x AS (" + "WITH " + _JACCARD.format(ent=ENT) + ") SELECT a AS source, b AS target, score FROM x WHERE score >= CAST(0.3 AS DOUBLE)")
+def recompute_serialised(spark, d):
+    """Three triggers at the same time: the runs under the lease follow each other, and the newest version is whole."""
+    top, docs = f"{work_dir(spark)}/docweft-serial-{uuid.uuid4().hex}", table(spark, d, "documents")
+
+    def run(check):
+        version = claimed(spark, top)
+        edges = graph.entity_scores(entities(spark, d), docs, least=0.3 - 5e-7)
+        commit({"edges": edges.select(F.col("a").alias("source"), F.col("b").alias("target"), F.round("score", 6).alias("score")), "analysis": docs.select("doc_id")}, top, version, "analysis", check)
+        return version
+
+    with ThreadPoolExecutor(3) as pool:
+        found = [f.result() for f in [pool.submit(serialised, spark, top, run) for _ in range(3)]]
+    assert sum(map(len, found)) == len(committed(spark, top, "analysis")) <= 3
+    return spark.read.parquet(f"{top}/version={committed(spark, top, 'analysis')[-1]}/edges")
+
+
 @query("graph_recompute")
 def graph_recompute(spark, d):
     return _recomputed(spark, d).listed_edges().select("source", "target", "combined_score", "dominant_signal", F.size("top_pairs").alias("pairs"), F.size("shared_entities").alias("shared"))

@@ -7,12 +7,14 @@ import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweft.sources.lease import Folder
+
 VECTOR = "vector_id bigint, chunk_id string, doc_id bigint, embedding array<float>"
 
 
@@ -60,13 +62,18 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Delete then insert by key."""
+    """Delete then insert by key; of equal keys in ``new`` all are kept, so it has each once."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def commit(tables: dict[str, DataFrame], top: str, version: str, marker: str) -> None:
-    """Write all tables of a version, the marker table last: readers take versions whose marker exists."""
+def commit(tables: dict[str, DataFrame], top: str, version: str, marker: str, check: Callable[[], None] | None = None) -> None:
+    """Write all tables of a version, the marker table last: readers take versions whose marker exists.
+
+    ``check`` is called before the marker is written, and raises if this writer has been replaced.
+    """
     for name in [n for n in tables if n != marker] + [marker]:
+        if name == marker and check is not None:
+            check()
         tables[name].write.mode("overwrite").parquet(f"{top}/version={version}/{name}")
 
 
@@ -78,10 +85,21 @@ def committed(spark: SparkSession, top: str, marker: str) -> list[str]:
     return sorted(s.getPath().getParent().getParent().getName().removeprefix("version=") for s in found)
 
 
-def exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether any path matches a glob pattern of the session's file systems."""
+def glob_paths(spark: SparkSession, pattern: str, parent: bool = False) -> list[str]:
+    """The paths that match a glob pattern of the session's file systems, or their parents."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [(s.getPath().getParent() if parent else s.getPath()).toString() for s in found]
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    return bool(glob_paths(spark, pattern))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 _local: dict[str, str] = {}
@@ -126,9 +144,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for path in map(hadoop, _open.lists.pop()):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in _open.lists.pop():
+            remove(spark, path)
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
@@ -141,14 +158,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
 def claimed(spark: SparkSession, top: str) -> str:
     """The next free version below a folder, claimed by creating its file: two writers never get the same."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{top}/claims")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(folder)
-    number = max([0, *(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())])
+    folder = Folder(spark, f"{top}/claims")
+    number = max([0, *(int(name) for name in folder.names() if name.isdigit())])
     while True:
         number += 1
-        if fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}")):
+        if folder.created(f"{number:012d}"):
             return f"{number:012d}"
 
 
@@ -158,16 +172,31 @@ class Keyed:
     def __init__(self, rows: DataFrame, *keys: str):
         self.rows, self.keys = rows, list(keys)
 
-    def created(self, new: DataFrame) -> tuple[Keyed, DataFrame]:
-        """With the new rows, and the rows refused because their key exists (or came before among the new ones)."""
-        old = self.rows.select(*self.keys)
-        fresh = new.join(old, self.keys, "left_anti").dropDuplicates(self.keys)
-        return Keyed(self.rows.unionByName(fresh), *self.keys), new.join(old, self.keys, "left_semi")
-
-    def updated(self, changes: DataFrame) -> Keyed:
-        """Columns of ``changes`` replace those of the rows with its keys; other keys are ignored."""
-        fresh = [c for c in changes.columns if c not in self.keys]
-        marked = changes.select(*self.keys, F.struct(*fresh).alias("_new"))
+    def created(self, new: DataFrame, *order: str) -> tuple[Keyed, DataFrame]:
+        """With the new rows, and those refused: every new row is in one of the two.
+
+        A row is refused if its key exists or is null, or if another new row with the key comes
+        before it by the columns ``order`` (all other columns, if not given); of equal rows one is taken.
+        """
+        by = list(order) or [c for c in new.columns if c not in self.keys]
+        old = self.rows.select(*self.keys).distinct().withColumn("_exists", F.lit(True))
+        named = F.lit(True)
+        for key in self.keys:
+            named &= F.col(key).isNotNull()
+        ranked = new.filter(named).withColumn("_turn", F.row_number().over(Window.partitionBy(*self.keys).orderBy(*(by or self.keys))))
+        marked = ranked.join(old, self.keys, "left")
+        good = F.col("_exists").isNull() & (F.col("_turn") == 1)
+        refused = marked.filter(~good).select(*new.columns).unionByName(new.filter(~named))
+        return Keyed(self.rows.unionByName(marked.filter(good).select(*new.columns)), *self.keys), refused
+
+    def updated(self, changes: DataFrame, *order: str) -> Keyed:
+        """Columns of ``changes`` replace those of the rows with its keys; other keys are ignored.
+
+        Of several changes of a key the last by the columns ``order`` (all changed columns, if not given) holds.
+        """
+        fresh = [c for c in changes.columns if c not in self.keys and c in self.rows.columns]
+        last = F.max_by(F.struct(*fresh), F.struct(*(order or fresh)))
+        marked = changes.groupBy(*self.keys).agg(last.alias("_new"))
         both = self.rows.join(marked, self.keys, "left")
         return Keyed(both.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in self.rows.columns)), *self.keys)
 

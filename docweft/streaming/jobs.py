@@ -5,11 +5,19 @@ restart goes on from there.  A micro-batch of files becomes one batch of rows in
 below a folder - chunks, vectors, events, documents -, written under its number, so that a
 batch that runs twice leaves the same tables.  ``documents`` is written last: only batches
 that have it count, and of each path only the newest one does.  A file that is rewritten in
-place is a new document of the old path; ``changed_files`` finds it.
+place is a new document of the old path; ``changed_paths`` finds it.  A document is deleted
+by a batch in which its state is ``deleted``.
+
+``compact`` writes what counts of all batches so far as a snapshot; from then on readers
+take it and the batches since, so what a batch reads follows what is stored and not how many
+batches and replaced documents there have been.  ``ingest`` first mends what a process
+that died has left (``recover``), and with ``connect`` has the graph recomputed at its end.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -21,9 +29,10 @@ from pyspark.sql import types as T
 from docweft.functions.segments import chunk
 from docweft.operators import dedup, retrieval
 from docweft.operators.events import TERMINAL, admitted
-from docweft.params import ChunkParams
+from docweft.operators.recompute import recompute_serialised
+from docweft.params import ChunkParams, GraphParams
 from docweft.sources.files import CHUNK, chunk_rows, extract_document, validated_uploads
-from docweft.sources.store import exists, kept, scratch
+from docweft.sources.store import claimed, commit, committed, exists, glob_paths, kept, remove, scratch
 
 #: States of a document in order (fixed values).
 STAGES = ("queued", "parsing", "chunking", "embedding", "indexing", "done")
@@ -84,13 +93,30 @@ class Tables:
     def __init__(self, spark: SparkSession, top: str):
         self.spark, self.top = spark, top.rstrip("/")
 
-    def read(self, name: str) -> DataFrame | None:
+    def batches(self, name: str) -> DataFrame | None:
+        """What all batches have written into a table."""
         return self.spark.read.parquet(f"{self.top}/{name}") if exists(self.spark, f"{self.top}/{name}/batch=*/{{_SUCCESS,stage=*/_SUCCESS}}") else None
 
+    def read(self, name: str) -> DataFrame | None:
+        """What the newest snapshot has of a table, and what batches have written since."""
+        found, versions = self.batches(name), committed(self.spark, f"{self.top}/snapshots", "covered")
+        if found is None or not versions:
+            return found
+        path = f"{self.top}/snapshots/version={versions[-1]}"
+        stream, changed = self.spark.read.parquet(f"{path}/covered").first()
+        since = ((F.col("batch") > stream) & (F.col("batch") < CHANGED)) | (F.col("batch") > changed)
+        return self.spark.read.parquet(f"{path}/{name}").unionByName(found.filter(since))
+
     def documents(self) -> DataFrame | None:
-        """The newest row of each path."""
+        """The newest row of each path that is not deleted."""
         rows = self.read("documents")
-        return None if rows is None else rows.groupBy("path").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "path")), "batch").alias("d")).select("path", "d.*")
+        return None if rows is None else rows.groupBy("path").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "path")), "batch").alias("d")).select("path", "d.*").filter("status <> 'deleted'")
+
+    def next_change(self) -> int:
+        """The number of the next batch that does not come from the stream."""
+        documents = self.batches("documents")
+        last = documents.agg(F.max("batch")).first()[0] if documents is not None else None
+        return max(CHANGED, -1 if last is None else last + 1)
 
     def rows(self, name: str) -> DataFrame | None:
         """Rows of ``chunks`` or ``vectors`` that belong to a document that is done."""
@@ -100,7 +126,7 @@ class Tables:
         return found.join(documents.filter("status = 'done'").select("path", "batch"), ["path", "batch"], "left_semi")
 
     def events(self) -> DataFrame | None:
-        return self.read("events")
+        return self.batches("events")
 
     def write(self, rows: DataFrame, name: str, batch: int, *below: str) -> DataFrame:
         path = "/".join([f"{self.top}/{name}/batch={batch}", *below])
@@ -126,7 +152,8 @@ def _processed(spark: SparkSession, files: DataFrame, top: str, number: int, emb
     tables, began = Tables(spark, top), time.time()
     older = tables.documents()
     older = None if older is None else older.filter(F.col("batch") != number)
-    uploads = tables.write(validated_uploads(files).select("path", "modificationTime", "sha256", "error", "content", "file_type"), "uploads", number)
+    # the stream lists a file twice if its name is also a pattern that matches it
+    uploads = tables.write(validated_uploads(files.dropDuplicates(["path"])).select("path", "modificationTime", "sha256", "error", "content", "file_type"), "uploads", number)
     valid = uploads.select("path", "modificationTime", "sha256", "error")
     first = valid.filter("error IS NULL").groupBy("sha256").agg(F.min(F.struct("modificationTime", "path")).alias("first"))
     seen = valid.join(first, "sha256", "left").withColumn("twice", F.col("error").isNull() & (F.struct("modificationTime", "path") > F.col("first")))
@@ -176,32 +203,123 @@ def _processed(spark: SparkSession, files: DataFrame, top: str, number: int, emb
     tables.write(state, "documents", number)
 
 
-def ingest(spark: SparkSession, source: str, top: str, embed: Embedder = default_embedder, p: ChunkParams = ChunkParams()) -> None:
-    """Process all new files of a folder, then those that changed in place; to be run again for more."""
+def compact(spark: SparkSession, top: str) -> str | None:
+    """Write the present documents, chunks and vectors as a snapshot; its version.  Nothing is deleted: readers of older versions go on."""
+    tables = Tables(spark, top)
+    batches = tables.batches("documents")
+    if batches is None:
+        return None
+    numbers = batches.agg(F.max(F.when(F.col("batch") < CHANGED, F.col("batch"))), F.max(F.when(F.col("batch") >= CHANGED, F.col("batch")))).first()
+    covered = spark.createDataFrame([(-1 if numbers[0] is None else numbers[0], CHANGED - 1 if numbers[1] is None else numbers[1])], "stream bigint, changed bigint")
+    version = claimed(spark, f"{tables.top}/snapshots")
+    found = {name: rows for name, rows in (("documents", tables.documents()), ("chunks", tables.rows("chunks")), ("vectors", tables.rows("vectors"))) if rows is not None}
+    commit({**found, "covered": covered}, f"{tables.top}/snapshots", version, "covered")
+    return version
+
+
+def delete(spark: SparkSession, top: str, paths: DataFrame) -> int:
+    """Delete the documents of ``paths`` (path) with their chunks and vectors: one batch of rows that say so; how many there were."""
+    tables = Tables(spark, top)
+    documents = tables.documents()
+    if documents is None:
+        return 0
+    number = tables.next_change()
+    with scratch(spark):
+        gone = kept(documents.join(paths.select("path").distinct(), "path", "left_semi").drop("batch").withColumn("status", F.lit("deleted")), "gone")
+        n = gone.count()
+        if n:
+            event = gone.select("path", F.lit(len(STAGES) + 1).alias("position"), F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("double").alias("duration_ms"), F.current_timestamp().alias("ts"))
+            tables.write(event, "events", number, f"stage={len(STAGES) + 1}")
+            tables.write(gone, "documents", number)
+    return n
+
+
+def recover(spark: SparkSession, top: str) -> DataFrame | None:
+    """Mend what a process that died has left; the (path) of documents to be taken again, None if there are none.
+
+    Rows of batches without documents are wiped: a batch of the stream runs again by its
+    checkpoint, any other is found again by the times of its files.  If the chunks that
+    have a vector and the vectors are not as many, all done documents are to be taken again.
+    """
+    tables = Tables(spark, top)
+    whole = {p.rstrip("/").split("batch=")[-1] for p in glob_paths(spark, f"{tables.top}/documents/batch=*/_SUCCESS", parent=True)}
+    for name in ("uploads", "queue", "events", "parsed", "indexed", "chunks", "vectors", "documents"):
+        for path in glob_paths(spark, f"{tables.top}/{name}/batch=*"):
+            if path.rstrip("/").split("batch=")[-1] not in whole:
+                remove(spark, path)
+    chunks, vectors, documents = tables.rows("chunks"), tables.rows("vectors"), tables.documents()
+    if chunks is None or vectors is None:
+        return None
+    again = to_reset(chunks, vectors, documents).select("path")
+    return None if again.isEmpty() else again
+
+
+def ingest(spark: SparkSession, source: str, top: str, embed: Embedder = default_embedder, p: ChunkParams = ChunkParams(), mirror: bool = False, connect: GraphParams | None = None) -> None:
+    """Process all new files of a folder, then those that changed in place; to be run again for more.
+
+    With ``mirror``, documents whose file is gone are deleted.  With ``connect``, the graph is recomputed
+    once more if anything has changed, below ``graph`` in the folder of the tables.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         process(batch.sparkSession, batch, top, number, embed, p)
 
+    tables = Tables(spark, top)
+    before = committed_batches(spark, top)
+    again = recover(spark, top)
+    if again is not None:
+        _process_paths(spark, again, top, embed, p)
     stream = file_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    changed = changed_files(spark, source, top)
-    if not changed.isEmpty():
-        last = Tables(spark, top).read("documents").agg(F.max("batch")).first()[0]
-        process(spark, changed, top, max(CHANGED, last + 1), embed, p)
+    _process_paths(spark, changed_paths(spark, source, top), top, embed, p)
+    if mirror and (documents := tables.documents()) is not None:
+        delete(spark, top, documents.select("path").join(listed(spark, source), "path", "left_anti"))
+    if connect is not None and committed_batches(spark, top) != before:
+        recompute_serialised(spark, lambda: graph_input(spark, top), f"{top}/graph", connect)
 
 
-#: Batches of changed files are numbered from here, those of the stream below.
+def graph_input(spark: SparkSession, top: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) of the present documents, for the graph; a document's id is its path."""
+    tables = Tables(spark, top)
+    return tables.rows("chunks").withColumnRenamed("path", "doc_id"), tables.rows("vectors").withColumnRenamed("path", "doc_id")
+
+
+def committed_batches(spark: SparkSession, top: str) -> int:
+    return len(glob_paths(spark, f"{top.rstrip('/')}/documents/batch=*/_SUCCESS"))
+
+
+#: Batches of files that do not come from the stream are numbered from here, those of the stream below.
 CHANGED = 1 << 32
+#: Files of such a batch at most: their paths are all that the driver holds.
+FILES = 1000
+
+
+def listed(spark: SparkSession, source: str) -> DataFrame:
+    """(path, modificationTime) of a folder's files, without reading them."""
+    return spark.read.format("binaryFile").load(source).select("path", "modificationTime")
 
 
-def changed_files(spark: SparkSession, source: str, top: str) -> DataFrame:
-    """Files of a folder that are newer than what was ingested of them."""
-    found = spark.read.format("binaryFile").load(source)
-    documents = Tables(spark, top).documents()
+def changed_paths(spark: SparkSession, source: str, top: str) -> DataFrame:
+    """(path) of the files of a folder that are newer than what was ingested of them."""
+    found, documents = listed(spark, source), Tables(spark, top).documents()
     if documents is None:
-        return found.limit(0)
+        return found.select("path").limit(0)
     had = documents.select(F.col("path").alias("had"), F.col("modificationTime").alias("then"))
-    return found.join(had, (F.col("path") == F.col("had")) & (F.col("modificationTime") > F.col("then")), "left_semi")
+    return found.join(had, (F.col("path") == F.col("had")) & (F.col("modificationTime") > F.col("then")), "left_semi").select("path")
+
+
+def _process_paths(spark: SparkSession, paths: DataFrame, top: str, embed: Embedder, p: ChunkParams) -> None:
+    """Take files again, ``FILES`` in a batch: only these are read."""
+    with scratch(spark):
+        rows = kept(paths, "paths").toLocalIterator()
+        while block := [r.path for r in itertools.islice(rows, FILES)]:
+            files = spark.read.format("binaryFile").load([quoted(path) for path in block])
+            process(spark, files, top, Tables(spark, top).next_change(), embed, p)
+
+
+def quoted(path: str) -> str:
+    """A path that holds characters of glob patterns, as a pattern for itself."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def recovered(documents: DataFrame, events: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@ import os
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from docweft.operators import events
-from docweft.params import ChunkParams
+from docweft.operators import events, recompute
+from docweft.params import ChunkParams, GraphParams
 from docweft.plans.ingest_queries import MARKDOWN, small_docx, small_pdf, uploads
 from docweft.sources import files
 from docweft.streaming import jobs
@@ -141,3 +142,111 @@ def test_a_batch_that_runs_twice_leaves_the_same_tables(spark, tmp_path):
         tables = jobs.Tables(spark, top)
         seen.append([sorted(map(str, tables.rows(name).drop("embedding").collect())) for name in ("chunks", "vectors")] + [sorted((r.path, r.status, r.chunk_count) for r in tables.documents().collect())])
     assert seen[0] == seen[1] and len(seen[0][0]) == len(seen[0][1]) > 5
+
+
+def folder(tmp_path, names):
+    source = tmp_path / "in"
+    source.mkdir(exist_ok=True)
+    for i, name in enumerate(names):
+        (source / name).write_text(f"# Part {name}\n\nMills of {name} turn number {i}.\n\nThe same line stands everywhere.")
+    return source, f"file://{tmp_path}/out"
+
+
+def state(spark, top):
+    """What counts: documents, chunks and vectors, without times and batch numbers."""
+    tables = jobs.Tables(spark, top)
+    short = lambda path: path.rsplit("/", 1)[1]
+    documents = sorted((short(r.path), r.status, r.chunk_count, r.indexed_count) for r in tables.documents().collect())
+    chunks = sorted((short(r.path), r.chunk_index, r.text, r.is_duplicate, r.vector_id) for r in tables.rows("chunks").collect())
+    vectors = sorted((short(r.path), r.vector_id, tuple(r.embedding)) for r in tables.rows("vectors").collect())
+    return documents, chunks, vectors
+
+
+def test_a_crash_at_any_stage_leaves_what_no_crash_leaves(spark, tmp_path, monkeypatch):
+    source, top = folder(tmp_path, ["a.md", "b.md"])
+    jobs.ingest(spark, str(source), top)
+    want, write, count = state(spark, top), jobs.Tables.write, []
+
+    def crashing(self, rows, name, number, *below):
+        count.append(name)
+        if len(count) == stop:
+            raise RuntimeError("the power went")
+        return write(self, rows, name, number, *below)
+
+    monkeypatch.setattr(jobs.Tables, "write", crashing)
+    for stop in (2, 5, 9, 12, 14):
+        own = f"file://{tmp_path}/out{stop}"
+        count.clear()
+        with pytest.raises(Exception, match="the power went"):
+            jobs.ingest(spark, str(source), own)
+        assert jobs.Tables(spark, own).documents() is None
+        jobs.ingest(spark, str(source), own)
+        assert state(spark, own) == want
+    # the same of a batch of changed files, which no checkpoint remembers
+    (source / "b.md").write_text("# Part b\n\nIt is all new.")
+    os.utime(source / "b.md", (time.time() + 60,) * 2)
+    stop = -1
+    jobs.ingest(spark, str(source), top)
+    want = state(spark, top)
+    for number, stop in ((2, 3), (14, 13)):
+        own = f"file://{tmp_path}/out{number}"
+        count.clear()
+        with pytest.raises(Exception, match="the power went"):
+            jobs.ingest(spark, str(source), own)
+        stop = -1
+        jobs.ingest(spark, str(source), own)
+        assert [s[0] for s in state(spark, own)[0]] == ["a.md", "b.md"] and [c[:4] for c in state(spark, own)[1]] == [c[:4] for c in want[1]]
+
+
+def test_deletion_snapshots_and_the_graph(spark, tmp_path):
+    source, top = folder(tmp_path, ["a.md", "b.md", "c.md"])
+    p = GraphParams(semantic_floor=0.5, semantic_ceil=1.0, n_topics=2)
+    jobs.ingest(spark, str(source), top, connect=p)
+    first = recompute.Graph(spark, f"{top}/graph")
+    assert first.analysis.count() == 3
+    (source / "b.md").unlink()
+    jobs.ingest(spark, str(source), top)  # a file that is gone is no reason to forget it
+    assert len(state(spark, top)[0]) == 3
+    jobs.ingest(spark, str(source), top, mirror=True, connect=p)
+    after = state(spark, top)
+    assert [d[0] for d in after[0]] == ["a.md", "c.md"] and {c[0] for c in after[1]} == {v[0] for v in after[2]} == {"a.md", "c.md"}
+    second = recompute.Graph(spark, f"{top}/graph")
+    assert second.version > first.version and second.analysis.count() == 2
+    assert "deleted" in {r.status for r in jobs.Tables(spark, top).events().collect()}
+    jobs.ingest(spark, str(source), top, connect=p)
+    assert recompute.Graph(spark, f"{top}/graph").version == second.version  # nothing new, no run
+    # what is read stays the same, however often a file is rewritten and whatever has been deleted
+    read = []
+    for i in range(3):
+        (source / "c.md").write_text(f"# Part c\n\nVersion {i} of it.")
+        os.utime(source / "c.md", (time.time() + 60 * (i + 1),) * 2)
+        jobs.ingest(spark, str(source), top)
+        before = state(spark, top)
+        jobs.compact(spark, top)
+        assert state(spark, top) == before
+        read.append([jobs.Tables(spark, top).read(name).count() for name in ("documents", "chunks", "vectors")])
+    assert read[0] == read[1] == read[2] and jobs.Tables(spark, top).batches("documents").count() > read[0][0]
+    (source / "b.md").write_text("# Part b\n\nBack again.")
+    os.utime(source / "b.md", (time.time() + 600,) * 2)
+    assert jobs.delete(spark, top, spark.createDataFrame([("nowhere",)], "path string")) == 0
+
+
+def test_lost_vectors_have_their_documents_taken_again(spark, tmp_path):
+    source, top = folder(tmp_path, ["a.md", "b.md"])
+    jobs.ingest(spark, str(source), top)
+    want = state(spark, top)
+    part = next((tmp_path / "out" / "vectors").glob("batch=*"))
+    rows = spark.read.parquet(f"file://{part}").collect()
+    spark.createDataFrame(rows[1:], spark.read.parquet(f"file://{part}").schema).write.mode("overwrite").parquet(f"file://{part}")
+    assert len(state(spark, top)[2]) == len(want[2]) - 1
+    jobs.ingest(spark, str(source), top)
+    assert [c[:4] for c in state(spark, top)[1]] == [c[:4] for c in want[1]] and len(state(spark, top)[2]) == len(want[2])
+
+
+def test_paths_with_characters_of_patterns(spark, tmp_path):
+    source, top = folder(tmp_path, ["a[1].md", "b{x}.md"])
+    jobs.ingest(spark, str(source), top)
+    (source / "a[1].md").write_text("# Part\n\nNew words.")
+    os.utime(source / "a[1].md", (time.time() + 60,) * 2)
+    jobs.ingest(spark, str(source), top)
+    assert "New words." in {c[2] for c in state(spark, top)[1]}
