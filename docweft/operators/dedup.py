@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.sources.store import kept
 
 BLOCK_ROWS = 2048
+#: Vectors that cells are made around.
+PIVOTS = 64
 #: Hashes that more than this part of the repeated rows have are joined by broadcast; there are at most as many.
 FREQUENT = 1000
 
@@ -46,11 +48,53 @@ def exact_duplicates(chunks: DataFrame, known: DataFrame | None = None, order: s
     return marked.withColumn("is_duplicate", F.coalesce(F.col("_group._known") | (F.col(order) > F.col("_group._first")), F.lit(False))).select(*chunks.columns, "is_duplicate")
 
 
-def _blocks(vectors: DataFrame, key: str, rows: int) -> DataFrame:
-    """(block, ids, flat): vectors in blocks of about ``rows`` rows by a hash of ``key``."""
-    n = max(1, -(-vectors.count() // rows))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    return placed.groupBy("block").agg(F.collect_list(F.struct(*vectors.columns)).alias("rows"))
+def chosen_pivots(vectors: DataFrame, k: int = PIVOTS) -> np.ndarray:
+    """At most ``k`` of the vectors, the ones whose ids have the smallest hashes: a fixed choice of bounded size."""
+    rows = vectors.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(k).collect()
+    return np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+def partitioned(vectors: DataFrame, pivots: np.ndarray, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, n, lo, hi, rows): blocks of about ``rows`` unit vectors that are nearest to the same pivot, stored.
+
+    ``lo`` and ``hi`` bound the angles of a block's vectors to each pivot.  A pivot with very many
+    vectors has as many blocks as they need.
+    """
+    kind = vectors.schema["id"].dataType
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angles", T.ArrayType(T.DoubleType())), T.StructField("id", kind), vectors.schema["embedding"]])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angles = _angles(batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64), pivots)
+                first = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(pivots))
+                yield pa.RecordBatch.from_arrays([pa.array(angles.argmin(axis=1).astype(np.int32)), pa.ListArray.from_arrays(first, pa.array(angles.ravel())), batch.column("id"), batch.column("embedding")], schema.names)
+
+    placed = kept(vectors.select("id", "embedding").mapInArrow(place, schema), "placed")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("parts"))  # a row for each pivot at most
+    spread = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.struct("cell", F.pmod(F.xxhash64("id"), "parts").alias("part")))
+    bounds = [f(F.get("angles", F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(len(pivots))]
+    blocks = spread.groupBy("block").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"), *bounds)
+    lists = [F.array(*(F.col(f"{name}{i}") for i in range(len(pivots)))).alias(name) for name in ("lo", "hi")]
+    return kept(blocks.select("block", F.size("rows").alias("n"), *lists, "rows"), "blocks")
+
+
+def _apart(threshold: float) -> Column:
+    """Whether no vector of one block can reach the threshold with one of the other: the triangle inequality of angles at any pivot."""
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-7
+    gaps = F.zip_with(F.arrays_zip(F.col("la").alias("l"), F.col("ha").alias("h")), F.arrays_zip(F.col("lb").alias("l"), F.col("hb").alias("h")), lambda a, b: F.greatest(a["l"] - b["h"], b["l"] - a["h"]))
+    return F.exists(gaps, lambda g: g > reach)
+
+
+def block_pairs(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> DataFrame:
+    """(bl, br) of the blocks that have to be compared; only their bounds take part."""
+    a = left.select(F.col("block").alias("bl"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = right.select(F.col("block").alias("br"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    return a.join(b, (F.col("bl") <= F.col("br") if own else F.lit(True)) & ~_apart(threshold)).select("bl", "br")
 
 
 def _matrix(column: pa.ListArray, i: int) -> tuple[pa.Array, np.ndarray]:
@@ -62,14 +106,15 @@ def _met(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> Data
     """(a, b, sim) of the rows of two tables of blocks whose cosine is above the threshold; ``own``: of one table with itself."""
     kind = left.schema["rows"].dataType.elementType["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
-    both = left.select(F.col("block").alias("bl"), F.col("rows").alias("rl")).join(right.select(F.col("block").alias("br"), F.col("rows").alias("rr")), F.col("bl") <= F.col("br") if own else F.lit(True))
+    pairs = block_pairs(left, right, threshold, own)
+    both = pairs.join(left.select(F.col("block").alias("bl"), F.col("rows").alias("rl")), "bl").join(right.select(F.col("block").alias("br"), F.col("rows").alias("rr")), "br").withColumn("same", F.lit(own) & (F.col("bl") == F.col("br"))).select("same", "rl", "rr")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (ia, xa), (ib, xb) = _matrix(batch.column("rl"), i), _matrix(batch.column("rr"), i)
                 sim = xa @ xb.T
-                if own and batch.column("bl")[i] == batch.column("br")[i]:
+                if batch.column("same")[i].as_py():
                     sim = np.triu(sim, 1)
                     sim[np.tril_indices(len(sim))] = -np.inf
                 p, q = np.nonzero(sim > threshold)
@@ -85,16 +130,20 @@ def _met(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> Data
 def similar_pairs(vectors: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, sim) with a < b and cosine above (strictly) the threshold, of (id, embedding) unit vectors.
 
-    Blocks meet once each; a pair of blocks is one matrix product, and only pairs above
-    the threshold leave it.
+    Vectors are dealt into cells around pivots.  Blocks of cells that the triangle inequality
+    keeps apart never meet; of the others each pair is one matrix product, and only pairs
+    above the threshold leave it.
     """
-    blocks = _blocks(vectors.select("id", "embedding"), "id", rows)
+    blocks = partitioned(vectors, chosen_pivots(vectors), rows)
     return _met(blocks, blocks, threshold, own=True)
 
 
 def near_known(vectors: DataFrame, known: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """(id) of the vectors with a cosine above the threshold to one of ``known`` (id, embedding)."""
-    left, right = (_blocks(v.select("id", "embedding"), "id", rows) for v in (vectors, known))
+    pivots = chosen_pivots(known)
+    if not len(pivots):
+        return vectors.select("id").limit(0)
+    left, right = (partitioned(v.select("id", "embedding"), pivots, rows) for v in (vectors, known))
     return _met(left, right, threshold, own=False).select(F.col("a").alias("id")).distinct()
 
 
