@@ -193,8 +193,12 @@ def edges(semantic: DataFrame, entity: DataFrame, topic: DataFrame, p: GraphPara
     e = entity.select("a", "b", F.col("score").alias("entity_score"), F.col("shared").alias("shared_entities"))
     t = topic.select("a", "b", F.col("score").alias("topic_score"))
     zero = {c: 0.0 for c in ("semantic_score", "entity_score", "topic_score")}
-    all_ = s.join(e, ["a", "b"], "full").join(t, ["a", "b"], "full").fillna(zero)
-    kept = all_.withColumn("combined_score", combine("semantic_score", "entity_score", "topic_score", p)).filter(F.col("combined_score") >= p.edge_threshold)
+    return scored_edges(s.join(e, ["a", "b"], "full").join(t, ["a", "b"], "full").fillna(zero), p)
+
+
+def scored_edges(pairs: DataFrame, p: GraphParams = GraphParams()) -> DataFrame:
+    """The edges of a table of pairs (a, b) that has all three scores and the evidence."""
+    kept = pairs.withColumn("combined_score", combine("semantic_score", "entity_score", "topic_score", p)).filter(F.col("combined_score") >= p.edge_threshold)
     signals = ("semantic_score", "entity_score", "topic_score")
     return kept.select(F.col("a").alias("source"), F.col("b").alias("target"), *(F.round(c, 6).alias(c) for c in (*signals, "combined_score")), dominant_signal(*signals, p).alias("dominant_signal"), "top_pairs", "shared_entities")
 

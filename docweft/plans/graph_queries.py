@@ -197,24 +197,24 @@ def calibrate_scores(spark, d):
 
 
 #: An edge list on the tables: suppliers and parts as nodes, three columns as signals.
-RAW = """raw AS (SELECT l_orderkey AS k, l_suppkey AS x, l_partkey % 100 + 1 AS y, l_discount * 8 AS semantic, l_tax * 8 AS entity, l_quantity / 100 AS topic FROM lineitem WHERE l_linenumber = 1 AND l_suppkey <> l_partkey % 100 + 1)"""
+RAW = """raw AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey AS x, l_partkey % 100 + 1 AS y, l_discount * 8 AS semantic, l_tax * 8 AS entity, l_quantity / 100 AS topic FROM lineitem WHERE l_suppkey <> l_partkey % 100 + 1)"""
 COMBINED = "(CAST(0.5 AS DOUBLE) * semantic + CAST(0.3 AS DOUBLE) * entity + CAST(0.2 AS DOUBLE) * topic)"
-EDGES = f"""{RAW}, u AS (SELECT least(x, y) AS source, greatest(x, y) AS target, semantic, entity, topic, row_number() OVER (PARTITION BY least(x, y), greatest(x, y) ORDER BY k) AS r FROM raw),
+EDGES = f"""{RAW}, u AS (SELECT least(x, y) AS source, greatest(x, y) AS target, semantic, entity, topic, row_number() OVER (PARTITION BY least(x, y), greatest(x, y) ORDER BY k, semantic, entity, topic) AS r FROM raw),
 edges AS (SELECT source, target, round(semantic, 6) AS semantic_score, round(entity, 6) AS entity_score, round(topic, 6) AS topic_score, round({COMBINED}, 6) AS combined_score FROM u WHERE r = 1 AND {COMBINED} >= CAST(0.35 AS DOUBLE))"""
 
 
 def raw_edges(spark, d):
-    items = table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_suppkey <> l_partkey % 100 + 1")
-    return items.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 100 + 1).alias("y"), (F.col("l_discount") * 8).alias("semantic"), (F.col("l_tax") * 8).alias("entity"), (F.col("l_quantity") / 100).alias("topic"))
+    items = table(spark, d, "lineitem").filter("l_suppkey <> l_partkey % 100 + 1")
+    return items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 100 + 1).alias("y"), (F.col("l_discount") * 8).alias("semantic"), (F.col("l_tax") * 8).alias("entity"), (F.col("l_quantity") / 100).alias("topic"))
 
 
 def edge_table(spark, d):
     turned = raw_edges(spark, d).select(*graph.canonical("x", "y"), "k", "semantic", "entity", "topic")
-    first = turned.groupBy("x", "y").agg(F.min_by(F.struct("semantic", "entity", "topic"), "k").alias("s"))
-    side = lambda name: first.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col(f"s.{name}").alias("score"))
+    first = turned.groupBy("x", "y").agg(F.min(F.struct("k", "semantic", "entity", "topic")).alias("s"))
     none = F.array().cast("array<struct<a:bigint,b:bigint,sim:double>>")
     shared = F.array().cast("array<struct<text:string,label:string,idf:double,count_a:bigint,count_b:bigint>>")
-    return graph.edges(side("semantic").withColumn("pairs", none), side("entity").withColumn("shared", shared), side("topic"), GraphParams())
+    signals = (F.col(f"s.{name}").alias(f"{name}_score") for name in ("semantic", "entity", "topic"))
+    return graph.scored_edges(first.select(F.col("x").alias("a"), F.col("y").alias("b"), *signals, none.alias("top_pairs"), shared.alias("shared_entities")), GraphParams())
 
 
 @query("combine", f"WITH {RAW} SELECT k, round({COMBINED}, 6) AS combined FROM raw")

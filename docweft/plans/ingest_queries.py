@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweft.functions import text as t
 from docweft.functions.segments import split_sentences
@@ -75,53 +78,85 @@ def src_text(spark, d):
     return _blocks(spark, d, False).select("doc_id", "i", "text", "start")
 
 
-def _extracted(spark, name: str):
-    found = files.validated_uploads(uploads(spark)).filter(F.col("error").isNull() & (F.col("file_type") == name))
-    return files.extracted(found).select("path", "title", F.explode("blocks").alias("b")).select("path", "title", "b.*")
+_SECTIONS = "g AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h), s AS (SELECT *, first_value(p) OVER (PARTITION BY doc_id, n ORDER BY i) AS section FROM g)"
 
 
-_ROWS = "SELECT path, title, text, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", section, CAST(page AS INTEGER) AS page, CAST(heading AS INTEGER) AS heading FROM (VALUES {}) v(path, title, text, start, \"end\", section, page, heading)"
+_PARTS = f"WITH {HEADED}, {_SECTIONS} SELECT doc_id, i, p AS text, section, CASE WHEN heading THEN 2 END AS heading FROM s"
 
 
-@query("src_markdown", _ROWS.format("""('up/b.md', 'Tides', 'Tides', 0, 5, 'Tides', NULL, 1), ('up/b.md', 'Tides', 'Tides rise and fall. Twice a day they do.', 7, 48, 'Tides', NULL, NULL), ('up/b.md', 'Tides', 'Causes', 50, 56, 'Tides > Causes', NULL, 2),
-('up/b.md', 'Tides', 'The moon pulls.', 58, 73, 'Tides > Causes', NULL, NULL), ('up/b.md', 'Tides', 'Uses', 75, 79, 'Uses', NULL, 1), ('up/b.md', 'Tides', 'Mills', 81, 86, 'Uses > Mills', NULL, 3), ('up/b.md', 'Tides', 'Mills turn.', 88, 99, 'Uses > Mills', NULL, NULL)"""))
+@query("src_markdown", _PARTS)
 def src_markdown(spark, d):
-    return _extracted(spark, "md")
+    return _blocks(spark, d, True).select("doc_id", "i", "text", "section", "heading")
+
+
+def docx_of(lines: pd.Series) -> bytes:
+    """A DOCX file of paragraphs, every fourth a heading of at most 20 characters."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{"Normal" if i % 4 else "Heading2"}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(p if i % 4 else p[:20])}</w:t></w:r></w:p>' for i, p in enumerate(lines))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
 
+@F.pandas_udf(T.BinaryType())
+def docx_files(lines: pd.Series) -> pd.Series:
+    return lines.map(docx_of)
 
-@query("src_docx", _ROWS.format("""('up/c.docx', 'Of Bees', 'Of Bees', 0, 7, 'Of Bees', NULL, 1), ('up/c.docx', 'Of Bees', 'Hives', 9, 14, 'Hives', NULL, 1), ('up/c.docx', 'Of Bees', 'Bees live there.', 16, 32, 'Hives', NULL, NULL),
-('up/c.docx', 'Of Bees', 'Frames', 34, 40, 'Hives > Frames', NULL, 2), ('up/c.docx', 'Of Bees', 'They hold combs.', 42, 58, 'Hives > Frames', NULL, NULL)"""))
+
+@query("src_docx", _PARTS)
 def src_docx(spark, d):
-    return _extracted(spark, "docx")
+    made = lines(spark, d).select("doc_id", docx_files("lines").alias("content"), F.lit("docx").alias("file_type"))
+    found = files.extracted(made, "doc_id").select("doc_id", F.posexplode("blocks").alias("i", "b"))
+    return found.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "b.text", "b.section", "b.heading")
+
 
+def part_files(spark, d):
+    """A PDF of each part: its name in large letters over a sentence about it."""
+    told = F.concat(F.lit("This part is called "), "p_name", F.lit(" and of brand "), "p_brand", F.lit("."))
+    shown = F.concat(F.lit("BT /F1 24 Tf 72 700 Td ("), "p_name", F.lit(") Tj ET BT /F1 11 Tf 72 650 Td ("), told, F.lit(") Tj ET"))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Page /Contents 2 0 R >> endobj\n2 0 obj << >>\nstream\n"), shown, F.lit("\nendstream\nendobj\n%%EOF"))
+    return table(spark, d, "part").select("p_partkey", body.cast("binary").alias("content"), F.lit("pdf").alias("file_type"))
 
-@query("src_pdf", _ROWS.format("""('up/d.pdf', 'On Lamps', 'On Lamps', 0, 8, 'On Lamps', 1, 1), ('up/d.pdf', 'On Lamps', 'Lamps give light in the evening and the night. Oil burns in them.', 10, 75, 'On Lamps', 1, NULL)"""))
+
+@query(
+    "src_pdf",
+    """SELECT p_partkey, CAST(i AS BIGINT) AS i, CASE WHEN i = 1 THEN p_name ELSE 'This part is called ' || p_name || ' and of brand ' || p_brand || '.' END AS text, p_name AS section, CAST(1 AS INTEGER) AS page, CASE WHEN i = 1 THEN CAST(1 AS INTEGER) END AS heading
+FROM part, (VALUES (1), (2)) v(i)""",
+)
 def src_pdf(spark, d):
-    return _extracted(spark, "pdf")
+    found = files.extracted(part_files(spark, d), "p_partkey").select("p_partkey", F.posexplode("blocks").alias("i", "b"))
+    return found.select("p_partkey", (F.col("i") + 1).cast("long").alias("i"), "b.text", "b.section", "b.page", "b.heading")
 
 
-@query("src_dispatch", "SELECT path, title, CAST(pages AS INTEGER) AS page_count, CAST(n AS INTEGER) AS n_blocks, NULL AS error FROM (VALUES ('up/a.txt', NULL, 0, 3), ('up/b.md', 'Tides', 0, 7), ('up/c.docx', 'Of Bees', 0, 5), ('up/d.pdf', 'On Lamps', 1, 2)) v(path, title, pages, n)")
+@query("src_dispatch", f"WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'txt' ELSE 'md' END AS file_type, CAST(count(*) AS INTEGER) AS n_blocks, CAST(0 AS INTEGER) AS page_count FROM l GROUP BY doc_id UNION ALL SELECT p_partkey, 'pdf', CAST(2 AS INTEGER), CAST(1 AS INTEGER) FROM part")
 def src_dispatch(spark, d):
-    return files.extracted(files.validated_uploads(uploads(spark)).filter("error IS NULL")).select("path", "title", "page_count", F.size("blocks").alias("n_blocks"), "error")
+    """Each file by the reader of its type: texts, Markdown, and PDF."""
+    text = as_files(spark, d, False).filter("doc_id % 2 = 0").unionByName(as_files(spark, d, True).filter("doc_id % 2 = 1")).filter("length(content) > 0")
+    found = files.extracted(text.unionByName(part_files(spark, d).withColumnRenamed("p_partkey", "doc_id")).withColumn("kind", F.struct("doc_id", "file_type")), "kind")
+    return found.select("kind.doc_id", "kind.file_type", F.size("blocks").alias("n_blocks"), "page_count")
 
 
-@query("src_upload", "SELECT * FROM (VALUES ('a.txt', 'txt', NULL), ('b.md', 'md', NULL), ('c.docx', 'docx', NULL), ('d.pdf', 'pdf', NULL), ('e.docx', NULL, 'zip_bomb'), ('f.txt', NULL, 'empty_file'), ('g.pdf', NULL, 'magic_mismatch'), ('h.docx', NULL, 'unsupported_type')) v(filename, file_type, error)")
+#: Uploads of the documents under four names; those that are blank, or hold something else than they claim, are refused.
+@query("src_upload", "SELECT 'd' || doc_id || '.' || e AS filename, CASE WHEN e IN ('txt', 'md') AND text <> '' THEN e END AS file_type, CASE WHEN e = 'exe' THEN 'unsupported_type' WHEN text = '' THEN 'empty_file' WHEN e = 'pdf' THEN 'magic_mismatch' END AS error FROM (SELECT doc_id, coalesce(text, '') AS text, list_extract(['txt', 'md', 'pdf', 'exe'], CAST(doc_id % 4 + 1 AS BIGINT)) AS e FROM documents)")
 def src_upload(spark, d):
-    return files.validated_uploads(uploads(spark)).select("filename", "file_type", "error")
+    ext = F.element_at(F.array(*map(F.lit, ("txt", "md", "pdf", "exe"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    named = table(spark, d, "documents").select(F.concat(F.lit("up/d"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return files.validated_uploads(named).select("filename", "file_type", "error")
 
 
-@query("verify_docx_zip", "SELECT * FROM (VALUES ('up/c.docx', NULL), ('up/e.docx', 'zip_bomb'), ('up/h.docx', 'unsupported_type')) v(path, error)")
+@query("verify_docx_zip", "SELECT doc_id, CASE doc_id % 2 WHEN 1 THEN 'unsupported_type' END AS error FROM documents")
 def verify_docx_zip(spark, d):
-    return uploads(spark).filter("path LIKE '%.docx'").select("path", files.verify_zip("content").alias("error"))
+    """DOCX files of the documents, every other one with its end cut off."""
+    whole = lines(spark, d).select("doc_id", docx_files("lines").alias("content"))
+    cut = whole.withColumn("content", F.when(F.col("doc_id") % 2 == 1, F.expr("substring(content, 1, length(content) - 30)")).otherwise(F.col("content")))
+    return cut.select("doc_id", files.verify_zip("content").alias("error"))
 
 
-@query("section_path", "SELECT * FROM (VALUES (0, 'Tides'), (1, 'Tides'), (2, 'Tides > Causes'), (3, 'Tides > Causes'), (4, 'Uses'), (5, 'Uses > Mills'), (6, 'Uses > Mills')) v(pos, section)")
+@query("section_path", f"WITH {HEADED}, {_SECTIONS} SELECT doc_id, i, section FROM s")
 def section_path(spark, d):
-    md = spark.createDataFrame([("m", MARKDOWN.encode(), "md")], "path string, content binary, file_type string")
-    return files.extracted(md).select(F.posexplode("blocks").alias("pos", "b")).select("pos", "b.section")
-
-
-_SECTIONS = "g AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h), s AS (SELECT *, first_value(p) OVER (PARTITION BY doc_id, n ORDER BY i) AS section FROM g)"
+    return _blocks(spark, d, True).select("doc_id", "i", "section")
 
 
 @query("doc_builder", f"WITH {HEADED}, {_SECTIONS} SELECT doc_id, i, {_PLACED}, CAST(length(p) AS INTEGER) AS size, section, CASE WHEN heading THEN 2 END AS heading FROM s")

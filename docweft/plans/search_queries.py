@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docweft.functions import text as t
 from docweft.functions.scoring import dot
 from docweft.operators import answers, retrieval
 from docweft.params import SearchParams
@@ -247,7 +246,7 @@ def embed_passages(spark, d):
 
 @query("embed_query")
 def embed_query(spark, d):
-    return retrieval.embed(spark.createDataFrame(list(enumerate(MANY)), "query_id int, text string"), prefix="query: ").select("query_id", "embedding")
+    return retrieval.embed(table(spark, d, "benchmark").select("item_id", "text"), prefix="query: ").select("item_id", "embedding")
 
 
 CONTEXT = f"""{BM25}, h AS (SELECT rank, '[' || rank || '] (doc' || doc_id || '.txt, p. ' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '–' || (doc_id % 9 + 1) END || ', section "' || source || '")' || chr(10)
