@@ -22,6 +22,17 @@ def cut_at(c: Column | str, pattern: str) -> Column:
     return F.split(F.regexp_replace(plain, F.lit(pattern), F.lit(f"{_CUT}$0{_CUT}")), _CUT, -1)
 
 
+def _spaced(parts: Column) -> Column:
+    """Words and the gaps between them in turn, put together: no gap before a stop, and else one blank at most."""
+
+    def part(p: Column, i: Column) -> Column:
+        stop = F.instr(F.lit(".,;:!?"), F.left(F.get(parts, i + 1), F.lit(1))) > 0
+        gap = F.when(F.coalesce(stop & (F.get(parts, i + 1) != ""), F.lit(False)), "").when(F.length(p) > 1, " ").otherwise(p)
+        return F.when(i % 2 == 0, p).otherwise(gap)
+
+    return F.array_join(F.transform(parts, part), "")
+
+
 def verified(answer: Column | str, passages: Column | str) -> Column:
     """struct<answer, markers>: one bracket a number, none of unknown passages; the numbers in order of appearance."""
 
@@ -31,9 +42,8 @@ def verified(answer: Column | str, passages: Column | str) -> Column:
 
     pieces = F.transform(cut_at(answer, MARKERS), lambda p, i: F.struct(F.when(i % 2 == 0, p).otherwise(F.lit("")).alias("text"), F.when(i % 2 == 1, known(p)).otherwise(F.array().cast("array<int>")).alias("numbers")))
     shown = F.transform(pieces, lambda p: F.concat(p["text"], F.array_join(F.transform(p["numbers"], lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")))
-    joined = F.regexp_replace(F.array_join(shown, ""), r"[ \t]{2,}", " ")
-    tidy = F.regexp_replace(F.regexp_replace(joined, r"[ \t](?=[.,;:!?])", ""), r"(?U)^\s+|\s+$", "")
-    return F.struct(tidy.alias("answer"), F.array_distinct(F.flatten(F.transform(pieces, lambda p: p["numbers"]))).alias("markers"))
+    tidy = F.element_at(F.transform(F.array(cut_at(F.array_join(shown, ""), r"[ \t]+")), _spaced), 1)
+    return F.struct(F.regexp_replace(tidy, r"(?U)^\s+|\s+$", "").alias("answer"), F.array_distinct(F.flatten(F.transform(pieces, lambda p: p["numbers"]))).alias("markers"))
 
 
 def segments(answer: Column | str) -> Column:

@@ -117,18 +117,6 @@ def query_error(query: Column | str, top_k: Column | str, weight: Column | str,
     )
 
 
-def query_error(query: Column | str, top_k: Column | str, weight: Column | str, rrf_k: Column | str, p: SearchParams = SearchParams()) -> Column:
-    """The first rule that a search request breaks, or null: the rules of SearchParams and ``checked_query`` for a table of requests."""
-    size = F.length(F.regexp_replace(F.coalesce(_col(query), F.lit("")), r"(?U)^\s+|\s+$", ""))
-    return (
-        F.when(size == 0, "empty_query")
-        .when(size > p.max_query_chars, "query_too_long")
-        .when(~_col(top_k).between(*RETURN_N), "bad_top_k")
-        .when(~_col(weight).between(0, 1), "bad_weight")
-        .when(~_col(rrf_k).between(*RRF_K), "bad_rrf_k")
-    )
-
-
 def source_header(marker: Column | str, filename: Column | str, page_start: Column | str, page_end: Column | str, section: Column | str) -> Column:
     """[n] (file, p. a–b, section "s")."""
     a, b, s = _col(page_start), _col(page_end), _col(section)

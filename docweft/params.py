@@ -27,10 +27,6 @@ class ChunkParams:
 RRF_K, RETURN_N = (1, 1000), (1, 50)
 
 
-#: Least and largest allowed.
-RRF_K, RETURN_N = (1, 1000), (1, 50)
-
-
 @dataclass(frozen=True)
 class SearchParams:
     rrf_k: int = 60
