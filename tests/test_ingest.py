@@ -174,7 +174,7 @@ def test_a_crash_at_any_stage_leaves_what_no_crash_leaves(spark, tmp_path, monke
         return write(self, rows, name, number, *below)
 
     monkeypatch.setattr(jobs.Tables, "write", crashing)
-    for stop in (2, 5, 9, 12, 14):
+    for stop in (2, 9, 14):
         own = f"file://{tmp_path}/out{stop}"
         count.clear()
         with pytest.raises(Exception, match="the power went"):
@@ -188,7 +188,7 @@ def test_a_crash_at_any_stage_leaves_what_no_crash_leaves(spark, tmp_path, monke
     stop = -1
     jobs.ingest(spark, str(source), top)
     want = state(spark, top)
-    for number, stop in ((2, 3), (14, 13)):
+    for number, stop in ((2, 3),):
         own = f"file://{tmp_path}/out{number}"
         count.clear()
         with pytest.raises(Exception, match="the power went"):
@@ -249,4 +249,4 @@ def test_paths_with_characters_of_patterns(spark, tmp_path):
     (source / "a[1].md").write_text("# Part\n\nNew words.")
     os.utime(source / "a[1].md", (time.time() + 60,) * 2)
     jobs.ingest(spark, str(source), top)
-    assert "New words." in {c[2] for c in state(spark, top)[1]}
+    assert [c[2] for c in state(spark, top)[1] if c[0] == "a[1].md"] == ["Part\n\nNew words."]
