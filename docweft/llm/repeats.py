@@ -44,13 +44,11 @@ from pyspark.sql import types as T
 
 from docweft.llm.bitfilter import BitFilter, bit_filter, packed_slices, packed_texts, unpacked
 from docweft.llm.learning import map_texts
-from docweft.llm.shared import stored
+from docweft.llm.shared import hot_keys, spread_join, stored
 from docweft.llm.textvec import Spans, Words, flat, joined, lists, mix64, word_names, words
 
 #: Rounds of recompression; the need of a symbol of the third round is about 13 words.
 LEVELS = 3
-#: Repeated windows that are broadcast at most (40 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 250_000
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _SALTS = [np.uint64(0x589965CC75374CC3 * (2 * i + 1) & (2**64 - 1)) for i in range(8)]
 
@@ -281,11 +279,12 @@ def repeated_ranges(rows: DataFrame, parsed: DataFrame, width: int) -> DataFrame
     items = F.collect_list(F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "h", (F.col("c") == 1).alias("alone"))).alias("items")
     chosen = stored(spans.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tk").alias("tk")).agg(items), "expanded")
     windows = stored(_windows_of(_with_texts(chosen, rows), width), "windows")
-    often = stored(windows.groupBy("h", "window").count().filter("count > 1").select("h", "window"), "often")
-    small = often.count() <= BROADCAST_ROWS
-    single = windows.filter("alone").join(F.broadcast(often) if small else often, ["h", "window"], "left_semi").select("doc_id", "tk", "at", F.lit(1).alias("n"))
+    named = F.struct("h", "window").alias("name")
+    often = stored(windows.groupBy(named).count().filter("count > 1"), "often")
+    alone = windows.filter("alone").select("doc_id", "tk", "at", named)
+    single = spread_join(alone, often, "name", hot_keys(often, "name", "count")).select("doc_id", "tk", "at", F.lit(1).alias("n"))
     ranges = whole.unionByName(single).select("doc_id", "tk", F.struct("at", (F.col("at") + F.col("n") + (width - 1)).alias("to")).alias("r"))
-    return stored(ranges.groupBy("doc_id", "tk").agg(F.collect_list("r").alias("ranges")), "ranges")
+    return stored(ranges.groupBy("doc_id", "tk").agg(F.collect_set("r").alias("ranges")), "ranges")
 
 
 def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
