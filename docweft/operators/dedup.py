@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,47 +55,75 @@ def chosen_pivots(vectors: DataFrame, k: int = PIVOTS) -> np.ndarray:
     return np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
 
 
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+@dataclass(frozen=True)
+class Metric:
+    """A similarity of the rows of two matrices that falls as a distance with a triangle inequality grows.
+
+    ``distance`` is that distance for a similarity: it turns a threshold into the distance within
+    which pairs have to be looked for.
+    """
+
+    similarity: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    distance: Callable[[np.ndarray], np.ndarray]
+
+
+def _closeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 - root of the Jensen-Shannon divergence (base 2) of distributions, topic by topic, so that memory is that of the result.
+
+    Twelve decimals are kept: shares do not add up to exactly 1, and disjoint distributions have 0.
+    """
+    out = np.zeros((len(x), len(y)))
+    for p, q in zip(x.T[:, :, None], y.T[:, None, :], strict=True):
+        middle = (p + q) / 2
+        for side in (p, q):
+            share = np.divide(side, middle, out=np.ones_like(middle), where=side > 0)
+            out += side * np.log2(share)
+    return np.round(1 - np.sqrt(np.maximum(out / 2, 0.0)), 12)
+
+
+#: Unit vectors: the angle is the distance.
+COSINE = Metric(lambda x, y: x @ y.T, lambda sim: np.arccos(np.clip(sim, -1.0, 1.0)))
+#: Distributions (sum 1): the root of the divergence is a metric.
+CLOSENESS = Metric(_closeness, lambda sim: 1.0 - sim)
 
 
-def partitioned(vectors: DataFrame, pivots: np.ndarray, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(block, n, lo, hi, rows): blocks of about ``rows`` unit vectors that are nearest to the same pivot, stored.
+def partitioned(vectors: DataFrame, pivots: np.ndarray, rows: int = BLOCK_ROWS, metric: Metric = COSINE) -> DataFrame:
+    """(block, n, lo, hi, rows): blocks of about ``rows`` vectors that are nearest to the same pivot, stored.
 
-    ``lo`` and ``hi`` bound the angles of a block's vectors to each pivot.  A pivot with very many
+    ``lo`` and ``hi`` bound the distances of a block's vectors to each pivot.  A pivot with very many
     vectors has as many blocks as they need.
     """
     kind = vectors.schema["id"].dataType
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angles", T.ArrayType(T.DoubleType())), T.StructField("id", kind), vectors.schema["embedding"]])
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("far", T.ArrayType(T.DoubleType())), T.StructField("id", kind), vectors.schema["embedding"]])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                angles = _angles(batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64), pivots)
+                far = metric.distance(metric.similarity(batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64), pivots))
                 first = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(pivots))
-                yield pa.RecordBatch.from_arrays([pa.array(angles.argmin(axis=1).astype(np.int32)), pa.ListArray.from_arrays(first, pa.array(angles.ravel())), batch.column("id"), batch.column("embedding")], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(far.argmin(axis=1).astype(np.int32)), pa.ListArray.from_arrays(first, pa.array(far.ravel())), batch.column("id"), batch.column("embedding")], schema.names)
 
     placed = kept(vectors.select("id", "embedding").mapInArrow(place, schema), "placed")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("parts"))  # a row for each pivot at most
     spread = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.struct("cell", F.pmod(F.xxhash64("id"), "parts").alias("part")))
-    bounds = [f(F.get("angles", F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(len(pivots))]
+    bounds = [f(F.get("far", F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(len(pivots))]
     blocks = spread.groupBy("block").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"), *bounds)
     lists = [F.array(*(F.col(f"{name}{i}") for i in range(len(pivots)))).alias(name) for name in ("lo", "hi")]
     return kept(blocks.select("block", F.size("rows").alias("n"), *lists, "rows"), "blocks")
 
 
-def _apart(threshold: float) -> Column:
-    """Whether no vector of one block can reach the threshold with one of the other: the triangle inequality of angles at any pivot."""
-    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-7
+def _apart(threshold: float, metric: Metric) -> Column:
+    """Whether no vector of one block can reach the threshold with one of the other: the triangle inequality at any pivot."""
+    reach = float(metric.distance(threshold)) + 1e-7
     gaps = F.zip_with(F.arrays_zip(F.col("la").alias("l"), F.col("ha").alias("h")), F.arrays_zip(F.col("lb").alias("l"), F.col("hb").alias("h")), lambda a, b: F.greatest(a["l"] - b["h"], b["l"] - a["h"]))
     return F.exists(gaps, lambda g: g > reach)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, threshold: float, own: bool, metric: Metric = COSINE) -> DataFrame:
     """(bl, br) of the blocks that have to be compared; only their bounds take part."""
     a = left.select(F.col("block").alias("bl"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
     b = right.select(F.col("block").alias("br"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    return a.join(b, (F.col("bl") <= F.col("br") if own else F.lit(True)) & ~_apart(threshold)).select("bl", "br")
+    return a.join(b, (F.col("bl") <= F.col("br") if own else F.lit(True)) & ~_apart(threshold, metric)).select("bl", "br")
 
 
 def _matrix(column: pa.ListArray, i: int) -> tuple[pa.Array, np.ndarray]:
@@ -102,18 +131,18 @@ def _matrix(column: pa.ListArray, i: int) -> tuple[pa.Array, np.ndarray]:
     return rows.field("id"), rows.field("embedding").flatten().to_numpy().reshape(len(rows), -1).astype(np.float64)
 
 
-def _met(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> DataFrame:
-    """(a, b, sim) of the rows of two tables of blocks whose cosine is above the threshold; ``own``: of one table with itself."""
+def _met(left: DataFrame, right: DataFrame, threshold: float, own: bool, metric: Metric = COSINE) -> DataFrame:
+    """(a, b, sim) of the rows of two tables of blocks whose similarity is above the threshold; ``own``: of one table with itself."""
     kind = left.schema["rows"].dataType.elementType["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
-    pairs = block_pairs(left, right, threshold, own)
+    pairs = block_pairs(left, right, threshold, own, metric)
     both = pairs.join(left.select(F.col("block").alias("bl"), F.col("rows").alias("rl")), "bl").join(right.select(F.col("block").alias("br"), F.col("rows").alias("rr")), "br").withColumn("same", F.lit(own) & (F.col("bl") == F.col("br"))).select("same", "rl", "rr")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (ia, xa), (ib, xb) = _matrix(batch.column("rl"), i), _matrix(batch.column("rr"), i)
-                sim = xa @ xb.T
+                sim = metric.similarity(xa, xb)
                 if batch.column("same")[i].as_py():
                     sim = np.triu(sim, 1)
                     sim[np.tril_indices(len(sim))] = -np.inf
@@ -127,15 +156,15 @@ def _met(left: DataFrame, right: DataFrame, threshold: float, own: bool) -> Data
     return both.mapInArrow(run, schema)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, sim) with a < b and cosine above (strictly) the threshold, of (id, embedding) unit vectors.
+def similar_pairs(vectors: DataFrame, threshold: float, rows: int = BLOCK_ROWS, metric: Metric = COSINE) -> DataFrame:
+    """(a, b, sim) with a < b and a similarity above (strictly) the threshold, of (id, embedding): unit vectors for the cosine.
 
     Vectors are dealt into cells around pivots.  Blocks of cells that the triangle inequality
-    keeps apart never meet; of the others each pair is one matrix product, and only pairs
+    keeps apart never meet; of the others each pair is compared as two matrices, and only pairs
     above the threshold leave it.
     """
-    blocks = partitioned(vectors, chosen_pivots(vectors), rows)
-    return _met(blocks, blocks, threshold, own=True)
+    blocks = partitioned(vectors, chosen_pivots(vectors), rows, metric)
+    return _met(blocks, blocks, threshold, own=True, metric=metric)
 
 
 def near_known(vectors: DataFrame, known: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -3,7 +3,8 @@
 Every signal is a table of unordered pairs (a < b).  Pairs of the entity signal come
 from an inverted index and so exist only where something is shared; the semantic signal
 multiplies blocks of vectors and keeps the k best chunk pairs of each document pair.  Both
-take the least score that matters, and then give only the pairs that reach it.
+take the least score that matters, and then give only the pairs that reach it; so does
+the topic signal, by cells of distributions that a metric keeps apart.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from docweft.functions.scoring import calibrate, combine, dominant_signal
 from docweft.functions.text import entity_kept, normalize_entity
-from docweft.operators.dedup import similar_pairs
+from docweft.operators.dedup import CLOSENESS, similar_pairs
 from docweft.params import GraphParams
 
 BLOCK_ROWS = 2048
@@ -131,8 +132,9 @@ def semantic_overlap(vectors: DataFrame, p: GraphParams = GraphParams(), rows: i
     over cells of vectors (``dedup.similar_pairs``), and only their vectors meet.
     """
     if least is not None:
-        best = _best_of(vectors, p, p.semantic_floor + least * (p.semantic_ceil - p.semantic_floor), rows)
-        return _overlaps(best, p).filter(F.col("score") > least)
+        above = p.semantic_floor + least * (p.semantic_ceil - p.semantic_floor)
+        met = similar_pairs(vectors.select(F.col("doc_id").alias("id"), "embedding"), above, rows).select("a", "b").filter("a <> b").distinct()
+        return semantic_of(vectors, met, p).filter(F.col("score") > least)
     n = max(1, -(-vectors.count() // rows))
     blocks = vectors.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "chunk_id", "embedding"))).alias("rows"))
     left, right = (blocks.select(F.col("block").alias(f"b{s}"), F.col("rows").alias(f"r{s}")) for s in "lr")
@@ -159,11 +161,10 @@ def semantic_overlap(vectors: DataFrame, p: GraphParams = GraphParams(), rows: i
     return _overlaps(pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= p.top_k_pairs), p)
 
 
-def _best_of(vectors: DataFrame, p: GraphParams, above: float, rows: int) -> DataFrame:
-    """(a, b, ca, cb, sim, r): the k best chunk pairs of the documents that have chunks with a cosine above ``above``."""
-    met = similar_pairs(vectors.select(F.col("doc_id").alias("id"), "embedding"), above, rows).select("a", "b").filter("a <> b").distinct()
+def semantic_of(vectors: DataFrame, pairs: DataFrame, p: GraphParams = GraphParams()) -> DataFrame:
+    """(a, b, raw, score, pairs) of the given pairs (a < b) of documents, by the vectors of each two; pairs without vectors drop out."""
     own = vectors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "embedding"))).alias("l"))  # a document's vectors
-    both = met.join(own.select(F.col("doc_id").alias("a"), F.col("l").alias("ra")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("l").alias("rb")), "b")
+    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("l").alias("ra")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("l").alias("rb")), "b")
     doc, chunk = vectors.schema["doc_id"].dataType, vectors.schema["chunk_id"].dataType
     schema = T.StructType([T.StructField("a", doc), T.StructField("b", doc), T.StructField("ca", chunk), T.StructField("cb", chunk), T.StructField("sim", T.DoubleType()), T.StructField("r", T.IntegerType())])
 
@@ -177,7 +178,7 @@ def _best_of(vectors: DataFrame, p: GraphParams, above: float, rows: int) -> Dat
                 one = pa.array(np.full(len(top), i))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(one), batch.column("b").take(one), left.field("chunk_id").take(pa.array(top // len(y))), right.field("chunk_id").take(pa.array(top % len(y))), pa.array(sim[top]), pa.array(np.arange(1, len(top) + 1, dtype=np.int32))], schema.names)
 
-    return both.select("a", "b", "ra", "rb").mapInArrow(run, schema)
+    return _overlaps(both.select("a", "b", "ra", "rb").mapInArrow(run, schema), p)
 
 
 def _overlaps(best: DataFrame, p: GraphParams) -> DataFrame:
@@ -187,6 +188,23 @@ def _overlaps(best: DataFrame, p: GraphParams) -> DataFrame:
     return means.select("a", "b", "raw", calibrate("raw", p.semantic_floor, p.semantic_ceil).alias("score"), F.transform("l", lambda x: x["p"]).alias("pairs"))
 
 
+def topic_pairs(distribution: DataFrame, least: float, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score) of the pairs whose topic similarity is above ``least`` (0 or more).
+
+    The root of the divergence is a metric, so the pairs come from the similarity join over cells of
+    distributions.  A document without mass is similar to none; a topic that a document has no row
+    for weighs 0 there, and repeated rows of a topic add up.
+    """
+    if least < 0:
+        raise ValueError("least must not be negative")
+    weights = distribution.filter("doc_id IS NOT NULL AND topic IS NOT NULL AND weight > 0").groupBy("doc_id", "topic").agg(F.sum("weight").alias("weight"))
+    n = weights.agg(F.max("topic")).first()[0]
+    lists = weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("topic").cast("int"), "weight"))).alias("m"), F.sum("weight").alias("mass"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(int(n or 0))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("mass"))
+    found = similar_pairs(lists.select(F.col("doc_id").alias("id"), dense.alias("embedding")), least, rows, CLOSENESS)
+    return found.select("a", "b", F.col("sim").alias("score"))
+
+
 def edges(semantic: DataFrame, entity: DataFrame, topic: DataFrame, p: GraphParams = GraphParams()) -> DataFrame:
     """Edges (source < target) at or above the threshold, judged before scores are rounded; a missing signal counts 0."""
     s = semantic.select("a", "b", F.col("score").alias("semantic_score"), F.col("pairs").alias("top_pairs"))

@@ -7,9 +7,11 @@ wins, as it has the higher number and saw at least as much.  ``recompute_seriali
 runs follow each other under a lease: triggers that come during a run make one more run.
 
 Signals are only computed where an edge can come from.  With the weights w_s, w_e, w_t an
-edge without a semantic score needs w_e entity + w_t topic >= threshold, so an entity
-score of (threshold - w_t) / w_e; pairs with that or a semantic score above 0 are the
-candidates, and the other signals are joined to them.
+edge without a semantic score needs w_e entity + w_t topic >= threshold.  If topics alone
+cannot carry it, its entity score is (threshold - w_t) / w_e at least; if they can and
+entities cannot, its topic score is (threshold - w_e) / w_t; if either can, one of both is
+threshold / (w_e + w_t).  Pairs with that or a semantic score above 0 are the candidates, and
+the other signals, and the best chunk pairs as evidence, are computed for them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from docweft.sources.lease import serialised
 from docweft.sources.store import claimed, commit, committed, kept, scratch
 
 TOPICS_SHOWN, ENTITIES_SHOWN, SHARED_SHOWN = 3, 10, 3
+#: Candidates may miss their least score by rounding errors.
+SLACK = 1e-7
 
 
 def topic_vectors(distribution: DataFrame) -> DataFrame:
@@ -35,14 +39,32 @@ def topic_vectors(distribution: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.transform("l", lambda x: x["weight"]).alias("p"))
 
 
-def scored_pairs(vectors: DataFrame, entities: DataFrame, n_docs: int, distribution: DataFrame | None, p: GraphParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three signals of every pair of documents that can reach the threshold."""
+def least_scores(p: GraphParams, topics: bool = True) -> tuple[float | None, float | None]:
+    """The least entity and topic scores of which a pair without a semantic score has one if it is an edge; None: that signal needs no look."""
+    if p.edge_threshold <= 0:
+        raise ValueError("edge_threshold must be above 0")
+    e, t = p.entity_weight, p.topic_weight if topics else 0.0
+    if e + t < p.edge_threshold:
+        return None, None
+    if t < p.edge_threshold:
+        return (p.edge_threshold - t) / e, None
+    if e < p.edge_threshold:
+        return None, (p.edge_threshold - e) / t
+    return (p.edge_threshold / (e + t),) * 2
+
+
+def scored_pairs(vectors: DataFrame, entities: DataFrame, n_docs: int | DataFrame, distribution: DataFrame | None, p: GraphParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three signals of every pair of documents that can reach the threshold (above 0: else every pair is an edge)."""
     semantic = graph.semantic_overlap(vectors, p, least=0.0)
     semantic = kept(semantic, "semantic")
-    least = max(0.0, (p.edge_threshold - p.topic_weight) / p.entity_weight) if p.entity_weight else 2.0
+    entity_least, topic_least = least_scores(p, topics=distribution is not None)
     pairs = semantic.select("a", "b")
-    if least <= 1:
-        pairs = pairs.union(graph.entity_scores(entities, n_docs, least=least).select("a", "b")).distinct()
+    if entity_least is not None:
+        pairs = pairs.union(graph.entity_scores(entities, n_docs, least=entity_least - SLACK).select("a", "b"))
+    if topic_least is not None:
+        pairs = pairs.union(graph.topic_pairs(distribution, max(0.0, topic_least - SLACK)).select("a", "b"))
+    pairs = kept(pairs.distinct(), "candidates")
+    semantic = semantic.unionByName(graph.semantic_of(vectors, pairs.join(semantic.select("a", "b"), ["a", "b"], "left_anti"), p))
     entity = graph.entity_overlap(entities, n_docs, pairs=pairs)
     if distribution is None:
         return semantic, entity, pairs.withColumn("score", F.lit(0.0))

@@ -184,6 +184,11 @@ def topic_pairs(spark, d):
     return topic_scores(spark, d).select("a", "b", F.round("score", 5).alias("score"))
 
 
+@query("topic_similarity_least", f"WITH {DIST}, {TOPIC} SELECT a, b, round(score, 5) AS score FROM top WHERE score > CAST(0.8 AS DOUBLE)")
+def topic_similarity_least(spark, d):
+    return graph.topic_pairs(distribution(spark, d), 0.8).select("a", "b", F.round("score", 5).alias("score"))
+
+
 @query("fit_topics")
 def fit_topics(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "text")
@@ -257,8 +262,8 @@ whole AS (SELECT a AS source, b AS target, s, e, t, CAST(0.5 AS DOUBLE) * s + CA
 
 
 def whole_graph(spark, d):
-    semantic = graph.semantic_overlap(chunk_vectors(spark, d), Q)
-    return graph.edges(semantic, graph.entity_overlap(parts(spark, d), table(spark, d, "supplier")), topic_scores(spark, d), Q)
+    signals = recompute.scored_pairs(chunk_vectors(spark, d), parts(spark, d), table(spark, d, "supplier"), distribution(spark, d), Q)
+    return graph.edges(*signals, Q)
 
 
 @query("edges_whole", f"WITH {_WHOLE} SELECT source, target, round(s, 6) AS s, round(e, 6) AS e, round(t, 6) AS t, round(c, 6) AS c FROM whole")

@@ -313,7 +313,10 @@ def test_recompute(spark, tmp_path):
     assert empty.version == "000000000003" and empty.edges.count() == 0 == empty.analysis.count() == empty.events.count()
 
 
-def test_pairs_that_the_recompute_leaves_out_cannot_be_edges(spark):
+@pytest.mark.parametrize("ws,we,wt,threshold", [(0.5, 0.3, 0.2, 0.4), (0.2, 0.2, 0.6, 0.4), (0.1, 0.45, 0.45, 0.3), (0.8, 0.1, 0.1, 0.3)])
+def test_pairs_that_the_recompute_leaves_out_cannot_be_edges(spark, ws, we, wt, threshold):
+    """Whatever signals can carry an edge alone; and all edges have the evidence that whole tables give them."""
+    weights_of = {"semantic_weight": ws, "entity_weight": we, "topic_weight": wt, "edge_threshold": threshold}
     rng = np.random.default_rng(9)
     x = rng.normal(size=(40, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -321,14 +324,23 @@ def test_pairs_that_the_recompute_leaves_out_cannot_be_edges(spark):
     e = entities(spark, {d: {f"e{int(k)}": 1 for k in rng.integers(0, 9, 4)} for d in range(20)})
     weights = rng.dirichlet([0.3] * 4, 20)
     dist = spark.createDataFrame([(d, t, float(weights[d, t])) for d in range(20) for t in range(4)], "doc_id long, topic int, weight double")
-    p = GraphParams(semantic_floor=0.4, semantic_ceil=1.0, top_k_pairs=2, edge_threshold=0.4)
-    key = lambda edges: {(r.source, r.target): r.combined_score for r in edges.collect()}
+    p = GraphParams(semantic_floor=0.4, semantic_ceil=1.0, top_k_pairs=2, **weights_of)
+    key = lambda edges: {(r.source, r.target): (r.combined_score, r.dominant_signal, r.top_pairs, r.shared_entities) for r in edges.collect()}
     side = recompute.topic_vectors(dist)
     all_topics = side.withColumnsRenamed({"doc_id": "a"}).join(side.withColumnsRenamed({"doc_id": "b", "p": "q"}), F.col("a") < F.col("b")).select("a", "b", scoring.topic_similarity("p", "q").alias("score"))
     whole = key(graph.edges(graph.semantic_overlap(v, p), graph.entity_overlap(e, 20), all_topics, p))
     assert key(graph.edges(*recompute.scored_pairs(v, e, 20, dist, p), p)) == whole and whole
 
 
+def test_least_scores_of_candidates():
+    of = lambda s, e, t, threshold, topics=True: recompute.least_scores(GraphParams(semantic_weight=s, entity_weight=e, topic_weight=t, edge_threshold=threshold), topics)
+    assert of(0.5, 0.3, 0.2, 0.6) == (None, None) == of(0.5, 0.3, 0.2, 0.35, topics=False)
+    assert of(0.5, 0.3, 0.2, 0.35) == (pytest.approx(0.5), None) and of(0.2, 0.2, 0.6, 0.5) == (None, pytest.approx(0.5))
+    assert of(0.0, 0.5, 0.5, 0.4) == (pytest.approx(0.4), pytest.approx(0.4))
+    with pytest.raises(ValueError):
+        of(0.5, 0.3, 0.2, 0.0)
+
+
 def test_embeddings_and_the_nearest_sentence(spark):
     import zlib
 
