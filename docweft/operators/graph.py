@@ -235,12 +235,20 @@ def edge_between(table: DataFrame, x: int, y: int) -> DataFrame:
     return table.filter((F.col("source") == min(x, y)) & (F.col("target") == max(x, y)))
 
 
-def edge_evidence(edge: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(position, text_a, text_b, similarity) of an edge's top pairs; a pair with a missing chunk drops out."""
-    pairs = edge.select(F.posexplode("top_pairs").alias("position", "p")).select("position", "p.a", "p.b", F.col("p.sim").alias("similarity"))
+def edge_evidence(edge: DataFrame, chunks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, position, text_a, text_b, similarity) of the top pairs of an edge, or of all by their keys; a pair with a missing chunk drops out."""
+    pairs = edge.select(*keys, F.posexplode("top_pairs").alias("position", "p")).select(*keys, "position", "p.a", "p.b", F.col("p.sim").alias("similarity"))
     text = chunks.select("chunk_id", "text")
     a, b = text.withColumnsRenamed({"chunk_id": "a", "text": "text_a"}), text.withColumnsRenamed({"chunk_id": "b", "text": "text_b"})
-    return pairs.join(a, "a").join(b, "b").select("position", "text_a", "text_b", "similarity")
+    return pairs.join(a, "a").join(b, "b").select(*keys, "position", "text_a", "text_b", "similarity")
+
+
+def with_evidence(edges_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All edges and ``evidence``, the texts and similarities of their top pairs in order; null without any."""
+    rows = edge_evidence(edges_, chunks, "source", "target")
+    lists = rows.groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("position", "similarity", "text_a", "text_b"))).alias("l"))  # top_k_pairs a list
+    found = lists.select("source", "target", F.transform("l", lambda x: F.struct(x["similarity"].alias("similarity"), x["text_a"].alias("text_a"), x["text_b"].alias("text_b"))).alias("evidence"))
+    return edges_.join(found, ["source", "target"], "left")
 
 
 def without_documents(table: DataFrame, gone: DataFrame) -> DataFrame:

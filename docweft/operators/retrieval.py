@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweft.functions.citations import cut_at
 from docweft.functions.scoring import dot
 from docweft.functions.segments import SPAN, sentence_spans
 from docweft.functions.text import tokenize
@@ -188,27 +189,21 @@ def _terms(query: str) -> list[str]:
     return sorted({t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1})
 
 
-def term_highlights(query: str, most: int = 20):
-    """A UDF for the spans of the query's terms as whole words; overlapping and touching spans are one."""
-    import re
+def term_highlights(query: str, text: Column | str, most: int = 20) -> Column:
+    """array<struct<start, end>> of the query's terms as whole words, in either case, the first ``most``; empty without any.
 
+    The text is cut at the terms, and the running lengths of the pieces are the ends of the
+    spans.  Whole words never touch, so neither do spans.
+    """
     terms = _terms(query)
-    pattern = re.compile(rf"\b(?:{'|'.join(map(re.escape, terms))})\b", re.I) if terms else None
-
-    def spans(text: str | None) -> list[dict]:
-        out: list[dict] = []
-        for m in pattern.finditer(text or "") if pattern else ():
-            if out and m.start() <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], m.end())
-            else:
-                out.append({"start": m.start(), "end": m.end()})
-        return out[:most]
-
-    @F.pandas_udf(T.ArrayType(SPAN))
-    def highlights(texts: pd.Series) -> pd.Series:
-        return texts.map(spans)
-
-    return highlights
+    if not terms:
+        return F.array().cast(T.ArrayType(SPAN))
+    pieces = F.slice(cut_at(text, rf"(?iU)\b(?:{'|'.join(terms)})\b"), 1, 2 * most)
+    start = F.array(F.lit(0))
+    ends = F.aggregate(pieces, start, lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    # ends[i] is where piece i begins: pieces at odd places are the terms
+    spans = F.transform(F.slice(ends, 1, F.size(pieces)), lambda at, i: F.struct(at.alias("start"), F.get(ends, i + 1).alias("end")))
+    return F.filter(spans, lambda x, i: i % 2 == 1)
 
 
 def best_sentence(query: str):

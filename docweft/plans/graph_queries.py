@@ -13,6 +13,7 @@ from docweft.operators import answers, dedup, graph, recompute, retrieval, topic
 from docweft.operators.recompute import topic_vectors
 from docweft.params import GraphParams, params_hash
 from docweft.plans.registry import query, table
+from docweft.plans.scalar_queries import cut_sql
 from docweft.plans.search_queries import chunk_vectors, query_vector
 from docweft.sources.lease import serialised
 from docweft.sources.store import Keyed, claimed, commit, committed, work_dir
@@ -433,20 +434,75 @@ def join_edge_evidence(spark, d):
     return graph.edge_evidence(edge, chunks).select(F.col("position").cast("long").alias("position"), "similarity", "text_a", "text_b")
 
 
-@query("template_render")
+def _two(x: str) -> str:
+    """SQL for two decimals, halves away from zero, of a value with at most six."""
+    return f"CAST(CAST(CAST({x} AS DECIMAL(12, 6)) AS DECIMAL(9, 2)) AS VARCHAR)"
+
+
+#: What an edge shows: its strongest signal, its shared entities and its best pair.
+_SHOWN = f"""{_WHOLE}, ev AS (SELECT a, b, least(max(r), 25) AS n, string_agg(text, ', ' ORDER BY r) FILTER (r <= 3) AS three, string_agg(text || ' (PART)', ', ' ORDER BY r) FILTER (r <= 6) AS six,
+  max(text) FILTER (r = 1) AS one, max(text) FILTER (r = 2) AS two, max(ca) FILTER (r = 1) AS ca, max(cb) FILTER (r = 1) AS cb FROM l GROUP BY 1, 2),
+tp AS (SELECT a, b, {_two('round(sim, 4)')} AS sim FROM k WHERE r = 1),
+x AS (SELECT source, target, s, e, t, c, n, three, six, one, two, ca, cb, sim, CASE WHEN CAST(0.5 AS DOUBLE) * s >= CAST(0.3 AS DOUBLE) * e AND CAST(0.5 AS DOUBLE) * s >= CAST(0.2 AS DOUBLE) * t THEN 'semantic' WHEN CAST(0.3 AS DOUBLE) * e >= CAST(0.2 AS DOUBLE) * t THEN 'entity' ELSE 'topic' END AS signal
+  FROM whole LEFT JOIN ev ON ev.a = source AND ev.b = target LEFT JOIN tp ON tp.a = source AND tp.b = target)"""
+
+
+def _named(edges):
+    return edges.withColumns({"doc_a": F.concat(F.lit("d"), F.col("source")), "doc_b": F.concat(F.lit("d"), F.col("target"))})
+
+
+@query(
+    "template_render",
+    f"""WITH {_SHOWN} SELECT source, target, '"d' || source || '" and "d' || target || '" are linked mainly by ' || CASE WHEN signal = 'semantic' AND sim IS NOT NULL THEN 'closely related passages (top pair similarity ' || sim || ')' WHEN signal = 'semantic' THEN 'closely related passages'
+  WHEN signal = 'entity' AND n = 1 THEN 'shared references to ' || one WHEN signal = 'entity' AND n = 2 THEN 'shared references to ' || one || ' and ' || two WHEN signal = 'entity' AND n > 2 THEN 'shared references to ' || one || ', ' || two || ' and ' || (n - 2) || CASE WHEN n = 3 THEN ' other entity' ELSE ' other entities' END
+  WHEN signal = 'entity' THEN 'shared named entities' ELSE 'overlapping topic vocabulary' END || '. ' ||
+  CASE WHEN n > 0 THEN 'Both documents mention ' || three || ' — "' || one || '" appears ' || ca || '× in the first and ' || cb || '× in the second. ' WHEN sim IS NOT NULL THEN 'Their closest passages overlap with similarity ' || sim || '. ' ELSE '' END ||
+  'Signal scores: semantic ' || {_two('round(s, 6)')} || ', entity ' || {_two('round(e, 6)')} || ', topic ' || {_two('round(t, 6)')} || ' (combined ' || {_two('round(c, 6)')} || ').' AS explanation FROM x""",
+)
 def template_render(spark, d):
-    e = whole_graph(spark, d).withColumns({"doc_a": F.concat(F.lit("d"), F.col("source")), "doc_b": F.concat(F.lit("d"), F.col("target"))})
-    return e.select("source", "target", answers.template_explanation().alias("explanation"))
+    return _named(whole_graph(spark, d)).select("source", "target", answers.template_explanation().alias("explanation"))
 
 
-@query("build_edge_prompt")
+#: Short excerpts and messages, so that both limits act.
+EXCERPT, MESSAGE = 300, 1500
+
+
+@query(
+    "build_edge_prompt",
+    f"""WITH {_SHOWN}, pr AS (SELECT q.source, q.target, q.sim, coalesce({cut_sql('da.text', EXCERPT)}, '') AS ta, coalesce({cut_sql('db.text', EXCERPT)}, '') AS tb, row_number() OVER (PARTITION BY q.source, q.target ORDER BY r) AS i
+  FROM (SELECT source, target, r, k.ca, k.cb, {_two('round(k.sim, 4)')} AS sim FROM whole JOIN k ON k.a = source AND k.b = target WHERE r <= 5) q JOIN documents da ON da.doc_id = q.ca JOIN documents db ON db.doc_id = q.cb),
+ex AS (SELECT source, target, i, '[' || i || ', similarity ' || sim || ']' || chr(10) || 'A: ' || ta || chr(10) || 'B: ' || tb AS one FROM pr WHERE i <= 3),
+lists AS (SELECT source, target, max(one) FILTER (i = 1) AS e1, max(one) FILTER (i = 2) AS e2, max(one) FILTER (i = 3) AS e3 FROM ex GROUP BY 1, 2),
+u AS (SELECT source, target, 'A: d' || source || chr(10) || 'B: d' || target || chr(10) || 'Strongest signal: ' || signal || chr(10) || 'Shared entities: ' || coalesce(six, 'none') || chr(10) || '<excerpts>' || chr(10) AS head,
+  [concat_ws(chr(10) || chr(10), e1, e2, e3), concat_ws(chr(10) || chr(10), e1, e2), coalesce(e1, ''), ''] AS tries FROM x LEFT JOIN lists USING (source, target)),
+msg AS (SELECT source, target, list_transform(tries, lambda y: head || y || chr(10) || '</excerpts>') AS m FROM u)
+SELECT source, target, CASE WHEN length(m[1]) <= {MESSAGE} THEN m[1] WHEN length(m[2]) <= {MESSAGE} THEN m[2] WHEN length(m[3]) <= {MESSAGE} THEN m[3] ELSE m[4] END AS content FROM msg""",
+)
 def build_edge_prompt(spark, d):
-    pairs = [("words of the first " * 100, "words of the second " * 100, s / 10) for s in range(6)]
-    return spark.createDataFrame(answers.explanation_prompt("first.md", "second.md", "semantic", pairs, [("brontide", "ORG")]), "role string, content string")
+    """What a model is asked of each edge; the texts of the chunks are those of the documents with their number."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    edges = _named(graph.with_evidence(whole_graph(spark, d), chunks))
+    return edges.select("source", "target", answers.explanation_prompt(excerpt=EXCERPT, limit=MESSAGE)[1]["content"].alias("content"))
+
+
+def _four(x: str) -> str:
+    """SQL for four decimals, halves away from zero, of a value with at most six."""
+    return f"CAST(CAST(CAST({x} AS DECIMAL(12, 6)) AS DECIMAL(9, 4)) AS DOUBLE)"
+
+
+def _json(x: str) -> str:
+    """SQL for a value of four decimals as Spark writes a double."""
+    return f"CASE WHEN {x} <> 0 AND abs({x}) < 0.001 THEN CAST(round({x} * 10000) AS BIGINT) || '.0E-4' ELSE CAST({x} + CAST(0 AS DOUBLE) AS VARCHAR) END"
 
 
-@query("cache_key")
-def cache_key(spark, d):
+@query(
+    "cache_key",
+    f"""WITH {_SHOWN}, pj AS (SELECT a, b, string_agg('{{"a":' || ca || ',"b":' || cb || ',"col3":' || {_json('round(sim, 4)')} || '}}', ',' ORDER BY r) AS pairs FROM k WHERE r <= 5 GROUP BY 1, 2),
+ej AS (SELECT a, b, string_agg('{{"text":"' || text || '","label":"PART"}}', ',' ORDER BY r) AS named FROM l WHERE r <= 6 GROUP BY 1, 2)
+SELECT source, target, sha256('{{"col1":"1","col2":"template","source":' || source || ',"target":' || target || coalesce(',"col5":[' || pairs || ']', '') || coalesce(',"col6":[' || named || ']', '') || ',"col7":[' || concat_ws(',', {_json(_four('round(s, 6)'))}, {_json(_four('round(e, 6)'))}, {_json(_four('round(t, 6)'))}) || ']}}') AS cache_key
+FROM x LEFT JOIN pj ON pj.a = source AND pj.b = target LEFT JOIN ej ON ej.a = source AND ej.b = target""",
+)
+def edge_cache_key(spark, d):
     return whole_graph(spark, d).select("source", "target", answers.cache_key("template").alias("cache_key"))
 
 

@@ -211,9 +211,20 @@ def search_debug(spark, d):
     return side(_dense(spark, d), "dense").unionByName(side(_sparse(spark, d), "bm25"))
 
 
-@query("term_highlights")
+#: Whole words and what is between them in turn; the spans are the words that the query has.
+WORDS = ", ".join(f"'{w.strip(',')}'" for w in QUERY.split())
+
+
+@query(
+    "term_highlights",
+    rf"""WITH p AS (SELECT doc_id AS chunk_id, string_split(regexp_replace(text, '([\p{{L}}\p{{M}}\p{{N}}_]+)', chr(57344) || '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM documents),
+i AS (SELECT chunk_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+e AS (SELECT chunk_id, part, i, sum(length(part)) OVER (PARTITION BY chunk_id ORDER BY i) AS ends FROM i)
+SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS position, CAST(ends - length(part) AS BIGINT) AS start, CAST(ends AS BIGINT) AS "end" FROM e WHERE i % 2 = 0 AND lower(part) IN ({WORDS}) QUALIFY position < 20""",
+)
 def term_highlights(spark, d):
-    return corpus(spark, d).select("chunk_id", retrieval.term_highlights(QUERY)("text").alias("spans")).filter(F.size("spans") > 0)
+    rows = corpus(spark, d).select("chunk_id", F.posexplode(retrieval.term_highlights(QUERY, "text")).alias("position", "s"))
+    return rows.select("chunk_id", *(F.col(c).cast("long").alias(n) for c, n in (("position", "position"), ("s.start", "start"), ("s.end", "end"))))
 
 
 @query("best_sentence_terms")

@@ -67,13 +67,17 @@ def test_dense_and_filters(spark, tmp_path):
 
 def test_highlights(spark):
     df = spark.createDataFrame([("The lighthouse by the bay. The Bay road, bays.",), (None,), ("nothing here",), ("ok. But a bay",)], "text string")
-    both = df.select("text", retrieval.term_highlights("lighthouse bay a")("text").alias("h"), retrieval.best_sentence("bay road")("text").alias("s"))
+    both = df.select("text", retrieval.term_highlights("lighthouse bay a", "text").alias("h"), retrieval.best_sentence("bay road")("text").alias("s"))
     rows = both.collect()
     assert [(s.start, s.end) for s in rows[0].h] == [(4, 14), (22, 25), (31, 34)] and rows[1].h == [] == rows[2].h
     assert (rows[0].s.start, rows[0].s.end) == (27, 46) and rows[2].s.start is None
     shown = [[tuple(x) for x in r.g] for r in both.select(retrieval.hit_segments("text", "h", "s").alias("g")).collect() if r.g is not None]
     assert shown[0] == [("The ", "plain"), ("lighthouse", "term"), (" by the ", "plain"), ("bay", "term"), (". The ", "plain"), ("Bay", "term"), (" road, bays.", "plain")]
     assert [("nothing here", "plain")] in shown
+    odd = spark.createDataFrame([("élan lan LAN-lan _lan_ 😀lan " + "lan " * 30,), ("",)], "text string")
+    spans = odd.select(retrieval.term_highlights("lan", "text").alias("h"), retrieval.term_highlights("lan", "text", most=3).alias("few"), retrieval.term_highlights("a ?", "text").alias("none")).collect()
+    assert [(s.start, s.end) for s in spans[0].h][:5] == [(5, 8), (9, 12), (13, 16), (24, 27), (28, 31)] and len(spans[0].h) == 20
+    assert spans[0].few == spans[0].h[:3] and spans[0].none == [] == spans[1].h
     one = both.withColumn("h", F.slice("h", 1, 0)).filter("text LIKE 'The%'").select(retrieval.hit_segments("text", "h", "s").alias("g")).first().g
     assert [tuple(x) for x in one] == [("The lighthouse by the bay. ", "plain"), ("The Bay road, bays.", "sentence")]
 
@@ -219,8 +223,31 @@ def test_answers(spark):
     assert found["status"] == "llm" and found["answer"] == "True [1]. False." and found["citations"] == [(1, "c1")]
     assert answers.answer("q", hits)["status"] == "unavailable" and answers.answer("q", hits.limit(0))["status"] == "no_evidence"
     assert answers.answer("q", hits, lambda m: 1 / 0)["status"] == "unavailable"
-    prompt = answers.explanation_prompt("A", "B", "topic", [("word " * 500, "b", 0.5)] * 5, [], limit=2000)
-    assert len(prompt[1][1]) <= 2000
+
+
+def test_explanation_prompts(spark):
+    """Three pairs at most, cut at words, the least similar one out while a message is too long; edges without pairs or entities have one, too."""
+    pairs = [(10, 20, 0.9), (11, 21, 0.75), (12, 99, 0.7), (13, 22, 0.5), (10, 21, 0.25)]
+    rows = [(1, 2, "entity", pairs, [(f"e{i}", "ORG") for i in range(8)]), (1, 3, "topic", None, None), (2, 3, "topic", [], [])]
+    edges = spark.createDataFrame(rows, "source long, target long, dominant_signal string, top_pairs array<struct<a:long,b:long,sim:double>>, shared_entities array<struct<text:string,label:string>>")
+    chunks = spark.createDataFrame([(10, "word " * 500), (11, "short"), (13, None), (20, "unbreakable" * 100), (21, "b"), (22, "last")], "chunk_id long, text string")
+    shown = graph.with_evidence(edges, chunks).withColumns({"doc_a": F.lit("one.md"), "doc_b": F.lit("two.md")})
+
+    def content(**limits):
+        found = shown.select("source", "target", answers.explanation_prompt(**limits).alias("m")).collect()
+        assert all([m.role for m in r.m] == ["system", "user"] and "instruction" in r.m[0].content for r in found)
+        return {(r.source, r.target): r.m[1].content for r in found}
+
+    head = "A: one.md\nB: two.md\nStrongest signal: {}\nShared entities: {}\n<excerpts>\n"
+    best = "[1, similarity 0.90]\nA: " + ("word " * 4)[:-1] + "…\nB: " + ("unbreakable" * 3)[:24] + "…"
+    rest = ["[2, similarity 0.75]\nA: short\nB: b", "[3, similarity 0.50]\nA: \nB: last"]  # the pair with chunk 99 is no evidence
+    start, named = head.format("entity", ", ".join(f"e{i} (ORG)" for i in range(6))), (1, 2)
+    got = content(excerpt=24)
+    assert got[named] == start + "\n\n".join([best, *rest]) + "\n</excerpts>"
+    assert got[1, 3] == got[2, 3] == head.format("topic", "none") + "\n</excerpts>"
+    two = start + "\n\n".join([best, rest[0]]) + "\n</excerpts>"
+    assert content(excerpt=24, limit=len(two))[named] == two and content(excerpt=24, limit=len(two) - 1)[named] == start + best + "\n</excerpts>"
+    assert content(limit=10)[named] == start + "\n</excerpts>"
 
 
 def test_names_and_types(spark):
