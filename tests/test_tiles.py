@@ -55,3 +55,21 @@ def test_pairs_that_share_make_no_rows_of_the_shuffle(spark):
     found = graph.entity_overlap(e, 30)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan.split("MapInArrow")[0] and found.count() == 435
+
+
+def test_equal_products_go_by_chunk_whatever_the_blocks(spark):
+    """Documents of different sizes in many blocks: the best pairs of each two, ties by the chunk of the smaller document first."""
+    rng = np.random.default_rng(4)
+    rows = [(d, 10 * d + c, np.eye(4)[rng.integers(4)].tolist()) for d in range(23) for c in range(1 + d % 4)]
+    v = spark.createDataFrame(rows, "doc_id long, chunk_id long, embedding array<double>")
+    want = {}
+    for a in range(23):
+        for b in range(a + 1, 23):
+            met = [(-float(np.dot(x, y)), ca, cb) for da, ca, x in rows if da == a for db, cb, y in rows if db == b]
+            want[a, b] = [(ca, cb, -s) for s, ca, cb in sorted(met)[:3]]
+    key = lambda df: {(r.a, r.b): [(q.a, q.b, q.sim) for q in r.l] for r in df.collect()}
+    assert key(tiles.chunk_pairs(v, 3, 7)) == want
+    asked = sorted(want)[::5]
+    found = tiles.chunk_pairs(v, 3, 7, spark.createDataFrame([*asked, (5, 99)], "a long, b long"))
+    assert key(found) == {k: want[k] for k in asked}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
