@@ -73,3 +73,19 @@ def test_equal_products_go_by_chunk_whatever_the_blocks(spark):
     found = tiles.chunk_pairs(v, 3, 7, spark.createDataFrame([*asked, (5, 99)], "a long, b long"))
     assert key(found) == {k: want[k] for k in asked}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_topic_pairs(spark):
+    """Every pair once, in many blocks, with and without mass, as the column scores them."""
+    from pyspark.sql import functions as F
+
+    from docweft.functions.scoring import topic_similarity
+
+    x = np.random.default_rng(3).dirichlet(np.full(4, 0.5), 30)
+    x[7], x[9], x[11] = 0, x[8] * 3, [1, 0, 0, 0]
+    rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "doc_id long, p array<double>")
+    found = graph.all_topic_pairs(rows, 8)
+    assert "NestedLoop" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 435
+    both = found.join(rows.withColumnRenamed("doc_id", "a"), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("p").alias("q")), "b")
+    assert both.filter(F.abs(F.col("score") - topic_similarity("p", "q")) > 1e-6).count() == 0
+    assert found.filter("a < b").select("a", "b").distinct().count() == 435
