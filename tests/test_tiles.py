@@ -2,6 +2,9 @@ import numpy as np
 import pytest
 
 from docweft.operators import graph, tiles
+from docweft.plans import registry
+
+registry.load_all()
 
 
 def plain(docs, n_docs):
@@ -89,3 +92,10 @@ def test_all_topic_pairs(spark):
     both = found.join(rows.withColumnRenamed("doc_id", "a"), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("p").alias("q")), "b")
     assert both.filter(F.abs(F.col("score") - topic_similarity("p", "q")) > 1e-6).count() == 0
     assert found.filter("a < b").select("a", "b").distinct().count() == 435
+
+
+@pytest.mark.parametrize("name", ["edge_view", "build_edge_prompt"])
+def test_the_graph_is_computed_once(spark, name):
+    """What follows a whole graph reads its stored edges: no signal is in the plan of the view."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Relation" in plan
