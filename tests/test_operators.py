@@ -399,3 +399,17 @@ def test_cache_keys_follow_the_evidence(spark):
     base = key()
     assert base == key() == key(sim=0.50001) and len(base) == 64
     assert len({base, key(sim=0.6), key(entity="bat"), key(score=0.5), key(target=3), key(model="n")}) == 6
+
+
+def test_tokens_are_counted_where_the_texts_are(spark):
+    """No token passes a shuffle; texts of a repeated id with as many tokens count together, and letters that lower to ASCII are letters."""
+    texts = [(1, "A b a-B, a"), (2, None), (3, ""), (4, "\u212aelvin \u0130x kelvin"), (5, "\u00e9t\u00e9 9")]
+    counts = lambda df: sorted((r.chunk_id, r.term, r.len, r.tf) for r in df.collect())
+    one = retrieval.term_frequencies(spark.createDataFrame(texts, "chunk_id long, text string"))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    plain = [(1, "a", 5, 3), (1, "b", 5, 2), (4, "i", 4, 1), (4, "kelvin", 4, 2), (4, "x", 4, 1), (5, "9", 2, 1), (5, "t", 2, 1)]
+    assert counts(one) == plain
+    twice = retrieval.term_frequencies(spark.createDataFrame([*texts, (1, "c a a a a")], "chunk_id long, text string"))
+    assert counts(twice) == sorted([(1, "a", 5, 7), (1, "b", 5, 2), (1, "c", 5, 1), *plain[2:]])
+    tokens = spark.createDataFrame([texts[3]], "chunk_id long, text string").select(retrieval.tokenize("text").alias("t")).first().t
+    assert tokens == ["kelvin", "i", "x", "kelvin"]
