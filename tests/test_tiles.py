@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docweft.operators import graph, tiles
 from docweft.plans import registry
@@ -99,3 +100,18 @@ def test_the_graph_is_computed_once(spark, name):
     """What follows a whole graph reads its stored edges: no signal is in the plan of the view."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "Relation" in plan
+
+
+def test_ids_that_meet_all_others_are_dealt_over_tasks(spark):
+    found = registry.QUERIES["join_docpairs"](spark, "/root/testdata/sf0.01")
+    parts = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) > 50 and sum(r["count"] for r in parts) == 100 * 99 // 2
+
+
+def test_the_first_edge_needs_no_other(spark, tmp_path):
+    """The evidence of one edge reads the vectors of its two documents; others, however odd, take no part."""
+    near = [(1, [1.0, 0.0]), (12, [0.6, 0.8]), (14, [1.0, 0.0]), (25, [1.0])]
+    rows = [(v, [float(x) for x in e]) for v, e in near]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = registry.QUERIES["join_edge_evidence"](spark, str(tmp_path)).collect()
+    assert sorted((r.position, r.similarity, r.text_a, r.text_b) for r in found) == [(0, 1.0, "doc 1", "doc 14"), (1, 0.6, "doc 1", "doc 12")]
