@@ -413,3 +413,16 @@ def test_tokens_are_counted_where_the_texts_are(spark):
     assert counts(twice) == sorted([(1, "a", 5, 7), (1, "b", 5, 2), (1, "c", 5, 1), *plain[2:]])
     tokens = spark.createDataFrame([texts[3]], "chunk_id long, text string").select(retrieval.tokenize("text").alias("t")).first().t
     assert tokens == ["kelvin", "i", "x", "kelvin"]
+
+
+def test_highlights_cut_a_text_once(spark):
+    """The pattern runs once over a text, not once for each span."""
+    df = spark.createDataFrame([("Tea, tea and \u0442ea: tea-\u017feas",), (None,), ("none",)], "text string").select(retrieval.term_highlights("tea seas", "text").alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [[(x.start, x.end) for x in r.s] for r in df.collect()] == [[(0, 3), (5, 8), (18, 21), (22, 26)], [], []]
+
+
+def test_no_sentence_is_looked_for_without_its_terms(spark, monkeypatch):
+    best = retrieval.best_sentence("tea")
+    df = spark.createDataFrame([("No cup. Green Tea. Tea.",), ("Nothing here.",), (None,)], "text string").select(best("text").alias("s"))
+    assert [(r.s.start, r.s.end) if r.s and r.s.start is not None else None for r in df.collect()] == [(8, 18), None, None]
