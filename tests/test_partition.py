@@ -97,3 +97,28 @@ def test_topic_pairs_of_small_tables(spark):
     assert [(r.a, r.b, r.score) for r in graph.topic_pairs(odd, 0.5).collect()] == [(1, 2, 1.0)]
     with pytest.raises(ValueError):
         graph.topic_pairs(odd, -0.1)
+
+
+def test_only_rows_that_no_round_has_settled_are_linked(spark, monkeypatch):
+    """The sequential rule over many rounds drops what one by one drops; rows are linked round by round and never all at once."""
+    x = np.random.default_rng(8).normal(size=(300, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, stayed = table(spark, x), []
+    for i in range(len(x)):
+        if not any(x[i] @ x[j] > 0.8 for j in stayed):
+            stayed.append(i)
+    sizes, pairs = [], dedup.similar_pairs
+    monkeypatch.setattr(dedup, "FIRST_ROWS", 16, raising=False)
+    monkeypatch.setattr(dedup, "similar_pairs", lambda v, *rest: sizes.append(v.count()) or pairs(v, *rest))
+    found = dedup.near_duplicates(rows, 0.8).collect()
+    assert sorted(r.id for r in found if not r.is_near_dup) == stayed and len(found) == 300
+    assert len(sizes) > 1 and max(sizes) < 100
+
+
+def test_few_rows_make_few_cells(spark, monkeypatch):
+    """A block is shipped to all blocks that it meets: a small table is not dealt into 64 of them."""
+    x = np.random.default_rng(2).normal(size=(200, 5))
+    made, dealt = [], dedup.partitioned
+    monkeypatch.setattr(dedup, "partitioned", lambda *given: made.append(dealt(*given)) or made[-1])
+    dedup.similar_pairs(table(spark, x / np.linalg.norm(x, axis=1, keepdims=True)), 0.5).count()
+    assert made[0].count() == 1
