@@ -95,7 +95,7 @@ def test_all_topic_pairs(spark):
     assert found.filter("a < b").select("a", "b").distinct().count() == 435
 
 
-@pytest.mark.parametrize("name", ["edge_view", "build_edge_prompt"])
+@pytest.mark.parametrize("name", ["edge_view", "build_edge_prompt", "edges_whole", "template_render", "cache_key"])
 def test_the_graph_is_computed_once(spark, name):
     """What follows a whole graph reads its stored edges: no signal is in the plan of the view."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
@@ -115,3 +115,28 @@ def test_the_first_edge_needs_no_other(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = registry.QUERIES["join_edge_evidence"](spark, str(tmp_path)).collect()
     assert sorted((r.position, r.similarity, r.text_a, r.text_b) for r in found) == [(0, 1.0, "doc 1", "doc 14"), (1, 0.6, "doc 1", "doc 12")]
+
+
+def test_edges_are_settled_where_blocks_meet(spark, monkeypatch):
+    """All signals in one meeting of two blocks give the edges that tables of pairs give, and no row of a pair is shuffled."""
+    from docweft.operators import recompute
+    from docweft.params import GraphParams
+
+    monkeypatch.setattr(tiles, "LEAST_ENTRIES", 10)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(int(np.sqrt(i) * 3), i, y.tolist()) for i, y in enumerate(x)], "doc_id long, chunk_id long, embedding array<double>")
+    e = spark.createDataFrame([(d, f"e{k}", "ORG", int(k) + 1) for d in range(8, 40) for k in ({int(j) for j in rng.integers(0, 12, 5)} if d < 36 else range(5))], "doc_id long, text string, label string, count long")
+    w = rng.dirichlet([0.3] * 4, 30)
+    w[5] = 0
+    dist = spark.createDataFrame([(d, t, float(w[d, t])) for d in range(30) for t in range(4)], "doc_id long, topic int, weight double")
+    key = lambda edges: {(r.source, r.target): (r.semantic_score, r.entity_score, r.topic_score, r.combined_score, r.dominant_signal, r.top_pairs, r.shared_entities) for r in edges.collect()}
+    for threshold, topics in ((0.3, dist), (0.3, None), (0.45, dist)):
+        p = GraphParams(semantic_floor=0.0, semantic_ceil=0.9, top_k_pairs=3, edge_threshold=threshold)
+        found = recompute.all_edges(v, e, 40, topics, p)
+        plan = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
+        assert len(plan) == 2 and "Join" not in plan[0] and "Aggregate" not in plan[0]
+        want = key(graph.edges(*recompute.scored_pairs(v, e, 40, topics, p), p))
+        assert key(found) == want and len(want) > 20
+        assert any(r[5] is None for r in want.values()) == (threshold == 0.3)  # entities alone carry an edge of 0.3
