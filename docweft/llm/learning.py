@@ -7,6 +7,7 @@ held-out rows are the same everywhere.  A null id counts as the empty text.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +51,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return stored(joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """(doc_id, text, label) of all training rows with a text; an id that has several labels counts with the smallest.
+
+    Texts stay where they are as long as the labels can be sent to them; more than ``BROADCAST_ROWS`` are joined by a shuffle.
+    """
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
+    marked = stored(usable.groupBy(F.col("doc_id").alias("id")).agg(F.min(label).alias("label")), "marked")
+    side = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(side, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
+
+
+def summed(df: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray], least: int = 1, groups: int = 8) -> np.ndarray:
+    """The sum over all rows of an array made from each batch of ``least`` rows, or what a task has left: tasks add up their own, a few tasks those, the driver the rest."""
+    schema = T.StructType([T.StructField("m", T.BinaryType())])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) >= least:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch], made: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            part = made(batch)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.astype(np.float64).tobytes(), 1)], pa.binary())], ["m"])
+
+    def again(batch: pa.RecordBatch) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(m.as_py())) for m in batch.column(0))
+
+    parts = df.mapInArrow(lambda batches: run(gathered(batches), kernel), schema).repartition(groups).mapInArrow(lambda batches: run(batches, again), schema)
+    found = [np.frombuffer(zlib.decompress(r.m)) for r in parts.collect()]  # an array for each group
+    return sum(found) if found else np.zeros(0)
+
+
 def class_counts(labels: DataFrame, label: str, modulus: int, held: int) -> dict[int, int]:
     """Training ids of each class over all of the labels (not the sample); an id with several labels counts with the smallest."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held))

@@ -8,11 +8,12 @@ difference of their features (no intercept: only differences matter).  The worth
 below which the labelled share of bad documents lies - a score quantile - becomes
 the score 0.3, so that ``score >= 0.3`` keeps the labelled share of good ones.
 
-The model is fitted on at most ``per_class`` labelled rows of each class, in ``pairs``
-random pairs of them, on the ``keep`` term buckets with the largest chi-square there;
+The model is fitted on all labelled rows with a text that are not held out: the ``keep`` term
+buckets with the largest chi-square, means, weights and the cut come from all of them.
+Weights are averages of what tasks learn from random pairs of their own rows, round by round;
 without rows of both classes every document scores 0.5.  Null and empty texts are
 documents without words and get the score of their (zero) features.  An id with several
-labels counts once, with the smallest; repeated rows are scored one by one.  Columns of
+labels counts with the smallest; repeated rows are scored one by one.  Columns of
 ``docs`` other than doc_id and text are not read, whatever their names.
 """
 
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.learning import class_counts, labelled_sample, map_texts, scored, sigmoid
-from docweft.llm.textvec import ALNUM, Spans, distinct_sorted, lists, mix64, shingle_names, trimmed, word_names, words
+from docweft.llm.learning import class_counts, labelled_rows, map_texts, scored, sigmoid, summed
+from docweft.llm.shared import bounded_batches, stored
+from docweft.llm.textvec import ALNUM, Spans, distinct_sorted, flat, lists, mix64, shingle_names, slices, trimmed, word_names, words
 
 #: Terms are hashed into 2**BITS buckets.
 BITS = 18
@@ -127,68 +129,139 @@ def expanded(z: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 4], axis=1)
 
 
-def fit(x: np.ndarray, t: np.ndarray, label: np.ndarray, slot: np.ndarray, share_bad: float, pairs: int, steps: int = 300, batch: int = 2048, ridge: float = 1e-3, seed: int = 7) -> Ranking:
-    """Fit the ranking on surface features ``x`` and terms ``t`` by Adam on random (good, bad) pairs of the sample; deterministic."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    both = np.concatenate([expanded((x - mean) / scale), t], axis=1).astype(np.float32)
+#: Passes over all training rows, steps of each on the rows that a task holds at a time, and pairs of a step.
+ROUNDS, STEPS, PAIRS, ROWS = 6, 50, 2048, 8192
+FIELDS = [T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("index", T.ArrayType(T.ShortType())), T.StructField("value", T.ArrayType(T.FloatType()))]
+
+
+def chosen(rows: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets with the largest chi-square over all training rows, and how many of these are bad and good."""
+    size = 1 << BITS
+
+    def seen(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(2 * size + 2)
+        for part in slices(batch, "text"):
+            label = part.column("label").to_numpy()
+            doc, bucket, _ = terms(*flat(part.column("text")))
+            out += np.concatenate([np.bincount(bucket[label[doc] == 1], minlength=size), np.bincount(bucket, minlength=size), [(label == 0).sum(), (label == 1).sum()]])
+        return out
+
+    found = summed(rows.filter("label IN (0, 1)").select("text", "label"), seen)
+    if not len(found) or not found[-2:].all():
+        return np.zeros(0, np.int64), np.zeros(2)
+    good, both, (bad_n, good_n) = found[:size], found[size:-2], found[-2:]
+    n = bad_n + good_n
+    rate = both / n
+    chi = np.where(both >= 3, n * (good / good_n - (both - good) / bad_n) ** 2 / np.maximum(rate * (1 - rate), 1e-9), 0)
+    live = np.flatnonzero(both)
+    return live[np.lexsort((live, -chi[live]))[:keep]], found[-2:]
+
+
+def _dense(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray, keep: int) -> np.ndarray:
+    """Scaled features with their squares, then terms, of a batch of stored rows."""
+    x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+    t = np.zeros((batch.num_rows, keep), dtype=np.float32)
+    t[np.repeat(np.arange(batch.num_rows), batch.column("index").value_lengths().to_numpy()), batch.column("index").flatten().to_numpy()] = batch.column("value").flatten().to_numpy()
+    return np.concatenate([expanded((x - mean) / scale).astype(np.float32), t], axis=1)
+
+
+def improved(w: np.ndarray, both: np.ndarray, label: np.ndarray, turn: int, ridge: float = 1e-3, seed: int = 7) -> np.ndarray | None:
+    """Weights after Adam steps on random (good, bad) pairs of some rows; None without rows of both classes."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    rng = np.random.default_rng(seed)
-    g, b = rng.choice(good, pairs), rng.choice(bad, pairs)
-    w, m, v = (np.zeros(both.shape[1], dtype=np.float32) for _ in range(3))
-    for step in range(1, steps + 1):
-        own = np.arange((step - 1) * batch, step * batch) % pairs
-        diff = both[g[own]] - both[b[own]]
-        grad = -sigmoid(-(diff @ w)) @ diff / len(own) + ridge * w
+    if not len(good) or not len(bad):
+        return None
+    rng = np.random.default_rng([seed, turn])
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, STEPS + 1):
+        diff = both[rng.choice(good, PAIRS)] - both[rng.choice(bad, PAIRS)]
+        grad = -sigmoid(-(diff @ w)) @ diff / PAIRS + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w -= 0.05 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    worth = both @ w
-    weight = np.where(label == 1, (1 - share_bad) / len(good), share_bad / len(bad))
-    order = np.argsort(worth, kind="stable")
-    at = min(int(np.searchsorted(np.cumsum(weight[order]), share_bad)), len(order) - 1)
-    nearby = worth[order][[at, min(at + 1, len(order) - 1)]]
+        rate = 0.05 * (1 - (turn * STEPS + step) / (ROUNDS * STEPS + 1))
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w
+
+
+def fit(rows: DataFrame, slot: np.ndarray, keep: int, size: np.ndarray, share_bad: float) -> Ranking:
+    """Fit the ranking on all stored rows (label, x, index, value) and find its cut among all of them.
+
+    In a round each task improves the weights on the rows it holds, at most ``ROWS`` at a time, and the
+    weights that come from it are averaged by their rows.
+    """
+    width = len(FEATURES)
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+        return np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)])
+
+    sums = summed(rows, moments) / size.sum()
+    mean = sums[:width]
+    scale = np.sqrt(np.maximum(sums[width:] - mean * mean, 0)) + 1e-6
+    w = np.zeros(2 * width + keep, dtype=np.float32)
+    for turn in range(ROUNDS):
+
+        def step(batch: pa.RecordBatch, w=w, turn=turn) -> np.ndarray:
+            out = np.zeros(len(w) + 1)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = improved(w, _dense(part, mean, scale, keep), part.column("label").to_numpy(), turn)
+                if found is not None:
+                    out += np.append(found.astype(np.float64), 1) * part.num_rows
+            return out
+
+        both = summed(rows, step, ROWS)
+        if both[-1]:
+            w = (both[:-1] / both[-1]).astype(np.float32)
     w = w.astype(np.float64)
-    return Ranking(mean, scale, w[: 2 * len(FEATURES)], slot, w[2 * len(FEATURES) :], float(nearby.mean()))
+    return Ranking(mean, scale, w[: 2 * width], slot, w[2 * width :], _cut(rows, mean, scale, keep, w, size, share_bad))
+
+
+def _cut(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, keep: int, w: np.ndarray, size: np.ndarray, share_bad: float, bins: int = 4096) -> float:
+    """The worth below which ``share_bad`` of all rows lie, each class with its share of the labels: counts in bins, then in the bins of the one that has it."""
 
+    def counted(low: float, high: float) -> np.ndarray:
+        def count(batch: pa.RecordBatch) -> np.ndarray:
+            worth, label = _dense(batch, mean, scale, keep) @ w, batch.column("label").to_numpy()
+            at = np.clip(np.floor((worth - low) / (high - low) * bins), -1, bins).astype(np.int64) + 1
+            return np.concatenate([np.bincount(at[label == k], minlength=bins + 2) for k in (0, 1)])
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 3000, keep: int = 1024, pairs: int = 100_000) -> Ranking | None:
-    """Learn from labelled rows whose remainder is not ``held``."""
+        return (summed(rows, count).reshape(2, -1) * np.array([[share_bad / size[0]], [(1 - share_bad) / size[1]]])).sum(axis=0)
+
+    reach = 8 * np.abs(w[: len(FEATURES)]).sum() + 16 * np.abs(w[len(FEATURES) : 2 * len(FEATURES)]).sum() + 3 * np.abs(w[2 * len(FEATURES) :]).sum() + 1e-9  # no worth lies beyond
+    low, high = -reach, reach
+    for _ in range(2):
+        total = np.cumsum(counted(low, high))
+        at = int(np.clip(np.searchsorted(total, share_bad * (1 - 1e-12)) - 1, 0, bins - 1))
+        low, high = low + (high - low) * at / bins, low + (high - low) * (at + 1) / bins
+    return (low + high) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, keep: int = 1024) -> Ranking | None:
+    """Learn from all labelled rows whose remainder is not ``held``."""
     counts = class_counts(labels, "quality", modulus, held)
     if not counts.get(0) or not counts.get(1):
         return None
-    sample = labelled_sample(docs, labels, "quality", modulus, held, per_class)
-
-    def seen(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
-        doc, bucket, _ = terms(data, offs)
-        return [lists(bucket, np.searchsorted(doc, np.arange(len(offs))), pa.int64())]
-
-    held_by = map_texts(sample, ["doc_id", "label"], [T.StructField("buckets", T.ArrayType(T.LongType()))], seen)
-    # one row for each bucket: bounded by the size of the hash space
-    table = held_by.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum(F.col("label").cast("long")).alias("good"), F.count("*").alias("all")).toPandas()
-    size = {int(r["label"]): int(r["count"]) for r in sample.groupBy("label").count().collect()}
-    if not size.get(0) or not size.get(1):
+    bounded_batches(docs.sparkSession)
+    rows = labelled_rows(docs, labels, "quality", modulus, held)
+    best, size = chosen(rows, keep)
+    if not len(best):
         return None
-    good, both = table["good"].to_numpy(float), table["all"].to_numpy(float)
-    n = size[0] + size[1]
-    rate = both / n
-    chi = np.where(both >= 3, n * (good / size[1] - (both - good) / size[0]) ** 2 / np.maximum(rate * (1 - rate), 1e-9), 0)
-    best = table["bucket"].to_numpy()[np.lexsort((table["bucket"], -chi))[:keep]]
     slot = np.full(1 << BITS, -1, dtype=np.int32)
     slot[best] = np.arange(len(best))
 
     def kept(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         doc, index, value = terms(data, offs, slot)
         first = np.searchsorted(doc, np.arange(len(offs)))
-        return [pa.array(list(features(data, offs)), pa.list_(pa.float64())), lists(index, first, pa.int64()), lists(value, first, pa.float64())]
+        x = features(data, offs).astype(np.float32)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel())), lists(index.astype(np.int16), first, pa.int16()), lists(value.astype(np.float32), first, pa.float32())]
 
-    fields = [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("index", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType()))]
-    rows = map_texts(sample, ["doc_id", "label"], fields, kept).orderBy("doc_id").toPandas()
-    t = np.zeros((len(rows), len(best)), dtype=np.float32)
-    for i, (index, value) in enumerate(zip(rows["index"], rows["value"], strict=True)):
-        t[i, np.asarray(index, dtype=np.int64)] = value
-    return fit(np.stack(rows["x"]), t, rows["label"].to_numpy(), slot, counts[0] / (counts[0] + counts[1]), pairs)
+    made = map_texts(rows.filter("label IN (0, 1)"), ["doc_id", "label"], FIELDS, kept)
+    # dealt by the hash of the id, so that every task has rows of both classes, and in its order, whatever files they came from
+    dealt = made.repartition(max(1, int(size.sum()) // (4 * ROWS) + 1), F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)))
+    table = stored(dealt.select("label", "x", "index", "value"), "features")
+    return fit(table, slot, len(best), size, counts[0] / (counts[0] + counts[1]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 3000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = train(docs, labels, modulus, held, per_class)
+    model = train(docs, labels, modulus, held)
     return scored(docs, modulus, held, lambda data, offs: model.score(data, offs) if model else np.full(len(offs) - 1, 0.5))

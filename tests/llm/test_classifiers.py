@@ -42,6 +42,22 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Every labelled row with a text that is not held out counts, and the cut leaves the labelled share of them below."""
+    rng = np.random.default_rng(1)
+    ids = range(9000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 6) + 8 * (i % 4 == 0))) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in [*ids, 20_000, 20_001]], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, *rest: seen.append(rows.count()) or fit(rows, *rest))
+    model = quality.train(docs, labels)
+    known = [i for i in ids if not held(i, 5, 0)]
+    assert seen == [len(known)]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    worth = model.worth(*flat(pa.array([texts[i] for i in known])))
+    assert abs(np.mean(worth < model.cut) - np.mean([i % 4 == 0 for i in known])) < 0.01
+
+
 def test_quality_features_match_a_plain_count():
     texts = ["a b a\nB b b!", "", None, "x1 | y2%%%", "é É"]
     x = quality.features(*flat(pa.array(texts)))
