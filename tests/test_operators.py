@@ -200,6 +200,20 @@ def test_edges_and_views(spark):
     assert graph.lit_edges(e, lit).count() == 1 and graph.lit_edges(e, lit.limit(1)).count() == 0
 
 
+def test_passes_of_the_topics_run_in_few_jobs(spark):
+    """A pass is one job over sparse rows, whose products are those of dense ones; it asks not for one job each partition."""
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((90, 12)) < 0.3, rng.random((90, 12)), 0.0)
+    dense[[0, 40, 89]] = 0
+    rows = spark.createDataFrame([([int(j) for j in np.flatnonzero(v)], [float(x) for x in v[v > 0]]) for v in dense], "index array<int>, weight array<double>").repartition(9)
+    packed, basis = topics._packed(rows), rng.random((12, 3))
+    spark.sparkContext.setJobGroup("a pass", "")
+    found = topics._summed(packed, 12, lambda v: np.concatenate([v.turned(v.times(basis)).ravel(), v.times(basis).sum(axis=0)]))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("a pass")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(found, np.concatenate([(dense.T @ (dense @ basis)).ravel(), (dense @ basis).sum(axis=0)])) and len(jobs) <= 2
+
+
 def test_topics(spark):
     words = {0: "neural network training gradient", 1: "cell membrane protein enzyme", 2: "ocean whale reef current"}
     rows = [(d, 10 * d + i, f"{w} {w} filler{d}") for d, w in words.items() for i in range(2)]
