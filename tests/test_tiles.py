@@ -48,6 +48,33 @@ def test_many_blocks_give_what_pairs_give(spark, monkeypatch, kind, cells, probe
     assert key(graph.entity_overlap(e, 50, most=3, pairs=pairs)) == short(asked)
 
 
+@pytest.mark.parametrize("kind,listed,size", [("long", 1 << 19, 1 << 28), ("string", 60, 1 << 28), ("long", 200, 40)])
+def test_lists_of_all_pairs_are_put_together_where_blocks_meet(spark, monkeypatch, kind, listed, size):
+    """The texts that structs would give, whatever the parts and the arrays they are in; no list of structs leaves a task."""
+    for name, value in (("ENTRIES", 90), ("LISTED", listed), ("BYTES", size)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(listed)
+    name = int if kind == "long" else "d{}".format
+    docs = {name(d): {f"é{int(k)}": int(rng.integers(1, 120)) for k in rng.zipf(1.3, 14) % 60} for d in range(45)}
+    rows = [(d, e, "ORG", c) for d, own in docs.items() for e, c in own.items()]
+    e = spark.createDataFrame(rows, f"doc_id {kind}, text string, label string, count long")
+    want = {k: ",".join(f"{t}:{x}:{y}" for t, x, y in v[1][:3]) for k, v in plain(docs, 50).items()}
+    found = graph.entity_lists(e, 50, most=3)
+    got = [(r.a, r.b, r.shared) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+    assert found.columns == ["a", "b", "shared"] and graph.entity_lists(e.limit(0), 50).count() == 0
+    # the queries give what leaves the tasks: no row is rebuilt after it
+    plan = registry.QUERIES["join_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow")
+
+
+def test_mentions_are_whole_words(spark):
+    """Only runs of letters, digits and hyphens that begin with a capital count, and each as a whole."""
+    texts = ["aBCD Abc-d9 x-Yzzz 9Abc A-b AB Abc,Abc ABC\nAbc", "éAbc -Abc The AbcÉ A--", None, ""]
+    got = {(r.doc_id, r.text): r["count"] for r in graph.mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(0, "abc-d9"): 1, (0, "a-b"): 1, (0, "abc"): 4, (1, "abc"): 2, (1, "the"): 1, (1, "a--"): 1}
+
+
 def test_no_entities(spark):
     none = spark.createDataFrame([], "doc_id long, text string, label string, count long")
     assert graph.entity_overlap(none, 3).count() == 0 and graph.entity_scores(none, 3, least=0.5).count() == 0
