@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweft.operators import events, recompute
+from docweft.operators import dedup, events, recompute
 from docweft.params import ChunkParams, GraphParams
 from docweft.plans.ingest_queries import MARKDOWN, small_docx, small_pdf, uploads
 from docweft.sources import files
@@ -110,6 +110,28 @@ def test_indexed_against_a_fold(spark):
     assert [r.vector_id for r in sorted(got) if not r.is_duplicate] == list(range(102, 102 + sum(want.values())))
 
 
+def test_chunks_are_cut_once(spark):
+    """However often the stages after it read them: cutting texts is most of the work."""
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            cut.add(len(frame))
+            yield frame
+
+    rows = spark.createDataFrame([(i, f"h{i % 7}", f"t{i}") for i in range(20)], "chunk_id long, content_hash string, text string")
+    got = jobs.indexed(rows.mapInPandas(counted, rows.schema), jobs.default_embedder, ChunkParams(near_dup_cosine=1.0)).collect()
+    assert cut.value == 20
+    assert sorted((r.chunk_id, r.is_duplicate, r.vector_id) for r in got) == [(i, i > 6, i if i < 7 else None) for i in range(20)]
+
+
+def test_ids_of_rows_with_many_columns(spark):
+    """Range partitions are bounded by a sample of the rows: ranks and sizes have to be of the same ones."""
+    rows = spark.range(0, 40000, 1, 4).select(F.xxhash64("id").alias("chunk_id"), F.array(*(F.rand(i) for i in range(16))).alias("embedding"))
+    got = dedup.vector_ids(rows, spark.range(3).withColumnRenamed("id", "vector_id")).select("chunk_id", "embedding", "vector_id").collect()
+    assert [r.vector_id for r in sorted(got, key=lambda r: r.chunk_id)] == list(range(3, 40003))
+
+
 def test_admitted():
     state, got = float("-inf"), []
     for now in (0.0, 0.0, 0.0, 0.25, 1000.0, 1000.0, 1000.0):
