@@ -440,3 +440,21 @@ def test_no_sentence_is_looked_for_without_its_terms(spark, monkeypatch):
     best = retrieval.best_sentence("tea")
     df = spark.createDataFrame([("No cup. Green Tea. Tea.",), ("Nothing here.",), (None,)], "text string").select(best("text").alias("s"))
     assert [(r.s.start, r.s.end) if r.s and r.s.start is not None else None for r in df.collect()] == [(8, 18), None, None]
+
+
+def test_hits_without_terms_show_the_nearest_sentence(spark):
+    """A text that has no whole word of the query: its best sentence by terms, else by vectors."""
+    df = spark.createDataFrame([(1, "No cup. A _tea_ here."), (2, "Rivers are long. Owls hunt at night. Bats sleep."), (3, "Tea."), (4, ""), (5, None)], "i int, text string")
+    vector = retrieval.hashed_embedding("owls hunt")
+    both = df.withColumn("h", retrieval.term_highlights("tea", "text")).withColumn("s", retrieval.best_sentence("tea", vector)(F.when(F.size("h") == 0, F.col("text"))))
+    got = {r.i: [tuple(x) for x in r.g or []] for r in both.select("i", retrieval.hit_segments("text", "h", "s").alias("g")).collect()}
+    assert got[1] == [("No cup. ", "plain"), ("A _tea_ here.", "sentence")] and got[3] == [("Tea", "term"), (".", "plain")] and got[4] == got[5] == []
+    assert got[2] == [("Rivers are long. ", "plain"), ("Owls hunt at night.", "sentence"), (" Bats sleep.", "plain")]
+
+
+def test_hit_segments_query_shows_all_three_kinds(spark):
+    from docweft.plans import registry
+
+    registry.load_all()
+    rows = registry.QUERIES["hit_segments"](spark, "/root/testdata/sf0.001")
+    assert {"term", "sentence", "plain"} == {r.shown for r in rows.select("shown").distinct().collect()}
