@@ -167,3 +167,20 @@ def test_edges_are_settled_where_blocks_meet(spark, monkeypatch):
         want = key(graph.edges(*recompute.scored_pairs(v, e, 40, topics, p), p))
         assert key(found) == want and len(want) > 20
         assert any(r[5] is None for r in want.values()) == (threshold == 0.3)  # entities alone carry an edge of 0.3
+
+
+def test_blocks_that_share_nothing_never_meet(spark, monkeypatch):
+    """Groups of documents with entities of their own, as copies of a table have: pairs of blocks grow with the groups, not with their square."""
+    for name, value in (("ENTRIES", 20), ("SLICE", 8)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(2)
+    docs = {10 * g + i: {f"g{g}e{k}": 1 for k in {int(k) for k in rng.integers(0, 6, 5)}} for g in range(12) for i in range(6)}
+    rows = [(d, e, "ORG", c) for d, own in docs.items() for e, c in own.items()]
+    e = spark.createDataFrame(rows, "doc_id long, text string, label string, count long")
+    _, blocks, n, asked = tiles._dealt(graph.numbered(e, 80), False)
+    assert blocks.count() > tiles.MANY_BLOCKS and asked.count() < n * (n + 1) / 4 and blocks.columns == ["block", "data"]
+    got = {(r.a, r.b): (round(r.score, 9), r.n) for r in graph.entity_scores(e, 80).collect()}
+    assert got == {k: (round(s, 9), len(shared)) for k, (s, shared) in plain(docs, 80).items()}
+    numbers = [r.text for r in graph.numbered(e, 80).select("entity", "text").distinct().orderBy("entity").collect()]
+    df = {t: sum(t in own for own in docs.values()) for t in numbers}
+    assert numbers == sorted(numbers, key=lambda t: (-round(float(np.log1p(80 / df[t])), 4), t)) and len(set(numbers)) == len(df)
