@@ -184,3 +184,62 @@ def test_blocks_that_share_nothing_never_meet(spark, monkeypatch):
     numbers = [r.text for r in graph.numbered(e, 80).select("entity", "text").distinct().orderBy("entity").collect()]
     df = {t: sum(t in own for own in docs.values()) for t in numbers}
     assert numbers == sorted(numbers, key=lambda t: (-round(float(np.log1p(80 / df[t])), 4), t)) and len(set(numbers)) == len(df)
+
+
+def test_evidence_comes_from_the_blocks(spark, monkeypatch):
+    """Texts that travel with the vectors of their blocks give the evidence that joins of the stored edges give; chunks without a row drop out."""
+    from docweft.operators import recompute
+    from docweft.params import GraphParams
+
+    monkeypatch.setattr(tiles, "EDGES", 7)
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(50, 6)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i // 2 if i < 36 else i, i, y.tolist()) for i, y in enumerate(x)], "doc_id long, chunk_id long, embedding array<double>")
+    e = spark.createDataFrame([(d, f"e{k}", "ORG", 1) for d in range(60) for k in ((d % 9, d % 4) if d < 30 else range(4))], "doc_id long, text string, label string, count long")
+    chunks = spark.createDataFrame([(i, None if i % 11 == 0 else f"text {i}") for i in range(48) if i % 5], "chunk_id long, text string")
+    p = GraphParams(semantic_floor=0.0, semantic_ceil=0.9, top_k_pairs=3, edge_threshold=0.29)
+    found = recompute.all_edges(v, e, 60, None, p, chunks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
+    assert len(plan) == 2 and "Join" not in plan[0] and "Aggregate" not in plan[0]
+    want = graph.with_evidence(graph.edges(*recompute.scored_pairs(v, e, 60, None, p), p), chunks)
+    key = lambda edges: {(r.source, r.target): (r.combined_score, r.top_pairs, r.shared_entities, r.evidence) for r in edges.select(*want.columns).collect()}
+    got = key(found)
+    assert got == key(want) and any(r[1] is None for r in got.values())  # pairs without vectors are edges, too
+    assert {len(r[3] or []) for r in got.values()} >= {0, 1, 2, 3} and any(s.text_a is None for r in got.values() for s in r[3] or [])
+    assert max(a for a, _ in got) > 50  # and so are those of which neither has a vector
+    again = recompute.all_edges(v, e, 60, None, p, chunks.union(chunks.filter("chunk_id = 7")))
+    assert {k: len(r[3] or []) for k, r in key(again).items() if r[1]} != {k: len(r[3] or []) for k, r in got.items() if r[1]}  # a repeated chunk counts as often as it is there
+
+
+def test_ids_of_many_rows_meet_once_in_steps(spark, monkeypatch):
+    """Pairs of repeated ids: of two blocks each once, whatever the steps."""
+    from docweft.operators import dedup
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = [int(i) for i in rng.integers(0, 14, 60)]
+    v = spark.createDataFrame([(d, y.tolist()) for d, y in zip(own, x)], "id long, embedding array<double>")
+    want = {(min(own[i], own[j]), max(own[i], own[j])) for i in range(60) for j in range(i) if x[i] @ x[j] > 0.8}
+    for cells in (1 << 22, 60, 150):
+        monkeypatch.setattr(dedup, "CELLS", cells)
+        got = [(r.a, r.b) for r in dedup.similar_pairs(v, 0.8, 1 << 14, once=True).collect()]
+        assert set(got) == want and len(got) == len(set(got))
+
+
+def test_pairs_above_a_score_are_found_either_way(spark, monkeypatch):
+    """Where looking for near vectors first is no help, blocks meet once, and no pair below the score leaves a task."""
+    from docweft.params import GraphParams
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(90, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i // 4, i, y.tolist()) for i, y in enumerate(x)], "doc_id long, chunk_id long, embedding array<double>")
+    p = GraphParams(semantic_floor=0.0, semantic_ceil=0.9, top_k_pairs=3)
+    key = lambda df: {(r.a, r.b): (round(r.raw, 9), r.pairs) for r in df.collect()}
+    want = key(graph.semantic_overlap(v, p, 16).filter("score > 0.6"))
+    straight = graph.semantic_overlap(v, p, 16, least=0.6)
+    assert "Aggregate" not in straight._jdf.queryExecution().optimizedPlan().toString() and key(straight) == want and 20 < len(want) < 250
+    monkeypatch.setattr(graph, "DENSE", 2.0)
+    assert key(graph.semantic_overlap(v, p, 16, least=0.6)) == want
